@@ -36,7 +36,7 @@ def _ship(spark: SparkSession) -> None:
 def tune(spark: SparkSession) -> None:
     """Send the package, and keep Arrow batches small: a batch may hold very long texts."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
 
@@ -62,8 +62,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def store(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """The rows as a table here; the exchanges that made them are given back.
+
+        narrow: write from a few tasks for each core, for rows that are few next to the input.
+        """
+        if narrow:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(clean, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -190,20 +202,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "graph") -> DataF
     Alternates large-star and small-star steps, whose minima Spark combines before the
     exchange; each step's edges go to the shared folder. Loops and repeats are allowed.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e, before, k = scratch.store(e, f"{name}-edges0"), None, 0
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    before, k = None, 0
     while True:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.store(large, f"{name}-large{k}")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.store(large, f"{name}-large{k}", narrow=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         k, before = k + 1, state
-        e = scratch.store(small, f"{name}-edges{k}")
+        e = scratch.store(small, f"{name}-edges{k}", narrow=True)
         scratch.drop(f"{name}-edges{k - 1}")
         scratch.drop(f"{name}-large{k - 1}")
