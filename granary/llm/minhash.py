@@ -6,7 +6,8 @@ bucket every member is a candidate of one centre only (a star), so candidates ar
 the bucket. Candidates are confirmed on full shingle sets. Where a bucket's members are still
 in different components, further rounds take sixteen times as many centres each, over the
 members that were no centre yet, until nothing is left to compare: no pair that shares a
-bucket is lost, and there is no cap.
+bucket is lost, and there is no cap. In these rounds signatures that agree in far too few
+bins (SIGMAS deviations below what linked sets have) spare the reading of the texts.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-BINS, ROWS, BANDS = 128, 5, 25
-_WALK = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).astype(np.uint8)
+BINS, ROWS, BANDS, SIGMAS = 288, 8, 36, 7
+_WALK = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).astype(np.uint16)
 _BAND = np.random.default_rng(8).integers(1, 2**63, BANDS, dtype=np.uint64)
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bins binary"
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """BINS minima of a sorted shingle set; an empty bin takes the first filled one on its own random walk."""
-    bins = (s >> np.uint64(57)).astype(np.int64)
+    bins = ((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     first = np.concatenate(([True], bins[1:] != bins[:-1]))
     out, full = np.zeros(BINS, dtype=np.uint64), np.zeros(BINS, dtype=bool)
     out[bins[first]], full[bins[first]] = s[first], True
@@ -59,11 +60,14 @@ def _sign(width: int):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 h = np.array([[C.mix(s + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], dtype=np.uint64)
                 some = np.flatnonzero(n)
-                keys = band_keys(np.stack([signature(sets[i]) for i in some])) if len(some) else np.zeros((0, BANDS), np.uint64)
+                sigs = np.stack([signature(sets[i]) for i in some]) if len(some) else np.zeros((0, BINS), np.uint64)
+                keys, low = band_keys(sigs), (C.mix(sigs) & np.uint64(255)).astype(np.uint8)
+                bins = np.full(len(sets), None, dtype=object)
+                bins[some] = [x.tobytes() for x in low]
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)).cast(pa.int64()), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel()))],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [ids.slice(at, len(sets)).cast(pa.int64()), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel())), pa.array(bins, pa.binary())],
+                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "bins"],
                 )
 
     return run
@@ -89,6 +93,21 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _alike(percent: int):
+    """Pairs (centre, doc_id, n, bins of each) whose signatures don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = percent / 100
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (3, 4))
+            n = np.minimum(b.column(2).to_numpy(), BINS)
+            least = BINS * (share - SIGMAS * np.sqrt(share * (1 - share) / np.maximum(n, 1)))
+            keep = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["centre", "doc_id"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """Classes of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -112,39 +131,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = chosen.select("doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("comp"), F.explode("bands").alias("key"))
     members = scratch.store(members, "members0")
     first = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("cn"), F.count("*").alias("size"))
-    centres = scratch.store(first.where("size > 1").select("key", "centre", "cn", F.col("centre").alias("ccomp")), "centres0")
+    centres = scratch.store(first.where("size > 1").select("key", "centre", "cn", F.col("centre").alias("ccomp")), "centres0", narrow=True)
+    bins = chosen.select("doc_id", "bins").dropDuplicates(["doc_id"])
     confirmed = tested = roots = None
     k = 0
     while True:
         pairs = members.join(centres, "key").where(f"comp <> ccomp and 100 * least(n, cn) >= {percent} * greatest(n, cn)")
-        pairs = pairs.select(F.least("centre", "doc_id").alias("centre"), F.greatest("centre", "doc_id").alias("doc_id")).distinct()
-        if tested is not None:
+        ends = [F.least("centre", "doc_id").alias("centre"), F.greatest("centre", "doc_id").alias("doc_id")]
+        if k:
+            pairs = pairs.select(*ends, F.least("n", "cn").alias("n"), "bins", "cbins").mapInArrow(_alike(percent), "centre long, doc_id long").distinct()
             pairs = pairs.join(tested, ["centre", "doc_id"], "left_anti")
-        pairs = scratch.store(pairs, f"pairs{k}")
+        else:
+            pairs = pairs.select(*ends).distinct()
+        pairs = scratch.store(pairs, f"pairs{k}", narrow=True)
         tested = pairs if tested is None else tested.union(pairs)
+        linked = False
         if not pairs.isEmpty():
             text = docs.where("doc_id is not null and text is not null")
             both = pairs.join(text.select("doc_id", F.col("text").alias("of_doc")), "doc_id")
             both = both.join(text.select(F.col("doc_id").alias("centre"), F.col("text").alias("of_centre")), "centre")
             links = both.select("centre", "doc_id", "of_centre", "of_doc").mapInArrow(_confirm(width, percent), "a long, b long")
-            links = scratch.store(links, f"links{k}")
-            if not links.isEmpty():
+            links = scratch.store(links, f"links{k}", narrow=True)
+            linked = not links.isEmpty()
+            if linked:
                 confirmed = links if confirmed is None else confirmed.union(links)
                 roots = C.components(confirmed, scratch, f"round{k}")
         # what is left: members that were no centre yet, in buckets that still hold several components
-        members = members.join(centres.select("key", F.col("centre").alias("doc_id")).distinct(), ["key", "doc_id"], "left_anti")
-        members = members.join(centres.select("key").distinct(), "key", "left_semi")
-        if roots is not None:
+        if k:
+            members = members.join(centres.select("key", F.col("centre").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        else:
+            members = members.join(centres.select("key", "centre"), "key").where("doc_id <> centre").drop("centre")
+        if linked:
             members = members.drop("comp").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
         k += 1
-        members = scratch.store(members.select("doc_id", "n", "comp", "key"), f"mixed{k}")
+        members = scratch.store(members, f"mixed{k}", narrow=True)
         open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = scratch.store(members.join(open_, "key", "left_semi"), f"members{k}")
+        members = members.join(open_, "key", "left_semi")
+        if k == 1:
+            members = members.join(bins, "doc_id")
+        members = scratch.store(members, f"members{k}", narrow=True)
         if members.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id"))
         centres = members.withColumn("rank", rank).where(F.col("rank") <= 16**k)
-        centres = scratch.store(centres.select("key", F.col("doc_id").alias("centre"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")), f"centres{k}")
+        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("comp", "ccomp"), ("bins", "cbins"))]), f"centres{k}", narrow=True)
     out = signed.join(reps.drop("copies"), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if roots is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
