@@ -1,6 +1,775 @@
-"""Registry of the demand-panel queries and their SQL oracles."""
+"""Registry of the demand-panel queries and their SQL oracles.
+
+Each query applies one operator to a view of the driver tables; its oracle is an independent
+DuckDB query. Columns are cast and rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import calendar as K
+from ..functions import text as T
+from ..operators import canon, demand, explore, metrics, panel, qa, windows
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CUT = f"DATE '{V.CUTOFF}'"
+EV_CUT = f"DATE '{V.EV_CUTOFF}'"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _texts(sql: str) -> str:
+    return f"WITH t AS ({V.TEXTS_SQL}) {sql}"
+
+
+def _panel(spark, d) -> DataFrame:
+    return panel.dense_panel(V.sales(spark, d), V.closures(spark), V.breakpoints(spark))
+
+
+def _bare(spark, d) -> DataFrame:
+    """The panel without carried columns."""
+    return panel.dense_panel(V.sales(spark, d).drop(*panel.CARRY), V.closures(spark), V.breakpoints(spark))
+
+
+def _led(spark, d) -> DataFrame:
+    return demand.region_features(_bare(spark, d), V.regions(spark, d))
+
+
+def _ev(spark, d, buckets=150) -> DataFrame:
+    return panel.dense_panel(V.events(spark, d, buckets))
+
+
+# --- text --------------------------------------------------------------------------------
+
+STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+NAME = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(item_name, '^xxx\\.\\s*', '', 'i'), '\\s*\\([^)]*\\)\\s*$', ''),"
+    " '([0-9])([a-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
+)
+NEEDLE = "trim(regexp_replace(regexp_replace(branch, '^KY\\d+\\s*-\\s*', '', 'i'), '\\s*\\([^)]*\\)\\s*$', ''))"
+PREFIX = "regexp_replace({}, '^xxx\\.\\s*', '', 'i')"
+DASH = "regexp_replace({}, '([A-Za-z])\\.([0-9])', '\\1-\\2', 'g')"
+
+
+@query(_texts(f"SELECT k, {PREFIX.format('item')} AS out FROM t"))
+def txt_strip_prefix(spark, d):
+    return V.texts(spark, d).select("k", T.strip_prefix(F.col("item")).alias("out"))
+
+
+@query(_texts(f"SELECT k, {DASH.format('item')} AS out FROM t"))
+def txt_separator(spark, d):
+    return V.texts(spark, d).select("k", T.unify_separator(F.col("item")).alias("out"))
+
+
+@query(_texts(f"SELECT k, {NAME} AS out FROM t"))
+def txt_name_norm(spark, d):
+    return V.texts(spark, d).select("k", T.comparable_name(F.col("item_name")).alias("out"))
+
+
+@query(_texts(f"SELECT k, {NEEDLE} AS out FROM t"))
+def txt_branch_strip(spark, d):
+    return V.texts(spark, d).select("k", T.branch_needle(F.col("branch")).alias("out"))
+
+
+@query(_texts("SELECT k, CASE k % 5 WHEN 0 THEN '0,3' WHEN 1 THEN '1,4' WHEN 2 THEN '5' WHEN 3 THEN '2' END AS out FROM t"))
+def txt_delivery_days(spark, d):
+    return V.texts(spark, d).select("k", F.array_join(T.delivery_days(F.col("days_text")).cast("array<string>"), ",").alias("out"))
+
+
+@query(_texts("SELECT k, COALESCE(NULLIF(trim(city_override), ''), trim(city), 'Unknown') AS out FROM t"))
+def txt_city(spark, d):
+    return V.texts(spark, d).select("k", T.city(F.col("city_override"), F.col("city")).alias("out"))
+
+
+@query(_texts("SELECT k, lower(trim(flag_text)) = 'yes' AS out FROM t"))
+def txt_yes_bool(spark, d):
+    return V.texts(spark, d).select("k", T.yes(F.col("flag_text")).alias("out"))
+
+
+@query(_texts("SELECT k, CAST(strptime(dt_text, '%d %b %Y') AS DATE) AS dt, CAST(replace(qty_text, ',', '.') AS DOUBLE) AS qty FROM t"))
+def txt_parse_date_qty(spark, d):
+    return V.texts(spark, d).select("k", T.parse_date(F.col("dt_text")).alias("dt"), T.parse_quantity(F.col("qty_text")).alias("qty"))
+
+
+# --- canonical items and branches ----------------------------------------------------------
+
+PASS1 = f"""c AS (SELECT DISTINCT item code, {NAME} nm, {PREFIX.format('item')} tc FROM t),
+g AS (SELECT tc, COUNT(DISTINCT nm) n FROM c GROUP BY 1),
+m1 AS (SELECT DISTINCT c.code, CASE WHEN g.n = 1 THEN c.tc ELSE c.code END mapped FROM c JOIN g USING (tc))"""
+PASS2 = f"""{PASS1},
+d AS (SELECT DISTINCT m1.mapped code, {NAME} nm, {DASH.format('m1.mapped')} tc FROM t JOIN m1 ON m1.code = t.item),
+h AS (SELECT tc, COUNT(DISTINCT nm) n FROM d GROUP BY 1),
+m2 AS (SELECT DISTINCT d.code, CASE WHEN h.n = 1 THEN d.tc ELSE d.code END final FROM d JOIN h USING (tc)),
+m AS (SELECT m1.code, m2.final mapped FROM m1 JOIN m2 ON m2.code = m1.mapped)"""
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {PASS1} SELECT * FROM m1")
+def can_code_map_pass1(spark, d):
+    return canon.conditional_map(V.texts(spark, d), T.strip_prefix)
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {PASS2} SELECT * FROM m")
+def can_code_map(spark, d):
+    return canon.code_map(V.texts(spark, d))
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {PASS2} SELECT k, COALESCE(m.mapped, item) AS item FROM t LEFT JOIN m ON m.code = t.item")
+def can_apply_codes(spark, d):
+    t = V.texts(spark, d)
+    return canon.apply_codes(t, canon.code_map(t)).select("k", "item")
+
+
+@query(_texts("SELECT k, item, COALESCE(MIN(CASE WHEN NOT starts_with(lower(item_name), 'xxx.') THEN item_name END) OVER (PARTITION BY item), item_name) AS item_name FROM t"))
+def can_names(spark, d):
+    return canon.canonical_names(V.texts(spark, d)).select("k", "item", "item_name")
+
+
+SYN = "CASE category WHEN 'Minuman' THEN 'Minuman - FG' WHEN 'Snack' THEN 'Snack (FG)' ELSE category END"
+
+
+@query(_texts(f", g AS (SELECT item, COUNT(DISTINCT {SYN}) n, MIN({SYN}) one FROM t GROUP BY 1) SELECT k, t.item, CASE WHEN t.item = 'FGS-00014' THEN 'Minuman - FG' WHEN n = 1 THEN COALESCE(one, category) ELSE category END AS category FROM t JOIN g USING (item)"))
+def can_categories(spark, d):
+    return canon.canonical_categories(V.texts(spark, d)).select("k", "item", "category")
+
+
+@query(_texts("SELECT k, CASE WHEN unit = 'Gr' AND item = 'FGS-00005' THEN qty / 40 WHEN unit = 'Gr' AND item = 'FGS-00009' THEN qty / 30 ELSE qty END AS qty, CASE WHEN unit = 'Gr' AND item IN ('FGS-00005', 'FGS-00009') THEN 'Porsi' ELSE unit END AS unit FROM t"))
+def prj_unit_convert(spark, d):
+    return canon.grams_to_portions(V.texts(spark, d), {"FGS-00005": 40.0, "FGS-00009": 30.0}).select("k", "qty", "unit")
+
+
+@query(_texts("SELECT k FROM t WHERE flag_text IS NULL OR flag_text NOT IN ('no')"))
+def prj_exclude(spark, d):
+    return canon.exclude(V.texts(spark, d), "flag_text", ["no"]).select("k")
+
+
+@query(_texts("SELECT k, CASE item WHEN 'FGS-00001' THEN 'NEW-1' WHEN 'FGS.00002' THEN 'NEW-2' ELSE item END AS item, CASE item WHEN 'FGS-00001' THEN 'New one' ELSE item_name END AS item_name FROM t"))
+def prj_rename(spark, d):
+    renames = spark.createDataFrame([("FGS-00001", "NEW-1", "New one"), ("FGS.00002", "NEW-2", None)], "code string, new_code string, new_name string")
+    return canon.rename_items(V.texts(spark, d), renames).select("k", "item", "item_name")
+
+
+OUTLETS = """o AS (SELECT 'Resto Nation_' || substr(n_name, 8) outlet, 'Kota ' || CAST(n_nationkey % 5 AS VARCHAR) city,
+  CASE n_nationkey % 2 WHEN 0 THEN true WHEN 1 THEN false END has_shopee, CASE n_nationkey % 3 WHEN 0 THEN true WHEN 1 THEN false END has_gofood, CASE n_nationkey % 4 WHEN 0 THEN true WHEN 1 THEN false END has_grabfood FROM nation)"""
+MATCH = f"""{OUTLETS}, {V.values('v', 'branch, outlet, city_override', V.OVERRIDES)}, b AS (SELECT DISTINCT branch FROM t),
+free AS (SELECT b.branch, o.outlet FROM b JOIN o ON contains(lower(o.outlet), lower({NEEDLE.replace('branch', 'b.branch')})) WHERE b.branch NOT IN (SELECT branch FROM v)),
+matched AS (SELECT b.branch, v.outlet, v.city_override FROM b JOIN v USING (branch) WHERE v.outlet IN (SELECT outlet FROM o)
+  UNION ALL SELECT branch, MIN(outlet), NULL FROM free GROUP BY 1 HAVING COUNT(*) = 1)"""
+
+
+def _matches(spark, d):
+    return canon.match_branches(V.texts(spark, d), V.outlets(spark, d), V.overrides(spark))
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MATCH} SELECT * FROM matched")
+def jn_branch_match(spark, d):
+    return _matches(spark, d)
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MATCH} SELECT k FROM t WHERE branch IN (SELECT branch FROM matched)")
+def jn_matched_semi(spark, d):
+    return canon.keep_matched(V.texts(spark, d), _matches(spark, d)).select("k")
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MATCH} SELECT k, COALESCE(m.outlet, t.branch) AS branch FROM t LEFT JOIN matched m ON m.branch = t.branch")
+def jn_canonical_branch(spark, d):
+    return canon.canonical_branches(V.texts(spark, d), _matches(spark, d)).select("k", "branch")
+
+
+@query(
+    f"""WITH t AS ({V.TEXTS_SQL}), {MATCH} SELECT k, COALESCE(NULLIF(trim(m.city_override), ''), o.city, 'Unknown') AS city, has_shopee, has_gofood, has_grabfood,
+    CASE WHEN has_shopee IS NOT NULL AND has_gofood IS NOT NULL AND has_grabfood IS NOT NULL THEN has_shopee OR has_gofood OR has_grabfood END AS can_order_online
+    FROM t LEFT JOIN matched m ON m.branch = t.branch LEFT JOIN o ON o.outlet = m.outlet"""
+)
+def jn_outlet_features(spark, d):
+    features = canon.outlet_features(_matches(spark, d), V.outlets(spark, d))
+    return canon.add_outlet_features(V.texts(spark, d).drop("city"), features).select("k", "city", "has_shopee", "has_gofood", "has_grabfood", "can_order_online")
+
+
+# --- joins on the panel --------------------------------------------------------------------
+
+
+@query(f"WITH {V.LEADS} SELECT item, branch, dt, region, lead_time_days, COALESCE(list_contains(days, isodow(dt) - 1), false) AS is_delivery_day FROM led")
+def jn_region(spark, d):
+    return _led(spark, d).select("item", "branch", "dt", "region", "lead_time_days", "is_delivery_day")
+
+
+@query(f"WITH {V.SALES}, {V.CLOSURES_SQL} SELECT item, branch, dt, qty FROM sales s WHERE NOT EXISTS (SELECT 1 FROM closures c WHERE c.branch = s.branch AND s.dt >= c.start_dt AND (c.end_dt IS NULL OR s.dt < c.end_dt))")
+def jn_closure_anti(spark, d):
+    return panel.drop_closed(V.sales(spark, d), V.closures(spark)).select("item", "branch", "dt", "qty")
+
+
+GAPS = """g AS (SELECT branch, dt, LAG(dt) OVER (PARTITION BY branch ORDER BY dt) b FROM (SELECT DISTINCT branch, dt FROM ev)),
+gaps AS (SELECT branch, b + 1 gap_start, dt - 1 gap_end, dt - b - 1 days FROM g WHERE dt - b - 1 >= 2)"""
+EV_SHUT = [("u3", "2024-01-01", "2024-01-16"), ("u5", "2024-01-10", None)]
+
+
+@query(f"WITH {V.events_sql('ev', 150)}, {V.values('shut', 'branch, a, z', EV_SHUT, {1, 2})}, {GAPS} SELECT branch, gap_start, gap_end, CAST(days AS INT) AS days FROM gaps WHERE NOT EXISTS (SELECT 1 FROM shut s WHERE s.branch = gaps.branch AND s.a <= gap_start AND (s.z IS NULL OR gap_end < s.z))")
+def jn_unrecorded_gaps(spark, d):
+    shut = V.dims(spark, EV_SHUT, "branch string, start_dt string, end_dt string", ["start_dt", "end_dt"])
+    return panel.unrecorded_gaps(V.events(spark, d, 150), shut, 2)
+
+
+@query(f"WITH {V.SALES}, {V.MOVES_SQL} SELECT item, s.branch, dt, CAST(dt - moved AS INT) AS days_since_relocation FROM sales s LEFT JOIN moves m ON m.branch = s.branch")
+def jn_relocation(spark, d):
+    return demand.days_since_relocation(V.sales(spark, d), V.relocations(spark)).select("item", "branch", "dt", "days_since_relocation")
+
+
+@query(f"WITH {V.SALES} SELECT item, branch, dt, length(item) % 2 = 0 AS is_event_driven FROM sales")
+def jn_event_flag(spark, d):
+    s = V.sales(spark, d)
+    return demand.event_flag(s, s.select("item", (F.length("item") % 2 == 0).alias("is_event_driven")).distinct()).select("item", "branch", "dt", "is_event_driven")
+
+
+@query(
+    f"""WITH {V.EV_BASE}, n AS (SELECT item, branch, COUNT(*) FILTER (WHERE dt < {EV_CUT}) n FROM panel GROUP BY 1, 2), bad AS (SELECT * FROM n WHERE n < 10),
+    good AS (SELECT * FROM n WHERE n >= 10) SELECT item, branch, n, CASE WHEN item NOT IN (SELECT item FROM good) THEN 'new item' WHEN branch NOT IN (SELECT branch FROM good) THEN 'new branch' ELSE 'other' END AS reason FROM bad"""
+)
+def jn_failing_pairs(spark, d):
+    n = _ev(spark, d).groupBy("item", "branch").agg(F.count_if(demand.before(V.EV_CUTOFF)).alias("n"))
+    good = n.where("n >= 10")
+    items, branches = good.select("item", F.lit(True).alias("i")).distinct(), good.select("branch", F.lit(True).alias("b")).distinct()
+    out = n.where("n < 10").join(items, "item", "left").join(branches, "branch", "left")
+    return out.select("item", "branch", "n", F.when(F.col("i").isNull(), "new item").when(F.col("b").isNull(), "new branch").otherwise("other").alias("reason"))
+
+
+# --- aggregates ----------------------------------------------------------------------------
+
+
+@query(_texts("SELECT dt_text, item, branch, ROUND(SUM(qty), 1) AS qty FROM t GROUP BY 1, 2, 3"))
+def agg_dedup_sum(spark, d):
+    return explore.dedup_sum(V.texts(spark, d), ["dt_text", "item", "branch"])
+
+
+@query(_texts("SELECT item, branch, CAST(strptime(dt_text, '%d %b %Y') AS DATE) dt, SUM(qty) AS qty, MIN(category) AS category, MIN(item_name) AS item_name, MIN(unit) AS unit FROM t GROUP BY 1, 2, 3"))
+def agg_daily(spark, d):
+    return panel.daily(V.texts(spark, d).withColumn("dt", T.parse_date(F.col("dt_text"))))
+
+
+BASELINE = f"""base AS (SELECT item, branch, COUNT(*) n, median(qty) median_qty, bool_and(qty % 1 = 0) all_whole, COUNT(*) >= 5 AND median(qty) > 0 eligible
+  FROM panel WHERE dt < {EV_CUT} AND qty > 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {V.EV_BASE}, {BASELINE} SELECT item, branch, n, ROUND(median_qty, 6) AS median_qty, all_whole, eligible FROM base")
+def agg_pair_baseline(spark, d):
+    return r6(demand.pair_baseline(_ev(spark, d), V.EV_CUTOFF, 5), "median_qty")
+
+
+STATS = """stats AS (SELECT item, branch, COUNT(*) n_days, COUNT(*) FILTER (WHERE qty > 0) n_nonzero, CAST(COUNT(*) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE qty > 0), 0) adi,
+  COALESCE(POWER(stddev_pop(qty) FILTER (WHERE qty > 0) / NULLIF(AVG(qty) FILTER (WHERE qty > 0), 0), 2), 0) cv2 FROM panel WHERE dt < {} GROUP BY 1, 2)"""
+LABEL = """CASE WHEN adi IS NULL THEN 'lumpy' WHEN adi < 1.32 THEN CASE WHEN cv2 < 0.49 THEN 'smooth' ELSE 'erratic' END WHEN cv2 < 0.49 THEN 'intermittent' ELSE 'lumpy' END"""
+
+
+def _stats(base: str) -> str:
+    return f"WITH {base}, {STATS.format(EV_CUT)} SELECT item, branch, n_days, n_nonzero, ROUND(adi, 6) AS adi, ROUND(cv2, 6) AS cv2 FROM stats"
+
+
+@query(_stats(V.EV_BASE))
+def agg_demand_stats(spark, d):
+    return r6(demand.demand_stats(_ev(spark, d), V.EV_CUTOFF), "adi", "cv2")
+
+
+@query(_stats(V.EC_BASE))
+def agg_demand_stats_coarse(spark, d):
+    return r6(demand.demand_stats(_ev(spark, d, 10), V.EV_CUTOFF), "adi", "cv2")
+
+
+def _class(base: str) -> str:
+    return f"WITH {base}, {STATS.format(EV_CUT)}, pairs AS (SELECT DISTINCT item, branch FROM panel) SELECT p.item, p.branch, COALESCE({LABEL}, 'lumpy') AS demand_segment FROM pairs p LEFT JOIN stats s ON s.item = p.item AND s.branch = p.branch"
+
+
+@query(_class(V.EV_BASE))
+def cls_demand(spark, d):
+    return demand.classify(_ev(spark, d), V.EV_CUTOFF).select("item", "branch", "demand_segment").distinct()
+
+
+@query(_class(V.EC_BASE))
+def cls_demand_coarse(spark, d):
+    return demand.classify(_ev(spark, d, 10), V.EV_CUTOFF).select("item", "branch", "demand_segment").distinct()
+
+
+BRANCH = f"""tot AS (SELECT branch, dt, SUM(qty) total FROM panel WHERE dt < {CUT} GROUP BY 1, 2),
+bs AS (SELECT branch, AVG(total) a, stddev_samp(total) / NULLIF(AVG(total), 0) cv FROM tot GROUP BY 1),
+tier AS (SELECT branch, a, cv, ROW_NUMBER() OVER (ORDER BY a, branch) r, COUNT(*) OVER () n FROM bs),
+stats AS (SELECT branch, a, cv, CASE WHEN n < 2 THEN 'small' ELSE ['small', 'medium', 'large', 'flagship'][CAST(greatest(1, ceil((r - 1) * least(4, n) / CAST(n - 1 AS DOUBLE))) AS INT)] END tier FROM tier)"""
+
+
+@query(f"WITH {V.BASE}, {BRANCH} SELECT branch, ROUND(a, 6) AS branch_avg_daily_qty, ROUND(cv, 6) AS branch_demand_cv FROM stats")
+def agg_branch_stats(spark, d):
+    return r6(demand.branch_stats(_bare(spark, d), V.CUTOFF, "qty").drop("branch_volume_tier"), "branch_avg_daily_qty", "branch_demand_cv")
+
+
+@query(f"WITH {V.BASE}, {BRANCH} SELECT branch, tier AS branch_volume_tier FROM stats")
+def bin_volume_tier(spark, d):
+    return demand.branch_stats(_bare(spark, d), V.CUTOFF, "qty").select("branch", "branch_volume_tier")
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, CAST(dt - MIN(dt) OVER (PARTITION BY branch) AS INT) AS branch_age_days FROM panel")
+def agg_branch_age(spark, d):
+    return demand.branch_age(_bare(spark, d)).select("item", "branch", "dt", "branch_age_days")
+
+
+@query(f"WITH {V.SALES} SELECT branch, COUNT(DISTINCT dt) AS n_days, MIN(dt) AS first_dt, MAX(dt) AS last_dt, CAST(MAX(dt) - MIN(dt) + 1 AS INT) AS expected, ROUND(100.0 * COUNT(DISTINCT dt) / CAST(MAX(dt) - MIN(dt) + 1 AS DOUBLE), 6) AS pct FROM sales GROUP BY 1")
+def agg_completeness(spark, d):
+    return r6(explore.completeness(V.sales(spark, d)).withColumn("pct", F.col("pct").cast("double")), "pct")
+
+
+@query(f"WITH {V.events_sql('ev', 150)}, s AS (SELECT branch, MIN(dt) a, MAX(dt) b FROM ev GROUP BY 1), g AS (SELECT branch, CAST(UNNEST(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) dt FROM s) SELECT branch, dt FROM g WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.branch = g.branch AND e.dt = g.dt)")
+def agg_missing_dates(spark, d):
+    return explore.missing_dates(V.events(spark, d, 150))
+
+
+@query(_texts("SELECT item, COUNT(DISTINCT unit) AS n_unit, COUNT(DISTINCT category) AS n_category, COUNT(DISTINCT branch) AS n_branch FROM t GROUP BY 1"))
+def agg_consistency(spark, d):
+    return explore.consistency(V.texts(spark, d), "item", ["unit", "category", "branch"])
+
+
+@query(f"WITH {V.events_sql('ev', 150)} SELECT dt, branch, COUNT(DISTINCT item) AS n_items, ROUND(SUM(qty), 6) AS qty FROM ev GROUP BY 1, 2 HAVING COUNT(DISTINCT item) >= 3")
+def agg_event_days(spark, d):
+    return r6(explore.event_days(V.events(spark, d, 150), 3), "qty")
+
+
+DOW = "tot AS (SELECT branch, dt, SUM(qty) total FROM sales GROUP BY 1, 2), dow AS (SELECT branch, CAST(isodow(dt) - 1 AS INT) dow, AVG(total) m FROM tot GROUP BY 1, 2)"
+
+
+@query(f"WITH {V.SALES}, {DOW} SELECT branch, dow, ROUND(m, 6) AS mean_qty FROM dow")
+def agg_dow_profile(spark, d):
+    return r6(explore.weekday_profile(V.sales(spark, d)), "mean_qty")
+
+
+@query(f"WITH {V.SALES}, {DOW}, x AS (SELECT branch, dow, 100 * (m / AVG(m) OVER (PARTITION BY branch) - 1) v FROM dow) SELECT branch, " + ", ".join(f"ROUND(MAX(v) FILTER (WHERE dow = {i}), 6) AS dow_{i}" for i in range(7)) + " FROM x GROUP BY 1")
+def piv_branch_dow(spark, d):
+    return r6(explore.weekday_pivot(V.sales(spark, d)), *[f"dow_{i}" for i in range(7)])
+
+
+@query(f"WITH {V.EV_BASE} SELECT item, branch, ROUND(100 * AVG(CASE WHEN qty = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_pct, COUNT(*) AS n_days FROM panel GROUP BY 1, 2")
+def agg_zero_pct(spark, d):
+    return r6(explore.zero_share(_ev(spark, d)), "zero_pct")
+
+
+@query(f"WITH {V.EC_BASE}, s AS (SELECT item, branch, CASE WHEN COUNT(qty) OVER w = 3 THEN SUM(qty) OVER w END s FROM panel WINDOW w AS ({V.W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT item, branch, ROUND(stddev_samp(s) / NULLIF(AVG(s), 0), 6) AS cv FROM s WHERE s IS NOT NULL GROUP BY 1, 2")
+def agg_cv_rolling(spark, d):
+    return r6(explore.rolling_variation(_ev(spark, d, 10)), "cv")
+
+
+_PROFILE = ["flag_text", "days_text", "city", "category", "unit"]
+
+
+@query(_texts(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null, COUNT(DISTINCT {c}) AS n_distinct FROM t" for c in _PROFILE)))
+def agg_null_profile(spark, d):
+    return explore.null_profile(V.texts(spark, d).select(*_PROFILE))
+
+
+# --- panel ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.SALES}, {V.panel_sql(closed=False)} SELECT item, branch, dt, qty FROM panel")
+def pan_dense(spark, d):
+    return panel.dense_panel(V.sales(spark, d).drop(*panel.CARRY)).select("item", "branch", "dt", "qty")
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, qty FROM panel")
+def pan_closures(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", "qty")
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, segment_id FROM panel")
+def pan_segments(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", "segment_id")
+
+
+CARRIED = ", ".join(f"COALESCE(LAST_VALUE(s.{c} IGNORE NULLS) OVER (PARTITION BY p.item, p.branch ORDER BY p.dt ROWS UNBOUNDED PRECEDING), FIRST_VALUE(s.{c} IGNORE NULLS) OVER (PARTITION BY p.item, p.branch ORDER BY p.dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}" for c in panel.CARRY)
+
+
+@query(f"WITH {V.BASE} SELECT p.item, p.branch, p.dt, {CARRIED} FROM panel p LEFT JOIN sales s ON s.item = p.item AND s.branch = p.branch AND s.dt = p.dt")
+def pan_carry(spark, d):
+    return _panel(spark, d).select("item", "branch", "dt", *panel.CARRY)
+
+
+@query(f"WITH {V.EV_BASE}, ok AS (SELECT item, branch FROM panel WHERE dt < {EV_CUT} GROUP BY 1, 2 HAVING COUNT(*) >= 15) SELECT item, branch, dt, qty FROM panel SEMI JOIN ok USING (item, branch)")
+def pan_min_history(spark, d):
+    return panel.enough_history(_ev(spark, d), V.EV_CUTOFF, 15).select("item", "branch", "dt", "qty")
+
+
+@query(f"WITH {V.BASE}, n AS (SELECT *, ROW_NUMBER() OVER ({V.W}) n FROM panel) SELECT item, branch, dt, segment_id FROM n WHERE n > 28")
+def pan_warmup(spark, d):
+    return panel.without_warmup(_bare(spark, d)).select("item", "branch", "dt", "segment_id")
+
+
+@query(f"WITH {V.SALES}, c AS (SELECT CAST(UNNEST(generate_series((SELECT MIN(dt) FROM sales)::TIMESTAMP, (SELECT MAX(dt) FROM sales)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) dt), b AS (SELECT DISTINCT branch FROM sales), t AS (SELECT branch, dt, SUM(qty) q FROM sales GROUP BY 1, 2) SELECT b.branch, c.dt, COALESCE(t.q, 0) AS qty FROM b CROSS JOIN c LEFT JOIN t ON t.branch = b.branch AND t.dt = c.dt")
+def pan_branch_matrix(spark, d):
+    return panel.branch_matrix(V.sales(spark, d))
+
+
+# --- windows -------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, " + ", ".join(f"LEAD(qty, {h}) OVER w AS target_h{h}" for h in windows.HORIZONS) + f" FROM panel WINDOW w AS ({V.W})")
+def win_targets(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", *[c.alias(k) for k, c in windows.target_columns().items()])
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, " + ", ".join(f"LAG(qty, {k}) OVER w AS lag_{k}" for k in windows.LAGS) + f" FROM panel WINDOW w AS ({V.W})")
+def win_lags(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", *[c.alias(k) for k, c in windows.lag_columns("qty").items()])
+
+
+ROLLS = ", ".join(f"CASE WHEN COUNT(qty) OVER w{w} = {w} THEN ROUND(AVG(qty) OVER w{w}, 6) END AS roll_mean_{w}, CASE WHEN COUNT(qty) OVER w{w} = {w} THEN ROUND(stddev_samp(qty) OVER w{w}, 6) END AS roll_std_{w}" for w in windows.WINDOWS)
+ROLL_WINDOWS = ", ".join(f"w{w} AS ({V.W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in windows.WINDOWS)
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, {ROLLS} FROM panel WINDOW {ROLL_WINDOWS}")
+def win_rolling(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", *[F.round(c, 6).alias(k) for k, c in windows.rolling_columns("qty").items()])
+
+
+LEAD_SUM = "CASE lead_time_days " + " ".join(f"WHEN {w} THEN CASE WHEN COUNT(qty) OVER a{w} = {w} THEN SUM(qty) OVER a{w} END" for w in range(1, 8)) + " END"
+LEAD_WINDOWS = ", ".join(f"a{w} AS ({V.W} ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING)" for w in range(1, 8))
+
+
+@query(f"WITH {V.LEADS} SELECT item, branch, dt, lead_time_days, {LEAD_SUM} AS target FROM led WINDOW {LEAD_WINDOWS}")
+def win_lead_target(spark, d):
+    return _led(spark, d).select("item", "branch", "dt", "lead_time_days", windows.lead_target().alias("target"))
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, " + ", ".join(f"CASE WHEN COUNT(qty) OVER w{n} = {n} THEN SUM(qty) OVER w{n} END AS sum_{n}" for n in (3, 4)) + " FROM panel WINDOW " + ", ".join(f"w{n} AS ({V.W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 4)))
+def win_trailing_sums(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", *[c.alias(k) for k, c in windows.trailing_sums().items()])
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, ROUND(AVG(qty) OVER ({V.W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS mean_7 FROM panel")
+def win_partial_mean(spark, d):
+    return _bare(spark, d).select("item", "branch", "dt", F.round(windows.partial_mean(), 6).alias("mean_7"))
+
+
+@query("WITH t AS (SELECT p_name || p_brand item, SUM(l_quantity) qty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), c AS (SELECT *, ROW_NUMBER() OVER (ORDER BY qty DESC, item) rank, SUM(qty) OVER (ORDER BY qty DESC, item ROWS UNBOUNDED PRECEDING) / SUM(qty) OVER () s FROM t) SELECT item, qty, CAST(rank AS INT) AS rank, ROUND(s, 6) AS cum_share, rank <= MIN(CASE WHEN s >= 0.8 THEN rank END) OVER () AS is_head FROM c")
+def win_pareto(spark, d):
+    rows = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    totals = rows.groupBy(F.concat("p_name", "p_brand").alias("item")).agg(F.sum("l_quantity").alias("qty"))
+    return r6(windows.pareto(totals, "item"), "cum_share")
+
+
+@query(f"WITH {V.SALES} SELECT item, branch, dt, COUNT(*) OVER (PARTITION BY item, branch) AS n, median(qty) OVER (PARTITION BY item, branch) AS median_qty FROM sales")
+def win_transform(spark, d):
+    w = panel.Window.partitionBy("item", "branch")
+    return V.sales(spark, d).select("item", "branch", "dt", F.count("*").over(w).alias("n"), F.median("qty").over(w).alias("median_qty"))
+
+
+@query(f"WITH {V.EC_BASE}, n AS (SELECT item, branch, dt, ROW_NUMBER() OVER ({V.W}) n, SUM(qty) OVER w s, MIN(qty) OVER w lo, MAX(qty) OVER w hi FROM panel WINDOW w AS ({V.W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) SELECT item, branch, dt, 7 AS len, ROUND(s, 2) AS s, ROUND(lo, 2) AS lo, ROUND(hi, 2) AS hi FROM n WHERE n > 7")
+def win_sequences(spark, d):
+    x = windows.sequences(_ev(spark, d, 10), ["qty"], "qty", 7)
+    flat = F.transform("window", lambda r: F.round(r[0].cast("double"), 2))
+    total = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)
+    return x.select("item", "branch", "dt", F.size("window").alias("len"), F.round(total, 2).alias("s"), F.array_min(flat).alias("lo"), F.array_max(flat).alias("hi"))
+
+
+# --- calendar ------------------------------------------------------------------------------
+
+DAYS = "days AS (SELECT CAST(UNNEST(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS DATE) dt)"
+
+
+def _days(spark) -> DataFrame:
+    return spark.sql("select explode(sequence(date'1995-01-01', date'2001-12-31')) as dt")
+
+
+@query(f"WITH {DAYS} SELECT dt, CAST(isodow(dt) - 1 AS INT) AS day_of_week, CAST(day(dt) AS INT) AS day_of_month, CAST(month(dt) AS INT) AS month, isodow(dt) >= 6 AS is_weekend FROM days")
+def cal_basic(spark, d):
+    x = V.CALENDAR.basic(F.col("dt"))
+    x.pop("is_national_holiday")
+    return _days(spark).withColumns(x)
+
+
+@query(f"WITH {DAYS}, {V.HOLIDAYS_SQL} SELECT dt, dt IN (SELECT dt FROM holidays) AS is_national_holiday FROM days")
+def cal_holiday(spark, d):
+    return _days(spark).select("dt", V.CALENDAR.basic(F.col("dt"))["is_national_holiday"].alias("is_national_holiday"))
+
+
+@query(f"WITH {DAYS}, {V.FEASTS_SQL} SELECT dt, dt BETWEEN a AND b AS is_ramadan, CASE WHEN dt BETWEEN a AND b THEN CAST(dt - a AS INT) END AS days_into_ramadan, CASE WHEN dt < a THEN CAST(a - dt AS INT) END AS days_until_ramadan FROM days JOIN feasts ON y = year(dt) AND event = 'ramadan'")
+def cal_ramadan(spark, d):
+    return _days(spark).withColumns(V.CALENDAR.ramadan(F.col("dt")))
+
+
+def _near(name: str, day: str, coming: str | None = None) -> str:
+    coming = coming or day
+    return f"dt = {day} AS is_{name}, CASE WHEN dt - {day} BETWEEN 0 AND 14 THEN CAST(dt - {day} AS INT) END AS days_since_{name}, CASE WHEN {coming} - dt BETWEEN 0 AND 14 THEN CAST({coming} - dt AS INT) END AS days_until_{name}"
+
+
+@query(f"WITH {DAYS}, {V.FEASTS_SQL} SELECT dt, {_near('eid_al_fitr', 'f.a')}, {_near('eid_al_adha', 'g.a')} FROM days JOIN feasts f ON f.y = year(dt) AND f.event = 'eid_al_fitr' JOIN feasts g ON g.y = year(dt) AND g.event = 'eid_al_adha'")
+def cal_eid(spark, d):
+    return _days(spark).withColumns(V.CALENDAR.feast("eid_al_fitr", F.col("dt")) | V.CALENDAR.feast("eid_al_adha", F.col("dt")))
+
+
+@query(f"WITH {DAYS} SELECT dt, {_near('independence_day', 'make_date(year(dt), 8, 17)')}, {_near('new_year', 'make_date(year(dt), 1, 1)', '(CASE WHEN month(dt) = 1 AND day(dt) = 1 THEN dt ELSE make_date(year(dt) + 1, 1, 1) END)')} FROM days")
+def cal_fixed_days(spark, d):
+    return _days(spark).withColumns(V.CALENDAR.fixed(F.col("dt")))
+
+
+@query(f"WITH {V.LEADS} SELECT item, branch, dt, CASE WHEN lead_time_days IS NOT NULL THEN CAST(len(list_filter(range(1, lead_time_days + 1), lambda x: (isodow(dt) - 1 + x) % 7 >= 5)) AS INT) END AS weekend_days FROM led")
+def cal_target_weekend(spark, d):
+    return _led(spark, d).select("item", "branch", "dt", K.weekend_days_ahead(F.col("dt"), F.col("lead_time_days")).alias("weekend_days"))
+
+
+# --- domain --------------------------------------------------------------------------------
+
+
+@query(f"WITH {DAYS}, {V.REGIONS_SQL} SELECT p.dt, r.branch, CAST({V.LEAD} AS INT) AS lead_time_days FROM days p CROSS JOIN regions r")
+def lt_lead_time(spark, d):
+    x = V.regions(spark, d).select("branch", "ship_days", F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-31')")).alias("dt"))
+    return x.select("dt", "branch", K.lead_time(F.col("dt"), F.col("ship_days")).alias("lead_time_days"))
+
+
+@query(f"WITH {DAYS}, {V.REGIONS_SQL} SELECT dt, branch, COALESCE(list_contains(days, isodow(dt) - 1), false) AS is_delivery_day FROM days CROSS JOIN (SELECT branch, days FROM regions) r".replace("r.days", "days"))
+def lt_delivery_flag(spark, d):
+    x = V.regions(spark, d).select("branch", "ship_days", F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-31')")).alias("dt"))
+    return x.select("dt", "branch", K.is_delivery_day(F.col("dt"), F.col("ship_days")).alias("is_delivery_day"))
+
+
+CAPPED = f"""{V.EV_BASE}, {BASELINE}, cap AS (SELECT p.*, CASE WHEN COALESCE(eligible, false) THEN qty / median_qty END ratio, median_qty, all_whole,
+  month(dt) = 1 AND day(dt) = 1 is_new_year FROM panel p LEFT JOIN base b ON b.item = p.item AND b.branch = p.branch),
+capped AS (SELECT *, COALESCE(ratio >= 2, false) is_spike, CASE WHEN COALESCE(ratio >= 2, false) AND NOT is_new_year THEN CASE WHEN all_whole THEN least(ceil(2 * median_qty), qty) ELSE 2 * median_qty END ELSE qty END qty_capped FROM cap)"""
+
+
+def _capped(spark, d) -> DataFrame:
+    p = _ev(spark, d)
+    flags = K.Calendar().fixed(F.col("dt"))
+    return demand.cap_outliers(p.withColumn("is_new_year", flags["is_new_year"]), demand.pair_baseline(p, V.EV_CUTOFF, 5), 2.0, ["is_new_year"])
+
+
+@query(f"WITH {CAPPED} SELECT item, branch, dt, ROUND(ratio, 6) AS baseline_ratio, is_spike, ROUND(qty_capped, 6) AS qty_capped FROM capped")
+def out_capping(spark, d):
+    return r6(_capped(spark, d).select("item", "branch", "dt", "baseline_ratio", "is_spike", "qty_capped"), "baseline_ratio", "qty_capped")
+
+
+@query(f"WITH {CAPPED} SELECT item, branch, dt, ROUND(ratio, 6) AS baseline_ratio FROM capped WHERE ratio IS NOT NULL ORDER BY ROUND(ratio, 6) DESC, item, branch, dt LIMIT 20")
+def out_top_ratio(spark, d):
+    x = r6(_capped(spark, d).where("baseline_ratio is not null").select("item", "branch", "dt", "baseline_ratio"), "baseline_ratio")
+    return explore.largest(x, "baseline_ratio", 20, ["item", "branch", "dt"])
+
+
+# --- splits --------------------------------------------------------------------------------
+
+SAFE = "dt + COALESCE(lead_time_days, 0) < {}"
+STARTS = demand.fold_starts(V.CUTOFF)
+
+
+@query(f"WITH {V.LEADS} SELECT item, branch, dt FROM led WHERE dt < {CUT} AND {SAFE.format(CUT)}")
+def spl_purged_train(spark, d):
+    return demand.split_train_test(_led(spark, d), V.CUTOFF)[0].select("item", "branch", "dt")
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt FROM panel WHERE dt >= {CUT}")
+def spl_test(spark, d):
+    return demand.split_train_test(_bare(spark, d), V.CUTOFF)[1].select("item", "branch", "dt")
+
+
+FOLD = "CASE " + " ".join(f"WHEN dt >= DATE '{a}' AND dt < DATE '{b}' THEN {k + 1}" for k, (a, b) in enumerate(zip(STARTS, [*STARTS[1:], V.CUTOFF], strict=True))) + " END"
+
+
+@query(f"WITH {V.BASE} SELECT item, branch, dt, {FOLD} AS fold_id FROM panel")
+def spl_folds(spark, d):
+    return demand.assign_folds(_bare(spark, d), V.CUTOFF).select("item", "branch", "dt", "fold_id")
+
+
+@query(f"WITH {V.LEADS} " + " UNION ALL ".join(f"SELECT {k + 1} AS fold_id, branch, COUNT(*) AS n, MAX(dt) AS last_dt FROM led WHERE dt < DATE '{s}' AND {SAFE.format(f'''DATE '{s}' ''')} GROUP BY branch" for k, s in enumerate(STARTS)))
+def spl_fold_masks(spark, d):
+    led = _led(spark, d)
+    out = None
+    for k in range(1, 6):
+        x = demand.fold_train(led, k, V.CUTOFF).groupBy("branch").agg(F.count("*").alias("n"), F.max("dt").alias("last_dt")).select(F.lit(k).alias("fold_id"), "branch", "n", "last_dt")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+TARGETED = f"{V.LEADS}, tg AS (SELECT *, {LEAD_SUM} AS target FROM led WINDOW {LEAD_WINDOWS})"
+ELIGIBLE = f"{TARGETED}, el AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER ({V.W}) rn FROM tg WHERE dt < {CUT}) WHERE rn > 28 AND target IS NOT NULL)"
+
+
+def _targeted(spark, d) -> DataFrame:
+    return _led(spark, d).withColumn("target", windows.lead_target())
+
+
+@query(f"WITH {ELIGIBLE} SELECT item, branch, dt, target FROM el")
+def spl_eligible(spark, d):
+    return demand.eligible_rows(_targeted(spark, d), V.CUTOFF, "target").select("item", "branch", "dt", "target")
+
+
+@query(f"WITH {ELIGIBLE}, m AS (SELECT MAX(dt) - 29 s FROM el) SELECT CASE WHEN dt >= s THEN 'tail' ELSE 'fit' END AS part, branch, COUNT(*) AS n FROM el, m WHERE dt >= s OR {SAFE.format('s')} GROUP BY 1, 2")
+def spl_early_stop(spark, d):
+    fit, tail = demand.early_stopping(demand.eligible_rows(_targeted(spark, d), V.CUTOFF, "target"))
+    both = fit.select("branch", F.lit("fit").alias("part")).unionByName(tail.select("branch", F.lit("tail").alias("part")))
+    return both.groupBy("part", "branch").agg(F.count("*").alias("n"))
+
+
+# --- encoding ------------------------------------------------------------------------------
+
+MAPPING = """vals AS (SELECT DISTINCT 'category' col, category value FROM t WHERE k % 4 < 3 AND category IS NOT NULL UNION SELECT DISTINCT 'unit', unit FROM t WHERE k % 4 < 3),
+mapping AS (SELECT col, value, CAST(ROW_NUMBER() OVER (PARTITION BY col ORDER BY value) AS INT) idx FROM vals)"""
+
+
+def _mapping(spark, d) -> DataFrame:
+    return demand.category_mapping(V.texts(spark, d).where("k % 4 < 3"), ["category", "unit"])
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING} SELECT * FROM mapping")
+def enc_mapping(spark, d):
+    return _mapping(spark, d)
+
+
+_KNOWN = [("category", "Snack (FG)", 1), ("category", "Retired", 2), ("unit", "Porsi", 1)]
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING}, {V.values('known', 'col, value, idx', _KNOWN)}, top AS (SELECT col, MAX(idx) b FROM known GROUP BY 1) SELECT col, value, idx FROM known UNION ALL SELECT v.col, v.value, CAST(b + ROW_NUMBER() OVER (PARTITION BY v.col ORDER BY v.value) AS INT) FROM vals v JOIN top USING (col) WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.col = v.col AND k.value = v.value)")
+def enc_extend_mapping(spark, d):
+    known = spark.createDataFrame(_KNOWN, "col string, value string, idx int")
+    return demand.category_mapping(V.texts(spark, d).where("k % 4 < 3"), ["category", "unit"], existing=known)
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING} SELECT k, COALESCE(c.idx, 0) AS category_idx, COALESCE(u.idx, 0) AS unit_idx FROM t LEFT JOIN mapping c ON c.col = 'category' AND c.value = category LEFT JOIN mapping u ON u.col = 'unit' AND u.value = unit")
+def enc_index(spark, d):
+    return demand.encode(V.texts(spark, d), _mapping(spark, d), ["category", "unit"]).select("k", "category_idx", "unit_idx")
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING} SELECT k, " + ", ".join(f"CASE WHEN COALESCE(u.idx, 0) = {i} THEN 1 ELSE 0 END AS unit_idx_{i}" for i in (1, 2)) + " FROM t LEFT JOIN mapping u ON u.col = 'unit' AND u.value = unit")
+def enc_one_hot(spark, d):
+    x = demand.encode(V.texts(spark, d), _mapping(spark, d), ["unit"]).select("k", "unit_idx")
+    return demand.one_hot(x, "unit_idx", [1, 2])
+
+
+HIST = "CASE WHEN LAG(qty, 1) OVER w IS NULL THEN 1 ELSE 0 END + CASE WHEN LAG(qty, 7) OVER w IS NULL THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {V.EV_BASE} SELECT item, branch, dt, {HIST} AS missing_history_count, ({HIST}) = 0 AS has_full_history, COALESCE(LAG(qty, 1) OVER w, 0) AS lag_1, COALESCE(LAG(qty, 7) OVER w, 0) AS lag_7, CAST(CASE WHEN day(dt) <= 15 THEN day(dt) - 1 ELSE 99 END AS DOUBLE) AS days_since_new_year FROM panel WINDOW w AS ({V.W})")
+def imp_features(spark, d):
+    x = _ev(spark, d)
+    x = x.select("item", "branch", "dt", *[c.alias(k) for k, c in windows.lag_columns("qty", [1, 7]).items()], K.Calendar().fixed(F.col("dt"))["days_since_new_year"].alias("days_since_new_year"))
+    return demand.impute(x, ["days_since_new_year"], ["lag_1", "lag_7"])
+
+
+SCALE = f"s AS (SELECT AVG(qty) m, CASE WHEN stddev_pop(qty) = 0 THEN 1 ELSE stddev_pop(qty) END d FROM panel WHERE dt < {EV_CUT})"
+
+
+@query(f"WITH {V.EV_BASE}, {SCALE} SELECT 'qty' AS col, ROUND(m, 6) AS mean, ROUND(d, 6) AS sd FROM s")
+def agg_scaler(spark, d):
+    return r6(demand.fit_scaler(_ev(spark, d).where(demand.before(V.EV_CUTOFF)), ["qty"]), "mean", "sd")
+
+
+@query(f"WITH {V.EV_BASE}, {SCALE} SELECT item, branch, dt, ROUND((qty - m) / d, 6) AS qty FROM panel, s")
+def scl_apply(spark, d):
+    x = _ev(spark, d)
+    return r6(demand.apply_scaler(x, demand.fit_scaler(x.where(demand.before(V.EV_CUTOFF)), ["qty"]), ["qty"]).select("item", "branch", "dt", "qty"), "qty")
+
+
+@query(f"WITH {TARGETED}, n AS (SELECT *, ROW_NUMBER() OVER ({V.W}) n FROM tg) SELECT item, branch, dt, ROUND(ln(1 + target), 6) AS target FROM n WHERE n > 28 AND target IS NOT NULL")
+def adp_tabular(spark, d):
+    return r6(demand.tabular(_targeted(spark, d), "target", log_target=True).select("item", "branch", "dt", "target"), "target")
+
+
+@query(f"WITH {V.EV_BASE}, a AS (SELECT * FROM panel WHERE branch <> 'u1'), b AS (SELECT item, branch, dt, CASE WHEN branch = 'u2' THEN qty + 1 ELSE qty END qty FROM panel WHERE branch <> 'u3'), f AS (SELECT a.qty aq, b.qty bq, a.dt IS NOT NULL ia, b.dt IS NOT NULL ib FROM a FULL JOIN b ON a.item = b.item AND a.branch = b.branch AND a.dt = b.dt) " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", COUNT(*) FILTER (WHERE {c}) AS violations FROM f" for k, c in (("only_first", "NOT ib"), ("only_second", "NOT ia"), ("differs_qty", "ia AND ib AND aq IS DISTINCT FROM bq"), ("null_qty", "ia AND aq IS NULL"))))
+def adp_contract(spark, d):
+    p = _ev(spark, d)
+    b = p.where("branch <> 'u3'").withColumn("qty", F.when(F.col("branch") == "u2", F.col("qty") + 1).otherwise(F.col("qty")))
+    return demand.contract_violations(p.where("branch <> 'u1'"), b, ["item", "branch", "dt"], ["qty"])
+
+
+# --- metrics -------------------------------------------------------------------------------
+
+SCORES = """COUNT(*) AS n, ROUND(AVG(ABS(y - p)), 6) AS mae, ROUND(AVG(CASE WHEN y >= p THEN 0.9 * (y - p) ELSE -0.1 * (y - p) END), 6) AS pinball,
+ROUND(AVG(CASE WHEN y <= p THEN 1.0 ELSE 0.0 END), 6) AS coverage, ROUND(CASE WHEN SUM(y) = 0 THEN 1.0 ELSE 1 - SUM(greatest(0, y - p)) / SUM(y) END, 6) AS fill_rate,
+ROUND(SUM(greatest(0, y - p)), 4) AS shortfall_units, ROUND(SUM(greatest(0, p - y)), 4) AS overstock_units"""
+PRED = f"""{V.LEADS}, f AS (SELECT branch, item, dt, lead_time_days, {FOLD} fold_id, {LEAD_SUM} AS y, LAG(qty) OVER (PARTITION BY item, branch, segment_id ORDER BY dt) lag_1,
+  CASE WHEN COUNT(qty) OVER r7 = 7 THEN AVG(qty) OVER r7 END roll FROM led WINDOW {LEAD_WINDOWS}, r7 AS ({V.W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+preds AS (SELECT branch, fold_id, y, model, p FROM (SELECT branch, fold_id, y, UNNEST(['naive_zero', 'naive_lag_1', 'naive_roll_mean_7']) model,
+  UNNEST([0.0, COALESCE(lag_1 * lead_time_days, 0), COALESCE(roll * lead_time_days, 0)]) p FROM f WHERE y IS NOT NULL))"""
+
+
+def _predictions(spark, d) -> DataFrame:
+    x = _targeted(spark, d).withColumns(windows.lag_columns("qty", [1]) | windows.rolling_columns("qty", [7]))
+    return metrics.stacked(demand.assign_folds(x, V.CUTOFF), "target", metrics.naive(), ["branch", "fold_id"])
+
+
+def _round(df: DataFrame) -> DataFrame:
+    df = r6(df, "mae", "pinball", "coverage", "fill_rate")
+    return df.withColumns({c: F.round(c, 4) for c in ("shortfall_units", "overstock_units")})
+
+
+@query(f"WITH {PRED} SELECT model, branch, {SCORES} FROM preds GROUP BY 1, 2")
+def met_naive_scores(spark, d):
+    return _round(metrics.score(_predictions(spark, d), ["model", "branch"]))
+
+
+@query(f"WITH {PRED}, v AS (SELECT *, CASE WHEN branch < 'NATION_2' THEN 'low' ELSE 'high' END half FROM preds WHERE fold_id IS NOT NULL) SELECT model, fold_id, 'overall' AS group_col, 'all' AS group_value, {SCORES} FROM v GROUP BY 1, 2 UNION ALL SELECT model, fold_id, 'branch', branch, {SCORES} FROM v GROUP BY 1, 2, 4 UNION ALL SELECT model, fold_id, 'half', half, {SCORES} FROM v GROUP BY 1, 2, 4")
+def met_grouping_sets(spark, d):
+    x = _predictions(spark, d).where("fold_id is not null").withColumn("half", F.when(F.col("branch") < "NATION_2", "low").otherwise("high"))
+    return _round(metrics.score_groups(x, ["branch", "half"]))
+
+
+@query(f"WITH {PRED}, s AS (SELECT model, fold_id, COUNT(*) n, AVG(CASE WHEN y >= p THEN 0.9 * (y - p) ELSE -0.1 * (y - p) END) pinball FROM preds WHERE fold_id IS NOT NULL GROUP BY 1, 2) SELECT model, ROUND(SUM(pinball * n) / SUM(n), 6) AS pinball FROM s GROUP BY 1")
+def met_pooled(spark, d):
+    x = _predictions(spark, d).where("fold_id is not null")
+    return r6(metrics.pooled(metrics.score_groups(x, ["branch"])), "pinball")
+
+
+@query(f"WITH {V.SALES}, tot AS (SELECT branch, dt, SUM(qty) total FROM sales GROUP BY 1, 2), m AS (SELECT branch, year(dt) y, isodow(dt) dow, AVG(total) m FROM tot WHERE year(dt) IN (1997, 1998) GROUP BY 1, 2, 3), s AS (SELECT *, COUNT(*) OVER w n, 100 * (m / AVG(m) OVER w - 1) dev FROM m WINDOW w AS (PARTITION BY branch, y)), p AS (SELECT a.branch, a.dev a, b.dev b FROM s a JOIN s b ON a.branch = b.branch AND a.dow = b.dow WHERE a.y = 1997 AND b.y = 1998 AND a.n = 7 AND b.n = 7) SELECT branch, ROUND(corr(a, b), 6) AS r FROM p GROUP BY 1 HAVING stddev_pop(a) > 0 AND stddev_pop(b) > 0 UNION ALL SELECT 'all', ROUND(corr(a, b), 6) FROM p")
+def met_dow_corr(spark, d):
+    return r6(explore.weekday_correlation(V.sales(spark, d), (1997, 1998)), "r")
+
+
+# --- sets, sorts, histograms, contract -------------------------------------------------------
+
+
+@query(f"WITH {V.SALES} SELECT item, branch, dt, qty FROM sales ORDER BY qty DESC, item, branch, dt LIMIT 20")
+def top_nlargest(spark, d):
+    return explore.largest(V.sales(spark, d).select("item", "branch", "dt", "qty"), "qty", 20, ["item", "branch", "dt"])
+
+
+@query(f"WITH {V.events_sql('a', 10)}, {V.events_sql('b', 150)} SELECT * FROM a UNION ALL SELECT * FROM b")
+def set_union(spark, d):
+    return V.events(spark, d, 10).unionByName(V.events(spark, d, 150))
+
+
+@query(f"WITH {V.SALES} SELECT dt FROM sales WHERE branch = 'NATION_1' EXCEPT SELECT dt FROM sales WHERE branch = 'NATION_2'")
+def set_except_dates(spark, d):
+    s = V.sales(spark, d)
+    return s.where("branch = 'NATION_1'").select("dt").subtract(s.where("branch = 'NATION_2'").select("dt"))
+
+
+@query(f"WITH {V.SALES} SELECT dt FROM sales WHERE branch = 'NATION_1' INTERSECT SELECT dt FROM sales WHERE branch = 'NATION_2'")
+def set_intersect_dates(spark, d):
+    s = V.sales(spark, d)
+    return s.where("branch = 'NATION_1'").select("dt").intersect(s.where("branch = 'NATION_2'").select("dt"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, n FROM (SELECT l_orderkey, l_linenumber, l_quantity, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1")
+def set_duplicates(spark, d):
+    x = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return explore.duplicates(x, ["l_orderkey", "l_linenumber"])
+
+
+@query(f"WITH {V.SALES} SELECT CAST(floor(ln(1 + qty) / 0.25) + 1 AS BIGINT) AS bin, COUNT(*) AS n FROM sales GROUP BY 1")
+def his_log1p(spark, d):
+    return explore.histogram(V.sales(spark, d), "qty", 0.0, 25.0, 100)
+
+
+_CHECKS = ["required_columns", "qty_not_negative", "region_known", "step_is_one_day", "unique_keys", "segments_from_one", "segments_gapless", "outside_closures"]
+
+
+@query(f"WITH {V.LEADS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST({'(SELECT COUNT(*) FROM led WHERE region IS NULL)' if c == 'region_known' else 0} AS BIGINT) AS violations" for c in _CHECKS))
+def qa_checks(spark, d):
+    return qa.qa_checks(_led(spark, d), V.closures(spark), ["item", "branch", "dt", "qty", "segment_id"])
