@@ -61,9 +61,10 @@ def segments(df: DataFrame, breakpoints: DataFrame | None = None) -> DataFrame:
 
 def fill_carry(df: DataFrame, carry: list[str] = CARRY) -> DataFrame:
     """Fill carried columns forward, then backward, within the pair and across segments."""
-    w = by_pair()
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    filled = {c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(ahead)) for c in carry if c in df.columns}
+    # backwards by the reverse order: a frame that only grows costs one pass, one that shrinks a pass for each row
+    upto = (Window.unboundedPreceding, 0)
+    past, ahead = by_pair().rowsBetween(*upto), Window.partitionBy(*PAIR).orderBy(F.desc("dt")).rowsBetween(*upto)
+    filled = {c: F.coalesce(F.last(c, True).over(past), F.last(c, True).over(ahead)) for c in carry if c in df.columns}
     return df.withColumns(filled) if filled else df
 
 

@@ -217,7 +217,7 @@ def jn_closure_anti(spark, d):
 
 
 GAPS = """g AS (SELECT branch, dt, LAG(dt) OVER (PARTITION BY branch ORDER BY dt) b FROM (SELECT DISTINCT branch, dt FROM ev)),
-gaps AS (SELECT branch, b + 1 gap_start, dt - 1 gap_end, dt - b - 1 days FROM g WHERE dt - b - 1 >= 2)"""
+gaps AS (SELECT branch, b + 1 gap_start, dt - 1 gap_end, dt - b - 1 AS days FROM g WHERE dt - b - 1 >= 2)"""
 EV_SHUT = [("u3", "2024-01-01", "2024-01-16"), ("u5", "2024-01-10", None)]
 
 

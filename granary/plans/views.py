@@ -122,7 +122,7 @@ BREAKS_SQL = values("breaks", "branch, dt", BREAKPOINTS, {1})
 MOVES_SQL = values("moves", "branch, moved", RELOCATIONS, {1})
 FEASTS_SQL = values("feasts", "y, event, a, b", FEASTS, {2, 3})
 HOLIDAYS_SQL = values("holidays", "dt", [(h,) for h in HOLIDAYS], {0})
-REGIONS_SQL = "regions AS (SELECT n_name branch, n_nationkey % 2 + 1 region, CASE WHEN n_name = 'NATION_7' THEN NULL WHEN n_nationkey % 2 = 0 THEN [0, 3] ELSE [1, 4] END days FROM nation)"
+REGIONS_SQL = "regions AS (SELECT n_name branch, n_nationkey % 2 + 1 region, CASE WHEN n_name = 'NATION_7' THEN NULL WHEN n_nationkey % 2 = 0 THEN [0, 3] ELSE [1, 4] END AS days FROM nation)"
 
 
 def panel_sql(days: str = "sales", name: str = "panel", closed: bool = True) -> str:
