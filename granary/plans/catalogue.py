@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as K
 from ..functions import text as T
 from ..operators import canon, demand, explore, metrics, panel, qa, windows
+from ..sources.lineage import cut
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -773,3 +774,101 @@ _CHECKS = ["required_columns", "qty_not_negative", "region_known", "step_is_one_
 @query(f"WITH {V.LEADS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST({'(SELECT COUNT(*) FROM led WHERE region IS NULL)' if c == 'region_known' else 0} AS BIGINT) AS violations" for c in _CHECKS))
 def qa_checks(spark, d):
     return qa.qa_checks(_led(spark, d), V.closures(spark), ["item", "branch", "dt", "qty", "segment_id"])
+
+
+# --- end to end ------------------------------------------------------------------------------
+
+
+def _featured(spark, d) -> DataFrame:
+    from . import forecast
+
+    dims = forecast.Dimensions(V.regions(spark, d), V.closures(spark), V.breakpoints(spark), V.relocations(spark), calendar=V.CALENDAR)
+    return forecast.featured(V.sales(spark, d), dims, V.CUTOFF, ratio=3.0)
+
+
+RAMADAN = "EXISTS (SELECT 1 FROM feasts f WHERE p.dt BETWEEN f.a AND f.b)"
+E1 = f"""{V.BASE}, {V.FEASTS_SQL}, {V.REGIONS_SQL}, {V.MOVES_SQL}, ok AS (SELECT item, branch FROM panel WHERE dt < {CUT} GROUP BY 1, 2 HAVING COUNT(*) >= 60),
+hp AS (SELECT p.* FROM panel p SEMI JOIN ok USING (item, branch)),
+base AS (SELECT item, branch, median(qty) m, bool_and(qty % 1 = 0) whole FROM hp WHERE dt < {CUT} AND qty > 0 GROUP BY 1, 2 HAVING COUNT(*) >= 30 AND median(qty) > 0),
+cp AS (SELECT p.*, COALESCE(qty / m >= 3, false) AS is_spike, CASE WHEN qty / m >= 3 AND NOT ({RAMADAN} OR (month(p.dt) = 8 AND day(p.dt) = 17) OR (month(p.dt) = 1 AND day(p.dt) = 1))
+  THEN CASE WHEN whole THEN least(ceil(3 * m), qty) ELSE 3 * m END ELSE qty END AS qty_capped FROM hp p LEFT JOIN base b ON b.item = p.item AND b.branch = p.branch),
+led AS (SELECT p.*, CAST({V.LEAD} AS INT) lead_time_days FROM cp p LEFT JOIN regions r ON r.branch = p.branch),
+tot AS (SELECT branch, dt, SUM(qty_capped) total FROM cp WHERE dt < {CUT} GROUP BY 1, 2), bs AS (SELECT branch, AVG(total) a FROM tot GROUP BY 1),
+tr AS (SELECT branch, ROUND(a, 6) a, ROW_NUMBER() OVER (ORDER BY a, branch) r, COUNT(*) OVER () n FROM bs),
+e1 AS (SELECT p.item, p.branch, p.dt, p.qty, p.segment_id, p.is_spike, ROUND(p.qty_capped, 6) AS qty_capped, CAST(isodow(p.dt) - 1 AS INT) AS day_of_week, {RAMADAN.replace('p.dt BETWEEN', "f.event = 'ramadan' AND p.dt BETWEEN")} AS is_ramadan, lead_time_days,
+  ROUND(LAG(p.qty_capped, 7) OVER w, 6) AS lag_7, ROUND(CASE WHEN COUNT(p.qty_capped) OVER w7 = 7 THEN AVG(p.qty_capped) OVER w7 END, 6) AS roll_mean_7,
+  {LEAD_SUM.replace('qty', 'p.qty')} AS target_lead_time_cumulative, ROUND({LEAD_SUM.replace('qty', 'p.qty_capped')}, 6) AS target_lead_time_cumulative_capped,
+  tr.a AS branch_avg_daily_qty, CASE WHEN n < 2 THEN 'small' ELSE ['small', 'medium', 'large', 'flagship'][CAST(greatest(1, ceil((r - 1) * least(4, n) / CAST(n - 1 AS DOUBLE))) AS INT)] END AS branch_volume_tier,
+  CAST(p.dt - MIN(p.dt) OVER (PARTITION BY p.branch) AS INT) AS branch_age_days, CAST(p.dt - moved AS INT) AS days_since_relocation
+  FROM led p LEFT JOIN tr ON tr.branch = p.branch LEFT JOIN moves ON moves.branch = p.branch
+  WINDOW w AS (PARTITION BY p.item, p.branch, p.segment_id ORDER BY p.dt), w7 AS (PARTITION BY p.item, p.branch, p.segment_id ORDER BY p.dt ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+  {LEAD_WINDOWS.replace('item, branch, segment_id ORDER BY dt', 'p.item, p.branch, p.segment_id ORDER BY p.dt')})"""
+_E1 = ["item", "branch", "dt", "qty", "segment_id", "is_spike", "qty_capped", "day_of_week", "is_ramadan", "lead_time_days", "lag_7", "roll_mean_7", "target_lead_time_cumulative", "target_lead_time_cumulative_capped", "branch_avg_daily_qty", "branch_volume_tier", "branch_age_days", "days_since_relocation"]
+
+
+@query(f"WITH {E1} SELECT * FROM e1")
+def e1_featured(spark, d):
+    return r6(_featured(spark, d).select(*_E1), "qty_capped", "lag_7", "roll_mean_7", "target_lead_time_cumulative_capped", "branch_avg_daily_qty")
+
+
+@query(
+    f"""WITH {E1}, {STATS.format(CUT).replace('FROM panel', 'FROM e1').replace('stats AS', 'ds AS')}, vals AS (SELECT DISTINCT branch_volume_tier v FROM e1 WHERE dt < {CUT}), mp AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) AS INT) idx FROM vals)
+    SELECT e.item, e.branch, e.dt, COALESCE({LABEL}, 'lumpy') AS demand_segment, {FOLD.replace('dt', 'e.dt')} AS fold_id, COALESCE(lag_7, 0) AS lag_7, COALESCE(roll_mean_7, 0) AS roll_mean_7, days_since_relocation IS NOT NULL AS was_relocated,
+    CAST(COALESCE(days_since_relocation, 0) AS DOUBLE) AS days_since_relocation, COALESCE(mp.idx, 0) AS branch_volume_tier_idx, length(e.item) % 2 = 0 AS is_event_driven
+    FROM e1 e LEFT JOIN ds ON ds.item = e.item AND ds.branch = e.branch LEFT JOIN mp ON mp.v = e.branch_volume_tier"""
+)
+def e2_model_input(spark, d):
+    from . import forecast
+
+    x = _featured(spark, d)
+    items = V.sales(spark, d).select("item", (F.length("item") % 2 == 0).alias("is_event_driven")).distinct()
+    rows, _ = forecast.model_input(x, items, V.CUTOFF)
+    out = rows.select("item", "branch", "dt", "demand_segment", "fold_id", "lag_7", "roll_mean_7", "was_relocated", "days_since_relocation", "branch_volume_tier_idx", "is_event_driven")
+    return r6(out, "lag_7", "roll_mean_7")
+
+
+# --- models (rows only) ------------------------------------------------------------------------
+
+ML_FEATURES = ["lag_1", "lag_7", "roll_mean_7", "roll_mean_28", "lead_time_days", "dow"]
+
+
+def _learnable(spark, d) -> DataFrame:
+    """Eligible rows with their features, materialised once for the many passes of the learners."""
+    x = demand.assign_folds(_targeted(spark, d), V.CUTOFF)
+    x = x.withColumns(windows.lag_columns("qty", [1, 7]) | windows.rolling_columns("qty", [7, 28]) | {"dow": F.weekday("dt")})
+    return cut(demand.eligible_rows(x, V.CUTOFF, "target").select("item", "branch", "dt", "fold_id", "target", *ML_FEATURES))
+
+
+@query()
+def ml_quantile_forest(spark, d):
+    from ..operators import models
+
+    x = _learnable(spark, d)
+    return models.quantile_forest(ML_FEATURES, "target", n_trees=5, max_depth=5, min_leaf=20)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
+
+
+@query()
+def ml_treeboost(spark, d):
+    from ..operators import models
+
+    x = _learnable(spark, d)
+    return models.boosted_quantiles(ML_FEATURES, "target", rounds=2, depth=3)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
+
+
+@query()
+def ml_walk_forward(spark, d):
+    from ..operators import models
+
+    forest = models.quantile_forest(ML_FEATURES, "target", n_trees=5, max_depth=5, min_leaf=20)
+    return models.run_walk_forward(_learnable(spark, d), forest, V.CUTOFF, "target", (4, 5), name="quantile_forest")
+
+
+@query()
+def ml_search(spark, d):
+    from ..operators import models
+
+    space = {"n_trees": [3, 5], "max_depth": [3, 5], "min_leaf": [20, 50]}
+    found = models.sample_space(space, {"n_trees": 3, "max_depth": 3, "min_leaf": 20}, 2)
+    results = models.run_search(_learnable(spark, d), found, lambda **p: models.quantile_forest(ML_FEATURES, "target", **p), V.CUTOFF, "target", folds=(5,))
+    rows = [(r["candidate"], str(sorted(r["params"].items())), r["pinball"], r["error"]) for r in results]
+    return spark.createDataFrame(rows, "candidate int, params string, pinball double, error string")
