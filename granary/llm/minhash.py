@@ -7,7 +7,10 @@ the bucket. Candidates are confirmed on full shingle sets. Where a bucket's memb
 in different components, further rounds take sixteen times as many centres each, over the
 members that were no centre yet, until nothing is left to compare: no pair that shares a
 bucket is lost, and there is no cap. In these rounds signatures that agree in far too few
-bins (SIGMAS deviations below what linked sets have) spare the reading of the texts.
+bins (SIGMAS deviations below what linked sets have) spare the reading of the texts, and so
+do shingles that no other document left over has: a set can't share more than its other
+shingles, which settles texts that only have a common passage, or copies of one original that
+differ too much, without a comparison for each pair.
 """
 
 from __future__ import annotations
@@ -73,6 +76,20 @@ def _sign(width: int):
     return run
 
 
+def _rows(width: int):
+    """(doc_id, shingle) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for at, data, off in C.slices(b.column(1)):
+                sets = list(C.shingles(data, off, width))
+                n = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + len(sets)], n)), C.long_array(np.concatenate(sets))], names=["doc_id", "shingle"])
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = None, None
@@ -136,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed = tested = roots = None
     k = 0
     while True:
-        pairs = members.join(centres, "key").where(f"comp <> ccomp and 100 * least(n, cn) >= {percent} * greatest(n, cn)")
+        near = f"100 * least(a, ca) >= {percent} * (n + cn - least(a, ca))" if k else f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
+        pairs = members.join(centres, "key").where(f"comp <> ccomp and {near}")
         ends = [F.least("centre", "doc_id").alias("centre"), F.greatest("centre", "doc_id").alias("doc_id")]
         if k:
             pairs = pairs.select(*ends, F.least("n", "cn").alias("n"), "bins", "cbins").mapInArrow(_alike(percent), "centre long, doc_id long").distinct()
@@ -166,15 +184,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         k += 1
         members = scratch.store(members, f"mixed{k}", narrow=True)
         open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = members.join(open_, "key", "left_semi")
-        if k == 1:
-            members = members.join(bins, "doc_id")
-        members = scratch.store(members, f"members{k}", narrow=True)
+        members = scratch.store(members.join(open_, "key", "left_semi"), f"members{k}", narrow=True)
         if members.isEmpty():
             break
+        if k == 1:
+            left = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_rows(width), "doc_id long, shingle long")
+            owners = left.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+            own = owners.groupBy("doc_id").agg(F.count("*").alias("own"))
+            # a: shingles that another document left over may share
+            members = members.join(own, "doc_id", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            members = scratch.store(members.where(f"100 * a >= {percent} * n"), "shared", narrow=True)
+            open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
+            members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(bins, "doc_id")
+            members = scratch.store(members, "members", narrow=True)
+            if members.isEmpty():
+                break
         rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id"))
         centres = members.withColumn("rank", rank).where(F.col("rank") <= 16**k)
-        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("comp", "ccomp"), ("bins", "cbins"))]), f"centres{k}", narrow=True)
+        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"))]), f"centres{k}", narrow=True)
     out = signed.join(reps.drop("copies"), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if roots is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

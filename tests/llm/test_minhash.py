@@ -87,3 +87,17 @@ def test_hashing_is_by_content():
     starts, ends, first = C.words(data, off)
     h = C.span_hash(*C.prefix_sums(data, True), starts, ends)
     assert h[0] == h[2] == h[5] and h[1] == h[3] == h[6] and first.tolist() == [0, 2, 4, 7]
+
+
+def test_star_of_distant_copies(spark):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 90):  # most are near the original, some are not, all are far from each other
+        w = list(base)
+        for j in range(r.choice((1, 3, 4, 5))):
+            w[r.randrange(150)] = f"x{i}y{j}"
+        docs.append((i, " ".join(w)))
+    docs += [(200 + i, docs[i][1] + " tail") for i in range(1, 90, 9)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: root for i, (_, root) in brute(docs).items()}
