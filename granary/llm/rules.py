@@ -13,29 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\\x20\\x09-\\x0D]+"
+WORD = r"[^\\x20\\x09-\\x0D]"
 #: Fixed values of the line rules.
 SYMBOLS = "[#*$%&|<>]"
-CLOSED = r"[.!?:;\\x22\\x27”’»)…][\\x20\\x09-\\x0D]*$"
-BOILERPLATE = (
-    "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie|javascript"
-    "|lorem ipsum|click here|sign up|log in|subscribe|licensed under|released under the)"
-)
-SHOUT_SHARE, SHOUT_LETTERS = 60, 10
-SYMBOL_SHARE = 10
+CLOSED = ".!?:;\"'”’»)…"
+BOILERPLATE = [
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript",
+    "lorem ipsum", "click here", "sign up", "log in", "subscribe", "licensed under", "released under the",
+]
+CAPITALS = 10
+SYMBOL_SHARE = 4
 SEPARATORS = 3
 LOST_SHARE = 50
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _fails(line: str) -> str:
-    """SQL that is true where the line fails a rule."""
-    n = f"regexp_count({line}, '[^\\\\x20\\\\x09-\\\\x0D]+')"
-    upper, letters = f"regexp_count({line}, '[A-Z]')", f"regexp_count({line}, '[A-Za-z]')"
+    """SQL that is true where the line fails a rule: not closed, all capitals, symbols, navigation, boilerplate.
+
+    Cheap tests guard the costly ones; boiler says whether the text has any phrase at all.
+    """
+    last = f"substring(rtrim(' \\t\\n\\u000b\\f\\r', {line}), -1)"
+    phrases = " or ".join(f"contains(lower({line}), {_sql(p)})" for p in BOILERPLATE)
     return (
-        f"(not {line} rlike '{CLOSED}'"
-        f" or ({letters} >= {SHOUT_LETTERS} and 100 * {upper} > {SHOUT_SHARE} * {letters})"
-        f" or 100 * regexp_count({line}, '{SYMBOLS}') > {SYMBOL_SHARE} * {n}"
-        f" or regexp_count({line}, ' [|»] ') >= {SEPARATORS}"
-        f" or {line} rlike '{BOILERPLATE}')"
+        f"({last} not in ({', '.join(_sql(c) for c in CLOSED)})"
+        f" or (not {line} rlike '[a-z]' and {line} rlike '^(?:[^A-Z]*[A-Z]){{{CAPITALS}}}')"
+        f" or (marked and 100 * regexp_count({line}, '{SYMBOLS}') > {SYMBOL_SHARE} * char_length({line}))"
+        f" or ((contains({line}, '|') or contains({line}, '»')) and regexp_count({line}, ' [|»] ') >= {SEPARATORS})"
+        f" or (boiler and ({phrases})))"
     )
 
 
@@ -52,11 +60,21 @@ def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     e = F.expr
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    x = x.withColumns({"words": e(f"array_remove(split(text, '{SPACE}'), '')"), "all_lines": e("split(text, '\\n')")})
-    x = x.withColumns({"n": F.size("words"), "lines": e("filter(all_lines, l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')")})
-    x = x.withColumns({"bits": F.length(F.bin("n")), "failed": e(f"filter(lines, l -> {_fails('l')})")})
+    x = x.withColumn("lower", F.lower("text"))
+    x = x.select(
+        "doc_id",
+        "text",
+        e(f"array_remove(split(text, '{SPACE}'), '')").alias("words"),
+        e("split(text, '\\n')").alias("all_lines"),
+        e(f"cast(regexp_count(text, '{SYMBOLS}') as bigint)").alias("n_symbols"),
+        e(" or ".join(f"contains(lower, {_sql(p)})" for p in BOILERPLATE)).alias("boiler"),
+    )
+    x = x.withColumns({"n": F.size("words"), "lines": e(f"filter(all_lines, l -> l rlike '{WORD}')"), "marked": e("n_symbols > 0")})
     window = ", ".join(f"get(words, i + {j})" for j in range(5))
-    x = x.withColumn("packed", e(f"case when n >= 5 then sort_array(transform(sequence(0, n - 5), i -> shiftleft(xxhash64({window}), bits) | cast(i as bigint))) end"))
+    x = x.withColumn("hashes", e(f"case when n >= 5 then transform(sequence(0, n - 5), i -> xxhash64({window})) end"))
+    x = x.withColumns({"bits": F.length(F.bin("n")), "failed": e(f"filter(lines, l -> {_fails('l')})")})
+    # only texts with a repeated window sort theirs
+    x = x.withColumn("packed", e("case when size(array_distinct(hashes)) < size(hashes) then sort_array(transform(hashes, (h, i) -> shiftleft(h, bits) | cast(i as bigint))) end"))
     same = "shiftright(p, bits) = shiftright(get(packed, k {} 1), bits)"
     x = x.withColumn("twice", e(f"filter(packed, (p, k) -> {same.format('-')} or {same.format('+')})"))
     x = x.withColumn("at", e("sort_array(transform(twice, p -> p & (shiftleft(1L, bits) - 1)))"))
@@ -65,13 +83,13 @@ def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         e("cast(char_length(array_join(words, '')) as bigint)").alias("word_chars"),
-        e(f"cast(regexp_count(text, '{SYMBOLS}') as bigint)").alias("n_symbols"),
+        "n_symbols",
         e("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
         e(f"coalesce(case when size(at) > 0 then {covered} end, 0L)").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size("failed").cast("long").alias("n_failed_lines"),
         e(f"cast(char_length(regexp_replace(array_join(failed, ' '), '{SPACE}', '')) as bigint)").alias("n_failed_chars"),
-        e(f"array_join(filter(all_lines, l -> not (l rlike '[^\\\\x20\\\\x09-\\\\x0D]' and {_fails('l')})), '\\n')").alias("clean_text"),
+        e(f"array_join(filter(all_lines, l -> not (l rlike '{WORD}' and {_fails('l')})), '\\n')").alias("clean_text"),
     )
     x = x.withColumn("base_failed", e("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     return x.withColumn("kept", e(f"not base_failed and 100 * n_failed_chars <= {LOST_SHARE} * word_chars"))
