@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,33 @@ from . import common as C
 
 WINDOW, OPEN, END_ID = 2048, 32, 1
 #: Entries of a worker's cache of tokenized words.
-CACHE = 400_000
+CACHE = 600_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
-#: Texts outside these go to the tokenizer whole.
-_PLAIN = re.compile(r"[^\n -~¡-¬®-ɏ]|  |\n\n|\n | \n|[\n ]$|^\n|<\|endoftext\|>")
+#: White space that isn't single, and characters on which splitters might differ; such texts go to the tokenizer whole.
+_RUNS = ("  ", "\n\n", "\n ", " \n", "<|endoftext|>")
+_OUTSIDE = re.compile("[^ -~¡-ɏ]")
+
+
+def _plain(text: str) -> bool:
+    if text[0] == "\n" or text[-1] in " \n" or any(x in text for x in _RUNS):
+        return False
+    line = text.replace("\n", "")
+    return line.isprintable() and (line.isascii() or _OUTSIDE.search(line) is None)
+
+
+class _Words(dict):
+    """Ids of words as bytes, encoded when first asked for; emptied when full."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[word] = np.array(self.encode(word), dtype=np.uint32).tobytes()
+        return found
 
 
 class Encoder:
@@ -36,8 +57,7 @@ class Encoder:
 
     Such a BPE never merges across the borders of its pre-tokens, and a single space or line
     feed between other characters is such a border. So plain texts are encoded word by word
-    through a bounded cache, whose misses are encoded in batches; every other text goes to
-    the tokenizer whole. `ranks`: the same vocabulary as a rank file, a faster encoder of
+    through a bounded cache; every other text goes to the tokenizer whole. `ranks`: the same vocabulary as a rank file, a faster encoder of
     single words with the same ids; without it the tokenizer encodes these too.
     """
 
@@ -47,37 +67,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.fast = None
+        encode = lambda word: self.whole.encode(word, add_special_tokens=False).ids
         if ranks:
             import tiktoken
             from public_tokenizers import PATTERN
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if self.fast is not None:
-            self.words.update(zip(words, map(tuple, map(self.fast.encode_ordinary, words)), strict=True))
-        else:
-            found = self.whole.encode_batch_fast(words, add_special_tokens=False)
-            self.words.update(zip(words, (tuple(x.ids) for x in found), strict=True))
+            encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.words = _Words(encode)
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        if _PLAIN.search(text):
+        if not _plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         # a word keeps the space before it; a line feed stands alone
         parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        new = set(parts).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > CACHE:
-                self.words.clear()
-                new = set(parts)
-            self._learn(sorted(new))
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, parts)), dtype=np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, parts)), dtype=np.uint32)
 
 
 class Packer:
