@@ -4,8 +4,8 @@ One-permutation hashing with optimal densification gives each distinct shingle s
 signature of BINS values; BANDS keys of ROWS values each put it into buckets. Within a
 bucket every member is a candidate of one centre only (a star), so candidates are linear in
 the bucket. Candidates are confirmed on full shingle sets. Where a bucket's members are still
-in different components, further rounds take sixteen times as many centres each, over the
-members that were no centre yet, until nothing is left to compare: no pair that shares a
+in different components, further rounds take 2, 8, 32 ... centres each, over the members
+that were no centre yet, until nothing is left to compare: no pair that shares a
 bucket is lost, and there is no cap. In these rounds signatures that agree in far too few
 bins (SIGMAS deviations below what linked sets have) spare the reading of the texts, and so
 do shingles that no other document left over has: a set can't share more than its other
@@ -199,8 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = scratch.store(members, "members", narrow=True)
             if members.isEmpty():
                 break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id"))
-        centres = members.withColumn("rank", rank).where(F.col("rank") <= 16**k)
+        # first those that have least of their own: they are the likeliest to link with many
+        rank = F.row_number().over(Window.partitionBy("key").orderBy((F.col("n") - F.col("a")) / F.col("n"), "doc_id"))
+        centres = members.withColumn("rank", rank).where(F.col("rank") <= 2 * 4 ** (k - 1))
         centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"))]), f"centres{k}", narrow=True)
     out = signed.join(reps.drop("copies"), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if roots is not None:
