@@ -26,28 +26,31 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 _RECORD = "record long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
-def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """`page_id, url, payload` with digest, payload_bytes, record_type and refers_to.
+def plan_revisits(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
+    """`page_id, url, payload` with digest, payload_bytes, record_type and refers_to, a partition for each archive.
 
     Of records with equal payloads of `least` bytes or more, that with the largest page_id is
     the response. Rows that repeat this id too are all responses. A null payload is empty; a
     record without an id is a response and never referred to.
+
+    Only headers are shuffled by digest; payloads move once, to archives of about
+    `archive_bytes`, where the headers' decisions join them.
     """
     x = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     x = x.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).where(F.octet_length("payload") >= least)
-    heads = heads.select("page_id", F.sha1(F.col("payload").cast("binary")).alias("digest"))
-    original = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("page_id").alias("n")).where("n > 1").drop("n")
-    x = x.join(original, "digest", "left")
-    again = (F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("original"))
-    x = x.withColumn("record_type", F.when(F.coalesce(again, F.lit(False)), "revisit").otherwise("response"))
-    return x.select("page_id", "url", "payload", "digest", "payload_bytes", "record_type", F.when(F.col("record_type") == "revisit", F.col("original")).alias("refers_to"))
-
-
-def write_archives(planned: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, compress: bool = True) -> None:
-    """Write records as WARC/1.0 files of about `archive_bytes` payload bytes each below `path`."""
-    total = planned.where("record_type = 'response'").agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    heads = x.where(F.col("payload_bytes") >= least).select("page_id", "digest")
+    original = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("page_id").alias("n")).where("n > 1").drop("n")
+    revisits = heads.join(original, "digest").where("page_id <> refers_to").distinct()
+    total = x.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
     files = max(1, -(-(total[0] + 500 * total[1]) // archive_bytes))
+    x = x.repartition(files, "page_id", "digest").join(revisits, ["page_id", "digest"], "left")
+    return x.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
+
+
+def write_archives(planned: DataFrame, path: str, compress: bool = True) -> None:
+    """Write records as WARC/1.0 files below `path`, one for each partition."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
@@ -65,9 +68,7 @@ def write_archives(planned: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
     ]
-    records = planned.select(F.concat(*head, body).alias("value"), F.xxhash64("page_id", "url").alias("at"))
-    records = records.repartition(files, "at").select("value")
-    records.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip" if compress else "none").text(path)
+    planned.select(F.concat(*head, body).alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip" if compress else "none").text(path)
 
 
 def _number(uri: bytes | None) -> int | None:

@@ -105,7 +105,7 @@ def test_warc(spark, tmp_path):
     big, other = "x\r\n\r\n" * 400 + "é", "y" * 999
     rows = [(1, "http://a/", big), (2, None, big), (9, "http://c/\r\nd", big), (3, "u", other), (4, "u", other), (5, "u", None), (6, "", "WARC/1.0\r\n\r\n")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, digest string")
-    warc.write_archives(warc.plan_revisits(df), f"file://{tmp_path}/w", archive_bytes=2000)
+    warc.write_archives(warc.plan_revisits(df, archive_bytes=2000), f"file://{tmp_path}/w")
     got = {r.page_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
     for i, _, html in rows:
         raw = (html or "").encode()
