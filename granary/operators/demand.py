@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import calendar as K
-from .panel import PAIR, SEGMENT, without_warmup
+from .panel import PAIR, without_warmup
 
 EVENT_FLAGS = ["is_ramadan", "is_eid_al_fitr", "is_eid_al_adha", "is_independence_day", "is_new_year"]
 TIERS = ["small", "medium", "large", "flagship"]
@@ -245,5 +245,3 @@ def contract_violations(a: DataFrame, b: DataFrame, keys: list[str], values: lis
     one = both.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*checks))).alias("check", "violations"))
 
-
-SEGMENT_KEYS = SEGMENT
