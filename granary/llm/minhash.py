@@ -148,12 +148,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.store(members, "members0")
     first = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("cn"), F.count("*").alias("size"))
     centres = scratch.store(first.where("size > 1").select("key", "centre", "cn", F.col("centre").alias("ccomp")), "centres0", narrow=True)
-    bins = chosen.select("doc_id", "bins").dropDuplicates(["doc_id"])
+    bins = chosen.select("doc_id", "bins", "bands").dropDuplicates(["doc_id"])
     confirmed = tested = roots = None
     k = 0
     while True:
         near = f"100 * least(a, ca) >= {percent} * (n + cn - least(a, ca))" if k else f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
-        pairs = members.join(centres, "key").where(f"comp <> ccomp and {near}")
+        # a pair comes from the least bucket that it shares, where it is tested or was ruled out
+        once = " and key = array_min(array_intersect(bands, cbands))" if k else ""
+        pairs = members.join(centres, "key").where(f"comp <> ccomp and {near}{once}")
         ends = [F.least("centre", "doc_id").alias("centre"), F.greatest("centre", "doc_id").alias("doc_id")]
         if k:
             pairs = pairs.select(*ends, F.least("n", "cn").alias("n"), "bins", "cbins").mapInArrow(_alike(percent), "centre long, doc_id long").distinct()
@@ -201,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # first those that have least of their own: they are the likeliest to link with many
         rank = F.row_number().over(Window.partitionBy("key").orderBy((F.col("n") - F.col("a")) / F.col("n"), "doc_id"))
         centres = members.withColumn("rank", rank).where(F.col("rank") <= 2 * 4 ** (k - 1))
-        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"))]), f"centres{k}", narrow=True)
+        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"), ("bands", "cbands"))]), f"centres{k}", narrow=True)
     out = signed.join(reps.drop("copies"), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if roots is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
