@@ -65,10 +65,12 @@ class Scratch:
     def store(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """The rows as a table here; the exchanges that made them are given back.
 
-        narrow: write from a few tasks for each core, for rows that are few next to the input.
+        narrow: write from fewer tasks, for rows that are few next to the input: four for each
+        core, or a quarter of the exchange's partitions where that is more.
         """
         if narrow:
-            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+            quarter = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4
+            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, quarter))
         clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(clean, "false")
         self.spark.conf.set(clean, "true")
