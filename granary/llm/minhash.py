@@ -1,7 +1,7 @@
 """MinHash near-duplicate classes of documents.
 
 One-permutation hashing with optimal densification gives each distinct shingle set a
-signature of BINS values; BANDS keys of ROWS values each put it into buckets. Within a
+signature of BINS values; keys of `rows` values each put it into buckets. Within a
 bucket every member is a candidate of one centre only (a star), so candidates are linear in
 the bucket. Candidates are confirmed on full shingle sets. Where a bucket's members are still
 in different components, further rounds take 2, 8, 32 ... centres each, over the members
@@ -25,9 +25,9 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-BINS, ROWS, BANDS, SIGMAS = 288, 8, 36, 7
+BINS, ROWS, SIGMAS = 288, 8, 7
 _WALK = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).astype(np.uint16)
-_BAND = np.random.default_rng(8).integers(1, 2**63, BANDS, dtype=np.uint64)
+_BAND = np.random.default_rng(8).integers(1, 2**63, BINS, dtype=np.uint64)
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bins binary"
 
 
@@ -44,16 +44,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys of (documents, BINS) signatures."""
-    x = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-    out = np.broadcast_to(_BAND, x.shape[:2]).copy()
-    for r in range(ROWS):
+def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """(documents, BINS // rows) keys of (documents, BINS) signatures."""
+    bands = BINS // rows
+    x = sig[:, : bands * rows].reshape(-1, bands, rows)
+    out = np.broadcast_to(_BAND[:bands], x.shape[:2]).copy()
+    for r in range(rows):
         out = C.mix(out ^ (x[:, :, r] * C._STEP[r]))
     return out
 
 
-def _sign(width: int):
+def _sign(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, text = b.column(0), b.column(1)
@@ -63,10 +64,10 @@ def _sign(width: int):
                 h = np.array([[C.mix(s + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], dtype=np.uint64)
                 some = np.flatnonzero(n)
                 sigs = np.stack([signature(sets[i]) for i in some]) if len(some) else np.zeros((0, BINS), np.uint64)
-                keys, low = band_keys(sigs), (C.mix(sigs) & np.uint64(255)).astype(np.uint8)
+                keys, low = band_keys(sigs, rows), (C.mix(sigs) & np.uint64(255)).astype(np.uint8)
                 bins = np.full(len(sets), None, dtype=object)
                 bins[some] = [x.tobytes() for x in low]
-                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0))))
+                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BINS // rows, 0))))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(sets)).cast(pa.int64()), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel())), pa.array(bins, pa.binary())],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands", "bins"],
@@ -124,9 +125,12 @@ def _alike(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, rows: int = ROWS) -> DataFrame:
     """Classes of documents whose shingle sets have 100 * intersection >= percent * union.
 
+    rows: signature values a band key takes; fewer find pairs of a lower `percent`. A pair at
+    the threshold p is missed with probability (1 - p ** rows) ** (BINS // rows).
+
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and
     kept (doc_id = component_id), a row per row of `docs`.
 
@@ -139,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     C.tune(spark)
     scratch = C.Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.store(docs.mapInArrow(_sign(width), _SIGNED), "signed")
+    signed = scratch.store(docs.mapInArrow(_sign(width, rows), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # exact copies of a set: one representative each
     reps = scratch.store(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")

@@ -42,6 +42,44 @@ def test_stages(spark, tmp_path):
     check_packed(after.collect(), {i: r.text for i, r in before.items()})
 
 
+def brute_80(docs):
+    """As brute, at the stage's similarity of 0.8."""
+    sets = {i: shingle_set(t) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_dedup_stage_takes_pairs_from_80_percent(spark):
+    texts = []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(100)]
+        cut = 4 + group % 12  # similarities from 0.73 to 0.92
+        texts += [" ".join(base), " ".join(base[: 100 - cut] + [f"g{group}n{i}" for i in range(cut)])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, (_, root) in brute_80(enumerate(texts)).items() if i == root}
+    assert len(want) < len({i for i, (_, root) in brute(enumerate(texts)).items() if i == root}) < len(texts)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+
+
+def test_stages_at_80_percent(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(globals(), "brute", brute_80)
+    test_stages(spark, tmp_path)
+
+
 def test_quality_stage_keeps_marked_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
