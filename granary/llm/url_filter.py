@@ -5,6 +5,9 @@ decide: one from allowed, one from blocked URLs. Each order's estimate is smooth
 that of the next shorter context. An URL's score is the difference of the models'
 log-likelihoods a character; it is blocked where the score is over a threshold calibrated on
 rule-decided URLs that the models have not seen.
+
+Counts are exact and form a table of (context, character) that grows with the URLs. To score,
+the URLs are dealt into chunks; each chunk's distinct contexts are joined to the table.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Longest context, table size of each order (bits), smoothing weight of the shorter context.
-ORDER, BITS, WEIGHT = 5, 16, 4.0
+#: Longest context, smoothing weight of the shorter context, bits of the URLs that are scored together.
+ORDER, WEIGHT, CHUNK_BITS = 5, 4.0, 13
 #: Share of held-out allowed URLs that the threshold may block, and scores' bins a unit.
 FALSE_BLOCKS, BINS = 0.02, 200
-_SEED = np.random.default_rng(11).integers(1, 2**63, ORDER + 2, dtype=np.uint64) | np.uint64(1)
+#: A key is the order (3 bits), the context's characters and the character, 9 bits each; ANY stands for all characters.
+_ANY = np.uint64(511)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -45,8 +49,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def _slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of URLs: first index, index of the URL of each character, and per order its slots of context and of context with character."""
+def _keys(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of URLs: first index, index of the URL of each character, and per order its keys of context and of context with character."""
     for at, data, off in C.slices(column):
         lens = np.diff(off)
         # an end mark closes each URL, ORDER start marks precede it
@@ -61,50 +65,56 @@ def _slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         pos = np.flatnonzero(where)
         owner = np.repeat(np.arange(n), lens + 1)
         ctx = np.zeros(len(pos), dtype=np.uint64)
-        slots = np.empty((ORDER + 1, 2, len(pos)), dtype=np.int64)
+        keys = np.empty((ORDER + 1, 2, len(pos)), dtype=np.int64)
         for k in range(ORDER + 1):
             if k:
-                ctx = ctx + x[pos - k] * _SEED[k]
-            h = C.mix(ctx + np.uint64(k + 1))
-            slots[k, 0] = (h >> np.uint64(64 - BITS)).astype(np.int64)
-            slots[k, 1] = (C.mix(h ^ (x[pos] * _SEED[0])) >> np.uint64(64 - BITS)).astype(np.int64)
-        yield at, owner, slots, lens + 1
+                ctx = ctx | x[pos - k] << np.uint64(9 * k)
+            of = ctx | np.uint64(k << 9 * (ORDER + 1))
+            keys[k, 0] = of | _ANY
+            keys[k, 1] = of | x[pos]
+        yield at, owner, keys, lens + 1
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the partition's URLs by class and slot."""
-    total = np.zeros((2, ORDER + 1, 2, 1 << BITS), dtype=np.int64)
+    """Counts of the batches' URLs by key and class."""
     for b in batches:
         blocked = np.array(b.column(1).to_pylist(), dtype=bool)
-        for at, owner, slots, _ in _slots(b.column(0)):
-            cls = blocked[at:][owner]
-            for c in (0, 1):
-                for k in range(ORDER + 1):
-                    for j in (0, 1):
-                        total[c, k, j] += np.bincount(slots[k, j][cls == bool(c)], minlength=1 << BITS)
-    flat = total.ravel()
-    at = np.flatnonzero(flat)
-    for s in range(0, len(at), 10_000):
-        part = at[s : s + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], names=["slot", "n"])
-
-
-def _scores(model) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = model.value
-        for b in batches:
-            score = np.zeros(b.num_rows)
-            for at, owner, slots, lens in _slots(b.column(1)):
-                log = np.zeros((2, len(owner)))
-                for c in (0, 1):
-                    p = np.full(len(owner), 1 / 257)
-                    for k in range(ORDER + 1):
-                        p = (total[c, k, 1][slots[k, 1]] + WEIGHT * p) / (total[c, k, 0][slots[k, 0]] + WEIGHT)
-                    log[c] = np.log(np.minimum(p, 1.0))
-                score[at : at + len(lens)] = np.bincount(owner, log[1] - log[0], minlength=len(lens)) / lens
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["page_id", "url", "score"])
-
-    return run
+        for at, owner, keys, _ in _keys(b.column(0)):
+            each, which = np.unique(keys, return_inverse=True)
+            cls = np.broadcast_to(blocked[at:][owner], keys.shape).ravel()
+            n = [np.bincount(which.ravel()[cls == c], minlength=len(each)) for c in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n[0]), pa.array(n[1])], names=["key", "allowed", "blocked"])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each chunk's URLs in a batch."""
+    for b in batches:
+        chunk = b.column(0).to_numpy()
+        for c in np.unique(chunk):
+            for _, _, keys, _ in _keys(b.column(1).filter(pa.array(chunk == c))):
+                each = np.unique(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), c)), pa.array(each)], names=["chunk", "key"])
+
+
+def _scores(urls: pa.Table, found: pa.Table) -> pa.Table:
+    """The scores of a chunk's URLs, from the counts of those of its keys that the models hold."""
+    held = found.column("key").to_numpy()
+    order = np.argsort(held)
+    # a last row for keys that the models do not hold
+    held = np.append(held[order], np.iinfo(np.int64).max)
+    total = np.array([np.append(found.column(c).to_numpy()[order], 0) for c in ("allowed", "blocked")])
+    score = np.zeros(len(urls))
+    for at, owner, keys, lens in _keys(urls.column("url")):
+        row = np.searchsorted(held, keys)
+        row[held[row] != keys] = len(held) - 1
+        log = np.zeros((2, len(owner)))
+        for c in (0, 1):
+            p = np.full(len(owner), 1 / 257)
+            for k in range(ORDER + 1):
+                p = (total[c][row[k, 1]] + WEIGHT * p) / (total[c][row[k, 0]] + WEIGHT)
+            log[c] = np.log(np.minimum(p, 1.0))
+        score[at : at + len(lens)] = np.bincount(owner, log[1] - log[0], minlength=len(lens)) / lens
+    return pa.Table.from_arrays([urls.column("page_id"), urls.column("url"), pa.array(score)], names=["page_id", "url", "score"])
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -114,8 +124,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     without one, 'block' where the score is over the threshold, else 'allow'. score is the
     log-likelihood ratio a character, positive where blocked URLs are likelier.
 
-    The models are tables of fixed size ((ORDER + 1) * 4 * 2**BITS counts) summed over all
-    rule-decided URLs but every fifth (by hash), which calibrate: the threshold is the least
+    The models are exact counts of all rule-decided URLs but every fifth (by hash), which
+    calibrate: the threshold is the least
     at which at most FALSE_BLOCKS of their allowed URLs are blocked, and 0 at least. If one
     class has no URL, nothing is blocked without a rule.
 
@@ -125,27 +135,31 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     """
     spark = pages.sparkSession
     C.tune(spark)
+    scratch = C.Scratch(spark, "urls")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    host, path = parts(F.col("url"))
-    ruled = rows.select("url", rule_of(host, path, rules).alias("of")).where("of is not null")
-    ruled = ruled.select("url", (F.col("of.verdict") == "block").alias("blocked"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
-    counts = ruled.where("not held").select("url", "blocked").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((2, ORDER + 1, 2, 1 << BITS), dtype=np.int64)
-    total.ravel()[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    model = spark.sparkContext.broadcast(total)
-    seen = total[:, 0, 0].sum(axis=1)
+    # runs of a task's rows, so that neither an URL that repeats nor a common key makes a large group
+    rows = scratch.store(rows.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"), "page_id", "url"), "rows")
+    of = rule_of(*parts(F.col("url")), rules)
+    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    ruled = rows.select("url", of.alias("of")).where(F.col("of").isNotNull() & ~held).select("url", (F.col("of.verdict") == "block").alias("blocked"))
+    counts = ruled.mapInArrow(_counts, "key long, allowed long, blocked long").groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    counts = scratch.store(counts, "counts")
+    wanted = rows.select("chunk", "url").mapInArrow(_wanted, "chunk long, key long").distinct()
+    found = wanted.join(counts, "key").select("chunk", "key", "allowed", "blocked")
+    out = rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scores, "page_id long, url string, score double")
+    out = scratch.store(out, "scores")
+    seen = counts.where(F.col("key") == int(_ANY)).select("allowed", "blocked").first()
     limit = float("inf")
-    if seen.min() > 0:
-        held = ruled.where("held and not blocked").select(F.lit(0).cast("long").alias("page_id"), "url")
-        bins = held.mapInArrow(_scores(model), "page_id long, url string, score double").groupBy(F.floor(F.col("score") * BINS).alias("bin")).count().collect()
+    if seen and min(seen) > 0:
+        calibrate = out.where(held & (of["verdict"] == "allow"))
+        bins = calibrate.groupBy(F.floor(F.col("score") * BINS).alias("bin")).count().collect()
         limit, above, n = 0.0, 0, sum(r["count"] for r in bins)
         for r in sorted(bins, key=lambda r: -r.bin):
             above += r["count"]
             if above > FALSE_BLOCKS * n:
                 limit = max(0.0, (r.bin + 1) / BINS)
                 break
-    out = rows.mapInArrow(_scores(model), "page_id long, url string, score double")
     host, path = parts(F.col("url"))
-    out = out.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("of"), "score")
+    out = out.select("page_id", host.alias("host"), path.alias("path"), of.alias("of"), "score")
     learnt = F.when(F.col("score") > limit, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("of.rule").alias("rule"), "score", F.coalesce("of.verdict", learnt).alias("verdict"))

@@ -1,6 +1,8 @@
 """op2 to op8 and op10 against plain definitions, and awkward rows."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 
@@ -195,3 +197,33 @@ def test_urls(spark):
     assert got[4][2] == "org/es/" and got[5] == ("x.org", "/es", None) and got[6] == got[7] == got[8] == ("", "", None)
     assert got[9] == ("evilcom", "/en/", None) and got[10] == ("h", "", None) and got[11] == ("y:", "//z/p", None)
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_url_models_count_each_context_exactly(spark):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    urls = [f"http://{host}/{lang}/" + "".join(r.choice(letters) for _ in range(30)) for _ in range(1500) for host, lang in (("a.com", "en"), ("b.net", "de"), ("c.edu", "fr"))] + [None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    learnt = df.where("url is not null and pmod(xxhash64(url), 5) <> 0").collect()
+    counts = ({}, {})
+    for u in (x.url for x in learnt if ".com/en/" in x.url or ".net/de/" in x.url):
+        n, s = counts["com/en/" in u], [-1] * 5 + list(u.encode()) + [256]
+        for i in range(5, len(s)):
+            for k in range(6):
+                for key in ((k, *s[i - k : i]), (k, *s[i - k : i], s[i])):
+                    n[len(key) > k + 1, key] = n.get((len(key) > k + 1, key), 0) + 1
+    assert len([1 for full, key in {*counts[0], *counts[1]} if full and key[0] == 5]) > 65536
+
+    def score(u):
+        s, out = [-1] * 5 + list((u or "").encode()) + [256], 0.0
+        for i in range(5, len(s)):
+            p = [1 / 257, 1 / 257]
+            for k in range(6):
+                for c in (0, 1):
+                    p[c] = (counts[c].get((True, (k, *s[i - k : i], s[i])), 0) + 4 * p[c]) / (counts[c].get((False, (k, *s[i - k : i])), 0) + 4)
+            out += math.log(p[1]) - math.log(p[0])
+        return out / (len(s) - 5)
+
+    got = {x.page_id: x.score for x in url_filter.filter_urls(df, URL_RULES).collect()}
+    assert len(got) == len(urls)
+    assert all(abs(got[i] - score(u)) < 1e-9 for i, u in enumerate(urls) if i % 7 == 0 or u is None)
