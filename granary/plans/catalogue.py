@@ -860,7 +860,7 @@ def ml_walk_forward(spark, d):
     from ..operators import models
 
     forest = models.quantile_forest(ML_FEATURES, "target", n_trees=5, max_depth=5, min_leaf=20)
-    return models.run_walk_forward(_learnable(spark, d), forest, V.CUTOFF, "target", (4, 5), name="quantile_forest")
+    return models.run_walk_forward(_learnable(spark, d), forest, V.CUTOFF, "target", name="quantile_forest")
 
 
 @query()
@@ -869,6 +869,6 @@ def ml_search(spark, d):
 
     space = {"n_trees": [3, 5], "max_depth": [3, 5], "min_leaf": [20, 50]}
     found = models.sample_space(space, {"n_trees": 3, "max_depth": 3, "min_leaf": 20}, 2)
-    results = models.run_search(_learnable(spark, d), found, lambda **p: models.quantile_forest(ML_FEATURES, "target", **p), V.CUTOFF, "target", folds=(5,))
+    results = models.run_search(_learnable(spark, d), found, lambda **p: models.quantile_forest(ML_FEATURES, "target", **p), V.CUTOFF, "target", folds=(3, 5))
     rows = [(r["candidate"], str(sorted(r["params"].items())), r["pinball"], r["error"]) for r in results]
     return spark.createDataFrame(rows, "candidate int, params string, pinball double, error string")
