@@ -26,7 +26,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: text, first and last window, anchor (all in the text), gram hash, hash of the run's bytes.
+    """Runs of windows with one anchor: text, first and last window, anchor (all in the text), gram hash.
 
     Of equal hashes in a window the first is the anchor. Hashes are compared by 32 bits at
     every size, so the choice depends on the window's bytes alone.
@@ -34,7 +34,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, dtype=np.int64)
     n = len(data)
     if n < LENGTH:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     sums, down = C.prefix_sums(data, False)
     at = np.arange(n - GRAM + 1)
     h = C.mix((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1])
@@ -44,11 +44,10 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = at[: len(pos)] + LENGTH <= off[1:][doc]
     p = np.flatnonzero(valid)
     if not len(p):
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     cut = np.flatnonzero((pos[p][1:] != pos[p][:-1]) | (doc[p][1:] != doc[p][:-1])) + 1
     lo = p[np.concatenate(([0], cut))]
     hi = p[np.concatenate((cut - 1, [len(p) - 1]))]
     a = pos[lo]
-    run = C.mix(C.span_hash(sums, down, lo, hi + LENGTH) + (a - lo).astype(np.uint64))
     begin = off[doc[lo]]
-    return doc[lo], lo - begin, hi - begin, a - begin, h[a], run
+    return doc[lo], lo - begin, hi - begin, a - begin, h[a]

@@ -7,13 +7,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder (tests, a single machine).
+#: Used where the session names no shared folder, on a single machine only (tests).
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 #: Bytes of text hashed at once; bounds the working arrays (about 40 bytes for each).
 SLICE_BYTES = 1 << 20
@@ -45,15 +46,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The id that stands for null; it sorts first.
+NO_ID = -(1 << 63)
+
+
+def identity(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells a row's document from others: its id (NO_ID for null) and a hash of its text.
+
+    Rows alike in both are one document. Both follow from the row alone, so they are the same
+    in every scan and after lost tasks; rows that repeat an id with other texts stay apart.
+    """
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_col).cast("string"), F.octet_length(F.col(text_col).cast("string")))
+
+
 class Scratch:
-    """Tables in the folder that driver and executors share; removed when the JVM ends.
+    """Tables in the folder that driver and executors share; removed by `release` or when the JVM ends.
 
     A written table cuts lineage and survives lost executors.
     """
 
+    live: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-        self.spark, self.base = spark, f"{base.rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        self.spark, self.base = spark, f"{(base or LOCAL_FOLDER).rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
+        Scratch.live.append(self)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -83,6 +102,13 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)
 
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Remove the tables of all scratch folders but the first `since`; no result that reads them may be open."""
+        for s in cls.live[since:]:
+            s._fs.delete(s._path(s.base), True)
+        del cls.live[since:]
+
 
 # --- text as numpy -----------------------------------------------------------------------
 
@@ -151,6 +177,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def portions(column: pa.Array | pa.ChunkedArray, overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As `slices`, but texts over `limit` bytes are cut: (index of the first text, start in it, bytes, offsets).
+
+    A cut text's portions hold `limit` bytes and the `overlap` bytes that follow them.
+    """
+    for at, data, off in slices(column, limit):
+        if len(off) > 2 or len(data) <= limit + overlap:
+            yield at, 0, data, off
+            continue
+        for start in range(0, max(1, len(data) - overlap), limit):
+            part = data[start : start + limit + overlap]
+            yield at, start, part, np.array([0, len(part)])
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, per text, the index of its first word."""
     if not len(data):

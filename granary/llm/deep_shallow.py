@@ -1,8 +1,10 @@
-"""Deep-shallow sorting of byte strings of one length.
+"""Deep-shallow sorting of byte strings of one width, with the common prefixes of neighbours.
 
-Multikey quicksort over words of eight bytes splits the strings by ever longer prefixes, to a
-shallow depth. Strings that still share a prefix have long common prefixes; each such group is
-ordered by a blind trie, which stores only the bytes at which strings branch.
+Multikey quicksort splits the strings by words of eight bytes, three ways around a pivot, down
+to a shallow depth. Strings that still tie have long common prefixes; they go into blind
+tries, whose nodes know only the word at which their strings branch, so what the strings of a
+node have in common is never looked at again. Both work on all parts of a level at once, in
+numpy; the memory is some copies of the strings.
 """
 
 from __future__ import annotations
@@ -12,94 +14,84 @@ import numpy as np
 WORD, SHALLOW = 8, 32
 
 
-def _split(words: np.ndarray, index: np.ndarray, stop: int) -> tuple[list[np.ndarray], list[bool]]:
-    """Groups in ascending order, and whether each still ties at the shallow depth."""
-    groups: list[np.ndarray] = []
-    ties: list[bool] = []
-    todo = [(index, 0)]
-    while todo:
-        part, depth = todo.pop()
-        if len(part) == 1 or depth == stop:
-            groups.append(part)
-            ties.append(len(part) > 1)
-            continue
-        key = words[part, depth]
-        if len(part) <= 4096:  # a small group is split into all its keys at once
-            order = np.argsort(key, kind="stable")
-            part, key = part[order], key[order]
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            todo += [(x, depth + 1) for x in reversed(np.split(part, cuts))]
-            continue
-        pivot = np.partition(key[:: max(1, len(key) // 101)], 50)[50]
-        less, more = key < pivot, key > pivot
-        for x, d in ((part[more], depth), (part[~less & ~more], depth + 1), (part[less], depth)):
-            if len(x):
-                todo.append((x, d))
-    return groups, ties
+def _as_words(rows: np.ndarray) -> np.ndarray:
+    n, width = rows.shape
+    padded = np.zeros((n, -(-width // WORD) * WORD), dtype=np.uint8)
+    padded[:, :width] = rows
+    return padded.view(">u8").astype(np.uint64)
 
 
-class BlindTrie:
-    """A compact trie of equally long strings; equal strings share a leaf."""
+def _starts(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
 
-    def __init__(self, length: int):
-        self.length, self.root = length, None
 
-    def insert(self, text: bytes, item: int) -> None:
-        if self.root is None:
-            self.root = (self.length, text, [item])
-            return
-        # blindly to a leaf: bytes between branches are not looked at
-        node = self.root
-        while node[0] < self.length:
-            children = node[1]
-            node = children.get(text[node[0]]) or next(iter(children.values()))
-        other = node[1]
-        if other == text:
-            node[2].append(item)
-            return
-        differ = int.from_bytes(other) ^ int.from_bytes(text)
-        depth = self.length - (differ.bit_length() + 7) // 8
-        above, node = None, self.root
-        while node[0] < depth:
-            above, node = node, node[1][text[node[0]]]
-        leaf = (self.length, text, [item])
-        if node[0] == depth:
-            node[1][text[depth]] = leaf
-            return
-        branch = (depth, {other[depth]: node, text[depth]: leaf})
-        if above is None:
-            self.root = branch
-        else:
-            above[1][text[above[0]]] = branch
+def _quicksort(words: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' order by their first `stop` words, and each place's group of strings that tie there."""
+    n = len(words)
+    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
+    depth = np.zeros(n, dtype=np.int64)  # by place: words that its part is known to share
+    todo = np.arange(n)
+    while len(todo):
+        part = group[todo]
+        first = _starts(part)
+        size = np.diff(np.append(first, len(todo)))
+        key = words[order[todo], depth[todo]]
+        three = np.sort(np.stack((key[first], key[first + size // 2], key[first + size - 1])), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = (key > pivot).astype(np.int64) * 2 + (key == pivot)
+        cell = np.repeat(np.arange(len(first)) * 3, size) + side
+        move = np.argsort(cell, kind="stable")
+        order[todo] = order[todo][move]
+        depth[todo] += (cell[move] % 3) == 1
+        # a part's name is its first place, so names stay in order
+        cell = cell[move]
+        begin = _starts(cell)
+        group[todo] = np.repeat(todo[begin], np.diff(np.append(begin, len(todo))))
+        alone = np.repeat(np.diff(np.append(begin, len(todo))) == 1, np.diff(np.append(begin, len(todo))))
+        todo = todo[~alone & (depth[todo] < stop)]
+    return order, group
 
-    def classes(self) -> list[list[int]]:
-        """The items of each distinct string, in the strings' order."""
-        out, todo = [], [self.root] if self.root else []
-        while todo:
-            node = todo.pop()
-            if node[0] == self.length:
-                out.append(node[2])
-            else:
-                todo += [node[1][k] for k in sorted(node[1], reverse=True)]
-        return out
+
+def _blind_tries(words: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> None:
+    """Put the strings of each group, which share `depth` words, in order; in place."""
+    width = words.shape[1]
+    first = _starts(group)
+    size = np.diff(np.append(first, len(group)))
+    todo = np.flatnonzero(np.repeat(size > 1, size))
+    while len(todo) and depth < width:
+        node = group[todo]
+        first = _starts(node)
+        size = np.diff(np.append(first, len(todo)))
+        mine = words[order[todo]]
+        differ = mine[:, depth:] != np.repeat(mine[first], size, axis=0)[:, depth:]
+        at = np.where(differ.any(axis=1), differ.argmax(axis=1) + depth, width)
+        branch = np.repeat(np.minimum.reduceat(at, first), size)
+        leaf = branch == width  # all strings of the node are equal
+        todo, branch, mine = todo[~leaf], branch[~leaf], mine[~leaf]
+        if not len(todo):
+            return
+        edge = mine[np.arange(len(todo)), branch]
+        node = group[todo]
+        move = np.lexsort((edge, node))
+        order[todo] = order[todo][move]
+        edge = edge[move]
+        begin = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (edge[1:] != edge[:-1]))))
+        size = np.diff(np.append(begin, len(todo)))
+        group[todo] = np.repeat(todo[begin], size)
+        todo = todo[np.repeat(size > 1, size)]
 
 
-def sort_classes(rows: np.ndarray) -> list[np.ndarray]:
-    """Indices of the equal rows of a (strings, length) byte matrix, class by class in ascending order."""
-    n, length = rows.shape
+def sort_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of a (strings, width) byte matrix: lcp[i] is the common prefix of order[i - 1] and order[i], lcp[0] is 0."""
+    n, width = rows.shape
     if not n:
-        return []
-    depth = min(SHALLOW, length) // WORD
-    words = np.ascontiguousarray(rows[:, : depth * WORD]).view(">u8").astype(np.uint64)
-    out: list[np.ndarray] = []
-    for part, tie in zip(*_split(words, np.arange(n), depth), strict=True):
-        if not tie:
-            out.append(part)
-            continue
-        trie = BlindTrie(length - depth * WORD)
-        tail = np.ascontiguousarray(rows[part, depth * WORD :]).tobytes()
-        size = length - depth * WORD
-        for k, i in enumerate(part.tolist()):
-            trie.insert(tail[k * size : (k + 1) * size], i)
-        out += [np.array(x) for x in trie.classes()]
-    return out
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = _as_words(rows)
+    stop = min(SHALLOW // WORD, words.shape[1])
+    order, group = _quicksort(words, stop)
+    _blind_tries(words, order, group, stop)
+    lcp = np.zeros(n, dtype=np.int64)
+    near = rows[order]
+    differ = near[1:] != near[:-1]
+    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, lcp
