@@ -207,14 +207,39 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _long_word_hashes(data: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
+    """Hashes of one long text's words, as span_hash gives them, a portion of `limit` bytes at a time."""
+    out: list[np.ndarray] = []
+    held, size = 0, 0  # of a word that goes on: its sum so far, its bytes
+    for s in range(0, len(data), limit):
+        part = data[s : s + limit]
+        starts, ends, _ = words(part, np.array([0, len(part)]))
+        sums, down = prefix_sums(part, True)
+        raw, n = (sums[ends] - sums[starts]) * down[starts], ends - starts
+        if size and len(starts) and starts[0] == 0:
+            raw[0] = (held + int(raw[0]) * pow(_BASE, size, 1 << 64)) & (1 << 64) - 1
+            n[0] += size
+        elif size:
+            raw, n = np.concatenate((np.array([held], np.uint64), raw)), np.concatenate(([size], n))
+        held = size = 0
+        if len(ends) and ends[-1] == len(part) and s + limit < len(data):
+            held, size, raw, n = int(raw[-1]), int(n[-1]), raw[:-1], n[:-1]
+        out.append(mix(raw + n.astype(np.uint64)))
+    return np.concatenate(out)
+
+
 def shingles(data: np.ndarray, off: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
     """Per text, the sorted distinct 64-bit hashes of its shingles of `width` words, A-Z lower-cased.
 
     A text with fewer words has one shingle, the whole sequence; without words it has none.
     """
-    starts, ends, first = words(data, off)
-    sums, down = prefix_sums(data, True)
-    w = span_hash(sums, down, starts, ends)
+    if len(data) > SLICE_BYTES and len(off) == 2:
+        w = _long_word_hashes(data)
+        first = np.array([0, len(w)])
+    else:
+        starts, ends, first = words(data, off)
+        sums, down = prefix_sums(data, True)
+        w = span_hash(sums, down, starts, ends)
     if len(w) >= width:
         s = np.zeros(len(w) - width + 1, dtype=np.uint64)
         for j in range(width):

@@ -5,12 +5,15 @@ signature of BINS values; keys of `rows` values each put it into buckets. Within
 bucket every member is a candidate of one centre only (a star), so candidates are linear in
 the bucket. Candidates are confirmed on full shingle sets. Where a bucket's members are still
 in different components, further rounds take 2, 8, 32 ... centres each, over the members
-that were no centre yet, until nothing is left to compare: no pair that shares a
-bucket is lost, and there is no cap. In these rounds signatures that agree in far too few
-bins (SIGMAS deviations below what linked sets have) spare the reading of the texts, and so
-do shingles that no other document left over has: a set can't share more than its other
-shingles, which settles texts that only have a common passage, or copies of one original that
-differ too much, without a comparison for each pair.
+that were no centre yet, until nothing is left to compare; there is no cap. In these rounds
+signatures that agree in far too few bins spare the reading of the texts: SIGMAS standard
+deviations below what linked sets have, which a pair at the threshold falls under with
+probability 1.3e-12 (the normal tail). So do shingles that no other document left over has: a
+set can't share more than its other shingles, which settles texts that only have a common
+passage, or copies of one original that differ too much, without a comparison for each pair.
+
+The nodes of the graph are distinct shingle sets, not ids: a row's set is its node, whatever
+other rows have its id.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql.window import Window
 from . import common as C
 
 BINS, ROWS, SIGMAS = 288, 8, 7
+#: Members that are confirmed against one copy of a centre's text.
+FAN = 1000
 _WALK = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).astype(np.uint16)
 _BAND = np.random.default_rng(8).integers(1, 2**63, BINS, dtype=np.uint64)
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bins binary"
+_SIGNED = "doc_id long, th long, n_shingles long, h1 long, h2 long, bands array<long>, bins binary"
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -57,8 +62,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sign(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, text = b.column(0), b.column(1)
-            for at, data, off in C.slices(text):
+            for at, data, off in C.slices(b.column(2)):
                 sets = list(C.shingles(data, off, width))
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 h = np.array([[C.mix(s + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], dtype=np.uint64)
@@ -69,15 +73,15 @@ def _sign(width: int, rows: int):
                 bins[some] = [x.tobytes() for x in low]
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BINS // rows, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)).cast(pa.int64()), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel())), pa.array(bins, pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "bins"],
+                    [b.column(0).slice(at, len(sets)), b.column(1).slice(at, len(sets)), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel())), pa.array(bins, pa.binary())],
+                    names=["doc_id", "th", "n_shingles", "h1", "h2", "bands", "bins"],
                 )
 
     return run
 
 
 def _rows(width: int):
-    """(doc_id, shingle) of every text."""
+    """(node, shingle) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +89,7 @@ def _rows(width: int):
             for at, data, off in C.slices(b.column(1)):
                 sets = list(C.shingles(data, off, width))
                 n = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + len(sets)], n)), C.long_array(np.concatenate(sets))], names=["doc_id", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + len(sets)], n)), C.long_array(np.concatenate(sets))], names=["node", "shingle"])
 
     return run
 
@@ -111,7 +115,7 @@ def _confirm(width: int, percent: int):
 
 
 def _alike(percent: int):
-    """Pairs (centre, doc_id, n, bins of each) whose signatures don't rule a link out."""
+    """Pairs (centre, node, n, bins of each) whose signatures don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = percent / 100
@@ -120,72 +124,93 @@ def _alike(percent: int):
             n = np.minimum(b.column(2).to_numpy(), BINS)
             least = BINS * (share - SIGMAS * np.sqrt(share * (1 - share) / np.maximum(n, 1)))
             keep = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["centre", "doc_id"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["centre", "node"])
 
     return run
 
 
+def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (centre, node) that link; a centre of many members is copied, so that no task gets all of them."""
+    fan = pairs.groupBy("centre").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts"))
+    both = pairs.join(fan, "centre").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    both = both.join(texts.withColumnRenamed("text", "of_node"), "node")
+    centres = texts.select(F.col("node").alias("centre"), F.col("text").alias("of_centre")).join(fan, "centre")
+    centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    both = both.join(centres, ["centre", "salt"])
+    return both.select("centre", "node", "of_centre", "of_node").mapInArrow(_confirm(width, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, rows: int = ROWS) -> DataFrame:
     """Classes of documents whose shingle sets have 100 * intersection >= percent * union.
 
     rows: signature values a band key takes; fewer find pairs of a lower `percent`. A pair at
     the threshold p is missed with probability (1 - p ** rows) ** (BINS // rows).
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and
-    kept (doc_id = component_id), a row per row of `docs`.
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept
+    (doc_id = component_id) and text_hash (C.identity's), a row per row of `docs`.
 
     Null or empty text, or text without words: n_shingles 0, a component of its own. A null
-    id: component_id null, kept true, linked with nothing. Rows that repeat an id count as
-    one document that has the links of each. An empty table gives an empty table; other
-    columns are not read.
+    id: component_id null, kept true, linked with nothing. Rows that repeat an id are judged
+    each by its own text: those with like texts fall into one component, those with unlike
+    texts into several. Texts of any length are hashed a megabyte at a time. An empty table
+    gives an empty table; other columns are not read and may have any names. Ties: centres are
+    taken by id, and no choice of them changes the components.
     """
     spark: SparkSession = docs.sparkSession
     C.tune(spark)
     scratch = C.Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    _, th = C.identity(id_col, text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.store(docs.mapInArrow(_sign(width, rows), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # exact copies of a set: one representative each
-    reps = scratch.store(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    chosen = some.join(reps.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    members = chosen.select("doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("comp"), F.explode("bands").alias("key"))
-    members = scratch.store(members, "members0")
-    first = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("cn"), F.count("*").alias("size"))
-    centres = scratch.store(first.where("size > 1").select("key", "centre", "cn", F.col("centre").alias("ccomp")), "centres0", narrow=True)
-    bins = chosen.select("doc_id", "bins", "bands").dropDuplicates(["doc_id"])
+    sets = some.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "th", "bands", "bins")).alias("r"))
+    sets = scratch.store(sets.select("h1", "h2", F.col("n_shingles").alias("n"), "r.*"), "sets")
+    # a set's node is the least id that has it, or a hash where that id has other sets too
+    torn = scratch.store(sets.groupBy("doc_id").count().where("count > 1").select("doc_id"), "torn", narrow=True)
+    is_torn = not torn.isEmpty()
+    if is_torn:
+        sets = sets.join(torn.withColumn("torn", F.lit(True)), "doc_id", "left")
+        sets = sets.withColumn("node", F.when(F.col("torn"), F.xxhash64("doc_id", "h1", "h2")).otherwise(F.col("doc_id"))).drop("torn")
+    else:
+        sets = sets.withColumn("node", F.col("doc_id"))
+    members = sets.select("node", "n", F.explode("bands").alias("key"))
+    first = members.groupBy("key").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("cn"), F.count("*").alias("size"))
+    centres = scratch.store(first.where("size > 1").drop("size"), "centres0", narrow=True)
+    members = scratch.store(members.join(centres, "key").withColumns({"comp": F.col("node"), "ccomp": F.col("centre")}), "live", narrow=True)
+    # texts of all that shares a bucket; nothing else is read again
+    wanted = sets.select("doc_id", "th", "node").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "th"]).select("node", "text")
+    texts = scratch.store(texts.dropDuplicates(["node"]), "texts")
     confirmed = tested = roots = None
     k = 0
     while True:
         near = f"100 * least(a, ca) >= {percent} * (n + cn - least(a, ca))" if k else f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
         # a pair comes from the least bucket that it shares, where it is tested or was ruled out
         once = " and key = array_min(array_intersect(bands, cbands))" if k else ""
-        pairs = members.join(centres, "key").where(f"comp <> ccomp and {near}{once}")
-        ends = [F.least("centre", "doc_id").alias("centre"), F.greatest("centre", "doc_id").alias("doc_id")]
+        pairs = (members.join(centres, "key") if k else members).where(f"comp <> ccomp and {near}{once}")
+        ends = [F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")]
         if k:
-            pairs = pairs.select(*ends, F.least("n", "cn").alias("n"), "bins", "cbins").mapInArrow(_alike(percent), "centre long, doc_id long").distinct()
-            pairs = pairs.join(tested, ["centre", "doc_id"], "left_anti")
+            pairs = pairs.select(*ends, F.least("n", "cn").alias("n"), "bins", "cbins").mapInArrow(_alike(percent), "centre long, node long").distinct()
+            pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         else:
             pairs = pairs.select(*ends).distinct()
         pairs = scratch.store(pairs, f"pairs{k}", narrow=True)
         tested = pairs if tested is None else tested.union(pairs)
         linked = False
         if not pairs.isEmpty():
-            text = docs.where("doc_id is not null and text is not null")
-            both = pairs.join(text.select("doc_id", F.col("text").alias("of_doc")), "doc_id")
-            both = both.join(text.select(F.col("doc_id").alias("centre"), F.col("text").alias("of_centre")), "centre")
-            links = both.select("centre", "doc_id", "of_centre", "of_doc").mapInArrow(_confirm(width, percent), "a long, b long")
-            links = scratch.store(links, f"links{k}", narrow=True)
+            links = scratch.store(_links(pairs, texts, width, percent), f"links{k}", narrow=True)
             linked = not links.isEmpty()
             if linked:
                 confirmed = links if confirmed is None else confirmed.union(links)
                 roots = C.components(confirmed, scratch, f"round{k}")
         # what is left: members that were no centre yet, in buckets that still hold several components
         if k:
-            members = members.join(centres.select("key", F.col("centre").alias("doc_id")), ["key", "doc_id"], "left_anti")
+            members = members.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
         else:
-            members = members.join(centres.select("key", "centre"), "key").where("doc_id <> centre").drop("centre")
+            members = members.where("node <> centre").drop("centre", "cn", "ccomp")
         if linked:
-            members = members.drop("comp").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+            members = members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         k += 1
         members = scratch.store(members, f"mixed{k}", narrow=True)
         open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -193,25 +218,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if members.isEmpty():
             break
         if k == 1:
-            left = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_rows(width), "doc_id long, shingle long")
-            owners = left.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
-            own = owners.groupBy("doc_id").agg(F.count("*").alias("own"))
+            left = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_rows(width), "node long, shingle long")
+            owners = left.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+            own = owners.groupBy("node").agg(F.count("*").alias("own"))
             # a: shingles that another document left over may share
-            members = members.join(own, "doc_id", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            members = members.join(own, "node", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
             members = scratch.store(members.where(f"100 * a >= {percent} * n"), "shared", narrow=True)
             open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
-            members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(bins, "doc_id")
+            members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(sets.select("node", "bins", "bands"), "node")
             members = scratch.store(members, "members", narrow=True)
             if members.isEmpty():
                 break
         # first those that have least of their own: they are the likeliest to link with many
-        rank = F.row_number().over(Window.partitionBy("key").orderBy((F.col("n") - F.col("a")) / F.col("n"), "doc_id"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy((F.col("n") - F.col("a")) / F.col("n"), "node"))
         centres = members.withColumn("rank", rank).where(F.col("rank") <= 2 * 4 ** (k - 1))
-        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("doc_id", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"), ("bands", "cbands"))]), f"centres{k}", narrow=True)
-    out = signed.join(reps.drop("copies"), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("node", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"), ("bands", "cbands"))]), f"centres{k}", narrow=True)
+    names = sets.select("h1", "h2", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("rep"))
     if roots is not None:
-        out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        if is_torn:  # a component's name is its least id, not its least node
+            roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+            least = roots.join(names, "node").groupBy("root").agg(F.min("rep").alias("least"))
+            roots = roots.join(least, "root").select("node", F.col("least").alias("root"))
+        names = names.join(roots, "node", "left").withColumn("rep", F.coalesce("root", "rep"))
+    out = signed.select("doc_id", "th", "n_shingles", "h1", "h2").join(names.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("th").alias("text_hash"))

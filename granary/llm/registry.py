@@ -10,7 +10,7 @@ from . import common as C
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(C.table(spark, sf_dir, "documents"))
+    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(docs):
+def brute(docs, percent=85):
     sets = {i: shingle_set(t) for i, t in docs}
     root = {i: i for i in sets}
 
@@ -30,7 +30,7 @@ def brute(docs):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -101,3 +101,36 @@ def test_star_of_distant_copies(spark):
     docs += [(200 + i, docs[i][1] + " tail") for i in range(1, 90, 9)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: root for i, (_, root) in brute(docs).items()}
+
+
+def test_an_id_with_several_texts(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABC"}
+    rows = [(1, texts["A"]), (1, texts["B"]), (2, texts["A"] + " t2"), (3, texts["B"] + " t3"), (3, texts["C"]), (4, texts["C"]), (None, texts["C"]), (None, texts["A"])]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [("1", 56, 1, True), ("1", 56, 1, True), ("2", 57, 1, False), ("3", 57, 1, False), ("3", 56, 3, True), ("4", 56, 3, False), ("None", 56, None, True), ("None", 56, None, True)]
+    assert got == sorted(want)
+
+
+def test_hot_centre_is_salted(spark, monkeypatch):
+    from granary.llm import minhash
+
+    monkeypatch.setattr(minhash, "FAN", 7)
+    base = [f"b{i}" for i in range(150)]
+    docs = [(0, " ".join(base))] + [(i, " ".join([*base, f"end{i}"])) for i in range(1, 60)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(60), 0)
+
+
+def test_long_texts_are_hashed_in_portions():
+    import tracemalloc
+
+    r = random.Random(4)
+    text = " ".join(r.choice(("alpha", "Beta", "gamma")) + str(r.randrange(10**6)) for _ in range(260_000)) + "x" * 2_500_000 + " end of it all"
+    data, off = np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)])
+    starts, ends, _ = C.words(data, off)
+    assert (C._long_word_hashes(data) == C.span_hash(*C.prefix_sums(data, True), starts, ends)).all()
+    long = np.frombuffer((text * 6).encode(), dtype=np.uint8)
+    tracemalloc.start()
+    assert len(next(C.shingles(long, np.array([0, len(long)])))) > 200_000
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
