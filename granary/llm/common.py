@@ -110,6 +110,23 @@ class Scratch:
         del cls.live[since:]
 
 
+#: Rows of a key from which it counts as hot, at least, and hot keys at most.
+HOT_ROWS, HOT_KEYS = 200_000, 100_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Inner join of `rows` with `keyed`, which has a row for each key and the number `n` of its rows.
+
+    Keys with more than HOT_ROWS rows and more than n_rows / HOT_KEYS are at most HOT_KEYS:
+    that many are broadcast, so their rows stay where they are and no task gets them all.
+    """
+    hot = keyed.where(F.col("n") > max(HOT_ROWS, n_rows // HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), key)
+    hot = F.broadcast(hot.drop("n"))
+    return rows.join(hot.select(key), key, "left_anti").join(keyed.drop("n"), key).unionByName(rows.join(hot, key))
+
+
 # --- text as numpy -----------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240517)
@@ -191,6 +208,22 @@ def portions(column: pa.Array | pa.ChunkedArray, overlap: int, limit: int = SLIC
             yield at, start, part, np.array([0, len(part)])
 
 
+def parts(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As `slices`, but a text over `limit` bytes comes in several parts with the same index, cut after white space.
+
+    A word of more than `limit` bytes is cut too.
+    """
+    for at, data, off in slices(column, limit):
+        start = 0
+        while len(off) == 2 and len(data) - start > limit:
+            space = np.flatnonzero(_SPACE[data[start + limit : start + 2 * limit]])
+            end = start + limit + (int(space[0]) + 1 if len(space) else 0)
+            yield at, data[start:end], np.array([0, end - start])
+            start = end
+        if start < len(data) or not start:
+            yield at, data[start:], off if not start else np.array([0, len(data) - start])
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, per text, the index of its first word."""
     if not len(data):
