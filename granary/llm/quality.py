@@ -55,7 +55,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the neighbours' index vectors by slot, over the partition."""
     total = np.zeros(DIM << BITS)
     for b in batches:
-        for _, data, off in C.slices(b.column(0)):
+        for _, data, off in C.parts(b.column(0)):
             word, shape, first = tokens(data, off)
             doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
             for step in range(1, REACH + 1):
@@ -78,21 +78,21 @@ def _pool(vectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vectors.value
         for b in batches:
-            out = np.zeros((b.num_rows, FEATURES), dtype=np.float32)
-            for at, data, off in C.slices(b.column(2), C.SLICE_BYTES // 2):
+            out, total = np.zeros((b.num_rows, FEATURES), dtype=np.float32), np.zeros(b.num_rows, dtype=np.int64)
+            for at, data, off in C.parts(b.column(2), C.SLICE_BYTES // 2):
                 word, shape, first = tokens(data, off)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 if not len(some):
                     continue
-                begin = first[:-1][some]
-                rows = at + some
+                total[at + some] += n[some]
                 for k, token in enumerate((word, shape)):
-                    out[rows, k * DIM : (k + 1) * DIM] = np.add.reduceat(table[token], begin, axis=0) / n[some, None]
-                out[rows, 2 * DIM] = (out[rows, :DIM] ** 2).sum(axis=1)
-                out[rows, 2 * DIM + 1] = np.log1p(n[some])
+                    out[at + some, k * DIM : (k + 1) * DIM] += np.add.reduceat(table[token], first[:-1][some], axis=0)
+            out[:, : 2 * DIM] /= np.maximum(total, 1)[:, None]
+            out[:, 2 * DIM] = (out[:, :DIM] ** 2).sum(axis=1)
+            out[:, 2 * DIM + 1] = np.log1p(total)
             raw = pa.array([x.tobytes() for x in out], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw], names=["doc_id", "held_out", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw, b.column(3)], names=["doc_id", "held_out", "vector", "text_hash"])
 
     return run
 
@@ -152,26 +152,28 @@ def _score(network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = network.value.score(_matrix(b.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), b.column(3)], names=["doc_id", "held_out", "score", "text_hash"])
 
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher for label 1) and predicted (1 from `threshold` on) of each row.
+    """doc_id, held_out, score (0 to 1, higher for label 1), predicted (1 from `threshold` on) and text_hash of each row.
 
     Only labelled rows that are not held out are learnt from, `sample` of them at most, those
     whose ids hash lowest; word vectors come from all texts, without labels.
 
     A null or empty text pools to zeros and gets the score of that. A null id is held out. Ids
-    may repeat: each row is scored alone. Null labels are not used. Without labels of both
-    kinds the score is the smoothed share of label 1. An empty table gives an empty table;
-    other columns are not read.
+    may repeat: each row is scored alone. Null labels are not used; of several labels of an id
+    each is learnt. Texts of any length are pooled whole, a part at a time; neighbours across
+    the borders of parts are not counted. Without labels of both kinds the score is the
+    smoothed share of label 1. An empty table gives an empty table; other columns are not read
+    and may have any names.
     """
     spark = docs.sparkSession
     C.tune(spark)
     scratch = C.Scratch(spark, "quality")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), C.identity(id_col, text_col)[1].alias("text_hash"))
     fields = [f"v{j}" for j in range(DIM)]
     sums = rows.select("text").mapInArrow(_contexts, "slot long, " + ", ".join(f"{f} double" for f in fields))
     found = sums.groupBy("slot").agg(*[F.sum(f).alias(f) for f in fields]).toArrow()
@@ -179,11 +181,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if len(found):
         v = np.stack([found[f].to_numpy() for f in fields], axis=1)
         table[found["slot"].to_numpy()] = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
-    pooled = scratch.store(rows.mapInArrow(_pool(spark.sparkContext.broadcast(table)), "doc_id long, held_out boolean, vector binary"), "pooled")
+    pooled = scratch.store(rows.mapInArrow(_pool(spark.sparkContext.broadcast(table)), "doc_id long, held_out boolean, vector binary, text_hash long"), "pooled")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     learn = pooled.where("not held_out").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     learnt = learn.select("vector", "label").toArrow()
     x = _matrix(learnt["vector"].to_pylist())
     network = Network(x if len(x) else np.zeros((1, FEATURES)), learnt["label"].to_numpy().astype(float) if len(x) else np.zeros(1))
-    out = pooled.mapInArrow(_score(spark.sparkContext.broadcast(network)), "doc_id long, held_out boolean, score double")
+    out = pooled.mapInArrow(_score(spark.sparkContext.broadcast(network)), "doc_id long, held_out boolean, score double, text_hash long")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
