@@ -2,9 +2,9 @@
 
 Each line with a word is judged alone: its closing punctuation, shouting, symbols, navigation
 separators and boilerplate phrases. Failing lines go; a document is rejected if too large a
-share of its text goes with them. Base statistics come from the whole text: repeated windows
-of five words are found by sorting, in the row, the windows' hashes with their positions
-packed into the low bits.
+share of its text goes with them. Base statistics come from the whole text: windows of five
+words that may be repeated are found by sorting, in the row, the windows' hashes with their
+positions packed into the low bits, and settled by sorting their words.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def _fails(line: str) -> str:
     )
 
 
-def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: str = "xxhash64({})") -> DataFrame:
     """Statistics, the cleaned text and the verdict of each document.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
@@ -55,8 +55,10 @@ def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text has no words, so it fails the base rules (fewer than ten words); its
     clean_text is empty. Lines without a word are neither judged nor duplicates and stay in
-    clean_text. Ids may be null or repeat: each row is judged alone. An empty table gives an
-    empty table; other columns are not read.
+    clean_text. Ids may be null or repeat: each row is judged alone. A text is held whole in
+    its task, with its words and eight bytes a word. An empty table gives an empty table; other
+    columns are not read and may have any names. hash_of: the SQL hash, of five words, that
+    proposes repeated windows; the result does not depend on it.
     """
     e = F.expr
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -71,13 +73,16 @@ def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     x = x.withColumns({"n": F.size("words"), "lines": e(f"filter(all_lines, l -> l rlike '{WORD}')"), "marked": e("n_symbols > 0")})
     window = ", ".join(f"get(words, i + {j})" for j in range(5))
-    x = x.withColumn("hashes", e(f"case when n >= 5 then transform(sequence(0, n - 5), i -> xxhash64({window})) end"))
+    x = x.withColumn("hashes", e(f"case when n >= 5 then transform(sequence(0, n - 5), i -> cast({hash_of.format(window)} as bigint)) end"))
     x = x.withColumns({"bits": F.length(F.bin("n")), "failed": e(f"filter(lines, l -> {_fails('l')})")})
     # only texts with a repeated window sort theirs
     x = x.withColumn("packed", e("case when size(array_distinct(hashes)) < size(hashes) then sort_array(transform(hashes, (h, i) -> shiftleft(h, bits) | cast(i as bigint))) end"))
     same = "shiftright(p, bits) = shiftright(get(packed, k {} 1), bits)"
     x = x.withColumn("twice", e(f"filter(packed, (p, k) -> {same.format('-')} or {same.format('+')})"))
-    x = x.withColumn("at", e("sort_array(transform(twice, p -> p & (shiftleft(1L, bits) - 1)))"))
+    # the hash only proposes; what is repeated is decided by the words
+    one = ", ".join(f"get(words, cast(p & (shiftleft(1L, bits) - 1) as int) + {j})" for j in range(5))
+    x = x.withColumn("said", e(f"case when size(twice) > 0 then sort_array(transform(twice, p -> struct(concat_ws(' ', {one}) as s, p & (shiftleft(1L, bits) - 1) as i))) end"))
+    x = x.withColumn("at", e("sort_array(transform(filter(said, (p, k) -> p.s = get(said, k - 1).s or p.s = get(said, k + 1).s), p -> p.i))"))
     covered = "aggregate(at, struct(-5L as last, 0L as n), (a, i) -> struct(i as last, a.n + least(5L, i - a.last) as n)).n"
     x = x.select(
         "doc_id",
