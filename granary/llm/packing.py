@@ -29,6 +29,10 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 #: White space that isn't single, and characters on which splitters might differ; such texts go to the tokenizer whole.
 _RUNS = ("  ", "\n\n", "\n ", " \n", "<|endoftext|>")
 _OUTSIDE = re.compile("[^ -~¡-ɏ]")
+#: A space between letters starts a pre-token whatever stands around it, so a long text may be cut there.
+_BORDER = re.compile("(?<=[a-z]) (?=[a-z])")
+#: Characters of a long text that are encoded at once.
+PORTION = 1 << 19
 
 
 def _plain(text: str) -> bool:
@@ -78,6 +82,17 @@ class Encoder:
         self.words = _Words(encode)
 
     def __call__(self, text: str) -> np.ndarray:
+        if len(text) <= 2 * PORTION:
+            return self._encode(text)
+        out, at = [], 0
+        while at < len(text):
+            border = _BORDER.search(text, at + PORTION)
+            to = border.start() if border else len(text)
+            out.append(self._encode(text[at:to]))
+            at = to
+        return np.concatenate(out)
+
+    def _encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
         if not _plain(text):
@@ -193,8 +208,9 @@ def pack_documents(
     than the window have lengths that are powers of two.
 
     tokenizer, ranks: files that every executor has. A null or empty text is the END_ID alone.
-    Ids may be null or repeat: each row is a document. An empty table gives no pieces; other
-    columns are not read. A partition is packed alone, in the order of its rows, so a lost
+    Ids may be null or repeat: each row is a document. Of open windows that fit alike the
+    oldest is taken. Long texts are encoded in portions, cut where the tokenizer cuts too. An
+    empty table gives no pieces; other columns are not read and may have any names. A partition is packed alone, in the order of its rows, so a lost
     task that runs again gives its sequences again.
     """
     C.tune(docs.sparkSession)
