@@ -36,23 +36,34 @@ def plan_revisits(
     record without an id is a response and never referred to.
 
     Only headers are shuffled by digest; payloads move once, to archives of about
-    `archive_bytes`, where the headers' decisions join them.
+    `archive_bytes`, where the headers' decisions join them. A payload that very many records
+    share is decided without gathering their headers. A payload of any length is one record,
+    in an archive of its own if it is long; it is held whole. Other columns are not read and may
+    have any names; an empty table gives an empty table.
     """
+    spark = pages.sparkSession
+    scratch = C.Scratch(spark, "revisits")
     x = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     x = x.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = x.where(F.col("payload_bytes") >= least).select("page_id", "digest")
-    original = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("page_id").alias("n")).where("n > 1").drop("n")
-    revisits = heads.join(original, "digest").where("page_id <> refers_to").distinct()
-    total = x.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    heads = scratch.store(x.select("page_id", "digest", "payload_bytes"), "heads")
+    total = heads.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    heads = heads.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    original = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    original = scratch.store(original, "originals", narrow=True)
+    revisits = C.join_hot(heads, original, "digest", total[1]).where("page_id <> refers_to").distinct()
     files = max(1, -(-(total[0] + 500 * total[1]) // archive_bytes))
-    x = x.repartition(files, "page_id", "digest").join(revisits, ["page_id", "digest"], "left")
+    # records without an id are never revisits; their addresses spread them
+    spread = F.when(F.col("page_id").isNull(), F.xxhash64("url", "digest")).otherwise(0)
+    x = x.withColumn("spread", spread).repartition(files, "page_id", "digest", "spread")
+    x = x.join(revisits.withColumn("spread", F.lit(0).cast("long")), ["page_id", "digest", "spread"], "left").drop("spread")
     return x.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
 
 
 def write_archives(planned: DataFrame, path: str, compress: bool = True) -> None:
     """Write records as WARC/1.0 files below `path`, one for each partition."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
+    unnamed = F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string"))
+    uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), unnamed), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, "").otherwise(F.col("payload"))
     head = [
@@ -73,7 +84,7 @@ def write_archives(planned: DataFrame, path: str, compress: bool = True) -> None
 
 def _number(uri: bytes | None) -> int | None:
     text = (uri or b"").strip(b"<>").rpartition(b":")[2]
-    return None if text in (b"", b"none") else int(text)
+    return None if not text or text.startswith(b"none-") else int(text)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -115,11 +126,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     C.tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    records = files.mapInArrow(_read, _RECORD)
-    heads = records.drop("record")
-    revisits = heads.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    # archives are read once: what is joined are their records' headers
+    heads = C.Scratch(spark, "records").store(files.mapInArrow(_read, _RECORD).drop("record"), "heads")
+    revisits = heads.where("record_type = 'revisit'")
     responses = heads.where("record_type = 'response' and page_id is not null").groupBy("page_id")
     # repeated ids: the record that a revisit means is the larger
     originals = responses.agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("of")).select(F.col("page_id").alias("refers_to"), "of.*")
-    joined = revisits.join(originals, "refers_to", "left").select(heads.columns)
-    return heads.where("record_type = 'response'").unionByName(joined)
+    counts = revisits.groupBy("refers_to").agg(F.count("*").alias("n"))
+    known = originals.join(counts, "refers_to")
+    joined = C.join_hot(revisits.drop("payload_bytes", "payload_digest"), known, "refers_to", heads.count()).select(heads.columns)
+    missing = revisits.join(originals.select("refers_to"), "refers_to", "left_anti").select(heads.columns)
+    missing = missing.withColumns({"payload_bytes": F.lit(None).cast("long"), "payload_digest": F.lit(None).cast("string")})
+    return heads.where("record_type = 'response'").unionByName(joined).unionByName(missing)
