@@ -26,7 +26,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
-    return score_quality(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return score_quality(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
 
-    return find_items(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return find_items(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
