@@ -5,12 +5,15 @@ signature of BINS values; keys of `rows` values each put it into buckets. Within
 bucket every member is a candidate of one centre only (a star), so candidates are linear in
 the bucket. Candidates are confirmed on full shingle sets. Where a bucket's members are still
 in different components, further rounds take 2, 8, 32 ... centres each, over the members
-that were no centre yet, until nothing is left to compare; there is no cap. In these rounds
-signatures that agree in far too few bins spare the reading of the texts: SIGMAS standard
-deviations below what linked sets have, which a pair at the threshold falls under with
-probability 1.3e-12 (the normal tail). So do shingles that no other document left over has: a
-set can't share more than its other shingles, which settles texts that only have a common
-passage, or copies of one original that differ too much, without a comparison for each pair.
+that were no centre yet, until nothing is left to compare: no pair that shares a bucket is
+lost, and there is no cap. In these rounds two exact bounds spare the reading of the texts:
+
+* shingles that no other document left over has can't be shared, which settles texts that only
+  have a common passage without a comparison for each pair;
+* a parity sketch of BITS bits, each the parity of the number of shingles that hash to it. The
+  exclusive or of two sketches is that of the sets' symmetric difference, so its ones can't be
+  more than the difference, and a pair with more ones than a link allows is none. This settles
+  copies of one original that differ too much.
 
 The nodes of the graph are distinct shingle sets, not ids: a row's set is its node, whatever
 other rows have its id.
@@ -28,12 +31,12 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-BINS, ROWS, SIGMAS = 288, 8, 7
+BINS, ROWS, BITS = 288, 8, 4096
 #: Members that are confirmed against one copy of a centre's text.
 FAN = 1000
 _WALK = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).astype(np.uint16)
 _BAND = np.random.default_rng(8).integers(1, 2**63, BINS, dtype=np.uint64)
-_SIGNED = "doc_id long, th long, n_shingles long, h1 long, h2 long, bands array<long>, bins binary"
+_SIGNED = "doc_id long, th long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -68,13 +71,11 @@ def _sign(width: int, rows: int):
                 h = np.array([[C.mix(s + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], dtype=np.uint64)
                 some = np.flatnonzero(n)
                 sigs = np.stack([signature(sets[i]) for i in some]) if len(some) else np.zeros((0, BINS), np.uint64)
-                keys, low = band_keys(sigs, rows), (C.mix(sigs) & np.uint64(255)).astype(np.uint8)
-                bins = np.full(len(sets), None, dtype=object)
-                bins[some] = [x.tobytes() for x in low]
+                keys = band_keys(sigs, rows)
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BINS // rows, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(sets)), b.column(1).slice(at, len(sets)), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel())), pa.array(bins, pa.binary())],
-                    names=["doc_id", "th", "n_shingles", "h1", "h2", "bands", "bins"],
+                    [b.column(0).slice(at, len(sets)), b.column(1).slice(at, len(sets)), pa.array(n), C.long_array(h[:, 0]), C.long_array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), C.long_array(keys.ravel()))],
+                    names=["doc_id", "th", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return run
@@ -114,16 +115,30 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """BITS parities of a shingle set."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _sketches(width: int):
+    """(node, sketch) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketch(s) for _, data, off in C.slices(b.column(1)) for s in C.shingles(data, off, width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+
+    return run
+
+
 def _alike(percent: int):
-    """Pairs (centre, node, n, bins of each) whose signatures don't rule a link out."""
+    """Pairs (centre, node, n of both, sketch of each) whose sketches don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = percent / 100
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (3, 4))
-            n = np.minimum(b.column(2).to_numpy(), BINS)
-            least = BINS * (share - SIGMAS * np.sqrt(share * (1 - share) / np.maximum(n, 1)))
-            keep = pa.array((x == y).sum(axis=1) >= least)
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for i in (3, 4))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = pa.array((100 + percent) * differ <= (100 - percent) * b.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["centre", "node"])
 
     return run
@@ -164,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.store(docs.mapInArrow(_sign(width, rows), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # exact copies of a set: one representative each
-    sets = some.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "th", "bands", "bins")).alias("r"))
+    sets = some.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "th", "bands")).alias("r"))
     sets = scratch.store(sets.select("h1", "h2", F.col("n_shingles").alias("n"), "r.*"), "sets")
     # a set's node is the least id that has it, or a hash where that id has other sets too
     torn = scratch.store(sets.groupBy("doc_id").count().where("count > 1").select("doc_id"), "torn", narrow=True)
@@ -180,6 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.store(members.join(centres, "key").withColumns({"comp": F.col("node"), "ccomp": F.col("centre")}), "live", narrow=True)
     # texts of all that shares a bucket; nothing else is read again
     wanted = sets.select("doc_id", "th", "node").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = scratch.store(wanted, "wanted", narrow=True)
     texts = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "th"]).select("node", "text")
     texts = scratch.store(texts.dropDuplicates(["node"]), "texts")
     confirmed = tested = roots = None
@@ -191,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = (members.join(centres, "key") if k else members).where(f"comp <> ccomp and {near}{once}")
         ends = [F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")]
         if k:
-            pairs = pairs.select(*ends, F.least("n", "cn").alias("n"), "bins", "cbins").mapInArrow(_alike(percent), "centre long, node long").distinct()
+            pairs = pairs.select(*ends, (F.col("n") + F.col("cn")).alias("n"), "sketch", "csketch").mapInArrow(_alike(percent), "centre long, node long").distinct()
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         else:
             pairs = pairs.select(*ends).distinct()
@@ -225,14 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = members.join(own, "node", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
             members = scratch.store(members.where(f"100 * a >= {percent} * n"), "shared", narrow=True)
             open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
-            members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(sets.select("node", "bins", "bands"), "node")
+            members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(sets.select("node", "bands"), "node")
+            sketched = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches(width), "node long, sketch binary")
+            members = members.join(scratch.store(sketched, "sketches", narrow=True), "node")
             members = scratch.store(members, "members", narrow=True)
             if members.isEmpty():
                 break
         # first those that have least of their own: they are the likeliest to link with many
         rank = F.row_number().over(Window.partitionBy("key").orderBy((F.col("n") - F.col("a")) / F.col("n"), "node"))
         centres = members.withColumn("rank", rank).where(F.col("rank") <= 2 * 4 ** (k - 1))
-        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("node", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("bins", "cbins"), ("bands", "cbands"))]), f"centres{k}", narrow=True)
+        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("node", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("sketch", "csketch"), ("bands", "cbands"))]), f"centres{k}", narrow=True)
     names = sets.select("h1", "h2", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("rep"))
     if roots is not None:
         if is_torn:  # a component's name is its least id, not its least node

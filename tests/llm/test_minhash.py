@@ -134,3 +134,16 @@ def test_long_texts_are_hashed_in_portions():
     assert len(next(C.shingles(long, np.array([0, len(long)])))) > 200_000
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
+
+
+def test_sketches_never_rule_out_a_link():
+    from granary.llm.minhash import BITS, sketch
+
+    r = np.random.default_rng(3)
+    for n in (1, 5, 80, 900, 20_000):
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        for edits in (0, 1, n // 10, n // 3):
+            y = np.concatenate((x[edits:], r.integers(0, 2**63, edits, dtype=np.uint64)))
+            ones = sum(int(a ^ b).bit_count() for a, b in zip(sketch(x), sketch(y), strict=True))
+            true = len(np.setxor1d(x, y))
+            assert ones <= true and (true > BITS // 40 or ones >= 0.9 * true - 2)
