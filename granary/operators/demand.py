@@ -22,17 +22,31 @@ def before(cutoff: str) -> Column:
 # --- outliers ----------------------------------------------------------------------------
 
 
+def _baseline(cutoff: str) -> dict[str, Column]:
+    """Aggregates over a pair's positive days before the cutoff."""
+    qty = F.when(before(cutoff) & (F.col("qty") > 0), F.col("qty"))
+    return {"n": F.count(qty), "median_qty": F.median(qty), "all_whole": F.bool_and(qty % 1 == 0)}
+
+
 def pair_baseline(panel: DataFrame, cutoff: str, least: int = 30) -> DataFrame:
     """Of each pair's positive days before the cutoff: count, exact median, whether all are whole, whether it can be capped."""
-    days = panel.where(before(cutoff) & (F.col("qty") > 0))
-    out = days.groupBy(*PAIR).agg(F.count("*").alias("n"), F.median("qty").alias("median_qty"), F.bool_and(F.col("qty") % 1 == 0).alias("all_whole"))
+    out = panel.groupBy(*PAIR).agg(*[v.alias(k) for k, v in _baseline(cutoff).items()]).where("n > 0")
     return out.withColumn("eligible", (F.col("n") >= least) & (F.col("median_qty") > 0))
 
 
-def cap_outliers(panel: DataFrame, baseline: DataFrame, ratio: float = 5.0, events: list[str] = EVENT_FLAGS) -> DataFrame:
-    """baseline_ratio, is_spike and qty_capped; spikes on event days stay. Integer pairs are capped at a whole number."""
-    b = baseline.select(*PAIR, "median_qty", "all_whole", "eligible")
-    x = panel.join(b, PAIR, "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+def add_baseline(panel: DataFrame, cutoff: str, least: int = 30) -> DataFrame:
+    """The same as columns median_qty, all_whole and eligible of the pair's rows, in the pair's own partition."""
+    x = panel.withColumns({k: v.over(Window.partitionBy(*PAIR)) for k, v in _baseline(cutoff).items()})
+    return x.withColumn("eligible", (F.col("n") >= least) & (F.col("median_qty") > 0)).drop("n")
+
+
+def cap_outliers(panel: DataFrame, baseline: DataFrame | None = None, ratio: float = 5.0, events: list[str] = EVENT_FLAGS) -> DataFrame:
+    """baseline_ratio, is_spike and qty_capped; spikes on event days stay. Integer pairs are capped at a whole number.
+
+    baseline: pair_baseline's, or None where the panel has add_baseline's columns.
+    """
+    x = panel if baseline is None else panel.join(baseline.select(*PAIR, "median_qty", "all_whole", "eligible"), PAIR, "left")
+    x = x.withColumn("eligible", F.coalesce("eligible", F.lit(False)))
     x = x.withColumn("baseline_ratio", F.when(F.col("eligible"), F.col("qty") / F.col("median_qty")))
     x = x.withColumn("is_spike", F.coalesce(F.col("baseline_ratio") >= ratio, F.lit(False)))
     event = F.lit(False)
@@ -47,12 +61,20 @@ def cap_outliers(panel: DataFrame, baseline: DataFrame, ratio: float = 5.0, even
 # --- branch and pair statistics -----------------------------------------------------------
 
 
+def branch_facts(panel: DataFrame, cutoff: str, qty: str = "qty_capped") -> DataFrame:
+    """Of each branch: first day, mean and variation of its daily totals before the cutoff, zeros included.
+
+    The facts are summed by branch and day first, so the second step sees a row for each day.
+    """
+    totals = panel.groupBy("branch", "dt").agg(F.sum(qty).alias("total"))
+    early = F.when(before(cutoff), F.col("total"))
+    out = totals.groupBy("branch").agg(F.min("dt").alias("first_dt"), F.count(F.when(before(cutoff), 1)).alias("n"), F.avg(early).alias("branch_avg_daily_qty"), F.stddev_samp(early).alias("sd"))
+    return out.select("branch", "first_dt", "n", "branch_avg_daily_qty", F.try_divide("sd", "branch_avg_daily_qty").alias("branch_demand_cv"))
+
+
 def branch_stats(panel: DataFrame, cutoff: str, qty: str = "qty_capped") -> DataFrame:
-    """Mean and variation of a branch's daily totals before the cutoff, zeros included, and its volume tier."""
-    totals = panel.where(before(cutoff)).groupBy("branch", "dt").agg(F.sum(qty).alias("total"))
-    stats = totals.groupBy("branch").agg(F.avg("total").alias("branch_avg_daily_qty"), F.stddev_samp("total").alias("sd"))
-    stats = stats.select("branch", "branch_avg_daily_qty", F.try_divide("sd", "branch_avg_daily_qty").alias("branch_demand_cv"))
-    return volume_tier(stats)
+    """Mean and variation of daily totals before the cutoff, and the volume tier, of branches that have such days."""
+    return volume_tier(branch_facts(panel, cutoff, qty).where("n > 0").drop("first_dt", "n"))
 
 
 def volume_tier(stats: DataFrame) -> DataFrame:
@@ -75,15 +97,22 @@ def days_since_relocation(rows: DataFrame, relocations: DataFrame) -> DataFrame:
     return rows.join(r, "branch", "left").withColumn("days_since_relocation", F.datediff("dt", "__moved")).drop("__moved")
 
 
-def demand_stats(panel: DataFrame, cutoff: str) -> DataFrame:
-    """ADI (days for each day with demand) and CV2 (population deviation over mean, squared) before the cutoff."""
-    positive = F.when(F.col("qty") > 0, F.col("qty"))
-    out = panel.where(before(cutoff)).groupBy(*PAIR).agg(
-        F.count("*").alias("n_days"), F.count(positive).alias("n_nonzero"), F.avg(positive).alias("mean_qty"), F.stddev_pop(positive).alias("sd_qty")
-    )
+def _demand(cutoff: str) -> dict[str, Column]:
+    positive = F.when(before(cutoff) & (F.col("qty") > 0), F.col("qty"))
+    return {"n_days": F.count_if(before(cutoff)), "n_nonzero": F.count(positive), "mean_qty": F.avg(positive), "sd_qty": F.stddev_pop(positive)}
+
+
+def _adi_cv2() -> tuple[Column, Column]:
     cv = F.try_divide("sd_qty", "mean_qty")
     adi = F.try_divide(F.col("n_days"), F.when(F.col("n_nonzero") > 0, F.col("n_nonzero")))
-    return out.select(*PAIR, "n_days", "n_nonzero", adi.alias("adi"), F.coalesce(cv * cv, F.lit(0.0)).alias("cv2"))
+    return adi, F.coalesce(cv * cv, F.lit(0.0))
+
+
+def demand_stats(panel: DataFrame, cutoff: str) -> DataFrame:
+    """ADI (days for each day with demand) and CV2 (population deviation over mean, squared) before the cutoff."""
+    out = panel.groupBy(*PAIR).agg(*[v.alias(k) for k, v in _demand(cutoff).items()]).where("n_days > 0")
+    adi, cv2 = _adi_cv2()
+    return out.select(*PAIR, "n_days", "n_nonzero", adi.alias("adi"), cv2.alias("cv2"))
 
 
 def demand_class(adi: Column, cv2: Column) -> Column:
@@ -93,9 +122,12 @@ def demand_class(adi: Column, cv2: Column) -> Column:
 
 
 def classify(panel: DataFrame, cutoff: str) -> DataFrame:
-    """demand_segment of each row's pair; pairs without rows before the cutoff are lumpy."""
-    classes = demand_stats(panel, cutoff).select(*PAIR, demand_class(F.col("adi"), F.col("cv2")).alias("demand_segment"))
-    return panel.join(classes, PAIR, "left").withColumn("demand_segment", F.coalesce("demand_segment", F.lit("lumpy")))
+    """demand_segment of each row's pair, in the pair's own partition; pairs without rows before the cutoff are lumpy."""
+    x = panel.withColumns({f"__{k}": v.over(Window.partitionBy(*PAIR)) for k, v in _demand(cutoff).items()})
+    names = {f"__{k}": k for k in _demand(cutoff)}
+    adi, cv2 = _adi_cv2()
+    x = x.withColumnsRenamed(names).withColumn("demand_segment", F.when(F.col("n_days") > 0, demand_class(adi, cv2)).otherwise("lumpy"))
+    return x.drop(*names.values())
 
 
 def event_flag(rows: DataFrame, items: DataFrame) -> DataFrame:

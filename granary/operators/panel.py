@@ -86,9 +86,9 @@ def dense_panel(days: DataFrame, closures: DataFrame | None = None, breakpoints:
 
 
 def enough_history(panel: DataFrame, cutoff: str, days: int = 60) -> DataFrame:
-    """Rows of pairs with at least `days` panel days before the cutoff."""
-    pairs = panel.where(F.col("dt") < F.lit(cutoff).cast("date")).groupBy(*PAIR).count().where(F.col("count") >= days)
-    return panel.join(pairs.drop("count"), PAIR, "left_semi")
+    """Rows of pairs with at least `days` panel days before the cutoff; counted in the pair's own partition."""
+    before = F.count_if(F.col("dt") < F.lit(cutoff).cast("date")).over(Window.partitionBy(*PAIR))
+    return panel.withColumn("__before", before).where(F.col("__before") >= days).drop("__before")
 
 
 def without_warmup(panel: DataFrame, lookback: int = 28, keys: list[str] | None = None) -> DataFrame:

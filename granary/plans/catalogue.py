@@ -821,7 +821,7 @@ def e2_model_input(spark, d):
     from . import forecast
 
     x = _featured(spark, d)
-    items = V.sales(spark, d).select("item", (F.length("item") % 2 == 0).alias("is_event_driven")).distinct()
+    items = V.table(spark, d, "part").select(F.col("p_type").alias("item"), (F.length("p_type") % 2 == 0).alias("is_event_driven")).distinct()
     rows, _ = forecast.model_input(x, items, V.CUTOFF)
     out = rows.select("item", "branch", "dt", "demand_segment", "fold_id", "lag_7", "roll_mean_7", "was_relocated", "days_since_relocation", "branch_volume_tier_idx", "is_event_driven")
     return r6(out, "lag_7", "roll_mean_7")

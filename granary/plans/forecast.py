@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import Calendar, weekend_days_ahead
 from ..operators import canon, demand, panel, windows
+from ..sources.lineage import cut, small
 
 TARGET = "target_lead_time_cumulative"
 PROXIMITY = ["days_into_ramadan", "days_until_ramadan", *[f"days_{w}_{e}" for e in ("eid_al_fitr", "eid_al_adha", "independence_day", "new_year") for w in ("since", "until")]]
@@ -49,32 +50,45 @@ def clean(raw: DataFrame, excluded_branches: list[str] = (), excluded_items: lis
 
 
 def featured(days: DataFrame, dims: Dimensions, cutoff: str, min_history: int = 60, min_pair: int = 30, ratio: float = 5.0, check_calendar: bool = True) -> DataFrame:
-    """The dense panel with all features and targets; one exchange by pair carries the windows."""
-    x = panel.dense_panel(days, dims.closures, dims.breakpoints)
+    """The dense panel with all features, targets and demand classes.
+
+    The panel is made once, in the exchange by pair that its history, baseline, caps and
+    classes need too, and written; branch facts and windows read it from there. Dimensions are broadcast
+    if their counted size allows it.
+    """
+    x = panel.dense_panel(days, small(dims.closures), small(dims.breakpoints))
     x = panel.enough_history(x, cutoff, min_history)
-    x = dims.calendar.add(x, check=check_calendar)
-    x = demand.cap_outliers(x, demand.pair_baseline(x, cutoff, min_pair), ratio)
-    x = demand.region_features(x, dims.regions)
+    columns = x.columns
+    x = demand.cap_outliers(demand.add_baseline(dims.calendar.add(x, check=False), cutoff, min_pair), None, ratio)
+    x = cut(demand.classify(x, cutoff).select(*columns, "baseline_ratio", "is_spike", "qty_capped", "demand_segment"))
+    if check_calendar:
+        dims.calendar.check_years(x)
+    facts = cut(demand.branch_facts(x, cutoff))
+    stats = demand.volume_tier(facts.where("n > 0").drop("first_dt", "n"))
+    x = demand.region_features(dims.calendar.add(x, check=False), small(dims.regions))
     if dims.outlet_features is not None:
-        x = canon.add_outlet_features(x, dims.outlet_features)
-    x = demand.days_since_relocation(x, dims.relocations)
+        x = canon.add_outlet_features(x, small(dims.outlet_features))
+    x = demand.days_since_relocation(x, small(dims.relocations))
     x = x.withColumn("target_window_weekend_days", weekend_days_ahead(F.col("dt"), F.col("lead_time_days")))
-    stats = demand.branch_stats(x, cutoff)
     x = x.withColumns(
         windows.target_columns() | windows.lag_columns() | windows.rolling_columns() | {TARGET: windows.lead_target("qty"), f"{TARGET}_capped": windows.lead_target("qty_capped")}
     )
-    x = x.join(stats, "branch", "left")
-    return demand.branch_age(x)
+    branches = facts.select("branch", "first_dt").join(stats, "branch", "left")
+    x = x.join(small(cut(branches)), "branch", "left")
+    return x.withColumn("branch_age_days", F.datediff("dt", "first_dt")).drop("first_dt")
 
 
 def model_input(x: DataFrame, event_items: DataFrame, cutoff: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, mapping): event flag, demand class, folds, imputed features and category indices."""
-    x = demand.event_flag(x, event_items)
-    x = demand.assign_folds(demand.classify(x, cutoff), cutoff)
+    """(rows, mapping): event flag, demand class, folds, imputed features and category indices.
+
+    The mapping is written once; each column looks its values up there.
+    """
+    x = demand.event_flag(x, small(event_items))
+    x = demand.assign_folds(x if "demand_segment" in x.columns else demand.classify(x, cutoff), cutoff)
     x = demand.impute(x, [c for c in PROXIMITY if c in x.columns], [c for c in HISTORY if c in x.columns])
     columns = [c for c in CATEGORICAL if c in x.columns]
-    mapping = demand.category_mapping(x, columns, cutoff, existing)
-    return demand.encode(x, mapping, columns), mapping
+    mapping = cut(demand.category_mapping(x, columns, cutoff, existing))
+    return demand.encode(x, small(mapping), columns), mapping
 
 
 def vanished_branches(days: DataFrame, x: DataFrame) -> DataFrame:

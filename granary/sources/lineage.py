@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
-#: Used where the session names no shared folder (tests, a single machine).
-LOCAL_FOLDER = "/tmp/checkpoints"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Used where the session names no shared folder, on a single machine only (tests).
+LOCAL_FOLDER = "file:///tmp/checkpoints"
+#: Rows of a table that counts as a small dimension, at most.
+SMALL_ROWS = 100_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (base or LOCAL_FOLDER).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, materialised by checkpoint(); survives lost executors."""
+    """The rows, written as a table and read again; survives lost executors, removed when the JVM ends.
+
+    Unlike checkpoint() this computes the rows once, and what reads them takes only its columns.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/granary-cut-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A dimension, broadcast if it has SMALL_ROWS rows at most (counted, and no further)."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
