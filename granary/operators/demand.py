@@ -232,6 +232,21 @@ def one_hot(rows: DataFrame, column: str, levels: list[int]) -> DataFrame:
     return rows.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in levels}).drop(column)
 
 
+def training_levels(train: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, level, code): the sorted distinct levels of each column in training, coded from 0 in their order."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("int").alias("level")) for c in columns]))
+    levels = train.select(pairs.alias("p")).select("p.*").where("level is not null").distinct()
+    return levels.withColumn("code", F.row_number().over(Window.partitionBy("col").orderBy("level")) - 1)
+
+
+def native_codes(rows: DataFrame, levels: DataFrame, columns: list[str]) -> DataFrame:
+    """<column>_code of each column by the training levels; a level that training lacks is null, not another's code."""
+    for c in columns:
+        m = levels.where(F.col("col") == c).select(F.col("level").alias(c), F.col("code").alias(f"{c}_code"))
+        rows = rows.join(m, c, "left")
+    return rows
+
+
 def impute(rows: DataFrame, proximity: list[str], history: list[str]) -> DataFrame:
     """Indicators first, then fills: far-away sentinel for event distances, 0 for history and relocation, 1 for the ratio."""
     x = {}

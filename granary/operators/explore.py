@@ -98,3 +98,61 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
 
 def largest(rows: DataFrame, column: str, n: int, ties: list[str]) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(column), *ties).limit(n)
+
+
+def month_profile(days: DataFrame) -> DataFrame:
+    """Mean daily total of each branch by month of the year."""
+    totals = days.groupBy("branch", "dt").agg(F.sum("qty").alias("total"))
+    return totals.groupBy("branch", F.month("dt").alias("month")).agg(F.avg("total").alias("mean_qty"))
+
+
+def category_profile(days: DataFrame) -> DataFrame:
+    """Mean daily total of each category by weekday."""
+    totals = days.groupBy("category", "dt").agg(F.sum("qty").alias("total"))
+    return totals.groupBy("category", F.weekday("dt").alias("dow")).agg(F.avg("total").alias("mean_qty"))
+
+
+def describe(rows: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
+    """Count, mean, sample deviation, least, exact quartiles and largest of a column."""
+    quartiles = [F.percentile(column, F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
+    return rows.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *quartiles, F.max(column).alias("max"))
+
+
+def box_stats(rows: DataFrame, column: str, by: str) -> DataFrame:
+    """Quartiles and whiskers of each group: the farthest values within 1.5 times the quartiles' distance."""
+    q = rows.groupBy(by).agg(*[F.percentile(column, F.lit(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    q = q.withColumn("reach", 1.5 * (F.col("q75") - F.col("q25")))
+    inside = rows.select(by, F.col(column).alias("v")).join(q, by).where("v >= q25 - reach and v <= q75 + reach")
+    ends = inside.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return q.drop("reach").join(ends, by)
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of each value, null among them."""
+    return rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+
+
+def sample_rows(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """`n` rows, the same for a seed however the rows are dealt: those whose keys hash lowest with it."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def spikes(days: DataFrame, ratio: float = 5.0, prefix: str | None = None) -> DataFrame:
+    """Days of at least `ratio` times the pair's median of positive days, over its whole history; `prefix` keeps items that start with it."""
+    x = days.where(F.col("item").startswith(prefix)) if prefix else days
+    median = F.median(F.when(F.col("qty") > 0, F.col("qty"))).over(Window.partitionBy(*PAIR))
+    x = x.withColumn("median_qty", median).withColumn("ratio", F.when(F.col("median_qty") > 0, F.col("qty") / F.col("median_qty")))
+    return x.where(F.col("ratio") >= ratio)
+
+
+def failing_pairs(panel: DataFrame, cutoff: str, least: int) -> DataFrame:
+    """Pairs with fewer than `least` days before the cutoff, and why: no other pair of the item, or of the branch, has enough."""
+    n = panel.groupBy(*PAIR).agg(F.count_if(F.col("dt") < F.lit(cutoff).cast("date")).alias("n"))
+    flagged = n.withColumns({f"__{c}": F.max((F.col("n") >= least).cast("int")).over(Window.partitionBy(c)) for c in PAIR})
+    reason = F.when(F.col("__item") == 0, "new item").when(F.col("__branch") == 0, "new branch").otherwise("other")
+    return flagged.where(F.col("n") < least).select(*PAIR, "n", reason.alias("reason"))
+
+
+def group_values(rows: DataFrame, keys: list[str], aggregates: dict) -> DataFrame:
+    """Aggregates of each row's group as columns beside it."""
+    return rows.withColumns({k: a.over(Window.partitionBy(*keys)) for k, a in aggregates.items()})

@@ -6,21 +6,18 @@ fitted by Spark ML on all executors; quantiles are read off their leaves.
 
 from __future__ import annotations
 
-import csv
 import json
 import random
 import time
 from collections.abc import Callable, Iterable
 from itertools import product
-from pathlib import Path
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.lineage import cut
 from . import demand, metrics
 
@@ -29,14 +26,22 @@ QUANTILE = 0.9
 MEMORY_BUDGET = 3 << 30
 Forecaster = Callable[[DataFrame, DataFrame], DataFrame]
 
-#: The search spaces.
+#: Defaults and search spaces, by the names that the learners here take.
+FOREST_DEFAULTS = {"n_trees": 200, "max_depth": 16, "min_leaf": 50, "leaf_samples": 20, "subset": "sqrt", "rows_share": None, "log_target": False, "encoding": "ordinal"}
 FOREST_SPACE = {
-    "n_trees": [100, 200, 300],
-    "max_depth": [8, 12, 16, 20],
-    "min_leaf": [5, 10, 20, 50],
-    "subset": ["sqrt", "onethird", "0.5", "all"],
+    "max_depth": [12, 16, 20],
+    "min_leaf": [20, 50, 100, 200],
+    "leaf_samples": [1, 20, 50],
+    "subset": ["sqrt", "0.3", "0.5", "all"],
+    "rows_share": [None, 0.5],
+    "log_target": [False, True],
+    "encoding": ["ordinal", "one_hot"],
 }
-BOOST_SPACE = {"depth": [4, 6, 8], "rate": [0.03, 0.05, 0.1], "min_leaf": [5, 20, 50], "rounds": [50, 100, 200]}
+BOOST_DEFAULTS = {"depth": 6, "rate": 0.05, "min_leaf": 10, "rows_share": 1.0, "encoding": "ordinal", "log_target": False}
+BOOST_SPACE = {"depth": [4, 6, 8, 10], "rate": [0.03, 0.05, 0.1], "min_leaf": [1, 10, 50], "rows_share": [0.7, 1.0], "encoding": ["ordinal", "native", "one_hot"], "log_target": [False, True]}
+BOOST_ROUNDS, BOOST_PATIENCE = 2000, 50
+#: Centroids of a quantile sketch of residuals: its memory, and the inverse of its error in rank.
+SKETCH = 10_000
 
 
 def vectors(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -55,15 +60,44 @@ def embedding_sizes(mapping: DataFrame) -> list[tuple[str, int, int]]:
     return [(r.col, r.n + 1, min(16, (r.n + 2) // 2)) for r in top]
 
 
+def _indexed(features: list[str]) -> list[str]:
+    return [c for c in features if c.endswith("_idx")]
+
+
+def encoded(train: DataFrame, other: DataFrame, features: list[str], encoding: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(train, other, features) with category indices as they are, as codes of the training levels, or as 0/1 columns."""
+    if encoding == "ordinal":
+        return train, other, features
+    cats = _indexed(features)
+    levels = demand.training_levels(train, cats)
+    if encoding == "native":
+        coded = [demand.native_codes(x, levels, cats).fillna(-1, [f"{c}_code" for c in cats]) for x in (train, other)]
+        return coded[0], coded[1], [f"{c}_code" if c in cats else c for c in features]
+    if encoding == "one_hot":
+        by_column: dict[str, list[int]] = {}
+        for r in levels.orderBy("col", "level").collect():
+            by_column.setdefault(r.col, []).append(r.level)
+        for c, values in by_column.items():
+            train, other = demand.one_hot(train, c, values), demand.one_hot(other, c, values)
+        return train, other, [c for c in features if c not in cats] + [f"{c}_{v}" for c, values in by_column.items() for v in values]
+    raise ValueError(f"unknown encoding {encoding!r}")
+
+
 class LeafQuantiles:
-    """Quantiles of the training targets that share a prediction row's leaves; each tree weighs alike."""
+    """Quantiles of the training targets that share a prediction row's leaves; each tree weighs alike.
+
+    Of each leaf at most `samples` targets are kept, those of the least hashes of their rows.
+    """
+
+    def __init__(self, model: RandomForestRegressionModel, train: DataFrame, target: str, samples: int = 20):
+        from pyspark.sql.window import Window
 
-    def __init__(self, model: RandomForestRegressionModel, train: DataFrame, target: str):
         self.model = model
-        leaves = self._leaves(train.select(F.col(target).cast("double").alias("y"), "features"))
-        groups = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("size"))
-        values = leaves.groupBy("tree", "leaf", "y").agg(F.count("*").alias("n"))
-        self.values = values.join(groups, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("n") / F.col("size")).alias("w"))
+        rows = train.select(F.col(target).cast("double").alias("y"), F.xxhash64(*[c for c in KEYS if c in train.columns], target).alias("h"), "features")
+        leaves = self._leaves(rows)
+        kept = leaves.withColumn("r", F.row_number().over(Window.partitionBy("tree", "leaf").orderBy(F.xxhash64("h", "tree"), "h"))).where(F.col("r") <= samples)
+        values = kept.groupBy("tree", "leaf").agg(F.collect_list("y").alias("ys"))
+        self.values = values.withColumn("ys", F.transform("ys", lambda y: F.struct(y.alias("y"), (F.lit(1.0) / F.size("ys")).alias("w"))))
 
     def _leaves(self, rows: DataFrame) -> DataFrame:
         scored = self.model.setLeafCol("__leaves").transform(rows)
@@ -74,119 +108,117 @@ class LeafQuantiles:
         return scored.withColumn("__vec", vector_to_array("__leaves")).select(*keep, each.alias("tree", "leaf"))
 
     def predict(self, rows: DataFrame, keys: list[str] = KEYS, quantile: float = QUANTILE) -> DataFrame:
-        from pyspark.sql.window import Window
-
+        """A row gathers trees x samples values at most, in one array."""
         hits = self._leaves(rows.select(*keys, "features")).join(self.values, ["tree", "leaf"])
-        weights = hits.groupBy(*keys, "y").agg(F.sum("w").alias("w"))
-        order = Window.partitionBy(*keys).orderBy("y")
-        share = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy(*keys))
-        reached = weights.withColumn("share", share).where(F.col("share") >= quantile - 1e-9)
-        return reached.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.min("y")).alias("prediction"))
+        drawn = hits.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("ys"))).alias("ys"))
+        need = F.aggregate("ys", F.lit(0.0), lambda a, v: a + v["w"]) * quantile - 1e-9
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("y"))
+        drawn = drawn.withColumn("need", need)
+        reach = F.aggregate("ys", start, lambda a, v: F.struct((a["w"] + v["w"]).alias("w"), F.coalesce(a["y"], F.when(a["w"] + v["w"] >= F.col("need"), v["y"])).alias("y")))["y"]
+        return drawn.select(*keys, F.greatest(F.lit(0.0), reach).alias("prediction"))
+
 
+def _forest(train: DataFrame, features: list[str], target: str, n_trees: int, max_depth: int, min_leaf: int, subset: str, rows_share: float | None, seed: int) -> tuple[RandomForestRegressionModel, DataFrame]:
+    x = vectors(train.withColumn(target, F.col(target).cast("double")), features)
+    rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=n_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, subsamplingRate=rows_share or 1.0, seed=seed)
+    return rf.fit(x.select("features", target)), x
 
-def quantile_forest(features: list[str], target: str, n_trees: int = 20, max_depth: int = 8, min_leaf: int = 5, subset: str = "onethird", quantile: float = QUANTILE, budget: int = MEMORY_BUDGET, log_target: bool = False, seed: int = 42) -> Forecaster:
+
+def quantile_forest(
+    features: list[str], target: str, n_trees: int = 200, max_depth: int = 16, min_leaf: int = 50, leaf_samples: int = 20, subset: str = "sqrt", rows_share: float | None = None,
+    encoding: str = "ordinal", quantile: float = QUANTILE, budget: int = MEMORY_BUDGET, log_target: bool = False, seed: int = 42,
+) -> Forecaster:
     def forecast(train: DataFrame, valid: DataFrame) -> DataFrame:
-        if (need := leaf_bytes(n_trees, max_depth, min_leaf, train.count())) > budget:
+        if (need := leaf_bytes(n_trees, max_depth, min_leaf, train.count(), leaf_samples)) > budget:
             raise MemoryError(f"leaves may need {need} bytes; the budget is {budget}")
-        y = F.log1p(target) if log_target else F.col(target)
-        x = vectors(train.withColumn(target, y.cast("double")), features)
-        rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=n_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
-        out = LeafQuantiles(rf.fit(x.select("features", target)), x, target).predict(vectors(valid, features), quantile=quantile)
+        train, valid, names = encoded(train, valid, features, encoding)
+        train = train.withColumn(target, F.log1p(target)) if log_target else train
+        model, x = _forest(train, names, target, n_trees, max_depth, min_leaf, subset, rows_share, seed)
+        out = LeafQuantiles(model, x, target, leaf_samples).predict(vectors(valid, names), quantile=quantile)
         return out.withColumn("prediction", F.greatest(F.lit(0.0), F.expm1("prediction"))) if log_target else out
 
     return forecast
 
 
-def boosted_quantiles(features: list[str], target: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, min_leaf: int = 20, patience: int = 5, tail_days: int = 30, quantile: float = QUANTILE, seed: int = 42) -> Forecaster:
-    """Gradient boosting of the pinball loss: trees on the loss's sign, leaves set to the residuals' quantile.
-
-    Rounds are chosen on the last `tail_days` days, then all rows are fitted with that many.
-    """
+class Boosted:
+    """A base value and steps (tree, value of each leaf)."""
 
-    def boost(train: DataFrame, valid: DataFrame | None, most: int) -> tuple[float, list]:
-        x = vectors(train, features).select("features", F.col(target).cast("double").alias("y"))
-        base = x.agg(F.percentile("y", F.lit(quantile))).first()[0]
-        x = x.withColumn("f", F.lit(base))
-        v = vectors(valid, features).select("features", F.col(target).cast("double").alias("y"), F.lit(base).alias("f")) if valid is not None else None
-        steps, best, best_at = [], float("inf"), 0
-        for k in range(most):
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="g", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, leafCol="leaf")
-            graded = x.withColumn("g", F.lit(quantile) - (F.col("y") < F.col("f")).cast("double"))
-            model = tree.fit(graded.select("features", "g"))
-            leaf = model.transform(x).groupBy("leaf").agg(F.percentile(F.col("y") - F.col("f"), F.lit(quantile)).alias("step")).collect()
-            values = {r.leaf: rate * r.step for r in leaf}
-            steps.append((model, values))
-            x = _step(x, model, values)
-            if k % 5 == 4:  # else each round would run all trees before it again
-                x, v = cut(x), cut(v) if v is not None else None
-            if v is not None:
-                v = _step(v, model, values)
-                loss = v.select(F.col("y").alias("target"), F.col("f").alias("prediction")).agg(metrics.aggregates(quantile)["pinball"]).first()[0]
-                if loss < best - 1e-12:
-                    best, best_at = loss, k + 1
-                elif k + 1 - best_at >= patience:
-                    break
-        return base, steps[:best_at] if v is not None else steps
+    def __init__(self, base: float, steps: list[tuple[DecisionTreeRegressionModel, dict[int, float]]]):
+        self.base, self.steps = base, steps
 
-    def forecast(train: DataFrame, valid: DataFrame) -> DataFrame:
-        fit, tail = demand.early_stopping(train, tail_days)
-        _, chosen = boost(fit, tail, rounds)
-        base, steps = boost(train, None, max(1, len(chosen)))
-        out = vectors(valid, features).select(*KEYS, "features", F.lit(base).alias("f"))
-        for model, values in steps:
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """`rows` (with features) with `f`."""
+        out = rows.withColumn("f", F.lit(float(self.base)))
+        for model, values in self.steps:
             out = _step(out, model, values)
-        return out.select(*KEYS, F.greatest(F.lit(0.0), F.col("f")).alias("prediction"))
-
-    return forecast
-
-
-def _step(x: DataFrame, model, values: dict[float, float]) -> DataFrame:
-    table = F.create_map(*[F.lit(float(v)) for pair in values.items() for v in pair])
-    cols = [c for c in x.columns if c != "f"]
-    scored = model.transform(x)
-    return scored.select(*cols, (F.col("f") + F.coalesce(F.try_element_at(table, F.col("leaf")), F.lit(0.0))).alias("f"))
+        return out
 
 
-def linear_windows(features: list[str], target: str, lookback: int = 28, quantile: float = QUANTILE, epochs: int = 30, rate: float = 0.05, sample: int = 50_000) -> Forecaster:
-    """A stand-in for a recurrent network: linear quantile regression in numpy on flattened windows.
+def _boost(x: DataFrame, v: DataFrame | None, rounds: int, depth: int, rate: float, min_leaf: int, rows_share: float, patience: int, quantile: float, seed: int) -> Boosted:
+    """Boosting of the pinball loss over (features, y): trees on the loss's sign, leaves set to the residuals' quantile.
 
-    Columns: window (arrays of features for each day). Fitted on at most `sample` windows of
-    the least key hashes; predictions run on the executors.
+    Quantiles are read from mergeable sketches, so no task holds a leaf's residuals. With `v`,
+    the rounds that were best there are kept.
     """
+    middle = lambda c: F.percentile_approx(c, quantile, SKETCH)
+    base = float(x.agg(middle("y")).first()[0])
+    x = x.withColumn("f", F.lit(base))
+    v = v.withColumn("f", F.lit(base)) if v is not None else None
+    steps, best, best_at = [], float("inf"), 0
+    for k in range(rounds):
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="g", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, leafCol="leaf")
+        graded = x.withColumn("g", F.lit(quantile) - (F.col("y") < F.col("f")).cast("double"))
+        drawn = graded if rows_share >= 1 else graded.where(F.pmod(F.xxhash64("y", "f", F.lit(seed + k)), F.lit(1000)) < int(1000 * rows_share))
+        model = tree.fit(drawn.select("features", "g"))
+        leaf = model.transform(x).groupBy("leaf").agg(middle(F.col("y") - F.col("f")).alias("step")).collect()  # 2 ** depth rows at most
+        values = {int(r.leaf): rate * r.step for r in leaf}
+        steps.append((model, values))
+        x = _step(x, model, values)
+        v = _step(v, model, values) if v is not None else None
+        if k % 5 == 4:  # else each round would run all trees before it again
+            x, v = cut(x), cut(v) if v is not None else None
+        if v is not None:
+            loss = v.select(F.col("y").alias("target"), F.col("f").alias("prediction")).agg(metrics.aggregates(quantile)["pinball"]).first()[0]
+            if loss < best - 1e-12:
+                best, best_at = loss, k + 1
+            elif k + 1 - best_at >= patience:
+                break
+    return Boosted(base, steps[:best_at] if v is not None else steps)
+
+
+def boosted_quantiles(
+    features: list[str], target: str, rounds: int = BOOST_ROUNDS, depth: int = 6, rate: float = 0.05, min_leaf: int = 10, rows_share: float = 1.0, encoding: str = "ordinal",
+    log_target: bool = False, patience: int = BOOST_PATIENCE, tail_days: int = 30, quantile: float = QUANTILE, seed: int = 42,
+) -> Forecaster:
+    """Boosted quantile trees; rounds are chosen on the last `tail_days` days, then all rows are fitted with that many."""
+    y = F.log1p(target) if log_target else F.col(target)
 
     def forecast(train: DataFrame, valid: DataFrame) -> DataFrame:
-        rows = train.orderBy(F.xxhash64(*KEYS), *KEYS).limit(sample).select("window", target).toPandas()
-        x = np.array([np.concatenate([np.asarray(r, dtype=np.float64) for r in w]) for w in rows["window"]])
-        y = rows[target].to_numpy(dtype=float)
-        mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        w[-1] = np.quantile(y, quantile)
-        scale = max(1.0, float(y.std()))
-        for k in range(epochs):
-            d = y - z @ w
-            w += rate * scale / (1 + k) ** 0.5 * z.T @ np.where(d >= 0, quantile, quantile - 1) / len(y)
-        if not np.isfinite(w).all():
-            raise ValueError("the loss is not finite")
-
-        def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    v = np.array([np.concatenate([np.asarray(r, dtype=np.float64) for r in win]) for win in b["window"]])
-                    b["prediction"] = np.maximum(0.0, np.hstack([(v - mean) / sd, np.ones((len(v), 1))]) @ w)
-                    yield b[[*KEYS, "prediction"]]
-
-        return valid.select(*KEYS, "window").mapInPandas(run, "item string, branch string, dt date, prediction double")
+        train, valid, names = encoded(train, valid, features, encoding)
+        fit, tail = (cut(vectors(x, names).select("features", y.cast("double").alias("y"))) for x in demand.early_stopping(train, tail_days))
+        options = (depth, rate, min_leaf, rows_share, patience, quantile, seed)
+        chosen = len(_boost(fit, tail, rounds, *options).steps)
+        whole = cut(vectors(train, names).select("features", y.cast("double").alias("y")))
+        out = _boost(whole, None, max(1, chosen), *options).predict(vectors(valid, names).select(*KEYS, "features"))
+        return out.select(*KEYS, F.greatest(F.lit(0.0), F.expm1("f") if log_target else F.col("f")).alias("prediction"))
 
     return forecast
 
 
+def _step(x: DataFrame, model, values: dict[int, float]) -> DataFrame:
+    pairs = F.array(*[F.lit(float(values.get(i, 0.0))) for i in range(max(values, default=0) + 1)])
+    cols = [c for c in x.columns if c != "f"]
+    scored = model.transform(x)
+    return scored.select(*cols, (F.col("f") + F.coalesce(F.get(pairs, F.col("leaf").cast("int")), F.lit(0.0))).alias("f"))
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 
 def run_fold(eligible: DataFrame, fold: int, forecast: Forecaster, cutoff: str, target: str, name: str = "model", groups: list[str] = (), alpha: float = QUANTILE) -> DataFrame:
     """Scores of a model and the naive baselines on one fold's rows, overall and by group."""
     train, valid = demand.fold_train(eligible, fold, cutoff), eligible.where(F.col("fold_id") == fold)
+    assert_no_leak(train, valid, cutoff)
     predicted = forecast(train, valid)
     rows = valid.join(predicted.select(*KEYS, "prediction"), KEYS, "left")
     if bad := rows.where("prediction is null").limit(1).count():
@@ -244,9 +276,9 @@ def run_search(eligible: DataFrame, candidates: list[dict], make: Callable[...,
     Each is written to the checkpoint as it ends; a checkpoint of other candidates raises.
     """
     done: list[dict] = []
-    if checkpoint and Path(checkpoint).exists():
-        with open(checkpoint, newline="", encoding="utf-8") as f:
-            done = [{"candidate": int(r["candidate"]), "params": json.loads(r["params"]), "pinball": float(r["pinball"]) if r["pinball"] else None, "error": r["error"], "seconds": float(r["seconds"])} for r in csv.DictReader(f)]
+    spark = eligible.sparkSession
+    if checkpoint and files.exists(spark, checkpoint):
+        done = json.loads(files.read_text(spark, checkpoint))
         if any(r["candidate"] >= len(candidates) or r["params"] != candidates[r["candidate"]] for r in done):
             raise ValueError(f"{checkpoint} belongs to other candidates")
     for i, params in enumerate(candidates):
@@ -260,10 +292,7 @@ def run_search(eligible: DataFrame, candidates: list[dict], make: Callable[...,
             error = str(e)
         done.append({"candidate": i, "params": params, "pinball": pinball, "error": error, "seconds": time.time() - began})
         if checkpoint:
-            with open(checkpoint, "w", newline="", encoding="utf-8") as f:
-                w = csv.DictWriter(f, ["candidate", "params", "pinball", "error", "seconds"])
-                w.writeheader()
-                w.writerows([{**r, "params": json.dumps(r["params"], sort_keys=True), "pinball": "" if r["pinball"] is None else r["pinball"]} for r in done])
+            files.write_text(spark, json.dumps(done, sort_keys=True), checkpoint)
     return sorted(done, key=lambda r: r["candidate"])
 
 
@@ -274,21 +303,51 @@ def select_best(results: list[dict]) -> dict:
     return min(scored, key=lambda r: (r["pinball"], r["candidate"]))["params"]
 
 
-def fit_final(rows: DataFrame, features: list[str], target: str, cutoff: str, path: str, n_trees: int = 20, max_depth: int = 8, min_leaf: int = 5, subset: str = "onethird", seed: int = 42) -> None:
-    """Fit a quantile forest on all rows before the cutoff, purged there, and save the bundle below `path`."""
-    train = vectors(rows.where(demand.before(cutoff) & demand.looks_ahead_safely(cutoff)).withColumn(target, F.col(target).cast("double")), features)
-    rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=n_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
-    model = rf.fit(train.select("features", target))
-    model.write().overwrite().save(f"{path}/model")
-    LeafQuantiles(model, train, target).values.write.mode("overwrite").parquet(f"{path}/leaves")
-    spark = rows.sparkSession
-    spark.createDataFrame([(json.dumps({"features": features, "target": target, "cutoff": cutoff}),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+def _save_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
 
+def fit_final(rows: DataFrame, features: list[str], target: str, cutoff: str, path: str, kind: str = "forest", quantile: float = QUANTILE, seed: int = 42, **params) -> None:
+    """Fit a forest or boosted trees on all rows before the cutoff, purged there, and save the bundle below `path`.
 
-def predict_bundle(path: str, rows: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Predictions of a saved bundle; its own feature order is used."""
+    The bundle holds the features' order, the category levels' encoding is ordinal, and the
+    target's scale; a reloaded model reads no order from what it is given.
+    """
+    train = rows.where(demand.before(cutoff) & demand.looks_ahead_safely(cutoff))
+    spark, log = rows.sparkSession, bool(params.pop("log_target", False))
+    y = (F.log1p(target) if log else F.col(target)).cast("double")
+    meta = {"kind": kind, "features": features, "target": target, "cutoff": cutoff, "log_target": log, "quantile": quantile, "params": params, "n_train": train.count()}
+    if kind == "forest":
+        p = {k: v for k, v in FOREST_DEFAULTS.items() if k not in ("log_target", "encoding")} | params
+        samples = p.pop("leaf_samples")
+        model, x = _forest(train.withColumn(target, y), features, target, seed=seed, **p)
+        model.write().overwrite().save(f"{path}/model")
+        LeafQuantiles(model, x, target, samples).values.write.mode("overwrite").parquet(f"{path}/leaves")
+    elif kind == "boost":
+        p = {k: v for k, v in BOOST_DEFAULTS.items() if k not in ("log_target", "encoding")} | {"rounds": BOOST_ROUNDS, "patience": BOOST_PATIENCE} | params
+        rounds = p.pop("rounds")
+        fit, tail = (cut(vectors(x, features).select("features", y.alias("y"))) for x in demand.early_stopping(train))
+        chosen = max(1, len(_boost(fit, tail, rounds, quantile=quantile, seed=seed, **p).steps))
+        model = _boost(cut(vectors(train, features).select("features", y.alias("y"))), None, chosen, quantile=quantile, seed=seed, **p)
+        for k, (tree, _) in enumerate(model.steps):
+            tree.write().overwrite().save(f"{path}/tree{k}")
+        meta |= {"base": model.base, "steps": [{str(a): b for a, b in v.items()} for _, v in model.steps]}
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    _save_meta(spark, path, meta)
+
+
+def predict_bundle(path: str, rows: DataFrame, quantile: float | None = None) -> DataFrame:
+    """Predictions of a saved bundle; its own feature order and target scale are used."""
     spark = rows.sparkSession
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    q = LeafQuantiles.__new__(LeafQuantiles)
-    q.model, q.values = RandomForestRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/leaves")
-    return q.predict(vectors(rows, meta["features"]), quantile=quantile)
+    x = vectors(rows, meta["features"])
+    if meta["kind"] == "forest":
+        q = LeafQuantiles.__new__(LeafQuantiles)
+        q.model, q.values = RandomForestRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/leaves")
+        out = q.predict(x, quantile=quantile or meta["quantile"])
+    else:
+        steps = [(DecisionTreeRegressionModel.load(f"{path}/tree{k}"), {int(a): b for a, b in v.items()}) for k, v in enumerate(meta["steps"])]
+        out = Boosted(meta["base"], steps).predict(x.select(*KEYS, "features")).select(*KEYS, F.col("f").alias("prediction"))
+    value = F.expm1("prediction") if meta["log_target"] else F.col("prediction")
+    return out.select(*KEYS, F.greatest(F.lit(0.0), value).alias("prediction"))

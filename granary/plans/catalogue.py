@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as K
 from ..functions import text as T
-from ..operators import canon, demand, explore, metrics, panel, qa, windows
+from ..operators import canon, demand, explore, metrics, panel, qa, sequences, windows
 from ..sources.lineage import cut
 from . import views as V
 
@@ -244,11 +244,7 @@ def jn_event_flag(spark, d):
     good AS (SELECT * FROM n WHERE n >= 10) SELECT item, branch, n, CASE WHEN item NOT IN (SELECT item FROM good) THEN 'new item' WHEN branch NOT IN (SELECT branch FROM good) THEN 'new branch' ELSE 'other' END AS reason FROM bad"""
 )
 def jn_failing_pairs(spark, d):
-    n = _ev(spark, d).groupBy("item", "branch").agg(F.count_if(demand.before(V.EV_CUTOFF)).alias("n"))
-    good = n.where("n >= 10")
-    items, branches = good.select("item", F.lit(True).alias("i")).distinct(), good.select("branch", F.lit(True).alias("b")).distinct()
-    out = n.where("n < 10").join(items, "item", "left").join(branches, "branch", "left")
-    return out.select("item", "branch", "n", F.when(F.col("i").isNull(), "new item").when(F.col("b").isNull(), "new branch").otherwise("other").alias("reason"))
+    return explore.failing_pairs(_ev(spark, d), V.EV_CUTOFF, 10)
 
 
 # --- aggregates ----------------------------------------------------------------------------
@@ -469,8 +465,7 @@ def win_pareto(spark, d):
 
 @query(f"WITH {V.SALES} SELECT item, branch, dt, COUNT(*) OVER (PARTITION BY item, branch) AS n, median(qty) OVER (PARTITION BY item, branch) AS median_qty FROM sales")
 def win_transform(spark, d):
-    w = panel.Window.partitionBy("item", "branch")
-    return V.sales(spark, d).select("item", "branch", "dt", F.count("*").over(w).alias("n"), F.median("qty").over(w).alias("median_qty"))
+    return explore.group_values(V.sales(spark, d).select("item", "branch", "dt", "qty"), ["item", "branch"], {"n": F.count("*"), "median_qty": F.median("qty")}).drop("qty")
 
 
 @query(f"WITH {V.EC_BASE}, n AS (SELECT item, branch, dt, ROW_NUMBER() OVER ({V.W}) n, SUM(qty) OVER w s, MIN(qty) OVER w lo, MAX(qty) OVER w hi FROM panel WINDOW w AS ({V.W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) SELECT item, branch, dt, 7 AS len, ROUND(s, 2) AS s, ROUND(lo, 2) AS lo, ROUND(hi, 2) AS hi FROM n WHERE n > 7")
@@ -620,12 +615,18 @@ def spl_early_stop(spark, d):
 
 # --- encoding ------------------------------------------------------------------------------
 
-MAPPING = """vals AS (SELECT DISTINCT 'category' col, category value FROM t WHERE k % 4 < 3 AND category IS NOT NULL UNION SELECT DISTINCT 'unit', unit FROM t WHERE k % 4 < 3),
+ENC_CUT = "2024-01-22"
+DT = f"CAST(strptime(dt_text, '%d %b %Y') AS DATE) < DATE '{ENC_CUT}'"
+MAPPING = f"""vals AS (SELECT DISTINCT 'category' col, category value FROM t WHERE {DT} AND category IS NOT NULL UNION SELECT DISTINCT 'unit', unit FROM t WHERE {DT}),
 mapping AS (SELECT col, value, CAST(ROW_NUMBER() OVER (PARTITION BY col ORDER BY value) AS INT) idx FROM vals)"""
 
 
+def _dated(spark, d) -> DataFrame:
+    return V.texts(spark, d).withColumn("dt", T.parse_date(F.col("dt_text")))
+
+
 def _mapping(spark, d) -> DataFrame:
-    return demand.category_mapping(V.texts(spark, d).where("k % 4 < 3"), ["category", "unit"])
+    return demand.category_mapping(_dated(spark, d), ["category", "unit"], ENC_CUT)
 
 
 @query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING} SELECT * FROM mapping")
@@ -639,7 +640,7 @@ _KNOWN = [("category", "Snack (FG)", 1), ("category", "Retired", 2), ("unit", "P
 @query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING}, {V.values('known', 'col, value, idx', _KNOWN)}, top AS (SELECT col, MAX(idx) b FROM known GROUP BY 1) SELECT col, value, idx FROM known UNION ALL SELECT v.col, v.value, CAST(b + ROW_NUMBER() OVER (PARTITION BY v.col ORDER BY v.value) AS INT) FROM vals v JOIN top USING (col) WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.col = v.col AND k.value = v.value)")
 def enc_extend_mapping(spark, d):
     known = spark.createDataFrame(_KNOWN, "col string, value string, idx int")
-    return demand.category_mapping(V.texts(spark, d).where("k % 4 < 3"), ["category", "unit"], existing=known)
+    return demand.category_mapping(_dated(spark, d), ["category", "unit"], ENC_CUT, existing=known)
 
 
 @query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING} SELECT k, COALESCE(c.idx, 0) AS category_idx, COALESCE(u.idx, 0) AS unit_idx FROM t LEFT JOIN mapping c ON c.col = 'category' AND c.value = category LEFT JOIN mapping u ON u.col = 'unit' AND u.value = unit")
@@ -776,6 +777,124 @@ def qa_checks(spark, d):
     return qa.qa_checks(_led(spark, d), V.closures(spark), ["item", "branch", "dt", "qty", "segment_id"])
 
 
+# violations planted by rules that both engines share; each check must count its own
+PLANT = f"""SELECT item, branch, CASE WHEN day(dt) = 9 AND item = m THEN qty - 1000 ELSE qty END qty, CASE WHEN day(dt) = 10 AND item = m THEN qty + 1 ELSE qty END qty_capped, qty target_lead_time_cumulative,
+  CASE WHEN day(dt) = 11 AND item = m THEN qty + 1 ELSE qty END target_lead_time_cumulative_capped, CASE WHEN branch = 'u7' THEN 'Unknown' WHEN branch = 'u8' AND day(dt) > 5 THEN 'B' ELSE 'A' END city,
+  CASE WHEN branch = 'u9' THEN NULL ELSE 1 END region, CASE WHEN branch = 'u3' THEN 3 WHEN branch = 'u4' AND day(dt) > 15 THEN 3 ELSE 1 END segment_id,
+  CASE WHEN branch = 'u5' AND day(dt) = 12 THEN date_add(dt, {{}}) ELSE dt END dt FROM (SELECT *, min(item) OVER () m FROM panel)"""
+_SHUT = [("u6", "2024-01-10", "2024-01-14")]
+_SEG = "item, branch, segment_id"
+
+
+@query(
+    f"""WITH {V.EC_BASE}, x AS ({PLANT.format('INTERVAL 1 DAY')}), x2 AS (SELECT * REPLACE (CAST(dt AS DATE) AS dt) FROM x), st AS (SELECT *, dt - LAG(dt) OVER (PARTITION BY {_SEG} ORDER BY dt) s FROM x2), pr AS (SELECT item, branch, MIN(segment_id) lo, MAX(segment_id) hi, COUNT(DISTINCT segment_id) n FROM x2 GROUP BY 1, 2)
+    SELECT 'qty_not_negative' AS "check", COUNT(*) AS violations FROM x2 WHERE qty < 0 UNION ALL SELECT 'capped_within_raw', COUNT(*) FROM x2 WHERE qty_capped > qty UNION ALL SELECT 'capped_target_within_raw', COUNT(*) FROM x2 WHERE target_lead_time_cumulative_capped > target_lead_time_cumulative + 1e-9
+    UNION ALL SELECT 'city_known', COUNT(*) FROM x2 WHERE city = 'Unknown' UNION ALL SELECT 'region_known', COUNT(*) FROM x2 WHERE region IS NULL UNION ALL SELECT 'step_is_one_day', COUNT(*) FROM st WHERE s <> 1 UNION ALL SELECT 'unique_keys', COUNT(*) FROM (SELECT item FROM x2 GROUP BY item, branch, dt HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'segments_from_one', COUNT(*) FROM pr WHERE lo <> 1 UNION ALL SELECT 'segments_gapless', COUNT(*) FROM pr WHERE n <> hi UNION ALL SELECT 'outside_closures', COUNT(*) FROM x2 WHERE branch = 'u6' AND dt >= DATE '2024-01-10' AND dt < DATE '2024-01-14'
+    UNION ALL SELECT 'one_city_a_branch', COUNT(*) FROM (SELECT branch FROM x2 GROUP BY 1 HAVING COUNT(DISTINCT city) > 1) UNION ALL SELECT 'required_columns', 1"""
+)
+def qa_planted(spark, d):
+    x = spark.sql(PLANT.format("1").replace("FROM panel", "FROM {panel}"), panel=_ev(spark, d, 10))
+    shut = V.dims(spark, _SHUT, "branch string, start_dt string, end_dt string", ["start_dt", "end_dt"])
+    return qa.qa_checks(x, shut, ["item", "branch", "dt", "qty", "lost_column"])
+
+
+# --- windows by position -----------------------------------------------------------------------
+
+SEQ = f"{V.EC_BASE}, ix AS (SELECT item, branch, segment_id, dt, CAST(DENSE_RANK() OVER (ORDER BY item, branch, segment_id) - 1 AS BIGINT) segment_code, CAST(ROW_NUMBER() OVER ({V.W}) - 1 AS INT) AS \"position\", CAST(ROW_NUMBER() OVER (ORDER BY item, branch, segment_id, dt) - 1 AS BIGINT) AS \"row\" FROM panel)"
+
+
+@query(f"WITH {SEQ} SELECT * FROM ix")
+def seq_index(spark, d):
+    x = _ev(spark, d, 10).select("item", "branch", "segment_id", "dt")
+    return sequences.build_index(x, ["qty"]).select("item", "branch", "segment_id", "dt", "segment_code", "position", "row")
+
+
+@query(f'WITH {SEQ} SELECT item, branch, segment_id, dt, "row" AS window_end FROM ix WHERE "position" >= 7')
+def seq_window_ends(spark, d):
+    index = sequences.build_index(_ev(spark, d, 10).select("item", "branch", "segment_id", "dt"), [], lookback=7)
+    rows = panel.without_warmup(_ev(spark, d, 10), 7).select("item", "branch", "segment_id", "dt")
+    return sequences.window_ends(index, rows)
+
+
+@query(f"WITH {V.EC_BASE} SELECT 'step_is_one_day' AS \"check\", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'windows_fit', (SELECT COUNT(*) FROM (SELECT dt - LAG(dt, 6) OVER ({V.W.replace(', segment_id', '')}) s, ROW_NUMBER() OVER ({V.W.replace(', segment_id', '')}) n FROM panel WHERE day(dt) <> 20) WHERE n > 7 AND s <> 6) UNION ALL SELECT 'step_planted', (SELECT COUNT(*) FROM (SELECT dt - LAG(dt) OVER ({V.W.replace(', segment_id', '')}) s FROM panel WHERE day(dt) <> 20) WHERE s <> 1)")
+def seq_proof(spark, d):
+    x = _ev(spark, d, 10).select("item", "branch", "segment_id", "dt")
+    position = F.row_number().over(panel.Window.partitionBy("item", "branch", "segment_id").orderBy("dt")) - 1
+    whole = sequences.window_proof(x.withColumn("position", position), 7).where("check = 'step_is_one_day'")
+    torn = x.where("day(dt) <> 20").drop("segment_id")
+    torn = sequences.window_proof(torn.withColumn("position", F.row_number().over(panel.Window.partitionBy("item", "branch").orderBy("dt")) - 1), 7)
+    name = F.when(F.col("check") == "step_is_one_day", "step_planted").otherwise(F.col("check"))
+    return whole.unionByName(torn.select(name.alias("check"), "violations"))
+
+
+# --- encodings of the learners -----------------------------------------------------------------
+
+LEVELS = f"""ix AS (SELECT k, dt_text, COALESCE(c.idx, 0) category_idx FROM t LEFT JOIN mapping c ON c.col = 'category' AND c.value = category),
+lv AS (SELECT category_idx v, ROW_NUMBER() OVER (ORDER BY category_idx) - 1 code FROM (SELECT DISTINCT category_idx FROM ix WHERE {DT.replace(ENC_CUT, '2024-01-08')}))"""
+
+
+def _encoded(spark, d, encoding: str) -> DataFrame:
+    from ..operators import models
+
+    x = demand.encode(_dated(spark, d), _mapping(spark, d), ["category"]).select("k", "dt", "category_idx")
+    early = x.where(demand.before("2024-01-08"))
+    return models.encoded(early, x, ["category_idx"], encoding)[1].drop("dt")
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING}, {LEVELS} SELECT k, category_idx, CAST(COALESCE(code, -1) AS INT) AS category_idx_code FROM ix LEFT JOIN lv ON v = category_idx")
+def enc_native(spark, d):
+    return _encoded(spark, d, "native")
+
+
+@query(f"WITH t AS ({V.TEXTS_SQL}), {MAPPING}, {LEVELS} SELECT k, category_idx FROM ix")
+def enc_ordinal(spark, d):
+    return _encoded(spark, d, "ordinal")
+
+
+# --- more exploration ----------------------------------------------------------------------------
+
+
+@query(f"WITH {V.SALES}, m AS (SELECT branch, dt, SUM(qty) s FROM sales GROUP BY 1, 2) SELECT branch, CAST(month(dt) AS INT) AS month, ROUND(AVG(s), 6) AS mean_qty FROM m GROUP BY 1, 2")
+def agg_month_profile(spark, d):
+    return r6(explore.month_profile(V.sales(spark, d)), "mean_qty")
+
+
+@query(f"WITH {V.SALES}, m AS (SELECT category, dt, SUM(qty) s FROM sales GROUP BY 1, 2) SELECT category, CAST(isodow(dt) - 1 AS INT) AS dow, ROUND(AVG(s), 6) AS mean_qty FROM m GROUP BY 1, 2")
+def agg_category_profile(spark, d):
+    return r6(explore.category_profile(V.sales(spark, d)), "mean_qty")
+
+
+@query(f"WITH {V.SALES} SELECT branch, COUNT(qty) AS \"count\", ROUND(AVG(qty), 6) AS mean, ROUND(STDDEV_SAMP(qty), 6) AS std, MIN(qty) AS \"min\", ROUND(QUANTILE_CONT(qty, 0.25), 6) AS q25, ROUND(QUANTILE_CONT(qty, 0.5), 6) AS q50, ROUND(QUANTILE_CONT(qty, 0.75), 6) AS q75, MAX(qty) AS \"max\" FROM sales GROUP BY 1")
+def agg_describe(spark, d):
+    return r6(explore.describe(V.sales(spark, d), "qty", ["branch"]), "mean", "std", "q25", "q50", "q75")
+
+
+@query(f"WITH {V.SALES}, q AS (SELECT category, QUANTILE_CONT(qty, 0.25) a, QUANTILE_CONT(qty, 0.5) m, QUANTILE_CONT(qty, 0.75) b FROM sales GROUP BY 1) SELECT s.category, ROUND(a, 6) AS q25, ROUND(m, 6) AS q50, ROUND(b, 6) AS q75, MIN(qty) AS low, MAX(qty) AS high FROM sales s JOIN q ON q.category = s.category AND qty >= a - 1.5 * (b - a) AND qty <= b + 1.5 * (b - a) GROUP BY 1, 2, 3, 4")
+def his_box(spark, d):
+    return r6(explore.box_stats(V.sales(spark, d), "qty", "category"), "q25", "q50", "q75")
+
+
+@query(_texts("SELECT city AS value, COUNT(*) AS n FROM t GROUP BY 1"))
+def agg_value_counts(spark, d):
+    return explore.value_counts(V.texts(spark, d), "city")
+
+
+@query(f"WITH {V.SALES}, m AS (SELECT *, median(CASE WHEN qty > 0 THEN qty END) OVER (PARTITION BY item, branch) md FROM sales WHERE item LIKE 'S%') SELECT item, branch, dt, qty, md AS median_qty, ROUND(qty / md, 6) AS ratio FROM m WHERE md > 0 AND qty / md >= 2")
+def out_spikes(spark, d):
+    return r6(explore.spikes(V.sales(spark, d).select("item", "branch", "dt", "qty"), 2.0, "S"), "ratio")
+
+
+@query()
+def top_sample(spark, d):
+    return explore.sample_rows(V.sales(spark, d).select("item", "branch", "dt", "qty"), 1, 0, ["item", "branch", "dt"])
+
+
+@query(_texts("SELECT k, ROUND(ln(1 + qty), 6) AS logged, ROUND(exp(ln(1 + qty)) - 1, 6) AS back FROM t"))
+def log_round_trip(spark, d):
+    return r6(V.texts(spark, d).select("k", F.log1p("qty").alias("logged"), F.expm1(F.log1p("qty")).alias("back")), "logged", "back")
+
+
 # --- end to end ------------------------------------------------------------------------------
 
 
@@ -839,12 +958,16 @@ def _learnable(spark, d) -> DataFrame:
     return cut(demand.eligible_rows(x, V.CUTOFF, "target").select("item", "branch", "dt", "fold_id", "target", *ML_FEATURES))
 
 
+#: Settings of the model queries, smaller than the operators' defaults (README).
+FOREST = {"n_trees": 10, "max_depth": 6, "min_leaf": 20, "subset": "onethird"}
+
+
 @query()
 def ml_quantile_forest(spark, d):
     from ..operators import models
 
     x = _learnable(spark, d)
-    return models.quantile_forest(ML_FEATURES, "target", n_trees=5, max_depth=5, min_leaf=20)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
+    return models.quantile_forest(ML_FEATURES, "target", **FOREST)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
 
 
 @query()
@@ -852,23 +975,37 @@ def ml_treeboost(spark, d):
     from ..operators import models
 
     x = _learnable(spark, d)
-    return models.boosted_quantiles(ML_FEATURES, "target", rounds=2, depth=3)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
+    return models.boosted_quantiles(ML_FEATURES, "target", rounds=30, depth=3, rate=0.4, patience=2)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
 
 
 @query()
 def ml_walk_forward(spark, d):
     from ..operators import models
 
-    forest = models.quantile_forest(ML_FEATURES, "target", n_trees=5, max_depth=5, min_leaf=20)
+    forest = models.quantile_forest(ML_FEATURES, "target", n_trees=4, max_depth=5, min_leaf=20, subset="onethird")
     return models.run_walk_forward(_learnable(spark, d), forest, V.CUTOFF, "target", name="quantile_forest")
 
 
+@query()
+def ml_recurrent(spark, d):
+    from ..operators import models, network
+
+    whole = _led(spark, d)
+    features = ["qty", "lead_time_days", "dow", "branch_idx"]
+    whole = demand.encode(whole.withColumn("dow", F.weekday("dt")), demand.category_mapping(whole, ["branch"], V.CUTOFF), ["branch"])
+    whole = whole.withColumn("lead_time_days", F.coalesce("lead_time_days", F.lit(0)))
+    sizes = [(n, width) for _, n, width in models.embedding_sizes(demand.category_mapping(whole, ["branch"], V.CUTOFF))]
+    make = lambda dynamic, cats: network.recurrent_quantiles(dynamic, cats, sizes, "target", epochs=6, sample=3000, hidden_size=16, batch_size=256)
+    bound = sequences.bind_panel(whole, features, make, lookback=14)
+    return models.run_walk_forward(_learnable(spark, d), bound, V.CUTOFF, "target", name="recurrent")
+
+
 @query()
 def ml_search(spark, d):
     from ..operators import models
 
-    space = {"n_trees": [3, 5], "max_depth": [3, 5], "min_leaf": [20, 50]}
-    found = models.sample_space(space, {"n_trees": 3, "max_depth": 3, "min_leaf": 20}, 2)
+    space = {**models.FOREST_SPACE, "n_trees": [3], "max_depth": [3, 5], "encoding": ["ordinal"]}
+    found = models.sample_space(space, {**models.FOREST_DEFAULTS, "n_trees": 3, "max_depth": 5, "subset": "0.5"}, 2)
     results = models.run_search(_learnable(spark, d), found, lambda **p: models.quantile_forest(ML_FEATURES, "target", **p), V.CUTOFF, "target", folds=(3, 5))
     rows = [(r["candidate"], str(sorted(r["params"].items())), r["pinball"], r["error"]) for r in results]
     return spark.createDataFrame(rows, "candidate int, params string, pinball double, error string")

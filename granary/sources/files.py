@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,28 +23,38 @@ def csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> Data
     return spark.read.csv(paths, sep=";", header=True, schema=schema, enforceSchema=True)
 
 
+def _field_count(line: Column) -> Column:
+    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ";"))
+
+
 def transactions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw rows with their order (file_no, line_no over all files by date): item, branch, dt, qty and texts.
+    """Raw rows with their order (file_no in `paths`, at within it): item, branch, dt, qty and texts.
 
-    Wholly blank lines are dropped. A line of too few fields, or with a non-blank field after
-    the last, or with a bad date raises.
+    A path is a file or a folder of files, each with a header line, which the reader drops where
+    a file begins. Fields may be quoted. Wholly blank lines are dropped. A line of too few
+    fields, or with a non-blank field after the last, or with a bad date raises.
     """
-    parts = []
+    lines = None
     for i, p in enumerate(paths):
-        lines = spark.read.text(p).withColumn("file_no", F.lit(i)).withColumn("at", F.monotonically_increasing_id())
-        parts.append(lines)
-    lines = parts[0]
-    for x in parts[1:]:
-        lines = lines.unionByName(x)
-    lines = lines.withColumn("value", F.regexp_replace("value", "^﻿|\r$", ""))
-    first = lines.withColumn("head", F.row_number().over(Window.partitionBy("file_no").orderBy("at")) == 1).where("not head")
-    cells = first.withColumn("f", F.transform(F.split("value", ";"), T.strip_ends)).where(F.exists("f", lambda c: c != ""))
-    good = (F.size("f") >= len(RAW)) & ~F.exists(F.slice("f", len(RAW) + 1, 1000), lambda c: c != "")
-    checked = F.when(good, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))).cast("array<string>"))
-    rows = cells.select("file_no", "at", checked.alias("f")).select("file_no", "at", *[F.col("f")[i].alias(c) for i, c in enumerate(RAW)])
+        # one field a line: a separator and a quote that no text file holds
+        one = spark.read.csv(p, sep="\x01", quote="\x02", escape="\x02", header=True, schema="value string", enforceSchema=True)
+        one = one.withColumns({"file_no": F.lit(i), "at": F.monotonically_increasing_id()})
+        lines = one if lines is None else lines.unionByName(one)
+    lines = lines.withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.regexp_replace("value", '[;"\\s]', "") != "")
+    extra = F.regexp_replace(F.regexp_replace("value", '"[^"]*[^"\\s][^"]*"', "q"), '"\\s*"', "")
+    after = F.split(extra, ";")
+    good = (_field_count(F.col("value")) >= len(RAW)) & ~F.exists(F.slice(after, len(RAW) + 1, F.greatest(F.size(after), F.lit(1))), lambda c: F.trim(c) != "")
+    checked = F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))).cast("string"))
+    cells = lines.select("file_no", "at", F.from_csv(checked, ", ".join(f"`{c}` string" for c in RAW), {"sep": ";", "escape": '"'}).alias("f"))
+    rows = cells.select("file_no", "at", *[T.strip_ends(F.coalesce(F.col("f")[c], F.lit(""))).alias(c) for c in RAW])
     dt = F.try_to_date("dt_text", "d MMM yyyy")
     dt = F.coalesce(dt, F.raise_error(F.concat(F.lit("bad date: "), F.col("dt_text"))).cast("date"))
-    return rows.select(dt.alias("dt"), "category", "item", "item_name", "branch", "unit", T.parse_quantity(F.col("qty_text")).alias("qty"), "file_no", "at")
+    return rows.select(dt.alias("dt"), *RAW[1:-1], T.parse_quantity(F.col("qty_text")).alias("qty"), "file_no", "at", "dt_text", "qty_text")
+
+
+def merge_and_sort(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of all files by date; rows of a day keep the order of the files and of their lines."""
+    return transactions(spark, paths).orderBy("dt", "file_no", "at")
 
 
 def outlets(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +63,7 @@ def outlets(spark: SparkSession, path: str) -> DataFrame:
 
 def outlets_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects with the outlet file's header names."""
-    names = ["Nama Outlet", "Alamat", "Kecamatan", "Kota", "has_shopee", "has_gofood", "has_grabfood"]
+    names = OUTLET_HEADER
     rows = spark.read.json(path, multiLine=True)
     if extra := set(rows.columns) - set(names):
         raise ValueError(f"unknown outlet fields {sorted(extra)}")
@@ -70,10 +79,20 @@ def regions(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({"region": F.col("region").cast("int"), "ship_days": T.delivery_days(F.col("ship_text"))})
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, path) by Hadoop, so that a path means the same to the driver and the executors."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
 def closures(spark: SparkSession, path: str) -> DataFrame:
     """(branch, start_dt, end_dt, reason); an absent file is empty; bad, inverted or overlapping intervals raise."""
-    local = path.removeprefix("file://")
-    if "://" not in local and not Path(local).exists():
+    if not exists(spark, path):
         return spark.createDataFrame([], "branch string, start_dt date, end_dt date, reason string")
     raw = csv(spark, path, ["branch", "start_text", "end_text", "reason"]).where("branch is not null")
     end_text = F.nullif(T.strip_ends(F.coalesce("end_text", F.lit(""))), F.lit(""))
@@ -97,30 +116,91 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep=";", header=True)
 
 
+#: The header lines of the merged transactions and of the outlets.
+RAW_HEADER = ["Tanggal", "Kategori Barang", "Kode Barang", "Nama Barang", "Nama Cabang", "Satuan", "Kuantitas"]
+OUTLET_HEADER = ["Nama Outlet", "Alamat", "Kecamatan", "Kota", "has_shopee", "has_gofood", "has_grabfood"]
+
+
+def write_sorted(df: DataFrame, header: list[str], path: str, order: list[str] = ()) -> None:
+    """Semicolon CSV files with a byte-order mark and a header line each; read in the order of their names they follow `order`.
+
+    df: one text column for each name in `header`, and the columns of `order`. A field with a
+    separator, a quote or a line end is quoted.
+    """
+    names = [c for c in df.columns if c not in order]
+    if len(names) != len(header):
+        raise ValueError(f"{len(header)} columns are needed, not {names}")
+    rows = df.orderBy(*order) if order else df
+    out = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(h) for c, h in zip(names, header, strict=True)])
+    out = out.withColumnRenamed(header[0], "\ufeff" + header[0])
+    out.write.mode("overwrite").csv(path, sep=";", header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_outlets(df: DataFrame, path: str) -> None:
+    """Outlets in the file's field order; a missing or an unknown column raises."""
+    if set(df.columns) != set(OUTLETS):
+        raise ValueError(f"outlet fields {sorted(set(df.columns) ^ set(OUTLETS))} are missing or unknown")
+    write_sorted(df.select(*OUTLETS), OUTLET_HEADER, path)
+
+
+def merge_files(spark: SparkSession, paths: list[str], path: str) -> None:
+    """All files' rows by date as one set of CSV files; texts as they were."""
+    rows = transactions(spark, paths).select("dt_text", *RAW[1:-1], "qty_text", "dt", "file_no", "at")
+    write_sorted(rows, RAW_HEADER, path, ["dt", "file_no", "at"])
+
+
+def aggregate_files(spark: SparkSession, source: str, path: str) -> None:
+    """Merged rows with those alike in all but the quantity summed, to one decimal, in the order of their first lines; not over `source`."""
+    if source.rstrip("/") == path.rstrip("/"):
+        raise ValueError("a table can't be written over what it is read from")
+    rows = transactions(spark, [source])
+    keys = ["dt_text", *RAW[1:-1]]
+    out = rows.groupBy(*keys).agg(F.bround(F.sum("qty"), 1).cast("string").alias("qty_text"), F.min("at").alias("at"))
+    write_sorted(out, RAW_HEADER, path, ["at"])
+
+
+def sync_outlets(spark: SparkSession, source: str, path: str) -> None:
+    """Outlets from JSON to CSV."""
+    write_outlets(outlets_json(spark, source), path)
+
+
 def write_monthly(df: DataFrame, path: str) -> None:
     """Parquet by month of dt."""
     df.withColumn("ym", F.date_format("dt", "yyyy-MM")).write.mode("overwrite").partitionBy("ym").parquet(path)
 
 
-def write_json(value: dict, path: str) -> None:
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, replaced as a whole."""
+    fs, at = _file(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file; what a stream has left over is not there any more, so a whole read."""
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """Small results (mappings, scalers, parameters) with sorted keys."""
-    Path(path).write_text(json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False), encoding="utf-8")
+    write_text(spark, json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False), path)
 
 
-def read_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
 
 
 def mapping_to_json(mapping: DataFrame, path: str) -> None:
     out: dict[str, dict[str, int]] = {}
     for r in mapping.collect():
         out.setdefault(r.col, {})[r.value] = r.idx
-    write_json(out, path)
+    write_json(mapping.sparkSession, out, path)
 
 
 def mapping_from_json(spark: SparkSession, path: str) -> DataFrame | None:
     """The saved (col, value, idx), or None without a file."""
-    if not Path(path).exists():
+    if not exists(spark, path):
         return None
-    rows = [(c, v, int(i)) for c, m in read_json(path).items() for v, i in m.items()]
+    rows = [(c, v, int(i)) for c, m in read_json(spark, path).items() for v, i in m.items()]
     return spark.createDataFrame(rows, "col string, value string, idx int")

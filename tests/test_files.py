@@ -91,7 +91,7 @@ def test_search_helpers():
 def test_forest_quantiles_and_bundle(spark, tmp_path):
     rows = [("i", "b", dt.date(2024, 1, 1) + dt.timedelta(days=k), float(k % 2), float(k % 10 + 100 * (k % 2)), 1) for k in range(200)]
     x = spark.createDataFrame(rows, "item string, branch string, dt date, f double, target double, lead_time_days int")
-    models.fit_final(x, ["f"], "target", "2024-07-01", str(tmp_path / "m"), n_trees=3, max_depth=2)
+    models.fit_final(x, ["f"], "target", "2024-07-01", str(tmp_path / "m"), n_trees=3, max_depth=2, min_leaf=5, subset="all", leaf_samples=200)
     got = models.predict_bundle(str(tmp_path / "m"), x.where(F.col("dt") >= "2024-07-01"))
     low, high = (got.join(x, ["item", "branch", "dt"]).where(f"f = {v}").agg(F.min("prediction"), F.max("prediction")).first() for v in (0, 1))
     assert 6 <= low[0] and low[1] <= 8 and 107 <= high[0] and high[1] <= 109
@@ -105,3 +105,71 @@ def test_sequences_never_cross_segments(spark):
     p = panel.dense_panel(spark.createDataFrame(rows, "item string, branch string, dt date, qty double"), shut)
     got = windows.sequences(p, ["qty"], "qty", 3).collect()
     assert len(got) == 6 and all([w[0] for w in r.window] == [r.qty - 2, r.qty - 1, r.qty] for r in got)
+
+
+def test_headers_quotes_and_folders(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for k in (1, 2):
+        write(tmp_path / "d", f"{k}.csv", f'0{k} Jan 2024;C;I;"N; ""x""";B;Porsi;"1,5"', ";; ;;;;", *[f"0{k} Jan 2024;C;I;N;B;Porsi;{q}" for q in range(3)])
+    rows = files.merge_and_sort(spark, [str(tmp_path / "d")]).collect()
+    assert [r.dt.day for r in rows] == [1] * 4 + [2] * 4 and rows[0].item_name == 'N; "x"' and rows[0].qty == 1.5
+    many = write(tmp_path, "e.csv", "01 Jan 2024;C;I;N;B;Porsi;5" + ";" * 1500 + "late")
+    with pytest.raises(Exception, match="bad line"):
+        files.transactions(spark, [many]).collect()
+
+
+def test_entry_points(spark, tmp_path):
+    a = write(tmp_path, "a.csv", "03 Jan 2024;C;I;N;B;Porsi;1,5", "01 Jan 2024;C;I;N;B;Porsi;2")
+    b = write(tmp_path, "b.csv", '01 Jan 2024;C;"I;2";N;B;Porsi;3', "03 Jan 2024;C;I;N;B;Porsi;0,25")
+    files.merge_files(spark, [a, b], str(tmp_path / "m"))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "m").glob("part-*")))
+    assert text.startswith("\ufeffTanggal;Kategori Barang;Kode Barang") and '01 Jan 2024;C;"I;2";N;B;Porsi;3' in text
+    rows = files.transactions(spark, [str(tmp_path / "m")]).orderBy("at").collect()
+    assert [(r.dt.day, r.item, r.qty) for r in rows] == [(1, "I", 2.0), (1, "I;2", 3.0), (3, "I", 1.5), (3, "I", 0.25)]
+    files.aggregate_files(spark, str(tmp_path / "m"), str(tmp_path / "g"))
+    rows = files.transactions(spark, [str(tmp_path / "g")]).orderBy("at").collect()
+    assert [(r.dt.day, r.item, r.qty) for r in rows] == [(1, "I", 2.0), (1, "I;2", 3.0), (3, "I", 1.8)]
+    with pytest.raises(ValueError):
+        files.aggregate_files(spark, a, a)
+    (tmp_path / "o.json").write_text('[{"Nama Outlet": "A;x", "Alamat": "x", "Kecamatan": "k", "Kota": "c", "has_shopee": "Yes", "has_gofood": "No", "has_grabfood": null}]')
+    files.sync_outlets(spark, str(tmp_path / "o.json"), str(tmp_path / "o"))
+    got = files.outlets(spark, str(tmp_path / "o")).first()
+    assert (got.outlet, got.has_shopee, got.has_grabfood) == ("A;x", "Yes", None)
+    with pytest.raises(ValueError, match="city"):
+        files.write_outlets(files.outlets(spark, str(tmp_path / "o")).drop("city"), str(tmp_path / "p"))
+
+
+def test_boosted_bundle(spark, tmp_path):
+    rows = [("i", "b", dt.date(2024, 1, 1) + dt.timedelta(days=k), float(k % 2), float(100 * (k % 2) + k % 3), 1) for k in range(160)]
+    x = spark.createDataFrame(rows, "item string, branch string, dt date, f double, target double, lead_time_days int")
+    for log in (False, True):
+        models.fit_final(x, ["f"], "target", "2024-06-01", str(tmp_path / f"b{log}"), kind="boost", rounds=6, patience=2, rate=0.9, min_leaf=5, depth=2, log_target=log)
+        got = models.predict_bundle(str(tmp_path / f"b{log}"), x).join(x, ["item", "branch", "dt"])
+        low, high = (got.where(f"f = {v}").agg(F.avg("prediction")).first()[0] for v in (0, 1))
+        assert low < 25 and 95 < high < 106
+
+
+def test_search_resumes_from_its_checkpoint(spark, tmp_path):
+    rows = [("i", b, dt.date(2024, 1, 1) + dt.timedelta(days=k), float(k % 7), 1, None) for b in "bc" for k in range(330)]
+    x = spark.createDataFrame(rows, "item string, branch string, dt date, target double, lead_time_days int, naive double").withColumn("qty", F.col("target"))
+    from granary.operators import demand
+
+    x = demand.assign_folds(x, "2024-11-01").withColumns({"lag_1": F.col("target"), "roll_mean_7": F.col("target")})
+    ran = []
+
+    def make(shift):
+        def forecast(train, valid):
+            ran.append(shift)
+            if shift == 2:
+                raise ValueError("two fails")
+            return valid.select("item", "branch", "dt", (F.col("target") + shift).alias("prediction"))
+
+        return forecast
+
+    found, at = [{"shift": 1}, {"shift": 2}, {"shift": 0}], str(tmp_path / "search.json")
+    models.run_search(x, found[:2], make, "2024-11-01", "target", checkpoint=at)
+    n = len(ran)
+    results = models.run_search(x, found, make, "2024-11-01", "target", checkpoint=at)
+    assert ran[n:] == [0, 0] and [r["error"] for r in results] == ["", "two fails", ""] and models.select_best(results) == {"shift": 0}
+    with pytest.raises(ValueError, match="other candidates"):
+        models.run_search(x, [{"shift": 9}], make, "2024-11-01", "target", checkpoint=at)

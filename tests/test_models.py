@@ -20,3 +20,13 @@ def test_search_pools_folds_3_and_5(spark):
         results = models.run_walk_forward(rows, forest, catalogue.V.CUTOFF, "target", (3, 5))
         want = models.metrics.pooled(results).where("model = 'model'").first().pinball
         assert r.error == "" and abs(r.pinball - want) <= 1e-9 * want
+
+
+def test_recurrent_network_scores_all_folds(spark):
+    got = catalogue.QUERIES["ml_recurrent"](spark, SF).where("model = 'recurrent'").collect()
+    assert sorted(r.fold_id for r in got) == [1, 2, 3, 4, 5] and all(r.pinball > 0 for r in got)
+
+
+def test_recurrent_network_scores_all_folds(spark):
+    got = catalogue.QUERIES["ml_recurrent"](spark, SF).where("model = 'recurrent'").collect()
+    assert sorted(r.fold_id for r in got) == [1, 2, 3, 4, 5] and all(r.pinball > 0 for r in got)
