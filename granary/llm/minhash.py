@@ -13,7 +13,8 @@ lost, and there is no cap. In these rounds two exact bounds spare the reading of
 * a parity sketch of BITS bits, each the parity of the number of shingles that hash to it. The
   exclusive or of two sketches is that of the sets' symmetric difference, so its ones can't be
   more than the difference, and a pair with more ones than a link allows is none. This settles
-  copies of one original that differ too much.
+  copies of one original that differ too much, in the join of a bucket's members with its
+  centres itself, which hands on no pair that it rules out.
 
 The nodes of the graph are distinct shingle sets, not ids: a row's set is its node, whatever
 other rows have its id.
@@ -115,9 +116,9 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """BITS parities of a shingle set."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def sketch(s: np.ndarray) -> np.ndarray:
+    """BITS parities of a shingle set, as 64-bit words."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
 def _sketches(width: int):
@@ -126,26 +127,20 @@ def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [sketch(s) for _, data, off in C.slices(b.column(1)) for s in C.shingles(data, off, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sketch"])
 
     return run
 
 
-def _alike(percent: int):
-    """Pairs (centre, node, n of both, sketch of each) whose sketches don't rule a link out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for i in (3, 4))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = pa.array((100 + percent) * differ <= (100 - percent) * b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["centre", "node"])
-
-    return run
+def _may_link(percent: int) -> str:
+    """SQL that is false where sketches (sketch, csketch) of sets of n and cn shingles rule a link out."""
+    differ = " + ".join(f"bit_count(sketch[{i}] ^ csketch[{i}])" for i in range(BITS // 64))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * (n + cn)"
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of the pairs (centre, node) that link; a centre of many members is copied, so that no task gets all of them."""
+    texts = texts.hint("merge")  # one plan at every size
     fan = pairs.groupBy("centre").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts"))
     both = pairs.join(fan, "centre").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     both = both.join(texts.withColumnRenamed("text", "of_node"), "node")
@@ -195,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.store(members.join(centres, "key").withColumns({"comp": F.col("node"), "ccomp": F.col("centre")}), "live", narrow=True)
     # texts of all that shares a bucket; nothing else is read again
     wanted = sets.select("doc_id", "th", "node").join(members.select("node").distinct(), "node", "left_semi")
-    wanted = scratch.store(wanted, "wanted", narrow=True)
+    wanted = scratch.store(wanted, "wanted", narrow=True).hint("merge")
     texts = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "th"]).select("node", "text")
     texts = scratch.store(texts.dropDuplicates(["node"]), "texts")
     confirmed = tested = roots = None
@@ -203,14 +198,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         near = f"100 * least(a, ca) >= {percent} * (n + cn - least(a, ca))" if k else f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
         # a pair comes from the least bucket that it shares, where it is tested or was ruled out
-        once = " and key = array_min(array_intersect(bands, cbands))" if k else ""
+        once = f" and {_may_link(percent)} and key = array_min(array_intersect(bands, cbands))" if k else ""
         pairs = (members.join(centres, "key") if k else members).where(f"comp <> ccomp and {near}{once}")
         ends = [F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")]
+        pairs = pairs.select(*ends).distinct()
         if k:
-            pairs = pairs.select(*ends, (F.col("n") + F.col("cn")).alias("n"), "sketch", "csketch").mapInArrow(_alike(percent), "centre long, node long").distinct()
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
-        else:
-            pairs = pairs.select(*ends).distinct()
         pairs = scratch.store(pairs, f"pairs{k}", narrow=True)
         tested = pairs if tested is None else tested.union(pairs)
         linked = False
@@ -242,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = scratch.store(members.where(f"100 * a >= {percent} * n"), "shared", narrow=True)
             open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
             members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(sets.select("node", "bands"), "node")
-            sketched = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches(width), "node long, sketch binary")
+            sketched = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches(width), "node long, sketch array<long>")
             members = members.join(scratch.store(sketched, "sketches", narrow=True), "node")
             members = scratch.store(members, "members", narrow=True)
             if members.isEmpty():

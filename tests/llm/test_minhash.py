@@ -144,6 +144,6 @@ def test_sketches_never_rule_out_a_link():
         x = r.integers(0, 2**63, n, dtype=np.uint64)
         for edits in (0, 1, n // 10, n // 3):
             y = np.concatenate((x[edits:], r.integers(0, 2**63, edits, dtype=np.uint64)))
-            ones = sum(int(a ^ b).bit_count() for a, b in zip(sketch(x), sketch(y), strict=True))
+            ones = sum(int(a ^ b).bit_count() for a, b in zip(sketch(x).view(np.uint64).tolist(), sketch(y).view(np.uint64).tolist(), strict=True))
             true = len(np.setxor1d(x, y))
             assert ones <= true and (true > BITS // 40 or ones >= 0.9 * true - 2)
