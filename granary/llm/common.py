@@ -84,12 +84,13 @@ class Scratch:
     def store(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """The rows as a table here; the exchanges that made them are given back.
 
-        narrow: write from fewer tasks, for rows that are few next to the input: four for each
-        core, or a quarter of the exchange's partitions where that is more.
+        narrow: write from fewer tasks, for rows that are few next to the input: two for each
+        core, or a sixteenth of the exchange's partitions where that is more. Each task makes a
+        file, and each file costs the executor requests to the file system.
         """
         if narrow:
-            quarter = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4
-            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, quarter))
+            part = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, part))
         clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(clean, "false")
         self.spark.conf.set(clean, "true")
