@@ -147,7 +147,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base modulo 2**64, and of its inverse."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = 1 << max(n - 1, 1).bit_length()
         for k, b in (("up", _BASE), ("down", _BASE_INV)):
             x = np.full(size, b, dtype=np.uint64)
             x[0] = 1

@@ -42,6 +42,8 @@ BLOCK = 17
 CROWD = 40_000
 #: Contexts sorted at once, at least; bytes of contexts collapsed at once; anchors settled at once.
 CHUNK, COLLAPSE_BYTES, ANCHORS = 40_000, 24 << 20, 200_000
+#: Bytes of text in which anchors are sought at once (about 100 bytes of memory for each).
+PORTION = 1 << 18
 #: Bytes of contexts aimed at in a range, and ranges at most (a larger range is streamed through its task).
 RANGE_BYTES, RANGES = 24 << 20, 20_000
 ASK, COVERED, MANY, OPEN = 0, 1, 2, 3
@@ -86,7 +88,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for b in batches:
         ids, th = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for at, start, data, off in C.portions(b.column(2), LENGTH - 1):
+        for at, start, data, off in C.portions(b.column(2), LENGTH - 1, PORTION):
             doc, lo, hi, anchor, key = anchors(data, off)
             parts.append((key, ids[at + doc], th[at + doc], lo + start, hi - lo + 1, anchor - lo))
             size += len(key)
@@ -361,7 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text has no bytes. Null ids sort first. Rows alike in id and text are one document
     and get the same result; rows that repeat an id with another text (null ids too) are
     documents of their own, in the order of a hash of their texts, so what they share stays in
-    one of them. Texts of any length are searched in overlapping portions of a megabyte; only
+    one of them. Texts of any length are searched in overlapping portions of PORTION bytes; only
     their own bytes are held whole. An empty table gives an empty table; other columns are not
     read unless with_row, and may have any names.
     """
