@@ -25,8 +25,3 @@ def test_search_pools_folds_3_and_5(spark):
 def test_recurrent_network_scores_all_folds(spark):
     got = catalogue.QUERIES["ml_recurrent"](spark, SF).where("model = 'recurrent'").collect()
     assert sorted(r.fold_id for r in got) == [1, 2, 3, 4, 5] and all(r.pinball > 0 for r in got)
-
-
-def test_recurrent_network_scores_all_folds(spark):
-    got = catalogue.QUERIES["ml_recurrent"](spark, SF).where("model = 'recurrent'").collect()
-    assert sorted(r.fold_id for r in got) == [1, 2, 3, 4, 5] and all(r.pinball > 0 for r in got)
