@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing, rolling_median
 from .rules import BOILERPLATE, CAPITALS, CLOSED, LOST_SHARE, SEPARATORS, SYMBOL_SHARE, SYMBOLS
 
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,4 +56,18 @@ b AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_stri
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= {LOST_SHARE} * word_chars AS kept FROM b"""
 
-SQL = {"op1_minhash_near_dedup": OP1, "op5_warc_revisits": OP5, "op6_benchmark_decontamination": OP6, "op7_line_rules": OP7}
+OP11 = f"""WITH t AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') text, {WORDS.format("coalesce(text, '')")} w FROM documents),
+m AS (SELECT doc_id, part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT) + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS INT)
+  + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(MIN(doc_id) OVER (PARTITION BY text) < doc_id, FALSE) AS INT) fails FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic FROM labels GROUP BY 1),
+c AS (SELECT part, fails, COUNT(*) n, COUNT(*) FILTER (WHERE good) g, COUNT(*) FILTER (WHERE toxic) x FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f filter_order FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, f, bit, (SELECT coalesce(SUM(y.bit), 0) FROM f y WHERE contains(left(filter_order, step - 1), y.f)) before FROM o, range(1, 6) r(step), f WHERE f = substr(filter_order, step, 1)),
+r AS (SELECT part, filter_order, CAST(step AS INT) step, f, SUM(CASE WHEN fails & CAST(before + bit AS INT) = 0 THEN n ELSE 0 END) kept, SUM(CASE WHEN fails & bit > 0 AND fails & CAST(before AS INT) = 0 THEN n ELSE 0 END) removed,
+  SUM(CASE WHEN fails & bit > 0 AND fails & CAST(before AS INT) > 0 THEN n ELSE 0 END) redundant, SUM(CASE WHEN fails = bit THEN n ELSE 0 END) unique_fails,
+  SUM(CASE WHEN fails & bit > 0 AND fails & CAST(before AS INT) = 0 THEN g ELSE 0 END) good_lost, SUM(CASE WHEN fails & bit > 0 AND fails & CAST(before AS INT) = 0 THEN x ELSE 0 END) toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+SQL = {"op1_minhash_near_dedup": OP1, "op5_warc_revisits": OP5, "op6_benchmark_decontamination": OP6, "op7_line_rules": OP7, "op11_filter_interactions": OP11, "op12_rolling_median": rolling_median.oracle(), "op13_source_mixing": mixing.oracle()}

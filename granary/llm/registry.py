@@ -80,6 +80,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(C.table(spark, sf_dir, "pages"), URL_RULES).drop("score")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import interactions
+
+    return interactions(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rolling_median import rolling_medians
+
+    return rolling_medians(C.table(spark, sf_dir, "clicks")).select("click_id", "kind", "n", "median2", "mad4", "far")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources, taken
+
+    mixed = mix_sources(C.table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken().alias("taken"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
