@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql.window import Window
 from . import common as C
 
 MINUTE = 60_000_000
-#: Points of a cell that one task answers, and of a shard, about: their tables stay in a core's cache.
-SHARD_ROWS = 8_192
+#: Points of a cell that one task answers, and of a shard, about: their tables take some 20 MB.
+SHARD_ROWS = 65_536
 #: Windows that are combined by one task.
 CHUNK = 8_192
 #: Windows with fewer values have no median.
@@ -139,6 +140,29 @@ def _once(clicks: DataFrame) -> DataFrame:
     return x.withColumn("nth", F.row_number().over(order)).where("nth = 1 and t is not null").drop("nth")
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the least wide type."""
+    fits = lambda kind: not x.size or (np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max)
+    return x.astype(next(kind for kind in (np.int8, np.int16, np.int32, np.int64) if fits(kind)))
+
+
+def pack(values: dict) -> bytes:
+    """Names with arrays of whole numbers, or anything else; rising arrays go as steps."""
+    out = {}
+    for k, v in values.items():
+        rises = isinstance(v, np.ndarray) and v.ndim == 1 and v.size > 1 and (v[1:] >= v[:-1]).all()
+        out[k] = (int(v[0]), _small(np.diff(v))) if rises else _small(v) if isinstance(v, np.ndarray) else v
+    return pickle.dumps(out, protocol=5)
+
+
+def unpack(data: bytes) -> dict:
+    out = {}
+    for k, v in pickle.loads(data).items():
+        wide = v.astype(np.int64) if isinstance(v, np.ndarray) else v
+        out[k] = np.concatenate(([v[0]], v[0] + np.cumsum(v[1], dtype=np.int64))) if isinstance(v, tuple) else wide
+    return out
+
+
 def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Offsets and fields of a column of lists of structs."""
     if isinstance(column, pa.ChunkedArray):
@@ -202,14 +226,12 @@ def medians(points: DataFrame, scratch: C.Scratch, window: int, shard_rows: int
 # --- hot cells -----------------------------------------------------------------------------
 
 
-def hot_medians(rows: DataFrame, scratch: C.Scratch, window: int, shard_rows: int) -> DataFrame:
-    """The same for cells cut into shards. rows: series, cell, size, t, cents, w.
+def value_shards(known: DataFrame, shard_rows: int) -> DataFrame:
+    """(series, cell, shard, points, lo, hi): each cell's points in ranges of their cents, about `shard_rows` in each.
 
-    A state is one chunk of a cell's windows; a request goes to a shard, or to two of them, and
-    its answer comes back to the chunk. State, requests and answers are numpy arrays as bytes.
+    Ranges touch at most: a later shard has no lower value. Of a crowded value every shard
+    between its cuts gets a part, so no shard is large for its sake.
     """
-    rows = scratch.store(rows.drop("size"), "hot")
-    known = rows.where("cents is not null")
     most = known.groupBy(*CELL).count().agg(F.max("count")).first()[0] or 0
     grid = 1 << max(1, -(-most // shard_rows) - 1).bit_length() + 2
     spots = F.percentile_approx("cents", [i / grid for i in range(1, grid)], 20 * grid)
@@ -219,8 +241,18 @@ def hot_medians(rows: DataFrame, scratch: C.Scratch, window: int, shard_rows: in
     # a value that several cuts hit is spread over the shards between them
     low, high = F.expr("size(filter(cuts, x -> x < cents))"), F.expr("size(filter(cuts, x -> x <= cents))")
     shards = known.join(cuts, CELL).withColumn("shard", low + F.pmod(F.xxhash64("t"), high - low + 1).cast("int")).drop("cuts")
-    shards = shards.groupBy(*CELL, "shard").agg(F.collect_list(F.struct("t", "cents", "w")).alias("points"), F.min("cents").alias("lo"), F.max("cents").alias("hi"))
-    shards = scratch.store(shards, "shards")
+    return shards.groupBy(*CELL, "shard").agg(F.collect_list(F.struct("t", "cents", "w")).alias("points"), F.min("cents").alias("lo"), F.max("cents").alias("hi"))
+
+
+def hot_medians(rows: DataFrame, scratch: C.Scratch, window: int, shard_rows: int) -> DataFrame:
+    """The same for cells cut into shards. rows: series, cell, size, t, cents, w.
+
+    A state is one chunk of a cell's windows; a request goes to a shard, or to two of them, and
+    its answer comes back to the chunk. State, requests and answers are numpy arrays as bytes.
+    """
+    rows = scratch.store(rows.drop("size"), "hot")
+    known = rows.where("cents is not null")
+    shards = scratch.store(value_shards(known, shard_rows), "shards")
     ranges = shards.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("shard", "lo", "hi"))).alias("ranges"))
     ranges = scratch.store(ranges, "ranges", narrow=True)
 
@@ -232,17 +264,21 @@ def hot_medians(rows: DataFrame, scratch: C.Scratch, window: int, shard_rows: in
     done, k = [], 0
     while True:
         state = scratch.store(state, f"state{k}")
-        done.append(state.where("size(requests) = 0"))
-        state = state.where("size(requests) > 0")
-        if state.isEmpty():
+        open_ = {r.open: r.n for r in state.groupBy((F.size("requests") > 0).alias("open")).agg(F.count("*").alias("n")).collect()}
+        if False in open_:
+            done.append(scratch.store(state.where("size(requests) = 0").select("series", "state").mapInArrow(_finish, RESULT), f"done{k}"))
+        if True not in open_:
             break
         answers = scratch.store(_ask(state, shards, window), f"answers{k}")
         answers = answers.groupBy(*CELL, "chunk").agg(F.collect_list("body").alias("answers"))
-        state, k = state.drop("requests").join(answers, [*CELL, "chunk"]).mapInArrow(_step, STATE), k + 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select("series", "state").mapInArrow(_finish, RESULT)
+        state = state.where("size(requests) > 0").drop("requests").join(answers, [*CELL, "chunk"]).mapInArrow(_step, STATE)
+        k += 1
+        if k > 1:
+            scratch.drop(f"state{k - 2}")
+            scratch.drop(f"answers{k - 2}")
+    for name in ("hot", "shards"):
+        scratch.drop(name)
+    return reduce(DataFrame.unionByName, done)
 
 
 STATE = "series string, cell long, chunk int, state binary, requests array<struct<shard: int, other: int, body: binary>>"
@@ -277,7 +313,7 @@ def _reply(window: int) -> Callable:
                 shard = b.column("shard")[i].as_py()
                 chunks, bodies = [], []
                 for x in b.column("asked")[i].as_py():
-                    q = pickle.loads(x["body"])
+                    q = unpack(x["body"])
                     a = np.searchsorted(t, q["t"] - window), np.searchsorted(t, q["t"], side="right")
                     if q["what"] == "nearest":
                         c = np.searchsorted(u, q["t"] - window), np.searchsorted(u, q["t"], side="right")
@@ -285,7 +321,7 @@ def _reply(window: int) -> Callable:
                     else:
                         value = one.count(*a) if q["what"] == "count" else one.below(*a, q["arg"]) if q["what"] == "below" else one.ranked(*a, q["arg"])
                     chunks.append(x["chunk"])
-                    bodies.append(pickle.dumps({"shard": shard, "what": q["what"], "slot": q["slot"], "i": q["i"], "value": value}))
+                    bodies.append(pack({"shard": shard, "what": q["what"], "slot": q["slot"], "i": q["i"], "value": value}))
                 n = len(chunks)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("series")[i].as_py()] * n, pa.string()), pa.array([b.column("cell")[i].as_py()] * n, pa.int64()), pa.array(chunks, pa.int32()), pa.array(bodies, pa.binary())], names=["series", "cell", "chunk", "body"])
 
@@ -318,13 +354,13 @@ def _rows(batches: Iterable[pa.RecordBatch], make: Callable) -> Iterator[pa.Reco
     for b in batches:
         for r in b.to_pylist():
             state, requests = make(r)
-            yield pa.RecordBatch.from_pylist([{"series": r["series"], "cell": r["cell"], "chunk": r["chunk"], "state": pickle.dumps(state), "requests": requests}], schema=_STATE)
+            yield pa.RecordBatch.from_pylist([{"series": r["series"], "cell": r["cell"], "chunk": r["chunk"], "state": pack(state), "requests": requests}], schema=_STATE)
 
 
 def _request(s: dict, what: str, shard: int, i: np.ndarray, other: int = NO_SHARD, slot: str = "", **more) -> dict:
     """i: numbers of windows that have enough values, or of all windows (count)."""
     t = s["t"] if what == "count" else s["t"][s["on"]][i % max(1, len(s["on"]))]
-    return {"shard": int(shard), "other": int(other), "body": pickle.dumps({"what": what, "slot": slot, "i": i, "t": t} | more)}
+    return {"shard": int(shard), "other": int(other), "body": pack({"what": what, "slot": slot, "i": i, "t": t} | more)}
 
 
 def _begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,10 +376,10 @@ def _ranks(s: dict) -> list[dict]:
     """Asks the shards of the two middle ranks for their values."""
     cum = np.cumsum(s["counts"][:, s["on"]], axis=0)
     out, n = [], s["n"][s["on"]]
-    for slot, k in (("0", (n - 1) // 2), ("1", n // 2)):
+    for slot, k, wanted in (("0", (n - 1) // 2, n > 0), ("1", n // 2, n % 2 == 0)):
         of = (cum <= k).sum(axis=0)
         before = np.where(of > 0, np.take_along_axis(cum, np.maximum(of - 1, 0)[None], axis=0)[0], 0)
-        out += [_request(s, "ranked", s["shard"][j], i, slot=slot, arg=(k - before)[i]) for j in np.unique(of) if len(i := np.flatnonzero(of == j))]
+        out += [_request(s, "ranked", s["shard"][j], i, slot=slot, arg=(k - before)[i]) for j in np.unique(of) if len(i := np.flatnonzero(wanted & (of == j)))]
     return out
 
 
@@ -396,6 +432,7 @@ def _last(s: dict) -> list[dict]:
     down = np.searchsorted(hi, m - np.maximum(near, 0))
     down = np.where((down < len(hi)) & (lo[np.minimum(down, len(hi) - 1)] <= m - far), down, NO_SHARD)
     empty = far - near <= 1
+    empty[1, s["n"][s["on"]] % 2 == 1] = True
     up, down = (np.where(empty, NO_SHARD, x).ravel() for x in (up, down))
     pair, out = (down + 1) * (len(lo) + 1) + up + 1, []
     middle = np.broadcast_to(m, far.shape).ravel()
@@ -411,7 +448,7 @@ def _last(s: dict) -> list[dict]:
 
 def _step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def make(r: dict) -> tuple[dict, list]:
-        s, got = pickle.loads(r["state"]), [pickle.loads(x) for x in r["answers"]]
+        s, got = unpack(r["state"]), [unpack(x) for x in r["answers"]]
         what = got[0]["what"]
         if what == "count":
             s["counts"] = np.zeros((len(s["shard"]), len(s["t"])), np.int64)
@@ -422,12 +459,13 @@ def _step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return s, _ranks(s)
         if what == "ranked":
             s["middle"] = np.zeros(len(s["on"]), np.int64)
-            for x in got:
-                s["middle"][x["i"]] += x["value"]
             n = s["n"][s["on"]]
+            for x in got:
+                s["middle"][x["i"]] += x["value"] * np.where(n[x["i"]] % 2, 2, 1)
             s["rank"] = np.stack(((n - 1) // 2, n // 2))
             s["L"], s["reach"] = np.full_like(s["rank"], -1), np.zeros_like(s["rank"])
             s["H"] = np.full_like(s["rank"], len(_distances(s)) - 1)
+            s["H"][1, n % 2 == 1] = 0  # one middle rank, not two
         elif what == "below":
             flat = s["within"].ravel()
             for x in got:
@@ -452,10 +490,11 @@ def _step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            s = pickle.loads(r["state"])
+            s = unpack(r["state"])
             median2, mad4 = np.zeros(len(s["t"]), np.int64), np.zeros(len(s["t"]), np.int64)
             if len(s["on"]):
-                median2[s["on"]], mad4[s["on"]] = s["middle"], s["mad"].sum(axis=0)
+                one, two = s["mad"]
+                median2[s["on"]], mad4[s["on"]] = s["middle"], one + np.where(s["n"][s["on"]] % 2, one, two)
             yield _results(pa.array([r["series"]] * len(s["t"]), pa.string()), s["t"], s["n"], median2, mad4)
 
 
@@ -483,6 +522,7 @@ def rolling_medians(clicks: DataFrame, minutes: int = 360, shard_rows: int = SHA
     x = scratch.store(_once(clicks).select("click_id", "kind", key, "t", "cents"), "clicks")
     points = scratch.store(x.groupBy("series", "t", "cents").agg(F.count("*").alias("w")), "points")
     found = scratch.store(medians(points, scratch, minutes * MINUTE, shard_rows), "medians")
+    scratch.drop("points")
     off = F.abs(2 * F.col("cents") - F.col("median2"))
     return x.join(found, ["series", "t"]).select("click_id", "kind", "t", "cents", "n", "median2", "mad4", (2 * off > 5 * F.col("mad4")).alias("far"))
 

@@ -53,10 +53,10 @@ SPREADS = {
 }
 
 
-@pytest.mark.parametrize("spread", SPREADS)
 @pytest.mark.parametrize("shard_rows", [R.SHARD_ROWS, 12])
-def test_medians(spark, spread, shard_rows):
-    rows = made(len(spread), 260, SPREADS[spread])
+def test_medians(spark, shard_rows):
+    rows = [(1000 * k + i, ts, None if kind is None else f"{kind}{name}", v) for k, name in enumerate(SPREADS) for i, ts, kind, v in made(k, 130, SPREADS[name], kinds=(name, "view", "", name))]
+    rows += [(9000 + i, ts, None, v) for i, ts, _, v in made(7, 100, SPREADS["hot"])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "click_id long, ts timestamp_ntz, kind string, value double, n int").repartition(3)
     got = {r.click_id: (r.kind, r.n, r.median2, r.mad4, r.far) for r in R.rolling_medians(frame, shard_rows=shard_rows).collect()}
     assert got == plain(rows)
@@ -82,15 +82,21 @@ def test_hot_cell_without_any_value(spark):
 
 
 def test_one_hot_value_is_spread_over_shards(spark):
-    window = 360 * R.MINUTE
-    rows = [("aview", 10 * window + i, 999 if i % 3 else i, 1) for i in range(3000)]
-    points = spark.createDataFrame(rows, "series string, t long, cents long, w long")
-    scratch = R.C.Scratch(spark, "test")
-    found = R.medians(points, scratch, window, 200).collect()
-    assert len(found) == 3000
-    sizes = [len(r.points) for r in spark.read.parquet(scratch.path("shards")).collect()]
-    assert sum(sizes) == 2 * 3000 or sum(sizes) == 3000
-    assert max(sizes) <= 400
+    rows = [("aview", 1, i, 999 if i % 3 else i, 1) for i in range(3000)]
+    points = spark.createDataFrame(rows, "series string, cell long, t long, cents long, w long")
+    shards = sorted(R.value_shards(points, 200).collect(), key=lambda r: r.shard)
+    assert sum(len(r.points) for r in shards) == 3000 and max(len(r.points) for r in shards) <= 400
+    assert all(a.hi <= b.lo for a, b in zip(shards, shards[1:], strict=False))
+    assert sum(r.lo == r.hi == 999 for r in shards) > 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-(1 << 54), 1 << 54), max_size=9))
+def test_packed_arrays_come_back(values):
+    x = np.array(values, np.int64)
+    y = R.unpack(R.pack({"x": x, "sorted": np.sort(x), "grid": np.stack((x, x)), "name": "n"}))
+    assert (y["x"] == x).all() and (y["sorted"] == np.sort(x)).all() and (y["grid"] == x).all() and y["name"] == "n"
+    assert y["x"].dtype == y["sorted"].dtype == np.int64
 
 
 runs = st.lists(st.tuples(st.integers(-50, 50), st.integers(1, 4)), min_size=1, max_size=40)
