@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar as K
 from .panel import PAIR, without_warmup
+from .prefix import running_sums
 
 EVENT_FLAGS = ["is_ramadan", "is_eid_al_fitr", "is_eid_al_adha", "is_independence_day", "is_new_year"]
 TIERS = ["small", "medium", "large", "flagship"]
@@ -79,9 +80,8 @@ def branch_stats(panel: DataFrame, cutoff: str, qty: str = "qty_capped") -> Data
 
 def volume_tier(stats: DataFrame) -> DataFrame:
     """Quartile tier by first rank: ceil((r - 1) * q / (n - 1)), at least 1, with q = min(4, branches)."""
-    rank = F.row_number().over(Window.orderBy("branch_avg_daily_qty", "branch"))
-    n = F.count("*").over(Window.partitionBy())
-    x = stats.withColumns({"__r": rank, "__n": n})
+    ranked = running_sums(stats, ["branch_avg_daily_qty", "branch"], {"__r": F.lit(1)})
+    x = ranked.withColumn("__n", F.lit(stats.count()))
     tier = F.when(F.col("__n") < 2, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("__r") - 1) * F.least(F.lit(4), F.col("__n")) / (F.col("__n") - 1))))
     return x.withColumn("branch_volume_tier", F.element_at(F.array(*map(F.lit, TIERS)), tier.cast("int"))).drop("__r", "__n")
 
@@ -281,6 +281,11 @@ def tabular(rows: DataFrame, target: str, lookback: int = 28, log_target: bool =
     return out.withColumn(target, F.log1p(target)) if log_target else out
 
 
+def untransformed(column: str, log_target: bool) -> Column:
+    """Predictions on the target's own scale; never negative."""
+    return F.greatest(F.lit(0.0), F.expm1(column) if log_target else F.col(column))
+
+
 def contract_violations(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(check, violations): keys of one side only, values that differ, nulls."""
     x = a.select(*keys, *[F.col(v).alias(f"a_{v}") for v in values], F.lit(True).alias("in_a"))

@@ -134,7 +134,7 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
 
 def sample_rows(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
     """`n` rows, the same for a seed however the rows are dealt: those whose keys hash lowest with it."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
 
 
 def spikes(days: DataFrame, ratio: float = 5.0, prefix: str | None = None) -> DataFrame:

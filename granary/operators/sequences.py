@@ -1,8 +1,6 @@
 """Positions of windows in a sorted panel: segment codes, row numbers, window ends and their proofs.
 
-Numbers over the whole panel are given without sorting it in one task: rows are dealt into
-ranges of their keys, each range is numbered alone, and the ranges' sizes (one small row each)
-give where each begins.
+Numbers over the whole panel come from running sums by range (`prefix`), not from a sort in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +11,7 @@ from pyspark.sql.window import Window
 
 from ..sources.lineage import cut
 from .panel import PAIR, SEGMENT
-
-ROWS_A_RANGE = 1_000_000
+from .prefix import running_sums
 
 
 def split_columns(features: list[str]) -> tuple[list[str], list[str]]:
@@ -22,17 +19,6 @@ def split_columns(features: list[str]) -> tuple[list[str], list[str]]:
     return [c for c in features if not c.endswith("_idx")], [c for c in features if c.endswith("_idx")]
 
 
-def ordinals(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """`rows` with their number from 0 in the order of `keys`, which must be unique."""
-    ranges = max(1, rows.count() // ROWS_A_RANGE, rows.sparkSession.sparkContext.defaultParallelism)
-    dealt = cut(rows.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()))
-    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    begins = cut(sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__begin")))  # a row for each range
-    number = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    return dealt.join(begins, "__range").withColumn(name, F.col("__begin") + number).drop("__range", "__begin")
-
-
 def pair_columns(panel: DataFrame) -> list[str]:
     return SEGMENT if "segment_id" in panel.columns else PAIR
 
@@ -50,11 +36,9 @@ def build_index(panel: DataFrame, features: list[str], target: str | None = None
     x = panel.withColumn("position", position)
     if check:
         assert_dense(x, lookback)
-    codes = ordinals(x.groupBy(*keys).agg(F.count("*").alias("size")), keys, "segment_code")
-    before = ordinals(codes.select("segment_code", "size"), ["segment_code"], "nth")
-    start = F.sum("size").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))  # segments, not rows
-    starts = before.select("segment_code", F.coalesce(start, F.lit(0)).alias("start"))
-    codes = cut(codes.join(starts, "segment_code").select(*keys, "segment_code", "start"))
+    sizes = x.groupBy(*keys).agg(F.count("*").alias("size"))
+    codes = running_sums(sizes, keys, {"segment_code": F.lit(1), "start": F.col("size")})
+    codes = cut(codes.select(*keys, (F.col("segment_code") - 1).alias("segment_code"), (F.col("start") - F.col("size")).alias("start")))
     return x.join(codes, keys).withColumn("row", F.col("start") + F.col("position")).drop("start")
 
 

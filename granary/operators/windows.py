@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.lineage import cut
 from .panel import by_segment
+from .prefix import running_sums
 
 HORIZONS = range(1, 8)
 LAGS = [1, 2, 3, 7, 14, 21, 28]
@@ -56,14 +58,13 @@ def partial_mean(qty: str = "qty", size: int = 7) -> Column:
 def pareto(totals: DataFrame, key: str, value: str = "qty", share: float = 0.8) -> DataFrame:
     """Keys by falling value with rank, cumulative share, and whether they lie within the leading `share`.
 
-    Ordered over all rows at once: for aggregates by key, not for facts.
+    Ranks and shares are running sums by range; only the total and the last leading rank come to the driver.
     """
-    order = Window.orderBy(F.desc(value), key)
-    upto = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(value).over(Window.partitionBy())
-    out = totals.select(key, value, F.row_number().over(order).alias("rank"), (upto / whole).alias("cum_share"))
-    first = F.min(F.when(F.col("cum_share") >= share, F.col("rank"))).over(Window.partitionBy())
-    return out.withColumn("is_head", F.col("rank") <= first)
+    x = cut(running_sums(totals.select(key, value), [F.desc(value), F.col(key)], {"rank": F.lit(1), "upto": F.col(value)}))
+    whole = x.agg(F.sum(value)).first()[0]
+    x = x.select(key, value, F.col("rank").cast("int").alias("rank"), (F.col("upto") / F.lit(whole)).alias("cum_share"))
+    first = x.agg(F.min(F.when(F.col("cum_share") >= share, F.col("rank")))).first()[0]
+    return x.withColumn("is_head", F.col("rank") <= F.lit(first))
 
 
 def sequences(panel: DataFrame, features: list[str], target: str, lookback: int = 28) -> DataFrame:

@@ -478,28 +478,28 @@ def win_sequences(spark, d):
 
 # --- calendar ------------------------------------------------------------------------------
 
-DAYS = "days AS (SELECT CAST(UNNEST(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS DATE) dt)"
+DAYS = "days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) dt FROM lineitem)"
 
 
-def _days(spark) -> DataFrame:
-    return spark.sql("select explode(sequence(date'1995-01-01', date'2001-12-31')) as dt")
+def _days(spark, d) -> DataFrame:
+    return V.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("dt")).distinct()
 
 
 @query(f"WITH {DAYS} SELECT dt, CAST(isodow(dt) - 1 AS INT) AS day_of_week, CAST(day(dt) AS INT) AS day_of_month, CAST(month(dt) AS INT) AS month, isodow(dt) >= 6 AS is_weekend FROM days")
 def cal_basic(spark, d):
     x = V.CALENDAR.basic(F.col("dt"))
     x.pop("is_national_holiday")
-    return _days(spark).withColumns(x)
+    return _days(spark, d).withColumns(x)
 
 
 @query(f"WITH {DAYS}, {V.HOLIDAYS_SQL} SELECT dt, dt IN (SELECT dt FROM holidays) AS is_national_holiday FROM days")
 def cal_holiday(spark, d):
-    return _days(spark).select("dt", V.CALENDAR.basic(F.col("dt"))["is_national_holiday"].alias("is_national_holiday"))
+    return _days(spark, d).select("dt", V.CALENDAR.basic(F.col("dt"))["is_national_holiday"].alias("is_national_holiday"))
 
 
 @query(f"WITH {DAYS}, {V.FEASTS_SQL} SELECT dt, dt BETWEEN a AND b AS is_ramadan, CASE WHEN dt BETWEEN a AND b THEN CAST(dt - a AS INT) END AS days_into_ramadan, CASE WHEN dt < a THEN CAST(a - dt AS INT) END AS days_until_ramadan FROM days JOIN feasts ON y = year(dt) AND event = 'ramadan'")
 def cal_ramadan(spark, d):
-    return _days(spark).withColumns(V.CALENDAR.ramadan(F.col("dt")))
+    return _days(spark, d).withColumns(V.CALENDAR.ramadan(F.col("dt")))
 
 
 def _near(name: str, day: str, coming: str | None = None) -> str:
@@ -509,12 +509,12 @@ def _near(name: str, day: str, coming: str | None = None) -> str:
 
 @query(f"WITH {DAYS}, {V.FEASTS_SQL} SELECT dt, {_near('eid_al_fitr', 'f.a')}, {_near('eid_al_adha', 'g.a')} FROM days JOIN feasts f ON f.y = year(dt) AND f.event = 'eid_al_fitr' JOIN feasts g ON g.y = year(dt) AND g.event = 'eid_al_adha'")
 def cal_eid(spark, d):
-    return _days(spark).withColumns(V.CALENDAR.feast("eid_al_fitr", F.col("dt")) | V.CALENDAR.feast("eid_al_adha", F.col("dt")))
+    return _days(spark, d).withColumns(V.CALENDAR.feast("eid_al_fitr", F.col("dt")) | V.CALENDAR.feast("eid_al_adha", F.col("dt")))
 
 
 @query(f"WITH {DAYS} SELECT dt, {_near('independence_day', 'make_date(year(dt), 8, 17)')}, {_near('new_year', 'make_date(year(dt), 1, 1)', '(CASE WHEN month(dt) = 1 AND day(dt) = 1 THEN dt ELSE make_date(year(dt) + 1, 1, 1) END)')} FROM days")
 def cal_fixed_days(spark, d):
-    return _days(spark).withColumns(V.CALENDAR.fixed(F.col("dt")))
+    return _days(spark, d).withColumns(V.CALENDAR.fixed(F.col("dt")))
 
 
 @query(f"WITH {V.LEADS} SELECT item, branch, dt, CASE WHEN lead_time_days IS NOT NULL THEN CAST(len(list_filter(range(1, lead_time_days + 1), lambda x: (isodow(dt) - 1 + x) % 7 >= 5)) AS INT) END AS weekend_days FROM led")
@@ -525,13 +525,16 @@ def cal_target_weekend(spark, d):
 # --- domain --------------------------------------------------------------------------------
 
 
-@query(f"WITH {DAYS}, {V.REGIONS_SQL} SELECT p.dt, r.branch, CAST({V.LEAD} AS INT) AS lead_time_days FROM days p CROSS JOIN regions r")
+EVERY_DAY = "days AS (SELECT CAST(UNNEST(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS DATE) dt)"
+
+
+@query(f"WITH {EVERY_DAY}, {V.REGIONS_SQL} SELECT p.dt, r.branch, CAST({V.LEAD} AS INT) AS lead_time_days FROM days p CROSS JOIN regions r")
 def lt_lead_time(spark, d):
     x = V.regions(spark, d).select("branch", "ship_days", F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-31')")).alias("dt"))
     return x.select("dt", "branch", K.lead_time(F.col("dt"), F.col("ship_days")).alias("lead_time_days"))
 
 
-@query(f"WITH {DAYS}, {V.REGIONS_SQL} SELECT dt, branch, COALESCE(list_contains(days, isodow(dt) - 1), false) AS is_delivery_day FROM days CROSS JOIN (SELECT branch, days FROM regions) r".replace("r.days", "days"))
+@query(f"WITH {EVERY_DAY}, {V.REGIONS_SQL} SELECT dt, branch, COALESCE(list_contains(days, isodow(dt) - 1), false) AS is_delivery_day FROM days CROSS JOIN (SELECT branch, days FROM regions) r".replace("r.days", "days"))
 def lt_delivery_flag(spark, d):
     x = V.regions(spark, d).select("branch", "ship_days", F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-31')")).alias("dt"))
     return x.select("dt", "branch", K.is_delivery_day(F.col("dt"), F.col("ship_days")).alias("is_delivery_day"))
@@ -885,14 +888,15 @@ def out_spikes(spark, d):
     return r6(explore.spikes(V.sales(spark, d).select("item", "branch", "dt", "qty"), 2.0, "S"), "ratio")
 
 
-@query()
+@query(f"WITH {V.SALES} SELECT item, branch, dt, qty FROM sales ORDER BY md5(concat_ws('|', '0', item, branch, CAST(dt AS VARCHAR))), item, branch, dt LIMIT 1")
 def top_sample(spark, d):
     return explore.sample_rows(V.sales(spark, d).select("item", "branch", "dt", "qty"), 1, 0, ["item", "branch", "dt"])
 
 
-@query(_texts("SELECT k, ROUND(ln(1 + qty), 6) AS logged, ROUND(exp(ln(1 + qty)) - 1, 6) AS back FROM t"))
+@query(f"WITH {V.EC_BASE}, n AS (SELECT item, branch, dt, qty, ROW_NUMBER() OVER ({V.W}) n FROM panel) SELECT item, branch, dt, ROUND(ln(1 + qty), 6) AS logged, ROUND(qty, 6) AS back FROM n WHERE n > 7")
 def log_round_trip(spark, d):
-    return r6(V.texts(spark, d).select("k", F.log1p("qty").alias("logged"), F.expm1(F.log1p("qty")).alias("back")), "logged", "back")
+    x = demand.tabular(_ev(spark, d, 10), "qty", 7, log_target=True)
+    return r6(x.select("item", "branch", "dt", F.col("qty").alias("logged"), demand.untransformed("qty", True).alias("back")), "logged", "back")
 
 
 # --- end to end ------------------------------------------------------------------------------

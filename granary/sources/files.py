@@ -9,37 +9,72 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators.prefix import running_sums
+from .lineage import cut, small
 
 RAW = ["dt_text", "category", "item", "item_name", "branch", "unit", "qty_text"]
 OUTLETS = ["outlet", "address", "district", "city", "has_shopee", "has_gofood", "has_grabfood"]
 OVERRIDES = ["branch", "outlet", "city_override"]
 REGIONS = ["old_name", "branch", "address", "district", "city", "has_shopee", "has_gofood", "has_grabfood", "region", "ship_text"]
+#: The files' header lines.
+RAW_HEADER = ["Tanggal", "Kategori Barang", "Kode Barang", "Nama Barang", "Nama Cabang", "Satuan", "Kuantitas"]
+OUTLET_HEADER = ["Nama Outlet", "Alamat", "Kecamatan", "Kota", "has_shopee", "has_gofood", "has_grabfood"]
+OVERRIDE_HEADER = ["Nama Cabang", "Nama Outlet", "Kota Override"]
+REGION_HEADER = ["old_name", "new_name", "Alamat", "Kecamatan", "Kota", "has_shopee", "has_gofood", "has_grabfood", "kawasan", "hari_pengiriman"]
+CLOSURE_HEADER = ["Nama Outlet", "tanggal_tutup", "tanggal_buka", "alasan"]
+EVENT_ITEM_HEADER = ["prioritas_cek", "Kode Barang", "Nama Barang", "Kategori Barang", "is_event_driven", "catatan", "pct_hari_nol", "adi_rata2", "rata2_saat_bergerak", "jml_cabang", "total_kuantitas"]
 EVENT_ITEMS = ["check_order", "item", "item_name", "category", "is_event_driven", "note", "zero_pct", "adi", "mean_qty", "n_branches", "total_qty"]
 
 
-def csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """All-text columns of semicolon CSV files with a header line."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(paths, sep=";", header=True, schema=schema, enforceSchema=True)
+def csv(spark: SparkSession, path: str, header: list[str], columns: list[str]) -> DataFrame:
+    """All-text columns of semicolon CSV files, found by the names in their header lines.
+
+    header: the file's name of each column; all must be there, in any order, and others are
+    left out. A folder's files must have the same header line. A byte-order mark is dropped.
+    """
+    raw = spark.read.csv(path, sep=";", header=True, inferSchema=False, enforceSchema=False)
+    names = {c.removeprefix("\ufeff").strip(): c for c in raw.columns}
+    if missing := [h for h in header if h not in names]:
+        raise ValueError(f"{path} has no column {missing}; its header is {raw.columns}")
+    return raw.select(*[F.col(f"`{names[h]}`").alias(c) for h, c in zip(header, columns, strict=True)])
 
 
 def _field_count(line: Column) -> Column:
     return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ";"))
 
 
+def in_line_order(lines: DataFrame) -> DataFrame:
+    """`lines` with `at`, their number over all files in the order of file_no, path and place in the file.
+
+    lines: file_no, path, block (where the line's split begins in the file) and nth (rising in
+    a split by one a line, as monotonically_increasing_id is). Spark reads splits in any order,
+    large ones first; each split is numbered from the sizes of those before it.
+    """
+    split = ["file_no", "path", "block"]
+    held = cut(lines)
+    sizes = held.groupBy(*split).agg(F.count("*").alias("n"), F.min("nth").alias("least"))
+    begins = running_sums(sizes, split, {"upto": F.col("n")}).select(*split, (F.col("upto") - F.col("n") - F.col("least")).alias("shift"))
+    return held.join(small(cut(begins)), split).select("value", "file_no", (F.col("shift") + F.col("nth")).alias("at"))
+
+
 def transactions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Raw rows with their order (file_no in `paths`, at within it): item, branch, dt, qty and texts.
 
-    A path is a file or a folder of files, each with a header line, which the reader drops where
-    a file begins. Fields may be quoted. Wholly blank lines are dropped. A line of too few
-    fields, or with a non-blank field after the last, or with a bad date raises.
+    A path is a file or a folder of files, whose order is that of their names; each has the
+    header line of RAW_HEADER, which the reader drops where a file begins. `at` numbers the
+    lines of all paths in their order. Fields may be quoted. Wholly blank lines are dropped. A
+    line of too few fields, or with a non-blank field after the last, or with a bad date raises.
     """
     lines = None
     for i, p in enumerate(paths):
-        # one field a line: a separator and a quote that no text file holds
-        one = spark.read.csv(p, sep="\x01", quote="\x02", escape="\x02", header=True, schema="value string", enforceSchema=True)
-        one = one.withColumns({"file_no": F.lit(i), "at": F.monotonically_increasing_id()})
+        # one field a line: a separator and a quote that no text file holds; its name is the header line, which all files must share
+        one = spark.read.csv(p, sep="\x01", quote="\x02", escape="\x02", header=True, enforceSchema=False)
+        header = one.columns[0] if one.columns else ""
+        if [h.strip(' \ufeff"') for h in header.split(";")][: len(RAW)] != RAW_HEADER:
+            raise ValueError(f"{p} must begin with the columns {RAW_HEADER}, not {header!r}")
+        one = one.select(F.col("`" + header.replace("`", "``") + "`").alias("value"), F.lit(i).alias("file_no"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
         lines = one if lines is None else lines.unionByName(one)
+    lines = in_line_order(lines)
     lines = lines.withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.regexp_replace("value", '[;"\\s]', "") != "")
     extra = F.regexp_replace(F.regexp_replace("value", '"[^"]*[^"\\s][^"]*"', "q"), '"\\s*"', "")
     after = F.split(extra, ";")
@@ -54,11 +89,11 @@ def transactions(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def merge_and_sort(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The rows of all files by date; rows of a day keep the order of the files and of their lines."""
-    return transactions(spark, paths).orderBy("dt", "file_no", "at")
+    return transactions(spark, paths).orderBy("dt", "at")
 
 
 def outlets(spark: SparkSession, path: str) -> DataFrame:
-    return csv(spark, path, OUTLETS)
+    return csv(spark, path, OUTLET_HEADER, OUTLETS)
 
 
 def outlets_json(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +106,11 @@ def outlets_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:
-    return csv(spark, path, OVERRIDES)
+    return csv(spark, path, OVERRIDE_HEADER, OVERRIDES)
 
 
 def regions(spark: SparkSession, path: str) -> DataFrame:
-    out = csv(spark, path, REGIONS)
+    out = csv(spark, path, REGION_HEADER, REGIONS)
     return out.withColumns({"region": F.col("region").cast("int"), "ship_days": T.delivery_days(F.col("ship_text"))})
 
 
@@ -94,7 +129,7 @@ def closures(spark: SparkSession, path: str) -> DataFrame:
     """(branch, start_dt, end_dt, reason); an absent file is empty; bad, inverted or overlapping intervals raise."""
     if not exists(spark, path):
         return spark.createDataFrame([], "branch string, start_dt date, end_dt date, reason string")
-    raw = csv(spark, path, ["branch", "start_text", "end_text", "reason"]).where("branch is not null")
+    raw = csv(spark, path, CLOSURE_HEADER, ["branch", "start_text", "end_text", "reason"]).where("branch is not null")
     end_text = F.nullif(T.strip_ends(F.coalesce("end_text", F.lit(""))), F.lit(""))
     out = raw.select("branch", F.try_to_date("start_text").alias("start_dt"), F.try_to_date(end_text).alias("end_dt"), end_text.alias("e"), "reason")
     later = F.lead("start_dt").over(Window.partitionBy("branch").orderBy("start_dt"))
@@ -107,7 +142,7 @@ def closures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def event_items(spark: SparkSession, path: str) -> DataFrame:
-    out = csv(spark, path, EVENT_ITEMS)
+    out = csv(spark, path, EVENT_ITEM_HEADER, EVENT_ITEMS)
     return out.withColumn("is_event_driven", T.truth(F.col("is_event_driven")))
 
 
@@ -116,11 +151,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep=";", header=True)
 
 
-#: The header lines of the merged transactions and of the outlets.
-RAW_HEADER = ["Tanggal", "Kategori Barang", "Kode Barang", "Nama Barang", "Nama Cabang", "Satuan", "Kuantitas"]
-OUTLET_HEADER = ["Nama Outlet", "Alamat", "Kecamatan", "Kota", "has_shopee", "has_gofood", "has_grabfood"]
-
-
 def write_sorted(df: DataFrame, header: list[str], path: str, order: list[str] = ()) -> None:
     """Semicolon CSV files with a byte-order mark and a header line each; read in the order of their names they follow `order`.
 
@@ -145,8 +175,8 @@ def write_outlets(df: DataFrame, path: str) -> None:
 
 def merge_files(spark: SparkSession, paths: list[str], path: str) -> None:
     """All files' rows by date as one set of CSV files; texts as they were."""
-    rows = transactions(spark, paths).select("dt_text", *RAW[1:-1], "qty_text", "dt", "file_no", "at")
-    write_sorted(rows, RAW_HEADER, path, ["dt", "file_no", "at"])
+    rows = transactions(spark, paths).select("dt_text", *RAW[1:-1], "qty_text", "dt", "at")
+    write_sorted(rows, RAW_HEADER, path, ["dt", "at"])
 
 
 def aggregate_files(spark: SparkSession, source: str, path: str) -> None:

@@ -76,6 +76,66 @@ def test_qa(spark):
         qa.assert_no_nulls(x.withColumn("qty", F.lit(float("nan"))), ["qty"])
 
 
+@pytest.mark.parametrize("split", ["128m", "1k"])
+def test_lines_of_a_folder_keep_their_order(spark, tmp_path, split):
+    (tmp_path / "d").mkdir()
+    n, want = 0, []
+    for k, size in enumerate((1, 50, 5, 120)):
+        lines = [f"{1 + (i * 7) % 3:02d} Jan 2024;C;I{(n + i) % 9};N{n + i};B;Porsi;1" for i in range(size)]
+        write(tmp_path / "d", f"part-{k}.csv", *lines)
+        want += [int(x.split(";")[3][1:]) for x in lines]
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if split == "1k" else "4m")
+    try:
+        rows = files.transactions(spark, [str(tmp_path / "d"), str(tmp_path / "d")]).orderBy("at").collect()
+        assert [int(r.item_name[1:]) for r in rows] == want * 2 and [r.file_no for r in rows] == [0] * n + [1] * n
+        assert [r.at for r in rows] == list(range(2 * n))
+        assert [int(r.item_name[1:]) for r in files.merge_and_sort(spark, [str(tmp_path / "d")]).collect()] == sorted(want, key=lambda i: next(r.dt for r in rows if r.item_name == f"N{i}"))
+        files.merge_files(spark, [str(tmp_path / "d")], str(tmp_path / "m"))
+        files.aggregate_files(spark, str(tmp_path / "m"), str(tmp_path / "g"))
+        merged = [r.item_name for r in files.transactions(spark, [str(tmp_path / "m")]).orderBy("at").collect()]
+        assert [r.item_name for r in files.transactions(spark, [str(tmp_path / "g")]).orderBy("at").collect()] == merged
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_headers_are_checked_by_name(spark, tmp_path):
+    swapped = HEAD.replace("Kode Barang;Nama Barang", "Nama Barang;Kode Barang")
+    with pytest.raises(ValueError, match="must begin"):
+        files.transactions(spark, [write(tmp_path, "s.csv", "01 Jan 2024;C;I;N;B;Porsi;5", head=swapped)])
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d", "1.csv", "01 Jan 2024;C;I;N;B;Porsi;5")
+    write(tmp_path / "d", "2.csv", "01 Jan 2024;C;I;N;B;Porsi;5", head=swapped)
+    with pytest.raises(Exception, match="header|HEADER|MALFORMED|CSV"):
+        files.transactions(spark, [str(tmp_path / "d")]).collect()
+    o = write(tmp_path, "o.csv", "B1;O1;", "B2;O2;Bogor", head="Nama Cabang;Nama Outlet;Kota Override\n")
+    assert [tuple(r) for r in files.overrides(spark, o).orderBy("branch").collect()] == [("B1", "O1", None), ("B2", "O2", "Bogor")]
+    turned = write(tmp_path, "t.csv", "O1;Depok;B1", head="Nama Outlet;Kota Override;Nama Cabang\n")
+    assert tuple(files.overrides(spark, turned).first()) == ("B1", "O1", "Depok")
+    with pytest.raises(ValueError, match="Kota Override"):
+        files.overrides(spark, write(tmp_path, "w.csv", "B1;O1", head="Nama Cabang;Nama Outlet\n"))
+
+
+def test_regions_and_event_items(spark, tmp_path):
+    head = "old_name;new_name;Alamat;Kecamatan;Kota;has_shopee;has_gofood;has_grabfood;kawasan;hari_pengiriman\n"
+    r = files.regions(spark, write(tmp_path, "r.csv", "A;B;x;k;Bogor;Yes;No;Yes;2;Senin, Kamis", head=head)).first()
+    assert (r.branch, r.region, r.ship_days) == ("B", 2, [0, 3])
+    head = "prioritas_cek;Kode Barang;Nama Barang;Kategori Barang;is_event_driven;catatan;pct_hari_nol;adi_rata2;rata2_saat_bergerak;jml_cabang;total_kuantitas\n"
+    rows = files.event_items(spark, write(tmp_path, "e.csv", "1;FGS-1;N;C;TRUE;x;1;2;3;4;5", "2;FGS-2;N;C;false;;1;2;3;4;5", head=head)).orderBy("item").collect()
+    assert [(r.item, r.is_event_driven) for r in rows] == [("FGS-1", True), ("FGS-2", False)]
+
+
+def test_leaks_raise(spark):
+    day = lambda *ds: spark.createDataFrame([(dt.date(2024, 1, d),) for d in ds], "dt date")
+    models.assert_no_leak(day(1, 2), day(3, 4), "2024-02-01")
+    for train, valid, cutoff in ((day(1, 3), day(3, 4), "2024-02-01"), (day(1), day(3, 31), "2024-01-31")):
+        with pytest.raises(ValueError, match="training ends"):
+            models.assert_no_leak(train, valid, cutoff)
+
+
 def test_search_helpers():
     space = {"a": [1, 2, 3], "b": [1, 2]}
     found = models.sample_space(space, {"a": 1, "b": 1}, 6)
