@@ -9,21 +9,26 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
 from ..sources.lineage import cut
-from . import demand, metrics
+from . import boosting, demand, metrics
 
 KEYS = ["item", "branch", "dt"]
 QUANTILE = 0.9
 MEMORY_BUDGET = 3 << 30
+#: Bytes of leaves' samples that are sent to every task, at most; and values that a task gathers at once.
+LOOKUP_BYTES, GATHERED = 256 << 20, 1 << 20
 Forecaster = Callable[[DataFrame, DataFrame], DataFrame]
 
 #: Defaults and search spaces, by the names that the learners here take.
@@ -37,11 +42,18 @@ FOREST_SPACE = {
     "log_target": [False, True],
     "encoding": ["ordinal", "one_hot"],
 }
-BOOST_DEFAULTS = {"depth": 6, "rate": 0.05, "min_leaf": 10, "rows_share": 1.0, "encoding": "ordinal", "log_target": False}
-BOOST_SPACE = {"depth": [4, 6, 8, 10], "rate": [0.03, 0.05, 0.1], "min_leaf": [1, 10, 50], "rows_share": [0.7, 1.0], "encoding": ["ordinal", "native", "one_hot"], "log_target": [False, True]}
+BOOST_DEFAULTS = {"depth": 6, "rate": 0.05, "min_leaf": 10, "rows_share": 1.0, "columns_share": 1.0, "l2": 1.0, "encoding": "ordinal", "log_target": False}
+BOOST_SPACE = {
+    "depth": [4, 6, 8, 10],
+    "rate": [0.03, 0.05, 0.1],
+    "min_leaf": [1, 10, 50],
+    "rows_share": [0.7, 1.0],
+    "columns_share": [0.5, 0.7, 1.0],
+    "l2": [1.0, 10.0],
+    "encoding": ["ordinal", "native", "one_hot"],
+    "log_target": [False, True],
+}
 BOOST_ROUNDS, BOOST_PATIENCE = 2000, 50
-#: Centroids of a quantile sketch of residuals: its memory, and the inverse of its error in rank.
-SKETCH = 10_000
 
 
 def vectors(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -107,7 +119,49 @@ class LeafQuantiles:
 
         return scored.withColumn("__vec", vector_to_array("__leaves")).select(*keep, each.alias("tree", "leaf"))
 
-    def predict(self, rows: DataFrame, keys: list[str] = KEYS, quantile: float = QUANTILE) -> DataFrame:
+    def predict(self, rows: DataFrame, keys: list[str] = KEYS, quantile: float = QUANTILE, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
+        """Leaves' samples of `lookup_bytes` at most (counted) go to the rows; beyond that, rows go to the leaves."""
+        n, leaves = self.values.agg(F.sum(F.size("ys")), F.count("*")).first()
+        if 8 * (n or 0) + 16 * leaves <= lookup_bytes:
+            return self._looked_up(rows, keys, quantile)
+        return self._joined(rows, keys, quantile)
+
+    def _looked_up(self, rows: DataFrame, keys: list[str], quantile: float) -> DataFrame:
+        """An Arrow pass over the rows' leaves; all samples are one array by tree and leaf, which the tasks share."""
+        from pyspark.ml.functions import vector_to_array
+
+        table = self.values.select("tree", "leaf", F.transform("ys", lambda v: v["y"]).alias("ys")).toArrow()
+        code = table.column("tree").to_numpy().astype(np.int64) << 32 | table.column("leaf").to_numpy().astype(np.int64)
+        order = np.argsort(code)
+        lists = table.column("ys").combine_chunks().take(pa.array(order))
+        off = lists.offsets.to_numpy()
+        most = int(np.diff(off).max(initial=1))
+        shared = rows.sparkSession.sparkContext.broadcast((code[order], off, lists.values.to_numpy(zero_copy_only=False)))
+        scored = self.model.setLeafCol("__leaves").transform(rows.select(*keys, "features")).select(*keys, vector_to_array("__leaves").alias("__leaves"))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code, off, ys = shared.value
+            for b in batches:
+                leaf = b.column("__leaves").flatten().to_numpy().astype(np.int64).reshape(b.num_rows, -1)
+                trees = leaf.shape[1]
+                step, out = max(1, GATHERED // (trees * most)), np.empty(b.num_rows)
+                for s in range(0, b.num_rows, step):
+                    wanted = leaf[s : s + step] | np.arange(trees) << 32
+                    at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+                    size = np.where(code[at] == wanted, off[at + 1] - off[at], 0)[..., None]
+                    nth = np.arange(most)
+                    held = nth < size
+                    y = np.where(held, ys[np.minimum(off[at][..., None] + nth, len(ys) - 1)], np.inf).reshape(len(wanted), -1)
+                    w = np.where(held, 1 / np.maximum(size, 1), 0.0).reshape(len(wanted), -1)
+                    by_value = np.argsort(y, axis=1, kind="stable")
+                    reach = np.cumsum(np.take_along_axis(w, by_value, axis=1), axis=1)
+                    first = (reach >= reach[:, -1:] * quantile - 1e-9).argmax(axis=1)
+                    out[s : s + step] = np.take_along_axis(y, np.take_along_axis(by_value, first[:, None], axis=1), axis=1)[:, 0]
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(np.maximum(0.0, out))], names=[*keys, "prediction"])
+
+        return scored.mapInArrow(run, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", prediction double")
+
+    def _joined(self, rows: DataFrame, keys: list[str], quantile: float) -> DataFrame:
         """A row gathers trees x samples values at most, in one array."""
         hits = self._leaves(rows.select(*keys, "features")).join(self.values, ["tree", "leaf"])
         drawn = hits.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("ys"))).alias("ys"))
@@ -140,76 +194,27 @@ def quantile_forest(
     return forecast
 
 
-class Boosted:
-    """A base value and steps (tree, value of each leaf)."""
-
-    def __init__(self, base: float, steps: list[tuple[DecisionTreeRegressionModel, dict[int, float]]]):
-        self.base, self.steps = base, steps
-
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """`rows` (with features) with `f`."""
-        out = rows.withColumn("f", F.lit(float(self.base)))
-        for model, values in self.steps:
-            out = _step(out, model, values)
-        return out
-
-
-def _boost(x: DataFrame, v: DataFrame | None, rounds: int, depth: int, rate: float, min_leaf: int, rows_share: float, patience: int, quantile: float, seed: int) -> Boosted:
-    """Boosting of the pinball loss over (features, y): trees on the loss's sign, leaves set to the residuals' quantile.
-
-    Quantiles are read from mergeable sketches, so no task holds a leaf's residuals. With `v`,
-    the rounds that were best there are kept.
-    """
-    middle = lambda c: F.percentile_approx(c, quantile, SKETCH)
-    base = float(x.agg(middle("y")).first()[0])
-    x = x.withColumn("f", F.lit(base))
-    v = v.withColumn("f", F.lit(base)) if v is not None else None
-    steps, best, best_at = [], float("inf"), 0
-    for k in range(rounds):
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="g", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, leafCol="leaf")
-        graded = x.withColumn("g", F.lit(quantile) - (F.col("y") < F.col("f")).cast("double"))
-        drawn = graded if rows_share >= 1 else graded.where(F.pmod(F.xxhash64("y", "f", F.lit(seed + k)), F.lit(1000)) < int(1000 * rows_share))
-        model = tree.fit(drawn.select("features", "g"))
-        leaf = model.transform(x).groupBy("leaf").agg(middle(F.col("y") - F.col("f")).alias("step")).collect()  # 2 ** depth rows at most
-        values = {int(r.leaf): rate * r.step for r in leaf}
-        steps.append((model, values))
-        x = _step(x, model, values)
-        v = _step(v, model, values) if v is not None else None
-        if k % 5 == 4:  # else each round would run all trees before it again
-            x, v = cut(x), cut(v) if v is not None else None
-        if v is not None:
-            loss = v.select(F.col("y").alias("target"), F.col("f").alias("prediction")).agg(metrics.aggregates(quantile)["pinball"]).first()[0]
-            if loss < best - 1e-12:
-                best, best_at = loss, k + 1
-            elif k + 1 - best_at >= patience:
-                break
-    return Boosted(base, steps[:best_at] if v is not None else steps)
-
-
 def boosted_quantiles(
-    features: list[str], target: str, rounds: int = BOOST_ROUNDS, depth: int = 6, rate: float = 0.05, min_leaf: int = 10, rows_share: float = 1.0, encoding: str = "ordinal",
-    log_target: bool = False, patience: int = BOOST_PATIENCE, tail_days: int = 30, quantile: float = QUANTILE, seed: int = 42,
+    features: list[str], target: str, rounds: int = BOOST_ROUNDS, depth: int = 6, rate: float = 0.05, min_leaf: int = 10, rows_share: float = 1.0, columns_share: float = 1.0, l2: float = 1.0,
+    encoding: str = "ordinal", log_target: bool = False, patience: int = BOOST_PATIENCE, tail_days: int = 30, quantile: float = QUANTILE, seed: int = 42,
 ) -> Forecaster:
     """Boosted quantile trees; rounds are chosen on the last `tail_days` days, then all rows are fitted with that many."""
-    y = F.log1p(target) if log_target else F.col(target)
+    settings = boosting.Settings(rounds, depth, rate, min_leaf, rows_share, columns_share, l2, patience, quantile, seed)
 
     def forecast(train: DataFrame, valid: DataFrame) -> DataFrame:
         train, valid, names = encoded(train, valid, features, encoding)
-        fit, tail = (cut(vectors(x, names).select("features", y.cast("double").alias("y"))) for x in demand.early_stopping(train, tail_days))
-        options = (depth, rate, min_leaf, rows_share, patience, quantile, seed)
-        chosen = len(_boost(fit, tail, rounds, *options).steps)
-        whole = cut(vectors(train, names).select("features", y.cast("double").alias("y")))
-        out = _boost(whole, None, max(1, chosen), *options).predict(vectors(valid, names).select(*KEYS, "features"))
-        return out.select(*KEYS, F.greatest(F.lit(0.0), F.expm1("f") if log_target else F.col("f")).alias("prediction"))
+        out = _boosted(train, names, target, log_target, tail_days, settings).predict(valid, KEYS)
+        return out.select(*KEYS, demand.untransformed("f", log_target).alias("prediction"))
 
     return forecast
 
 
-def _step(x: DataFrame, model, values: dict[int, float]) -> DataFrame:
-    pairs = F.array(*[F.lit(float(values.get(i, 0.0))) for i in range(max(values, default=0) + 1)])
-    cols = [c for c in x.columns if c != "f"]
-    scored = model.transform(x)
-    return scored.select(*cols, (F.col("f") + F.coalesce(F.get(pairs, F.col("leaf").cast("int")), F.lit(0.0))).alias("f"))
+def _boosted(train: DataFrame, names: list[str], target: str, log_target: bool, tail_days: int, settings: boosting.Settings) -> boosting.Boosted:
+    """The trees of all rows, as many as did best on the last days."""
+    y, key = F.log1p(target) if log_target else F.col(target), F.xxhash64(*KEYS)
+    fit, tail = demand.early_stopping(train, tail_days)
+    chosen = len(boosting.boost(fit, tail, names, y, key, settings).trees)
+    return boosting.boost(train, None, names, y, key, replace(settings, rounds=max(1, chosen)))
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -324,14 +329,9 @@ def fit_final(rows: DataFrame, features: list[str], target: str, cutoff: str, pa
         model.write().overwrite().save(f"{path}/model")
         LeafQuantiles(model, x, target, samples).values.write.mode("overwrite").parquet(f"{path}/leaves")
     elif kind == "boost":
-        p = {k: v for k, v in BOOST_DEFAULTS.items() if k not in ("log_target", "encoding")} | {"rounds": BOOST_ROUNDS, "patience": BOOST_PATIENCE} | params
-        rounds = p.pop("rounds")
-        fit, tail = (cut(vectors(x, features).select("features", y.alias("y"))) for x in demand.early_stopping(train))
-        chosen = max(1, len(_boost(fit, tail, rounds, quantile=quantile, seed=seed, **p).steps))
-        model = _boost(cut(vectors(train, features).select("features", y.alias("y"))), None, chosen, quantile=quantile, seed=seed, **p)
-        for k, (tree, _) in enumerate(model.steps):
-            tree.write().overwrite().save(f"{path}/tree{k}")
-        meta |= {"base": model.base, "steps": [{str(a): b for a, b in v.items()} for _, v in model.steps]}
+        p = {k: v for k, v in BOOST_DEFAULTS.items() if k not in ("log_target", "encoding")} | {"rounds": BOOST_ROUNDS, "patience": BOOST_PATIENCE, "tail_days": 30} | params
+        settings = boosting.Settings(p["rounds"], p["depth"], p["rate"], p["min_leaf"], p["rows_share"], p["columns_share"], p["l2"], p["patience"], quantile, seed)
+        meta |= {"model": _boosted(train, features, target, log, p["tail_days"], settings).to_dict()}
     else:
         raise ValueError(f"unknown kind {kind!r}")
     _save_meta(spark, path, meta)
@@ -341,13 +341,12 @@ def predict_bundle(path: str, rows: DataFrame, quantile: float | None = None) ->
     """Predictions of a saved bundle; its own feature order and target scale are used."""
     spark = rows.sparkSession
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    x = vectors(rows, meta["features"])
     if meta["kind"] == "forest":
+        x = vectors(rows, meta["features"])
         q = LeafQuantiles.__new__(LeafQuantiles)
         q.model, q.values = RandomForestRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/leaves")
         out = q.predict(x, quantile=quantile or meta["quantile"])
     else:
-        steps = [(DecisionTreeRegressionModel.load(f"{path}/tree{k}"), {int(a): b for a, b in v.items()}) for k, v in enumerate(meta["steps"])]
-        out = Boosted(meta["base"], steps).predict(x.select(*KEYS, "features")).select(*KEYS, F.col("f").alias("prediction"))
+        out = boosting.Boosted.from_dict(meta["model"]).predict(rows, KEYS).select(*KEYS, F.col("f").alias("prediction"))
     value = F.expm1("prediction") if meta["log_target"] else F.col("prediction")
     return out.select(*KEYS, F.greatest(F.lit(0.0), value).alias("prediction"))

@@ -1,21 +1,25 @@
 """A recurrent quantile network in numpy: LSTM over a window, embeddings of categories, a two-layer head.
 
-It is fitted on the driver on a bounded sample of windows (those of the least key hashes) by
-Adam on the pinball loss itself; predictions run on the executors.
+It is fitted where the windows lie, on all of them: in an epoch each task runs Adam on the pinball
+loss over its own segments, and the tasks' weights are averaged; the driver holds the weights alone.
 """
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
+from . import sequences
+
 KEYS = ["item", "branch", "dt"]
-#: Windows that a network is fitted on, at most.
-SAMPLE = 50_000
 #: Defaults and search space.
 DEFAULTS = {"hidden_size": 128, "num_layers": 1, "dropout": 0.2, "learning_rate": 1e-3, "batch_size": 1024, "log_target": False, "grad_clip": 1.0, "random_state": 42}
 SPACE = {"hidden_size": [64, 128], "num_layers": [1], "dropout": [0.0, 0.2, 0.3], "learning_rate": [3e-4, 1e-3], "batch_size": [1024, 2048], "log_target": [False, True]}
@@ -103,8 +107,10 @@ class Network:
             dout = dx
         return g
 
-    def predict(self, x: np.ndarray, cats: np.ndarray, batch: int = 4096) -> np.ndarray:
-        return np.concatenate([self.forward(x[s : s + batch], cats[s : s + batch])[0] for s in range(0, len(x), batch)]) if len(x) else np.zeros(0)
+    def predict(self, windows: Callable[[np.ndarray], np.ndarray], cats: np.ndarray, batch: int = 4096) -> np.ndarray:
+        """windows: from numbers of windows to an array of them, so that no more than a batch is held."""
+        numbers = np.arange(len(cats))
+        return np.concatenate([self.forward(windows(numbers[s : s + batch]), cats[s : s + batch])[0] for s in range(0, len(cats), batch)]) if len(cats) else np.zeros(0)
 
 
 class Adam:
@@ -120,13 +126,13 @@ class Adam:
             w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def run_epoch(net: Network, adam: Adam, x, cats, y, batch_size: int, grad_clip: float, quantile: float, r: np.random.Generator) -> float:
+def run_epoch(net: Network, adam: Adam, windows: Callable[[np.ndarray], np.ndarray], cats, y, batch_size: int, grad_clip: float, quantile: float, r: np.random.Generator) -> float:
     """One pass over shuffled windows; the mean loss. A loss that is not finite raises."""
     total = 0.0
     order = r.permutation(len(y))
     for s in range(0, len(order), batch_size):
         b = order[s : s + batch_size]
-        out, kept = net.forward(x[b], cats[b], r)
+        out, kept = net.forward(windows(b), cats[b], r)
         loss = pinball_loss(out, y[b], quantile)
         if not np.isfinite(loss):
             raise ValueError("the loss is not finite")
@@ -139,65 +145,150 @@ def run_epoch(net: Network, adam: Adam, x, cats, y, batch_size: int, grad_clip:
     return total / max(1, len(y))
 
 
-def fit(x, cats, y, sizes, params: dict, quantile: float, epochs: int, stop: tuple | None = None, patience: int = PATIENCE) -> tuple[Network, int]:
-    """(network, epochs run best): `epochs` passes, or until `patience` passes don't lower the loss on `stop` (x, cats, y)."""
-    p = DEFAULTS | params
-    net = Network(x.shape[2], sizes, p["hidden_size"], p["num_layers"], p["dropout"], p["random_state"])
-    adam, r = Adam(net.w, p["learning_rate"]), np.random.default_rng(p["random_state"])
-    best, best_at = float("inf"), 1
-    for k in range(1, epochs + 1):
-        run_epoch(net, adam, x, cats, y, p["batch_size"], p["grad_clip"], quantile, r)
-        if stop is None:
-            best_at = k
-            continue
-        loss = pinball_loss(net.predict(*stop[:2]), stop[2], quantile)
-        if loss < best:
-            best, best_at = loss, k
-        elif k - best_at >= patience:
-            break
-    return net, best_at
-
-
-def _arrays(rows: pd.DataFrame, categorical: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array([np.stack(w) for w in rows["window"]], dtype=float)
-    return x, rows[categorical].to_numpy(dtype=np.int64).reshape(len(rows), len(categorical))
+# --- fitted where the windows lie ------------------------------------------------------------
+
+#: Weights that one row carries when tasks' networks are averaged.
+PIECE = 4096
+
+
+def _pieces(w: dict[str, np.ndarray]) -> Iterator[tuple[str, int, np.ndarray]]:
+    for name, x in w.items():
+        flat = x.reshape(-1)
+        for k in range(0, len(flat), PIECE):
+            yield name, k, flat[k : k + PIECE]
+
+
+def _batch(b: pa.RecordBatch, dynamic: list[str], categorical: list[str], lookback: int, scale: tuple, on: Callable) -> tuple:
+    """(windows' maker, categories, rows' fields) of the windows in a batch of packed segments that `on` keeps."""
+    x, ends, rows, segment = sequences.flat_windows(b, dynamic, lookback)
+    x = (x - scale[0]) / scale[1]
+    field = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+    at = np.flatnonzero(on(field)) if len(ends) else np.zeros(0, np.int64)
+    field = {k: v.take(pa.array(at)) for k, v in field.items()}
+    cats = np.stack([field[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in categorical], axis=1) if categorical else np.zeros((len(at), 0), np.int64)
+    ends = ends[at]
+    return (lambda i: sequences.window_views(x, ends[i], lookback)), cats, field, segment[at] if len(segment) else segment
+
+
+class Spread:
+    """A network whose windows stay on the executors: each task trains on its own, then the weights are averaged by windows.
+
+    Packed segments (days with y and part) are stored, so a task that is run again sees the same
+    windows; its order of batches follows from the seed, the epoch and its first segment.
+    """
+
+    def __init__(self, packed: DataFrame, dynamic: list[str], categorical: list[str], sizes: list[tuple[int, int]], lookback: int, scale: tuple, p: dict, quantile: float):
+        self.packed, self.dynamic, self.categorical, self.lookback, self.scale, self.p, self.quantile = packed, dynamic, categorical, lookback, scale, p, quantile
+        self.net = Network(len(dynamic), sizes, p["hidden_size"], p["num_layers"], p["dropout"], p["random_state"])
+
+    def _parts(self, parts: tuple[int, ...]) -> Callable:
+        return lambda field: np.isin(field["part"].to_numpy(zero_copy_only=False), parts)
+
+    def epoch(self, parts: tuple[int, ...], k: int) -> None:
+        """One pass over the windows of `parts`. A loss that is not finite raises."""
+        net, p, q, on = self.net, self.p, self.quantile, self._parts(parts)
+        dynamic, categorical, lookback, scale = self.dynamic, self.categorical, self.lookback, self.scale
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, n, adam, r = copy.deepcopy(net), 0, None, None
+            for b in batches:
+                windows, cats, field, _ = _batch(b, dynamic, categorical, lookback, scale, on)
+                if not len(cats):
+                    continue
+                if adam is None:
+                    seed = zlib.crc32(repr([b.column(i)[0].as_py() for i in range(b.num_columns - 1)]).encode())
+                    adam, r = Adam(own.w, p["learning_rate"]), np.random.default_rng((p["random_state"], k, seed))
+                y = field["y"].to_numpy(zero_copy_only=False)
+                run_epoch(own, adam, windows, cats, np.log1p(y) if p["log_target"] else y, p["batch_size"], p["grad_clip"], q, r)
+                n += len(y)
+            found = [(name, at, (x * n).tobytes()) for name, at, x in _pieces(own.w)] if n else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary()), pa.array([n] * len(found), pa.int64())], names=["name", "at", "piece", "n"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_buffer()) for x in t.column("piece"))
+            return pa.table({"name": t.column("name")[:1], "at": t.column("at")[:1], "piece": [total.tobytes()], "n": [pa.compute.sum(t.column("n")).as_py()]})
+
+        schema = "name string, at long, piece binary, n long"
+        for r in self.packed.mapInArrow(train, schema).groupBy("name", "at").applyInArrow(add, schema).collect():  # the weights, once
+            piece = np.frombuffer(bytes(r.piece)) / r.n
+            self.net.w[r.name].reshape(-1)[r.at : r.at + len(piece)] = piece
+
+    def loss(self, parts: tuple[int, ...]) -> float:
+        net, p, q, on = self.net, self.p, self.quantile, self._parts(parts)
+        dynamic, categorical, lookback, scale = self.dynamic, self.categorical, self.lookback, self.scale
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                windows, cats, field, _ = _batch(b, dynamic, categorical, lookback, scale, on)
+                y = field["y"].to_numpy(zero_copy_only=False) if len(cats) else np.zeros(0)
+                y = np.log1p(y) if p["log_target"] else y
+                total = pinball_loss(net.predict(windows, cats), y, q) * len(y) if len(y) else 0.0
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([len(y)])], names=["loss", "n"])
+
+        return self.packed.mapInArrow(score, "loss double, n long").agg(F.try_divide(F.sum("loss"), F.sum("n"))).first()[0]
+
+    def fit(self, parts: tuple[int, ...], epochs: int, stop: tuple[int, ...] = (), patience: int = PATIENCE) -> int:
+        """Epochs that did best: `epochs` passes, or until `patience` passes don't lower the loss on the parts `stop`."""
+        best, best_at = float("inf"), 1
+        for k in range(1, epochs + 1):
+            self.epoch(parts, k)
+            if not stop:
+                best_at = k
+                continue
+            loss = self.loss(stop)
+            if loss < best:
+                best, best_at = loss, k
+            elif k - best_at >= patience:
+                break
+        return best_at
+
+
+#: Parts of the training days: neither, before the tail, in the tail.
+REST, EARLY, TAIL = 0, 1, 2
+
+
+def _parted(packed: DataFrame, tail_days: int) -> tuple[DataFrame, set[int]]:
+    """Packed segments whose days have a part (null without y), and the parts that there are."""
+    last = packed.select(F.array_max(F.transform(F.filter("days", lambda d: d["y"].isNotNull()), lambda d: d["dt"])).alias("dt")).agg(F.max("dt")).first()[0]
+    if last is None:
+        raise ValueError("no rows to fit")
+    start = F.date_sub(F.lit(last), tail_days - 1)
+    part = lambda d: F.when(d["y"].isNull(), None).when(d["dt"] >= start, TAIL).when(F.date_add(d["dt"], d["lead"]) < start, EARLY).otherwise(REST)
+    out = packed.withColumn("days", F.transform("days", lambda d: d.withField("part", F.coalesce(part(d), F.lit(-1)))))
+    there = out.select(F.explode(F.array_distinct(F.transform("days", lambda d: d["part"]))).alias("part")).distinct().collect()
+    return out, {r.part for r in there}
 
 
 def recurrent_quantiles(
-    dynamic: list[str], categorical: list[str], sizes: list[tuple[int, int]], target: str, quantile: float = 0.9, epochs: int = MAX_EPOCHS, patience: int = PATIENCE, tail_days: int = TAIL_DAYS, sample: int = SAMPLE, **params
-) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A forecaster over rows with a `window` of `dynamic` features and `categorical` indices (sizes: levels, width).
+    dynamic: list[str], categorical: list[str], sizes: list[tuple[int, int]], lookback: int, quantile: float = 0.9, epochs: int = MAX_EPOCHS, patience: int = PATIENCE, tail_days: int = TAIL_DAYS, **params
+) -> Callable[[DataFrame, DataFrame, tuple], DataFrame]:
+    """A forecaster over packed segments (see `sequences.bind_panel`) with `categorical` indices (sizes: levels, width).
 
     Two fits: one stops early on the last `tail_days` days, the other takes all rows for as
-    many epochs. Windows are scaled by the training sample's means and deviations.
+    many epochs. Windows are scaled by the training rows' means and deviations.
     """
     p = DEFAULTS | params
 
-    def forecast(train: DataFrame, valid: DataFrame) -> DataFrame:
-        rows = train.orderBy(F.xxhash64(*KEYS), *KEYS).limit(sample).select("dt", "window", *categorical, F.col(target).cast("double").alias("y"), F.coalesce("lead_time_days", F.lit(0)).alias("lead")).toPandas()
-        if rows.empty:
-            raise ValueError("no rows to fit")
-        x, cats = _arrays(rows, categorical)
-        mean, sd = x.mean(axis=(0, 1)), x.std(axis=(0, 1))
-        sd[sd == 0] = 1.0
-        x = (x - mean) / sd
-        y = np.log1p(rows["y"].to_numpy()) if p["log_target"] else rows["y"].to_numpy()
-        day = pd.to_datetime(rows["dt"])
-        start = day.max() - pd.Timedelta(days=tail_days - 1)
-        tail, early = (day >= start).to_numpy(), (day + pd.to_timedelta(rows["lead"], unit="D") < start).to_numpy()
+    def forecast(train: DataFrame, valid: DataFrame, scale: tuple) -> DataFrame:
+        packed, parts = _parted(train, tail_days)
+        packed = cut(packed)
+        spread = lambda: Spread(packed, dynamic, categorical, sizes, lookback, scale, p, quantile)
         best = epochs
-        if early.any() and tail.any():
-            _, best = fit(x[early], cats[early], y[early], sizes, p, quantile, epochs, (x[tail], cats[tail], y[tail]), patience)
-        net, _ = fit(x, cats, y, sizes, p, quantile, best)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if {EARLY, TAIL} <= parts:
+            best = spread().fit((EARLY,), epochs, (TAIL,), patience)
+        whole = spread()
+        whole.fit((REST, EARLY, TAIL), best)
+        net = whole.net
+        wanted = lambda field: field["wanted"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if len(b):
-                    v, c = _arrays(b, categorical)
-                    out = net.predict((v - mean) / sd, c)
-                    b["prediction"] = np.maximum(0.0, np.expm1(out) if p["log_target"] else out)
-                    yield b[[*KEYS, "prediction"]]
+                windows, cats, field, segment = _batch(b, dynamic, categorical, lookback, scale, wanted)
+                if len(cats):
+                    out = net.predict(windows, cats)
+                    out = np.maximum(0.0, np.expm1(out) if p["log_target"] else out)
+                    yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(segment)), b.column("branch").take(pa.array(segment)), field["dt"], pa.array(out)], names=[*KEYS, "prediction"])
 
-        return valid.select(*KEYS, "window", *categorical).mapInPandas(run, "item string, branch string, dt date, prediction double")
+        return valid.mapInArrow(run, "item string, branch string, dt date, prediction double")
 
     return forecast

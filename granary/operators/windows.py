@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..sources.lineage import cut
-from .panel import by_segment
+from .panel import SEGMENT, by_segment
 from .prefix import running_sums
 
 HORIZONS = range(1, 8)
@@ -70,10 +73,23 @@ def pareto(totals: DataFrame, key: str, value: str = "qty", share: float = 0.8)
 def sequences(panel: DataFrame, features: list[str], target: str, lookback: int = 28) -> DataFrame:
     """Windows of the last `lookback` days for each row past the warm-up with a target.
 
-    Column window: an array of `lookback` arrays of features; windows never cross segments.
+    Column window: an array of `lookback` arrays of features; windows never cross segments. The
+    panel moves once; windows are made of it as they are handed on, in the order of Arrow batches.
     """
-    frame = by_segment().rowsBetween(-(lookback - 1), 0)
-    row = F.array(*[F.col(c).cast("float") for c in features])
-    position = F.row_number().over(by_segment())
-    out = panel.withColumns({"window": F.collect_list(row).over(frame), "__n": position})
-    return out.where((F.col("__n") > lookback) & F.col(target).isNotNull()).drop("__n")
+    from . import sequences as S
+
+    rest = [c for c in panel.columns if c not in (*SEGMENT, "dt")]
+    x = panel.withColumns({f"__{c}": F.col(c).cast("float") for c in features} | {"__on": (F.row_number().over(by_segment()) > lookback) & F.col(target).isNotNull()})
+    packed = S.pack_segments(x, [*rest, *[f"__{c}" for c in features], "__on"])
+    out = StructType([*[panel.schema[c] for c in (*SEGMENT, "dt", *rest)], StructField("window", ArrayType(ArrayType(FloatType())))])
+
+    def make(keys, rows, x, ends):
+        names = [f.name for f in rows.type]
+        on = rows.field(names.index("__on")).to_numpy(zero_copy_only=False).astype(bool)
+        at = pa.array(np.flatnonzero(on))
+        cube = S.window_views(x, ends[on], lookback)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, cube.size + 1, max(1, len(features)), dtype=np.int32)), pa.array(cube.reshape(-1)))
+        window = pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, lookback, dtype=np.int32)), inner)
+        return {k: v.take(at) for k, v in keys.items()} | {c: rows.field(names.index(c)).take(at) for c in ("dt", *rest)} | {"window": window}
+
+    return S.map_windows(packed, [f"__{c}" for c in features], lookback, make, out).select(*panel.columns, "window")

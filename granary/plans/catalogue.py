@@ -470,7 +470,7 @@ def win_transform(spark, d):
 
 @query(f"WITH {V.EC_BASE}, n AS (SELECT item, branch, dt, ROW_NUMBER() OVER ({V.W}) n, SUM(qty) OVER w s, MIN(qty) OVER w lo, MAX(qty) OVER w hi FROM panel WINDOW w AS ({V.W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) SELECT item, branch, dt, 7 AS len, ROUND(s, 2) AS s, ROUND(lo, 2) AS lo, ROUND(hi, 2) AS hi FROM n WHERE n > 7")
 def win_sequences(spark, d):
-    x = windows.sequences(_ev(spark, d, 10), ["qty"], "qty", 7)
+    x = windows.sequences(_ev(spark, d, 10), ["qty"], "qty", 7)  # windows are made in an Arrow pass over packed segments
     flat = F.transform("window", lambda r: F.round(r[0].cast("double"), 2))
     total = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)
     return x.select("item", "branch", "dt", F.size("window").alias("len"), F.round(total, 2).alias("s"), F.array_min(flat).alias("lo"), F.array_max(flat).alias("hi"))
@@ -999,8 +999,8 @@ def ml_recurrent(spark, d):
     whole = demand.encode(whole.withColumn("dow", F.weekday("dt")), demand.category_mapping(whole, ["branch"], V.CUTOFF), ["branch"])
     whole = whole.withColumn("lead_time_days", F.coalesce("lead_time_days", F.lit(0)))
     sizes = [(n, width) for _, n, width in models.embedding_sizes(demand.category_mapping(whole, ["branch"], V.CUTOFF))]
-    make = lambda dynamic, cats: network.recurrent_quantiles(dynamic, cats, sizes, "target", epochs=6, sample=3000, hidden_size=16, batch_size=256)
-    bound = sequences.bind_panel(whole, features, make, lookback=14)
+    make = lambda dynamic, cats: network.recurrent_quantiles(dynamic, cats, sizes, 14, epochs=3, hidden_size=16, batch_size=1024)
+    bound = sequences.bind_panel(whole, features, "target", make, lookback=14)
     return models.run_walk_forward(_learnable(spark, d), bound, V.CUTOFF, "target", name="recurrent")
 
 

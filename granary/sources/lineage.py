@@ -20,17 +20,43 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or LOCAL_FOLDER).rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/granary-cut-{uuid.uuid4().hex}"
+    fs, at = _place(spark, path)
+    fs.deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written as a table and read again; survives lost executors, removed when the JVM ends.
 
     Unlike checkpoint() this computes the rows once, and what reads them takes only its columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/granary-cut-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df)[0]
+
+
+class Latest:
+    """A table that is written anew now and then; the one before goes, as does the last with `drop`."""
+
+    def __init__(self, df: DataFrame):
+        self.frame, self.path = _written(df)
+
+    def put(self, df: DataFrame) -> None:
+        """df may read the table itself."""
+        new, path = _written(df)
+        self.drop()
+        self.frame, self.path = new, path
+
+    def drop(self) -> None:
+        fs, at = _place(self.frame.sparkSession, self.path)
+        fs.delete(at, True)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -157,6 +157,18 @@ def test_forest_quantiles_and_bundle(spark, tmp_path):
     assert 6 <= low[0] and low[1] <= 8 and 107 <= high[0] and high[1] <= 109
 
 
+def test_leaves_are_looked_up_as_they_are_joined(spark):
+    rows = [("i", f"b{k % 5}", dt.date(2024, 1, 1) + dt.timedelta(days=k), float(k % 11), float((k * 7) % 23), float((k * k) % 37)) for k in range(400)]
+    x = spark.createDataFrame(rows, "item string, branch string, dt date, f double, g double, target double")
+    model, held = models._forest(x, ["f", "g"], "target", 7, 5, 3, "all", None, 1)
+    q = models.LeafQuantiles(model, held, "target", 4)
+    for quantile in (0.1, 0.5, 0.9):
+        one = {tuple(r)[:3]: r.prediction for r in q.predict(held, quantile=quantile).collect()}
+        two = {tuple(r)[:3]: r.prediction for r in q.predict(held, quantile=quantile, lookup_bytes=0).collect()}
+        assert one == two and len(one) == 400
+    assert "Exchange" not in q.predict(held)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sequences_never_cross_segments(spark):
     from granary.operators import windows
 

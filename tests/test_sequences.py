@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,20 +59,73 @@ def test_loss_falls_and_early_stopping_counts_epochs():
     x = r.normal(size=(600, 6, 2))
     cats, y = r.integers(0, 2, (600, 1)), 3 * x[:, -1, 0] + r.normal(size=600)
     p = {"hidden_size": 8, "learning_rate": 0.01, "batch_size": 64, "dropout": 0.0}
-    first = network.pinball_loss(network.fit(x, cats, y, [(2, 1)], p, 0.9, 1)[0].predict(x, cats), y)
-    net, best = network.fit(x, cats, y, [(2, 1)], p, 0.9, 30, (x[:100], cats[:100], y[:100]), 3)
-    assert network.pinball_loss(net.predict(x, cats), y) < 0.6 * first and 1 <= best <= 30
-    again, _ = network.fit(x, cats, y, [(2, 1)], p, 0.9, 2)
-    same, _ = network.fit(x, cats, y, [(2, 1)], p, 0.9, 2)
-    assert np.array_equal(again.predict(x, cats), same.predict(x, cats))
+    net = network.Network(2, [(2, 1)], 8)
+    first, adam = network.pinball_loss(net.predict(lambda i: x[i], cats), y), network.Adam(net.w, 0.01)
+    for _ in range(30):
+        network.run_epoch(net, adam, lambda i: x[i], cats, y, p["batch_size"], 1.0, 0.9, r)
+    assert network.pinball_loss(net.predict(lambda i: x[i], cats), y) < 0.6 * first
     with pytest.raises(ValueError, match="finite"):
-        network.fit(x, cats, np.full(600, np.inf), [(2, 1)], p, 0.9, 1)
+        network.run_epoch(net, adam, lambda i: x[i], cats, np.full(600, np.inf), 64, 1.0, 0.9, r)
+
+
+def moving(spark, pairs=6, days=70):
+    r = np.random.default_rng(5)
+    rows = [(f"i{k}", "b", 1, DAY + dt.timedelta(days=d), float(r.integers(0, 9)), k % 3) for k in range(pairs) for d in range(days)]
+    return spark.createDataFrame(rows, "item string, branch string, segment_id int, dt date, qty double, b_idx int")
+
+
+def test_fitted_where_the_windows_lie(spark):
+    x = moving(spark).withColumns({"y": F.col("qty") * 3 + 1, "lead": F.lit(1)})
+    packed, parts = network._parted(sequences.pack_segments(x, ["qty", "b_idx", "y", "lead"]).repartition(3, "item"), 10)
+    assert parts == {network.REST, network.EARLY, network.TAIL}
+    packed = catalogue.cut(packed)
+    p = network.DEFAULTS | {"hidden_size": 8, "learning_rate": 0.02, "batch_size": 32, "dropout": 0.0}
+    make = lambda: network.Spread(packed, ["qty"], ["b_idx"], [(3, 2)], 5, (np.array([4.0]), np.array([2.6])), p, 0.9)
+    one, two = make(), make()
+    before = one.loss((network.TAIL,))
+    best = one.fit((network.EARLY,), 12, (network.TAIL,), 3)
+    assert 1 <= best <= 12 and one.loss((network.TAIL,)) < 0.5 * before
+    two.fit((network.EARLY,), 2)
+    again = make()
+    again.fit((network.EARLY,), 2)
+    assert all(np.array_equal(two.net.w[k], again.net.w[k]) for k in two.net.w)
+
+
+def test_averaged_weights_are_those_of_the_tasks(spark):
+    x = moving(spark, 4, 40).withColumns({"y": F.col("qty"), "lead": F.lit(0)})
+    packed = catalogue.cut(network._parted(sequences.pack_segments(x, ["qty", "b_idx", "y", "lead"]), 5)[0].coalesce(1))
+    p = network.DEFAULTS | {"hidden_size": 4, "batch_size": 16, "dropout": 0.0}
+    whole = network.Spread(packed, ["qty"], ["b_idx"], [(3, 2)], 5, (np.zeros(1), np.ones(1)), p, 0.9)
+    whole.epoch((0, 1, 2), 1)
+    halves = [packed.where("item < 'i2'"), packed.where("item >= 'i2'")]
+    own = [network.Spread(h, ["qty"], ["b_idx"], [(3, 2)], 5, (np.zeros(1), np.ones(1)), p, 0.9) for h in halves]
+    both = network.Spread(catalogue.cut(halves[0]).union(catalogue.cut(halves[1])), ["qty"], ["b_idx"], [(3, 2)], 5, (np.zeros(1), np.ones(1)), p, 0.9)
+    for s in (*own, both):
+        s.epoch((0, 1, 2), 1)
+    assert all(np.allclose(both.net.w[k], (own[0].net.w[k] + own[1].net.w[k]) / 2) for k in both.net.w)
+    assert any(not np.allclose(both.net.w[k], whole.net.w[k]) for k in both.net.w)
+
+
+def test_windows_are_views_of_a_table_stored_once(spark, tmp_path):
+    x = moving(spark, 9, 200).withColumns({f"f{k}": F.col("qty") * k + F.rand(k) for k in range(20)})
+    features = [f"f{k}" for k in range(20)]
+    x.write.parquet(str(tmp_path / "panel"))
+    sequences.pack_segments(x, features).write.parquet(str(tmp_path / "packed"))
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
+    assert size("packed") < 2 * size("panel")
+    batch = pa.RecordBatch.from_pydict({"days": [[{"dt": d, "q": float(10 * s + d)} for d in range(4 - s)] for s in range(4)]})
+    flat, ends, rows, segment = sequences.flat_windows(batch, ["q"], 3)
+    assert segment.tolist() == [0, 0, 1] and rows.field(0).to_pylist() == [2, 3, 2]
+    assert sequences.window_views(flat, ends, 3)[..., 0].tolist() == [[0, 1, 2], [1, 2, 3], [10, 11, 12]]
+    sliced = batch.slice(1, 2)
+    flat, ends, _, segment = sequences.flat_windows(sliced, ["q"], 3)
+    assert segment.tolist() == [0] and sequences.window_views(flat, ends, 3)[..., 0].tolist() == [[10, 11, 12]]
 
 
 def test_bound_windows_reach_over_the_panel(spark):
     p = frame(spark, [("a", "x", 1, k) for k in range(60)]).withColumns({"branch_idx": F.lit(1), "target": F.col("qty") % 5, "lead_time_days": F.lit(1)})
-    make = lambda dynamic, cats: network.recurrent_quantiles(dynamic, cats, [(2, 1)], "target", epochs=2, hidden_size=4, tail_days=5)
-    bound = sequences.bind_panel(p, ["qty", "branch_idx"], make, lookback=7)
+    make = lambda dynamic, cats: network.recurrent_quantiles(dynamic, cats, [(2, 1)], 7, epochs=2, hidden_size=4, tail_days=5)
+    bound = sequences.bind_panel(p, ["qty", "branch_idx"], "target", make, lookback=7)
     assert bound(p.where("qty >= 10 and qty < 50"), p.where("qty >= 50")).where("prediction >= 0").count() == 10
     with pytest.raises(ValueError, match="window"):
         bound(p.where("qty >= 10"), p.where("qty < 3"))
