@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lineage import Latest
+from ..sources.lineage import Latest, spread
 
 #: Bins of a feature; bin 0 is for missing values.
 BINS = 256
@@ -161,7 +161,7 @@ class Rows:
 
     def __init__(self, rows: DataFrame, base: float, n_features: int):
         self.n, self.trees = n_features, []
-        self.stored = Latest(rows.withColumn("f", F.lit(float(base))))
+        self.stored = Latest(rows.repartition(spread(rows.sparkSession), "h").withColumn("f", F.lit(float(base))))
 
     def passed(self, make: Callable, schema: str) -> DataFrame:
         """make: from (batches of h, y, bins, f as arrays) to record batches."""
@@ -209,10 +209,10 @@ def _level(rows: Rows, tree: Tree, open_: list[int], features: list[int], s: Set
             use = number[tree.nodes(bins)]
             use = np.where(drawn(h, s.rows, seed), use, -1) if s.rows < 1 else use
             on = np.flatnonzero(use >= 0)
-            g = s.quantile - (y[on] < f[on])
+            under = (y[on] < f[on]).astype(float)
             for i, c in enumerate(features):
                 at = use[on] * BINS + bins[on, c]
-                total[i, 0] += np.bincount(at, g, len(open_) * BINS)
+                total[i, 0] += np.bincount(at, under, len(open_) * BINS)  # whole numbers, so sums are exact in any order
                 total[i, 1] += np.bincount(at, minlength=len(open_) * BINS)
         cells = [(node, c, total[i][:, k * BINS : (k + 1) * BINS]) for i, c in enumerate(features) for node, k in nth.items()]
         cells = [x for x in cells if x[2][1].any()]
@@ -222,6 +222,7 @@ def _level(rows: Rows, tree: Tree, open_: list[int], features: list[int], s: Set
         total = np.zeros((2, BINS))
         for x in t.column("sums"):
             total += np.frombuffer(x.as_buffer(), float).reshape(2, BINS)
+        total[0] = s.quantile * total[1] - total[0]  # the gradients' sum
         left, whole = np.cumsum(total, axis=1), total.sum(axis=1, keepdims=True)
         right = whole - left
         score = lambda x: x[0] ** 2 / np.maximum(x[1] + s.l2, 1e-12)

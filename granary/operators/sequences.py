@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.lineage import cut
+from ..sources.lineage import cut, spread
 from .demand import fit_scaler
 from .panel import PAIR, SEGMENT
 from .prefix import running_sums
@@ -77,7 +77,8 @@ def pack_segments(panel: DataFrame, columns: list[str]) -> DataFrame:
     Every value is held once; windows are made of it where they are used (`flat_windows`). A
     segment's days are bounded, so a row is too.
     """
-    return panel.groupBy(*pair_columns(panel)).agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("days"))
+    keys = pair_columns(panel)
+    return panel.repartition(spread(panel.sparkSession), *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("days"))
 
 
 def flat_windows(batch: pa.RecordBatch, dynamic: list[str], lookback: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray, np.ndarray]:

@@ -59,6 +59,11 @@ class Latest:
         fs.delete(at, True)
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions of a table that is passed over again and again: enough for all cores, however small it is."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def small(df: DataFrame) -> DataFrame:
     """A dimension, broadcast if it has SMALL_ROWS rows at most (counted, and no further)."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
