@@ -121,7 +121,8 @@ def _joined(docs: DataFrame, items: DataFrame, width: int, percent: int, scratch
     whole = items.select("id", "th", "n", F.explode("shingles").alias("shingle"))
     common = pairs.join(whole, ["id", "th"]).join(signed, ["doc_id", "text_hash", "shingle"], "left_semi")
     out = common.groupBy("doc_id", "text_hash", "id", "th").agg(F.count("*").alias("n_common"), F.first("n").alias("n_item"))
-    return out.where(f"100 * n_common >= {percent} * n_item").select("doc_id", "text_hash", F.col("id").alias("item_id"), "n_common", "n_item")
+    out = out.where(f"100 * n_common >= {percent} * n_item").select("doc_id", "text_hash", F.col("id").alias("item_id"), "n_common", "n_item")
+    return out.distinct()  # an item id with two texts, both held alike, is one result
 
 
 def find_items(

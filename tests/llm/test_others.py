@@ -181,6 +181,19 @@ def test_decontamination_tells_rows_apart_by_text(spark, monkeypatch, broadcast)
     assert sorted(str(r.text) for r in drop_contaminated(d, i).collect()) == ["None", "clean text of the same id", "clean, no id"]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_gives_two_texts_of_one_item_once(spark, monkeypatch, broadcast):
+    from granary.llm import decontaminate
+
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "INDEX_SHINGLES", 0)
+    one, two, longer = "a b c d e f", "u v w x y z", "k l m n o p q"
+    docs = spark.createDataFrame([(1, f"{one} {two} {longer}"), (2, one)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, one), (5, two), (5, longer), (6, two)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_common, r.n_item) for r in find_items(docs, items).collect())
+    assert got == [(1, 5, 2, 2), (1, 5, 3, 3), (1, 6, 2, 2), (2, 5, 2, 2)]
+
+
 def base_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
