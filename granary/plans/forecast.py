@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import Calendar, weekend_days_ahead
 from ..operators import canon, demand, panel, windows
+from ..sources import files
 from ..sources.lineage import cut, small
 
 TARGET = "target_lead_time_cumulative"
@@ -38,6 +39,18 @@ class Dimensions:
     calendar: Calendar = field(default_factory=Calendar)
 
 
+def load_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Raw rows of transaction files and folders with `ord`, their order over all of them, which first values go by."""
+    return files.transactions(spark, paths).withColumnRenamed("at", "ord").drop("file_no", "dt_text", "qty_text")
+
+
+def load_dimensions(spark: SparkSession, regions: str, closures: str, breakpoints: DataFrame | None = None, relocations: DataFrame | None = None, **more) -> Dimensions:
+    """The dimensions that are files (an absent closures file is empty), and (branch, dt) tables where there are any."""
+    none = spark.createDataFrame([], "branch string, dt date")
+    shut = files.closures(spark, closures).select("branch", "start_dt", "end_dt")
+    return Dimensions(files.regions(spark, regions), shut, none if breakpoints is None else breakpoints, none if relocations is None else relocations, **more)
+
+
 def clean(raw: DataFrame, excluded_branches: list[str] = (), excluded_items: list[str] = (), renames: DataFrame | None = None, order: str | None = "ord") -> DataFrame:
     """Daily rows from raw ones. Exclusions and renames use raw codes, so the order of steps matters."""
     x = canon.exclude(raw, "branch", list(excluded_branches)) if excluded_branches else raw
@@ -96,6 +109,30 @@ def vanished_branches(days: DataFrame, x: DataFrame) -> DataFrame:
     return days.select("branch").distinct().join(x.select("branch").distinct(), "branch", "left_anti")
 
 
+def stored_in(folder: str) -> Callable[[DataFrame, str], None]:
+    """A writer of `refresh`: Parquet tables by month in a folder."""
+    return lambda rows, name: files.write_monthly(rows, f"{folder}/{name}")
+
+
+def refresh_files(spark: SparkSession, transactions: list[str], regions: str, closures: str, event_items: str, cutoff: str, folder: str, mapping: str | None = None, **options) -> dict[str, DataFrame]:
+    """The whole refresh, from files to the stored panel and input: days, featured, model_input and vanished branches.
+
+    What is written is read back, so the input is made of the stored panel. mapping: a JSON file
+    of category indices; those that it has stay, new ones are added to it.
+    """
+    dims = load_dimensions(spark, regions, closures)
+    days = cut(clean(load_raw(spark, transactions), **options))
+    write = stored_in(folder)
+    write(featured(days, dims, cutoff), "featured")
+    x = spark.read.parquet(f"{folder}/featured").drop("ym")
+    existing = files.mapping_from_json(spark, mapping) if mapping else None
+    rows, found = model_input(x, files.event_items(spark, event_items), cutoff, existing)
+    write(rows, "model_input")
+    if mapping:
+        files.mapping_to_json(found, mapping)
+    return {"days": days, "featured": x, "model_input": spark.read.parquet(f"{folder}/model_input").drop("ym"), "vanished": vanished_branches(days, x)}
+
+
 def refresh(raw: DataFrame, dims: Dimensions, event_items: DataFrame, cutoff: str, write: Callable[[DataFrame, str], None], **options) -> DataFrame:
     """Clean, feature and prepare in one run, so no stage is left stale; `write` stores the featured panel and the input."""
     days = clean(raw, **options)
