@@ -77,18 +77,44 @@ def grams_to_portions(rows: DataFrame, factors: dict[str, float] = GRAM_FACTORS,
     return out.withColumns({"qty": F.col("qty") / F.coalesce("__f", F.lit(1.0)), "unit": F.when(F.col("__f").isNotNull(), portion).otherwise(F.col("unit"))}).select(rows.columns)
 
 
+#: Letters of the pieces by which names are indexed.
+PIECE = 3
+
+
+def _pieces(text: str, sizes: Column) -> Column:
+    """All pieces of the text of these sizes, each once."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - n + 1)), lambda i: F.substring(F.col(text), i, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each row of `needles` (with `needle`) with each row of `texts` (with `text`) that contains it.
+
+    The texts' pieces of up to PIECE letters are an inverted index. A needle with a piece that
+    no text has is in none; else the texts that have its rarest piece are searched.
+    """
+    index = texts.withColumn("piece", F.explode(_pieces("text", F.array(*map(F.lit, range(PIECE + 1))))))
+    often = index.groupBy("piece").agg(F.count("*").alias("n"))
+    size = F.array(F.least(F.lit(PIECE), F.char_length("needle")))
+    wanted = needles.select("needle").distinct().withColumn("piece", F.explode(_pieces("needle", size)))
+    found = wanted.join(often, "piece", "left").groupBy("needle").agg(F.bool_and(F.col("n").isNotNull()).alias("known"), F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    candidates = found.where("known").select("needle", "piece").join(index, "piece").where(F.col("text").contains(F.col("needle"))).drop("piece")
+    return needles.join(candidates, "needle").drop("text")
+
+
 def match_branches(branches: DataFrame, outlets: DataFrame, overrides: DataFrame) -> DataFrame:
     """(branch, outlet, city_override) of each distinct branch that has exactly one outlet.
 
     An override decides alone, even if its outlet is missing (then there is no match). Else
     the branch's needle must lie in exactly one outlet's name, upper and lower case alike.
-    outlets is a dimension: one row for each outlet.
+    outlets has one row for each outlet. A needle is looked up by the rarest of its short pieces
+    in an index of the outlets' names, so it meets only outlets that have that piece.
     """
     names = branches.select("branch").where("branch is not null").distinct()
     o = overrides.groupBy("branch").agg(F.min(F.struct("outlet", "city_override")).alias("o")).select("branch", F.col("o.outlet").alias("to"), "o.city_override")
     decided = names.join(o, "branch").join(outlets.select(F.col("outlet").alias("to")).distinct(), "to").select("branch", F.col("to").alias("outlet"), "city_override")
     free = names.join(o, "branch", "left_anti").withColumn("needle", F.lower(T.branch_needle(F.col("branch"))))
-    hits = free.join(outlets.select("outlet"), F.lower("outlet").contains(F.col("needle")))
+    hits = containing(free, outlets.select("outlet", F.lower("outlet").alias("text")))
     single = hits.groupBy("branch").agg(F.count("*").alias("n"), F.min("outlet").alias("outlet")).where("n = 1")
     return decided.unionByName(single.select("branch", "outlet", F.lit(None).cast("string").alias("city_override")))
 

@@ -286,14 +286,39 @@ def untransformed(column: str, log_target: bool) -> Column:
     return F.greatest(F.lit(0.0), F.expm1(column) if log_target else F.col(column))
 
 
+#: Parts that the keys of two tables are compared by.
+PARTS = 4096
+
+
 def contract_violations(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """(check, violations): keys of one side only, values that differ, nulls."""
+    """(check, violations): keys of one side only, values that differ, nulls. Keys must be unique on each side.
+
+    Both sides are summed up to fingerprints of PARTS parts of their keys (rows, sum and
+    exclusive or of row hashes, whose order does not matter); only rows of parts that differ,
+    or that have a null key, are joined.
+    """
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    part = F.when(null_key, -1).otherwise(F.pmod(F.xxhash64(*keys), F.lit(PARTS)))
+    whole = F.xxhash64(*keys, *values, *[F.col(v).isNull() for v in values])
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        print_ = F.struct(F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1 << 32))))
+        return side.select(part.alias("part"), whole.alias("h")).groupBy("part").agg(print_.alias(name))
+
+    # PARTS + 1 rows at most
+    differ = parts(a, "p").join(parts(b, "q"), "part", "full").where((F.col("part") == -1) | ~F.col("p").eqNullSafe(F.col("q"))).select(F.col("part").alias("__part"))
+    differ = F.broadcast(differ)
+    nulls = a.agg(*[F.count_if(F.col(v).isNull()).alias(f"null_{v}") for v in values])
+    a, b = (side.withColumn("__part", part).join(differ, "__part", "left_semi") for side in (a, b))
     x = a.select(*keys, *[F.col(v).alias(f"a_{v}") for v in values], F.lit(True).alias("in_a"))
     y = b.select(*keys, *[F.col(v).alias(f"b_{v}") for v in values], F.lit(True).alias("in_b"))
     both = x.join(y, keys, "full")
     checks = {"only_first": F.col("in_b").isNull(), "only_second": F.col("in_a").isNull()}
     for v in values:
-        checks |= {f"differs_{v}": F.col("in_a") & F.col("in_b") & ~F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")), f"null_{v}": F.col("in_a") & F.col(f"a_{v}").isNull()}
+        checks |= {f"differs_{v}": F.col("in_a") & F.col("in_b") & ~F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}"))}
     one = both.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
-    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*checks))).alias("check", "violations"))
+    listed = lambda x: x.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, x.columns)), F.array(*x.columns))).alias("check", "violations"))
+    return listed(one).unionByName(listed(nulls))
 

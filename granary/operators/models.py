@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from itertools import product
 
@@ -275,10 +277,13 @@ def candidate_budget(sec_per_epoch: float, best_epoch: int, seconds: float = 28_
     return min(n, most)
 
 
-def run_search(eligible: DataFrame, candidates: list[dict], make: Callable[..., Forecaster], cutoff: str, target: str, folds: tuple[int, ...] = (3, 5), checkpoint: str | None = None, name: str = "model") -> list[dict]:
+def run_search(eligible: DataFrame, candidates: list[dict], make: Callable[..., Forecaster], cutoff: str, target: str, folds: tuple[int, ...] = (3, 5), checkpoint: str | None = None, name: str = "model", beside: int = 1, weigh: Callable[[dict], int] | None = None, budget: int = MEMORY_BUDGET) -> list[dict]:
     """A row for each candidate: its pooled pinball loss, or None and the error where it failed.
 
     Each is written to the checkpoint as it ends; a checkpoint of other candidates raises.
+    beside: candidates that run at a time, each in a scheduler pool of its own (which share
+    evenly under spark.scheduler.mode=FAIR); weigh: the bytes that one may take, which are kept
+    within `budget` together (a candidate that takes more runs alone).
     """
     done: list[dict] = []
     spark = eligible.sparkSession
@@ -286,18 +291,42 @@ def run_search(eligible: DataFrame, candidates: list[dict], make: Callable[...,
         done = json.loads(files.read_text(spark, checkpoint))
         if any(r["candidate"] >= len(candidates) or r["params"] != candidates[r["candidate"]] for r in done):
             raise ValueError(f"{checkpoint} belongs to other candidates")
-    for i, params in enumerate(candidates):
-        if any(r["candidate"] == i for r in done):
-            continue
+    turn, used = threading.Condition(), [0]
+
+    def run(i: int) -> None:
+        params = candidates[i]
+        need = min(budget, weigh(params)) if weigh else 0
+        with turn:
+            turn.wait_for(lambda: used[0] + need <= budget)
+            used[0] += need
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"candidate{i}" if beside > 1 else None)
+            score(i, params)
+        finally:
+            with turn:
+                used[0] -= need
+                turn.notify_all()
+
+    def score(i: int, params: dict) -> None:
         began, pinball, error = time.time(), None, ""
         try:
             results = run_walk_forward(eligible, make(**params), cutoff, target, folds, name=name)
             pinball = metrics.pooled(results).where(F.col("model") == name).first()["pinball"]
         except (MemoryError, ValueError) as e:
             error = str(e)
-        done.append({"candidate": i, "params": params, "pinball": pinball, "error": error, "seconds": time.time() - began})
-        if checkpoint:
-            files.write_text(spark, json.dumps(done, sort_keys=True), checkpoint)
+        with turn:  # one writer at a time
+            done.append({"candidate": i, "params": params, "pinball": pinball, "error": error, "seconds": time.time() - began})
+            if checkpoint:
+                files.write_text(spark, json.dumps(done, sort_keys=True), checkpoint)
+
+    ended = {r["candidate"] for r in done}
+    todo = [i for i in range(len(candidates)) if i not in ended]
+    if beside > 1:
+        with ThreadPoolExecutor(beside) as pool:
+            list(pool.map(run, todo))
+    else:
+        for i in todo:
+            run(i)
     return sorted(done, key=lambda r: r["candidate"])
 
 
