@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.lineage import cut
 from .panel import PAIR, by_segment
+from .quantiles import counted, exact_quantiles, with_groups
 
 
 def dedup_sum(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,17 +116,24 @@ def category_profile(days: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles and largest of a column."""
-    quartiles = [F.percentile(column, F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
-    return rows.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *quartiles, F.max(column).alias("max"))
+    if not by:
+        return describe(rows.withColumn("__all", F.lit(True)), column, ["__all"]).drop("__all")
+    by = list(by)
+    stats = rows.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    quartiles = exact_quantiles(counted(rows, column, by), by)
+    return with_groups(stats, quartiles, by, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def box_stats(rows: DataFrame, column: str, by: str) -> DataFrame:
-    """Quartiles and whiskers of each group: the farthest values within 1.5 times the quartiles' distance."""
-    q = rows.groupBy(by).agg(*[F.percentile(column, F.lit(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
-    q = q.withColumn("reach", 1.5 * (F.col("q75") - F.col("q25")))
-    inside = rows.select(by, F.col(column).alias("v")).join(q, by).where("v >= q25 - reach and v <= q75 + reach")
-    ends = inside.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return q.drop("reach").join(ends, by)
+    """Quartiles and whiskers of each group: the farthest values within 1.5 times the quartiles' distance.
+
+    `rows` are read once: whiskers come from the counted values.
+    """
+    counts = cut(counted(rows, column, [by]))
+    q = cut(exact_quantiles(counts, [by]))
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    inside = with_groups(counts, q, [by]).where(F.col("v").between(F.col("q25") - reach, F.col("q75") + reach))
+    return inside.groupBy(by).agg(*[F.max(c).alias(c) for c in ("q25", "q50", "q75")], F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:

@@ -74,3 +74,26 @@ def test_needles_are_looked_up_by_their_rarest_piece(spark):
     assert got == sorted((x, y) for x in needles for y in texts if x in y)
     plan = canon.containing(n, t)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_exact_quantiles_of_groups_of_any_size(spark):
+    import random
+
+    from granary.operators import explore, quantiles
+
+    rng = random.Random(2)
+    rows = [(rng.choice("aaaaaaab"), rng.choice([None, 5.0, 5.0, rng.random() * 9])) for _ in range(900)]
+    rows += [(None, 3.0), (None, 8.0), ("one", 1.5), ("none", None)]
+    x = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r.g: tuple(r)[1:] for r in explore.describe(x, "v", ["g"]).collect()}
+    want = {r.g: tuple(r)[1:] for r in x.groupBy("g").agg(F.count("v"), F.avg("v"), F.stddev_samp("v"), F.min("v"), *[F.percentile("v", F.lit(p)) for p in (0.25, 0.5, 0.75)], F.max("v")).collect()}
+    assert set(got) == set(want)
+    for g, w in want.items():
+        assert all((a is None and b is None) or a == pytest.approx(b) for a, b in zip(got[g], w, strict=True)), g
+    assert tuple(explore.describe(x, "v").first())[0] == sum(v is not None for _, v in rows)
+    box = {r.g: (r.low, r.high) for r in explore.box_stats(x, "v", "g").collect()}
+    for g, w in want.items():
+        inside = [v for k, v in rows if k == g and v is not None and w[4] - 1.5 * (w[6] - w[4]) <= v <= w[6] + 1.5 * (w[6] - w[4])]
+        assert not inside or box[g] == (min(inside), max(inside))
+    plan = quantiles.exact_quantiles(quantiles.counted(x, "v", ["g"]), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan
