@@ -81,7 +81,7 @@ def branch_stats(panel: DataFrame, cutoff: str, qty: str = "qty_capped") -> Data
 def volume_tier(stats: DataFrame) -> DataFrame:
     """Quartile tier by first rank: ceil((r - 1) * q / (n - 1)), at least 1, with q = min(4, branches)."""
     ranked = running_sums(stats, ["branch_avg_daily_qty", "branch"], {"__r": F.lit(1)})
-    x = ranked.withColumn("__n", F.lit(stats.count()))
+    x = ranked.withColumn("__n", F.lit(ranked.count()))
     tier = F.when(F.col("__n") < 2, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("__r") - 1) * F.least(F.lit(4), F.col("__n")) / (F.col("__n") - 1))))
     return x.withColumn("branch_volume_tier", F.element_at(F.array(*map(F.lit, TIERS)), tier.cast("int"))).drop("__r", "__n")
 

@@ -16,7 +16,8 @@ from ..sources.lineage import cut, small
 def running_sums(rows: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
     """`rows` with, for each name in `sums`, the sum of its values up to and with the row, in `order`, which must be unique."""
     held = {f"__{k}": v for k, v in sums.items()}
-    dealt = cut(rows.withColumns(held).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    rows = cut(rows.withColumns(held))  # dealing by range reads the rows twice
+    dealt = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(c) for c in held])
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     begins = cut(totals.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_begin") for c in held]))  # a row for each range
