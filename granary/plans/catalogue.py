@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as K
 from ..functions import text as T
 from ..operators import canon, demand, explore, metrics, panel, qa, sequences, windows
-from ..sources.lineage import cut
+from ..sources.lineage import cut, scratch_folder
+from ..streaming.daily import DailyTable
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1013,3 +1014,34 @@ def ml_search(spark, d):
     results = models.run_search(_learnable(spark, d), found, lambda **p: models.quantile_forest(ML_FEATURES, "target", **p), V.CUTOFF, "target", folds=(3, 5))
     rows = [(r["candidate"], str(sorted(r["params"].items())), r["pinball"], r["error"]) for r in results]
     return spark.createDataFrame(rows, "candidate int, params string, pinball double, error string")
+
+
+# --- the daily table as a stream -----------------------------------------------------------
+
+CHANGES = "row_id long, version timestamp, removed boolean, ord long, item string, branch string, dt date, qty double, category string"
+
+
+def _changes(spark, d) -> DataFrame:
+    """Clicks as rows of a feed: values over 100 are corrected to 100 an hour later, errors are withdrawn then."""
+    c = V.table(spark, d, "clicks").withColumn("cents", F.floor(F.col("value") * 100 + 0.5).cast("double"))
+    row = ["click_id row_id", "arrived_at version", "false removed", "click_id ord", "kind item", "cast(client_id as string) branch", "cast(ts as date) dt", "cents qty"]
+    row.append("case when cents > 5000 then 'high' when cents <= 5000 then 'low' end category")
+    later = c.withColumn("arrived_at", F.expr("arrived_at + interval 1 hour"))
+    fixed = later.where("cents > 10000").withColumn("cents", F.lit(10000.0)).selectExpr(*row)
+    gone = later.where("kind = 'error'").withColumn("cents", F.lit(None).cast("double")).selectExpr(*row).withColumn("removed", F.lit(True))
+    return c.selectExpr(*row).unionByName(fixed).unionByName(gone)
+
+
+@query("""WITH c AS (SELECT DISTINCT click_id, kind, client_id, CAST(ts AS DATE) dt, LEAST(FLOOR(value * 100 + 0.5), 10000) cents FROM clicks
+  WHERE ts IS NOT NULL AND kind <> 'error' AND client_id IS NOT NULL)
+SELECT kind item, CAST(client_id AS VARCHAR) branch, dt, CAST(COALESCE(SUM(cents), 0) AS DOUBLE) qty,
+  CASE WHEN ARG_MIN(cents, click_id) FILTER (WHERE cents IS NOT NULL) > 5000 THEN 'high' WHEN ARG_MIN(cents, click_id) FILTER (WHERE cents IS NOT NULL) IS NOT NULL THEN 'low' END category
+FROM c GROUP BY 1, 2, 3""")
+def str_daily(spark, d):
+    """The clicks come as a stream of files, in order of arrival, with their corrections and repeats."""
+    folder = scratch_folder(spark, "stream")
+    _changes(spark, d).repartitionByRange(6, "version").write.parquet(f"{folder}/feed")
+    table = DailyTable(spark, f"{folder}/table", CHANGES, order="ord", carry=["category"])
+    feed = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 2).parquet(f"{folder}/feed")
+    table.follow(feed, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.read()

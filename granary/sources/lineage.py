@@ -25,6 +25,14 @@ def _place(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when the JVM ends."""
+    path = f"{shared_folder(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    fs, at = _place(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/granary-cut-{uuid.uuid4().hex}"
