@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 #: Bytes of text hashed at once; bounds the working arrays (about 40 bytes for each).
 SLICE_BYTES = 1 << 20
+#: Words of at least so many bytes are hashed by blake2b; unlike ones can be crafted to have equal sums of powers.
+LONG_WORD = 128
 
 
 def _ship(spark: SparkSession) -> None:
@@ -176,6 +179,21 @@ def span_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _whole_hash(word: np.ndarray) -> np.uint64:
+    h = hashlib.blake2b(digest_size=8)
+    for s in range(0, len(word), SLICE_BYTES):
+        h.update(_LOWER[word[s : s + SLICE_BYTES]])
+    return np.uint64(int.from_bytes(h.digest(), "little"))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z lower-cased, by their bytes alone."""
+    out = span_hash(*prefix_sums(data, True), starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[i] = _whole_hash(data[starts[i] : ends[i]])
+    return out
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) of runs of texts with about `limit` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -242,23 +260,23 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _long_word_hashes(data: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
-    """Hashes of one long text's words, as span_hash gives them, a portion of `limit` bytes at a time."""
+    """Hashes of one long text's words, as word_hashes gives them, a portion of `limit` bytes at a time."""
     out: list[np.ndarray] = []
-    held, size = 0, 0  # of a word that goes on: its sum so far, its bytes
+    begun = None  # where a word starts that goes on beyond its portion
     for s in range(0, len(data), limit):
-        part = data[s : s + limit]
+        part, last = data[s : s + limit], s + limit >= len(data)
         starts, ends, _ = words(part, np.array([0, len(part)]))
-        sums, down = prefix_sums(part, True)
-        raw, n = (sums[ends] - sums[starts]) * down[starts], ends - starts
-        if size and len(starts) and starts[0] == 0:
-            raw[0] = (held + int(raw[0]) * pow(_BASE, size, 1 << 64)) & (1 << 64) - 1
-            n[0] += size
-        elif size:
-            raw, n = np.concatenate((np.array([held], np.uint64), raw)), np.concatenate(([size], n))
-        held = size = 0
-        if len(ends) and ends[-1] == len(part) and s + limit < len(data):
-            held, size, raw, n = int(raw[-1]), int(n[-1]), raw[:-1], n[:-1]
-        out.append(mix(raw + n.astype(np.uint64)))
+        h = word_hashes(part, starts, ends)
+        if begun is not None:
+            goes_on = len(starts) > 0 and starts[0] == 0
+            if goes_on and ends[0] == len(part) and not last:
+                continue
+            word = data[begun : s + (int(ends[0]) if goes_on else 0)]
+            one = _whole_hash(word) if len(word) >= LONG_WORD else word_hashes(word, np.array([0]), np.array([len(word)]))[0]
+            h, begun = np.concatenate((np.array([one], np.uint64), h[1:] if goes_on else h)), None
+        if len(ends) and ends[-1] == len(part) and not last:
+            begun, h = s + int(starts[-1]), h[:-1]
+        out.append(h)
     return np.concatenate(out)
 
 
@@ -272,8 +290,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5) -> Iterator[np.n
         first = np.array([0, len(w)])
     else:
         starts, ends, first = words(data, off)
-        sums, down = prefix_sums(data, True)
-        w = span_hash(sums, down, starts, ends)
+        w = word_hashes(data, starts, ends)
     if len(w) >= width:
         s = np.zeros(len(w) - width + 1, dtype=np.uint64)
         for j in range(width):

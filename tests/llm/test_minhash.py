@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from granary.llm import common as C
 from granary.llm.minhash import near_duplicates
@@ -128,7 +129,9 @@ def test_long_texts_are_hashed_in_portions():
     text = " ".join(r.choice(("alpha", "Beta", "gamma")) + str(r.randrange(10**6)) for _ in range(260_000)) + "x" * 2_500_000 + " end of it all"
     data, off = np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)])
     starts, ends, _ = C.words(data, off)
-    assert (C._long_word_hashes(data) == C.span_hash(*C.prefix_sums(data, True), starts, ends)).all()
+    want = C.word_hashes(data, starts, ends)
+    for limit in (C.SLICE_BYTES, 1000):
+        assert (C._long_word_hashes(data, limit) == want).all()
     long = np.frombuffer((text * 6).encode(), dtype=np.uint8)
     tracemalloc.start()
     assert len(next(C.shingles(long, np.array([0, len(long)])))) > 200_000
@@ -147,3 +150,26 @@ def test_sketches_never_rule_out_a_link():
             ones = sum(int(a ^ b).bit_count() for a, b in zip(sketch(x).view(np.uint64).tolist(), sketch(y).view(np.uint64).tolist(), strict=True))
             true = len(np.setxor1d(x, y))
             assert ones <= true and (true > BITS // 40 or ones >= 0.9 * true - 2)
+
+
+def twin_words(n):
+    """Two unlike words of n characters with equal sums of powers modulo 2**64."""
+    bits = [int(i).bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 2048, 4096, 16384])
+def test_crafted_words_differ(n):
+    sets = []
+    for w in twin_words(n):
+        data = np.frombuffer(f"one two three four {w}".encode(), dtype=np.uint8)
+        sets.append(next(C.shingles(data, np.array([0, len(data)]))).tolist())
+    assert sets[0] != sets[1]
+    assert len(set(twin_words(n)[0])) == 2 and len(twin_words(n)[0]) == n
+
+
+def test_crafted_words_do_not_link(spark):
+    a, b = twin_words(2048)
+    rows = [(1, f"one two three four {a}"), (2, f"one two three four {b}"), (3, f"One two three four {a.upper()}")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

@@ -181,6 +181,15 @@ def test_decontamination_tells_rows_apart_by_text(spark, monkeypatch, broadcast)
     assert sorted(str(r.text) for r in drop_contaminated(d, i).collect()) == ["None", "clean text of the same id", "clean, no id"]
 
 
+def test_decontamination_tells_crafted_words_apart(spark):
+    from tests.llm.test_minhash import twin_words
+
+    a, b = twin_words(2048)
+    docs = spark.createDataFrame([(1, f"one two three four {a}"), (2, f"one two three four {b}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"one two three four {a}")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in find_items(docs, items).collect()] == [(1, 7)]
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontamination_gives_two_texts_of_one_item_once(spark, monkeypatch, broadcast):
     from granary.llm import decontaminate
