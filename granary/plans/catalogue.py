@@ -1032,7 +1032,7 @@ def _changes(spark, d) -> DataFrame:
     return c.selectExpr(*row).unionByName(fixed).unionByName(gone)
 
 
-@query("""WITH c AS (SELECT DISTINCT click_id, kind, client_id, CAST(ts AS DATE) dt, LEAST(FLOOR(value * 100 + 0.5), 10000) cents FROM clicks
+@query("""WITH c AS (SELECT DISTINCT click_id, kind, client_id, CAST(ts AS DATE) dt, CASE WHEN FLOOR(value * 100 + 0.5) > 10000 THEN 10000 ELSE FLOOR(value * 100 + 0.5) END cents FROM clicks
   WHERE ts IS NOT NULL AND kind <> 'error' AND client_id IS NOT NULL)
 SELECT kind item, CAST(client_id AS VARCHAR) branch, dt, CAST(COALESCE(SUM(cents), 0) AS DOUBLE) qty,
   CASE WHEN ARG_MIN(cents, click_id) FILTER (WHERE cents IS NOT NULL) > 5000 THEN 'high' WHEN ARG_MIN(cents, click_id) FILTER (WHERE cents IS NOT NULL) IS NOT NULL THEN 'low' END category
