@@ -118,14 +118,20 @@ class Scratch:
 HOT_ROWS, HOT_KEYS = 200_000, 100_000
 
 
+def hot_keys(keyed: DataFrame, n_rows: int) -> DataFrame | None:
+    """Rows of `keyed` whose key has more than HOT_ROWS of the rows and more than n_rows / HOT_KEYS, so at most HOT_KEYS; None without any."""
+    hot = keyed.where(F.col("n") > max(HOT_ROWS, n_rows // HOT_KEYS))
+    return None if hot.isEmpty() else hot
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has a row for each key and the number `n` of its rows.
 
     Keys with more than HOT_ROWS rows and more than n_rows / HOT_KEYS are at most HOT_KEYS:
     that many are broadcast, so their rows stay where they are and no task gets them all.
     """
-    hot = keyed.where(F.col("n") > max(HOT_ROWS, n_rows // HOT_KEYS))
-    if hot.isEmpty():
+    hot = hot_keys(keyed, n_rows)
+    if hot is None:
         return rows.join(keyed.drop("n"), key)
     hot = F.broadcast(hot.drop("n"))
     return rows.join(hot.select(key), key, "left_anti").join(keyed.drop("n"), key).unionByName(rows.join(hot, key))

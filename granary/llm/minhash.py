@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -150,6 +150,52 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("centre", "node", "of_centre", "of_node").mapInArrow(_confirm(width, percent), "a long, b long")
 
 
+def _rank_share() -> list[Column]:
+    """The order of centres: first those that have least of their own, the likeliest to link with many."""
+    return [(F.col("n") - F.col("a")) / F.col("n"), F.col("node")]
+
+
+def _as_centres(members: DataFrame, *more: str) -> DataFrame:
+    names = {"node": "centre", "n": "cn", "a": "ca", "comp": "ccomp", "sketch": "csketch", "bands": "cbands"}
+    return members.select("key", *more, *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def _choose(members: DataFrame, scratch: C.Scratch, k: int) -> tuple[DataFrame, DataFrame]:
+    """Centres of round k, and (members, centres) as one join of each bucket's members with its centres.
+
+    A bucket takes its first 2 * 4 ** (k - 1) members. Of a hot one (C.hot_keys), no task gets
+    all members: it takes its first member and about as many more by a hash, and its members are
+    dealt over salts, to each of which its centres are copied.
+    """
+    want = 2 * 4 ** (k - 1)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.struct(*_rank_share())).alias("first"))
+    sizes = scratch.store(sizes, f"sizes{k}", narrow=True)
+    hot = C.hot_keys(sizes, members.count())
+    cold = members
+    if hot is not None:
+        hot = hot.select("key", "first", F.col("n").alias("size"), F.ceil(F.col("n") / C.HOT_ROWS).cast("int").alias("salts"))
+        cold = members.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        inside = members.join(F.broadcast(hot), "key")
+        taken = inside.where((F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", "key"), F.col("size")) < want))
+        hot_centres = scratch.store(_as_centres(taken, "salts"), f"hot{k}", narrow=True)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(*_rank_share()))
+    centres = scratch.store(_as_centres(cold.withColumn("rank", rank).where(F.col("rank") <= want)), f"centres{k}", narrow=True)
+    both = cold.join(centres, "key")
+    if hot is not None:
+        dealt = inside.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("first", "size", "salts")
+        copies = hot_centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        both = both.unionByName(dealt.join(copies, ["key", "salt"]).drop("salt"))
+        centres = centres.unionByName(hot_centres.drop("salts"))
+    return centres, both
+
+
+def _open(members: DataFrame, scratch: C.Scratch, name: str) -> DataFrame:
+    """Members of buckets that still hold several components."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mixed = scratch.store(mixed.select("key", "n"), f"open-{name}", narrow=True)
+    return C.join_hot(members, mixed, "key", members.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, rows: int = ROWS) -> DataFrame:
     """Classes of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -186,8 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets.withColumn("node", F.col("doc_id"))
     members = sets.select("node", "n", F.explode("bands").alias("key"))
     first = members.groupBy("key").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("cn"), F.count("*").alias("size"))
-    centres = scratch.store(first.where("size > 1").drop("size"), "centres0", narrow=True)
-    members = scratch.store(members.join(centres, "key").withColumns({"comp": F.col("node"), "ccomp": F.col("centre")}), "live", narrow=True)
+    centres = scratch.store(first.where("size > 1").withColumnRenamed("size", "n"), "centres0", narrow=True)
+    members = scratch.store(C.join_hot(members, centres, "key", centres.agg(F.sum("n")).first()[0] or 0).withColumns({"comp": F.col("node"), "ccomp": F.col("centre")}), "live", narrow=True)
     # texts of all that shares a bucket; nothing else is read again
     wanted = sets.select("doc_id", "th", "node").join(members.select("node").distinct(), "node", "left_semi")
     wanted = scratch.store(wanted, "wanted", narrow=True).hint("merge")
@@ -199,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = f"100 * least(a, ca) >= {percent} * (n + cn - least(a, ca))" if k else f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
         # a pair comes from the least bucket that it shares, where it is tested or was ruled out
         once = f" and {_may_link(percent)} and key = array_min(array_intersect(bands, cbands))" if k else ""
-        pairs = (members.join(centres, "key") if k else members).where(f"comp <> ccomp and {near}{once}")
+        pairs = (both if k else members).where(f"comp <> ccomp and {near}{once}")
         ends = [F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")]
         pairs = pairs.select(*ends).distinct()
         if k:
@@ -222,8 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         k += 1
         members = scratch.store(members, f"mixed{k}", narrow=True)
-        open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = scratch.store(members.join(open_, "key", "left_semi"), f"members{k}", narrow=True)
+        members = scratch.store(_open(members, scratch, f"{k}"), f"members{k}", narrow=True)
         if members.isEmpty():
             break
         if k == 1:
@@ -233,17 +278,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # a: shingles that another document left over may share
             members = members.join(own, "node", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
             members = scratch.store(members.where(f"100 * a >= {percent} * n"), "shared", narrow=True)
-            open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
-            members = members.join(open_, "key").where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(sets.select("node", "bands"), "node")
+            open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.count("*").alias("n")).where("lo < hi").select("key", "least", "n")
+            members = C.join_hot(members, scratch.store(open_, "open-shared", narrow=True), "key", members.count()).where(f"100 * a >= {percent} * (n + greatest(least, a) - a)").drop("least").join(sets.select("node", "bands"), "node")
             sketched = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches(width), "node long, sketch array<long>")
             members = members.join(scratch.store(sketched, "sketches", narrow=True), "node")
             members = scratch.store(members, "members", narrow=True)
             if members.isEmpty():
                 break
-        # first those that have least of their own: they are the likeliest to link with many
-        rank = F.row_number().over(Window.partitionBy("key").orderBy((F.col("n") - F.col("a")) / F.col("n"), "node"))
-        centres = members.withColumn("rank", rank).where(F.col("rank") <= 2 * 4 ** (k - 1))
-        centres = scratch.store(centres.select("key", *[F.col(a).alias(b) for a, b in (("node", "centre"), ("n", "cn"), ("a", "ca"), ("comp", "ccomp"), ("sketch", "csketch"), ("bands", "cbands"))]), f"centres{k}", narrow=True)
+        centres, both = _choose(members, scratch, k)
     names = sets.select("h1", "h2", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("rep"))
     if roots is not None:
         if is_torn:  # a component's name is its least id, not its least node

@@ -90,7 +90,9 @@ def test_hashing_is_by_content():
     assert h[0] == h[2] == h[5] and h[1] == h[3] == h[6] and first.tolist() == [0, 2, 4, 7]
 
 
-def test_star_of_distant_copies(spark):
+@pytest.mark.parametrize("hot_rows", [C.HOT_ROWS, 4])
+def test_star_of_distant_copies(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(C, "HOT_ROWS", hot_rows)
     r = random.Random(9)
     base = [f"b{i}" for i in range(150)]
     docs = [(0, " ".join(base))]
@@ -173,3 +175,23 @@ def test_crafted_words_do_not_link(spark):
     rows = [(1, f"one two three four {a}"), (2, f"one two three four {b}"), (3, f"One two three four {a.upper()}")]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_hot_buckets_are_dealt_over_salts(spark, monkeypatch):
+    """A hot bucket's members meet all centres that it takes, once each."""
+    from granary.llm import minhash
+
+    monkeypatch.setattr(C, "HOT_ROWS", 20)
+    rows = [(key, i, 100, i, 90, [i], [key]) for key, n in ((1, 300), (2, 15), (3, 21)) for i in range(n)]
+    scratch = C.Scratch(spark, "test")
+    members = scratch.store(spark.createDataFrame(rows, "key long, node long, n long, comp long, a long, sketch array<long>, bands array<long>"), "members")
+    for k in (1, 3):
+        centres, both = minhash._choose(members, scratch, k)
+        of = {}
+        for c in centres.collect():
+            of.setdefault(c["key"], set()).add(c["centre"])
+        want = 2 * 4 ** (k - 1)
+        assert len(of[2]) == min(want, 15) and 1 <= len(of[3]) <= 21 and 1 <= len(of[1]) <= 3 * want + 10
+        assert all(0 in of[key] for key in of)
+        pairs = [(r["key"], r["centre"], r["node"]) for r in both.collect()]
+        assert sorted(pairs) == sorted((key, c, i) for key, n in ((1, 300), (2, 15), (3, 21)) for c in of[key] for i in range(n))
