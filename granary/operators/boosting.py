@@ -159,9 +159,9 @@ def drawn(h: np.ndarray, share: float, seed: int) -> np.ndarray:
 class Rows:
     """Stored rows (h, y, bins, f), and the trees that f does not hold yet."""
 
-    def __init__(self, rows: DataFrame, base: float, n_features: int):
+    def __init__(self, rows: DataFrame, base: float, n_features: int, n_rows: int):
         self.n, self.trees = n_features, []
-        self.stored = Latest(rows.repartition(spread(rows.sparkSession), "h").withColumn("f", F.lit(float(base))))
+        self.stored = Latest(rows.repartition(spread(rows.sparkSession, n_rows), "h").withColumn("f", F.lit(float(base))))
 
     def passed(self, make: Callable, schema: str) -> DataFrame:
         """make: from (batches of h, y, bins, f as arrays) to record batches."""
@@ -231,6 +231,7 @@ def _level(rows: Rows, tree: Tree, open_: list[int], features: list[int], s: Set
         return pa.table({"node": t.column("node")[:1], "feature": t.column("feature")[:1], "gain": [float(gain[at])], "cut": pa.array([at], pa.int32())})
 
     summed = rows.passed(sums, "node int, feature int, sums binary")
+    summed = summed.repartition(min(spread(summed.sparkSession, 0), len(open_) * len(features)), "node", "feature")
     return summed.groupBy("node", "feature").applyInArrow(best, "node int, feature int, gain double, cut int").collect()
 
 
@@ -265,10 +266,11 @@ def grow(rows: Rows, s: Settings, k: int) -> Tree:
 def boost(train: DataFrame, tail: DataFrame | None, features: list[str], y: Column, key: Column, s: Settings) -> Boosted:
     """Boosted trees on `train`; with `tail`, those up to the round that was best there, and no more than `patience` after it."""
     cuts = find_cuts(train, features)
-    base = float(train.agg(F.percentile_approx(y.cast("double"), s.quantile, SKETCH)).first()[0])
+    base, n = train.agg(F.percentile_approx(y.cast("double"), s.quantile, SKETCH), F.count("*")).first()
+    base = float(base)
     model = Boosted(base, features, cuts)
-    fit = Rows(bin_rows(train, features, cuts, y, key), base, len(features))
-    held = Rows(bin_rows(tail, features, cuts, y, key), base, len(features)) if tail is not None else None
+    fit = Rows(bin_rows(train, features, cuts, y, key), base, len(features), n)
+    held = Rows(bin_rows(tail, features, cuts, y, key), base, len(features), tail.count()) if tail is not None else None
     best, best_at = float("inf"), 0
     for k in range(s.rounds):
         tree = grow(fit, s, k)

@@ -71,14 +71,14 @@ def window_ends(index: DataFrame, rows: DataFrame) -> DataFrame:
 # --- windows as views ------------------------------------------------------------------------
 
 
-def pack_segments(panel: DataFrame, columns: list[str]) -> DataFrame:
+def pack_segments(panel: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
     """A row for each segment, with `days`: its rows' dt and `columns` as an array by date.
 
     Every value is held once; windows are made of it where they are used (`flat_windows`). A
-    segment's days are bounded, so a row is too.
+    segment's days are bounded, so a row is too. rows: the panel's, if they are counted.
     """
     keys = pair_columns(panel)
-    return panel.repartition(spread(panel.sparkSession), *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("days"))
+    return panel.repartition(spread(panel.sparkSession, rows), *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dt", *columns))).alias("days"))
 
 
 def flat_windows(batch: pa.RecordBatch, dynamic: list[str], lookback: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray, np.ndarray]:
@@ -132,7 +132,7 @@ def bind_panel(panel: DataFrame, features: list[str], target: str, make, lookbac
     dynamic, categorical = split_columns(features)
     keys, segment = [*PAIR, "dt"], pair_columns(panel)
     known = cut(panel.select(*segment, "dt", *[F.col(c).cast("float").alias(c) for c in dynamic], *[F.col(c).cast("int").alias(c) for c in categorical], (F.row_number().over(Window.partitionBy(*segment).orderBy("dt")) >= lookback).alias("whole")))
-    forecast = make(dynamic, categorical)
+    forecast, n = make(dynamic, categorical), known.count()
 
     def bound(train: DataFrame, valid: DataFrame) -> DataFrame:
         asked = valid.select(*keys).join(known.select(*keys, "whole"), keys, "left")
@@ -144,6 +144,6 @@ def bind_panel(panel: DataFrame, features: list[str], target: str, make, lookbac
         scale = np.array([scaler[c][0] or 0.0 for c in dynamic]), np.array([scaler[c][1] or 1.0 for c in dynamic])
         wanted = known.join(valid.select(*keys, F.lit(True).alias("wanted")), keys, "left")
         columns = [*dynamic, *categorical]
-        return forecast(cut(pack_segments(labelled, [*columns, "y", "lead"])), cut(pack_segments(wanted, [*columns, "wanted"])), scale)
+        return forecast(cut(pack_segments(labelled, [*columns, "y", "lead"], n)), cut(pack_segments(wanted, [*columns, "wanted"], n)), scale)
 
     return bound

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 #: Rows of a table that counts as a small dimension, at most.
 SMALL_ROWS = 100_000
+#: Rows of a part of a table that is passed over again and again.
+PART_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,9 +69,14 @@ class Latest:
         fs.delete(at, True)
 
 
-def spread(spark: SparkSession) -> int:
-    """Partitions of a table that is passed over again and again: enough for all cores, however small it is."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def spread(spark: SparkSession, rows: int | None = None) -> int:
+    """Partitions of a table that is passed over again and again: enough for all cores, however small it is.
+
+    Beyond that they follow its own rows where these are counted; the setting of shuffles follows
+    larger inputs, and each pass would start as many tasks.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")) if rows is None else -(-rows // PART_ROWS))
 
 
 def small(df: DataFrame) -> DataFrame:

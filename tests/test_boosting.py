@@ -93,6 +93,28 @@ def test_rounds_written_down_change_nothing_and_copies_go(spark, monkeypatch):
     assert set(os.listdir(folder)) <= before
 
 
+def test_parts_follow_rows_and_not_the_setting_of_shuffles(spark, monkeypatch):
+    x = frame(spark, 600)
+    s = B.Settings(rounds=2, depth=2, rate=0.4, min_leaf=5)
+    plain, parts, add = fitted(spark, x, s).to_dict(), [], B.Rows.add
+
+    def counted(rows, tree):
+        parts.append(len(rows.stored.frame.inputFiles()))
+        add(rows, tree)
+
+    monkeypatch.setattr(B.Rows, "add", counted)
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 5 * cores)
+    try:
+        assert fitted(spark, x, s).to_dict() == plain
+        assert max(parts) <= cores
+        monkeypatch.setattr(lineage, "PART_ROWS", 200 // cores)
+        assert fitted(spark, x, s).to_dict() == plain
+        assert cores < parts[-1] <= 600 // (200 // cores) + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_patience_ends_the_rounds(spark):
     rng = random.Random(4)
     days = [("i", f"b{k % 9}", dt.date(2024, 1, 1) + dt.timedelta(days=k // 9), rng.random(), rng.random(), 1) for k in range(900)]
