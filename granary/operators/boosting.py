@@ -1,19 +1,21 @@
 """Boosting of the pinball loss on binned features.
 
-Features are binned once, at the quantiles of mergeable sketches, and stored as a byte each. A
-tree grows level by level: each task sums its rows' gradients by node, feature and bin, one
-exchange by node and feature adds these histograms up and finds the best cut of each, and the
-driver compares one row for each node and feature. Leaves are set to the quantile of their
-residuals. What moves does not depend on the number of rows.
+Features are binned once, at the quantiles of mergeable sketches, and stored as a byte each; the
+executors keep them as arrays. A tree grows level by level, a job each: a task counts its rows by
+node, feature, bin and side of the prediction. The counts of all tasks are added up on the driver
+if they are few bytes, by features beyond that; both find the same best cuts. Leaves are set to
+the quantile of their residuals. What moves does not depend on the number of rows.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ BINS = 256
 SKETCH = 10_000
 #: Rounds after which the rows' predictions are written down, so that a pass runs only the trees since.
 WRITE_EVERY = 10
+#: Rows of an array; and bytes of a level's counts, of all tasks, that the driver adds up.
+BLOCK_ROWS, COUNTED_BYTES = 1 << 16, 64 << 20
+#: Standard deviations of a leaf's quantile in a part that the values sent for it reach to either side.
+REACH = 5
 
 
 @dataclass
@@ -61,12 +67,16 @@ class Tree:
             self.value.append(0.0)
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf that each row of `bins` (rows x features) falls to."""
-        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while (inner := feature[at] >= 0).any():
-            goes = left[at] + (bins[rows, feature[at]] > cut[at])
-            at = np.where(inner, goes, at)
+        """The leaf that each row of `bins` (features x rows) falls to."""
+        at = np.zeros(bins.shape[1], np.int32)
+        falls = {0: slice(None)}
+        for node, feature in enumerate(self.feature):  # a node comes after its parent
+            rows = falls.pop(node)
+            if feature >= 0:
+                right = bins[feature][rows] > self.cut[node]
+                at[rows] = self.left[node] + right
+                here = np.arange(bins.shape[1]) if node == 0 else rows
+                falls |= {self.left[node]: here[~right], self.left[node] + 1: here[right]}
         return at
 
     def values(self, bins: np.ndarray) -> np.ndarray:
@@ -117,10 +127,10 @@ def find_cuts(rows: DataFrame, features: list[str]) -> list[list[float]]:
 
 
 def _binned(b: pa.RecordBatch, n: int, cuts: list[list[float]]) -> np.ndarray:
-    out = np.zeros((b.num_rows, n), np.uint8)
+    out = np.zeros((n, b.num_rows), np.uint8)
     for i in range(n):
         x = b.column(f"__{i}").to_numpy(zero_copy_only=False).astype(float)  # null is NaN
-        out[:, i] = np.where(np.isnan(x), 0, 1 + np.searchsorted(cuts[i], x))
+        out[i] = np.where(np.isnan(x), 0, 1 + np.searchsorted(cuts[i], x))
     return out
 
 
@@ -137,15 +147,15 @@ def bin_rows(rows: DataFrame, features: list[str], cuts: list[list[float]], y: C
 
 
 def _bytes(bins: np.ndarray) -> pa.Array:
-    off = np.arange(len(bins) + 1, dtype=np.int32) * bins.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(bins))])
+    off = np.arange(bins.shape[1] + 1, dtype=np.int32) * len(bins)
+    return pa.Array.from_buffers(pa.binary(), bins.shape[1], [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(bins.T))])
 
 
 def _bins(b: pa.RecordBatch, n: int) -> np.ndarray:
     column = b.column("bins").cast(pa.binary())
     _, off, data = column.buffers()
     start = np.frombuffer(off, np.int32)[column.offset]
-    return np.frombuffer(data, np.uint8)[start : start + b.num_rows * n].reshape(b.num_rows, n)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8)[start : start + b.num_rows * n].reshape(b.num_rows, n).T)
 
 
 def drawn(h: np.ndarray, share: float, seed: int) -> np.ndarray:
@@ -157,135 +167,245 @@ def drawn(h: np.ndarray, share: float, seed: int) -> np.ndarray:
 
 
 class Rows:
-    """Stored rows (h, y, bins, f), and the trees that f does not hold yet."""
+    """Stored rows (h, y, bins, f), kept as arrays by the executors, and the trees that f does not hold yet."""
 
     def __init__(self, rows: DataFrame, base: float, n_features: int, n_rows: int):
-        self.n, self.trees = n_features, []
-        self.stored = Latest(rows.repartition(spread(rows.sparkSession, n_rows), "h").withColumn("f", F.lit(float(base))))
+        self.n, self.trees, self.parts = n_features, [], spread(rows.sparkSession, n_rows)
+        self.stored = Latest(rows.repartition(self.parts, "h").withColumn("f", F.lit(float(base))))
+        self.arrays = self._kept()
 
-    def passed(self, make: Callable, schema: str) -> DataFrame:
-        """make: from (batches of h, y, bins, f as arrays) to record batches."""
-        n, trees = self.n, list(self.trees)
+    def _kept(self):
+        n = self.n
 
-        def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
             for b in batches:
-                if b.num_rows:
-                    h, y, f = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "y", "f"))
-                    bins = _bins(b, n)
-                    yield h, y, bins, _added(f, trees, bins)
-
-        return self.stored.frame.mapInArrow(lambda batches: make(arrays(batches)), schema)
+                held.append(b)
+                if sum(x.num_rows for x in held) >= BLOCK_ROWS:
+                    yield one(held)
+                    held = []
+            if held:
+                yield one(held)
+
+        def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            h, y, f = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("h", "y", "f"))
+            bins = np.concatenate([_bins(b, n) for b in held], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, y, bins, f)], names=["h", "y", "bins", "f"])
+
+        def arrays(r) -> tuple:
+            y = np.frombuffer(r.y)
+            return np.frombuffer(r.h, np.int64), y, np.frombuffer(r.bins, np.uint8).reshape(n, len(y)), np.frombuffer(r.f)
+
+        kept = self.stored.frame.mapInArrow(blocks, "h binary, y binary, bins binary, f binary")
+        return kept.rdd.coalesce(self.parts).map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def passed(self, make: Callable):
+        """What `make` yields for each task's (h, y, bins, f)."""
+        trees = list(self.trees)
+        return self.arrays.mapPartitions(lambda blocks: make((h, y, bins, _added(f, trees, bins)) for h, y, bins, f in blocks))
 
     def add(self, tree: Tree) -> None:
         self.trees.append(tree)
         if len(self.trees) < WRITE_EVERY:
             return
+        n, trees = self.n, list(self.trees)
 
-        def make(batches: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-            for h, y, bins, f in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(y), _bytes(bins), pa.array(f)], names=["h", "y", "bins", "f"])
+        def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                f = pa.array(_added(b.column("f").to_numpy(zero_copy_only=False), trees, _bins(b, n)))
+                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), b.column("bins"), f], names=["h", "y", "bins", "f"])
 
-        self.stored.put(self.passed(make, "h long, y double, bins binary, f double"))
+        self.stored.put(self.stored.frame.mapInArrow(make, "h long, y double, bins binary, f double"))
         self.trees = []
+        self.arrays.unpersist()
+        self.arrays = self._kept()
+
+    def losses(self, trees: list[Tree], quantile: float) -> list[float]:
+        """The mean loss after each of `trees`."""
 
-    def loss(self, quantile: float) -> float:
-        def make(batches: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-            for _, y, _, f in batches:
-                d = y - f
-                yield pa.RecordBatch.from_arrays([pa.array([np.maximum(quantile * d, (quantile - 1) * d).sum()]), pa.array([len(d)])], names=["loss", "n"])
+        def make(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
+            for _, y, bins, f in blocks:
+                out = []
+                for t in trees:
+                    f = _added(f, [t], bins)
+                    out.append(np.maximum(quantile * (y - f), (quantile - 1) * (y - f)).sum())
+                yield np.array([*out, len(y)])
 
-        return self.passed(make, "loss double, n long").agg(F.sum("loss") / F.sum("n")).first()[0]
+        *sums, n = sum(self.passed(make).collect())
+        return [x / n for x in sums]
 
+    def drop(self) -> None:
+        self.arrays.unpersist()
+        self.stored.drop()
 
-def _level(rows: Rows, tree: Tree, open_: list[int], features: list[int], s: Settings, seed: int) -> list:
-    """The best cut of each open node by each feature: (node, feature, gain, cut)."""
-    nth = {node: i for i, node in enumerate(open_)}
 
-    def sums(batches: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(features), 2, len(open_) * BINS))
+def _best(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(gain, cut) of each node by one feature; counts: rows by node, side of the prediction and bin."""
+    n = counts.sum(axis=1)
+    left = np.cumsum(np.stack([s.quantile * n - counts[:, 1], n]), axis=2)  # the gradients' sum, the rows
+    whole = left[:, :, -1:]
+    right = whole - left
+    score = lambda x: x[0] ** 2 / np.maximum(x[1] + s.l2, 1e-12)
+    gain = np.where((left[1] >= s.min_leaf) & (right[1] >= s.min_leaf), score(left) + score(right) - score(whole), -1.0)
+    at = gain.argmax(axis=1)
+    return np.take_along_axis(gain, at[:, None], axis=1)[:, 0], at
+
+
+def _level(rows: Rows, tree: Tree, open_: list[int], features: list[int], widths: list[int], s: Settings, seed: int) -> dict[int, tuple]:
+    """The best cuts of the open nodes by each feature: their gains and bins."""
+
+    def counts(blocks: Iterable[tuple]) -> Iterator[tuple]:
+        total = {c: np.zeros(len(open_) * 2 * widths[c], np.int32) for c in features}  # whole numbers, so sums are exact in any order
         number = np.full(len(tree.feature), -1)
         number[open_] = np.arange(len(open_))
-        for h, y, bins, f in batches:
+        for h, y, bins, f in blocks:
             use = number[tree.nodes(bins)]
             use = np.where(drawn(h, s.rows, seed), use, -1) if s.rows < 1 else use
-            on = np.flatnonzero(use >= 0)
-            under = (y[on] < f[on]).astype(float)
-            for i, c in enumerate(features):
-                at = use[on] * BINS + bins[on, c]
-                total[i, 0] += np.bincount(at, under, len(open_) * BINS)  # whole numbers, so sums are exact in any order
-                total[i, 1] += np.bincount(at, minlength=len(open_) * BINS)
-        cells = [(node, c, total[i][:, k * BINS : (k + 1) * BINS]) for i, c in enumerate(features) for node, k in nth.items()]
-        cells = [x for x in cells if x[2][1].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cells], pa.int32()), pa.array([x[1] for x in cells], pa.int32()), pa.array([x[2].tobytes() for x in cells], pa.binary())], names=["node", "feature", "sums"])
-
-    def best(t: pa.Table) -> pa.Table:
-        total = np.zeros((2, BINS))
-        for x in t.column("sums"):
-            total += np.frombuffer(x.as_buffer(), float).reshape(2, BINS)
-        total[0] = s.quantile * total[1] - total[0]  # the gradients' sum
-        left, whole = np.cumsum(total, axis=1), total.sum(axis=1, keepdims=True)
-        right = whole - left
-        score = lambda x: x[0] ** 2 / np.maximum(x[1] + s.l2, 1e-12)
-        gain = np.where((left[1] >= s.min_leaf) & (right[1] >= s.min_leaf), score(left) + score(right) - score(whole), -1.0)
-        at = int(gain.argmax())
-        return pa.table({"node": t.column("node")[:1], "feature": t.column("feature")[:1], "gain": [float(gain[at])], "cut": pa.array([at], pa.int32())})
-
-    summed = rows.passed(sums, "node int, feature int, sums binary")
-    summed = summed.repartition(min(spread(summed.sparkSession, 0), len(open_) * len(features)), "node", "feature")
-    return summed.groupBy("node", "feature").applyInArrow(best, "node int, feature int, gain double, cut int").collect()
-
-
-def grow(rows: Rows, s: Settings, k: int) -> Tree:
-    """The tree of round k, with its leaves' steps."""
+            on = slice(None) if use.min(initial=0) == 0 else np.flatnonzero(use >= 0)
+            cell = use[on] * 2 + (y < f)[on]
+            for c in features:
+                total[c] += np.bincount(cell * widths[c] + bins[c][on], minlength=len(total[c]))
+        yield from ((c, x.reshape(len(open_), 2, widths[c])) for c, x in total.items())
+
+    found = rows.passed(counts)
+    if rows.parts * len(open_) * 8 * sum(widths[c] for c in features) > COUNTED_BYTES:
+        merged = found.combineByKey(lambda x: x.astype(np.int64), np.add, np.add, min(spread(rows.stored.frame.sparkSession, 0), len(features)))
+        return dict(merged.mapValues(lambda x: _best(x, s)).collect())
+    total: dict[int, np.ndarray] = {}
+    for c, x in found.collect():
+        total[c] = total[c] + x if c in total else x.astype(np.int64)
+    return {c: _best(x, s) for c, x in total.items()}
+
+
+def _steps(rows: Rows, tree: Tree, quantile: float) -> list[tuple]:
+    """(leaf, quantile of the residuals, rows).
+
+    A part sends of a leaf the values about its own quantile. As rows are dealt to parts by their
+    hash, the whole's quantile is among them; leaves where that fails are left to a mergeable sketch.
+    """
+
+    def middle(blocks: Iterable[tuple]) -> Iterator[tuple]:
+        got = [(tree.nodes(bins), y - f) for _, y, bins, f in blocks]
+        if not got:
+            return
+        leaf, r = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((r, leaf))
+        leaf, r = leaf[order], r[order]
+        start = np.flatnonzero(np.diff(leaf, prepend=-1))
+        for a, b in zip(start, [*start[1:], len(r)]):
+            n, spare = b - a, 8 + REACH * np.sqrt(quantile * (1 - quantile) * (b - a))
+            i, j = max(0, int(quantile * n - spare)), min(n, int(quantile * n + spare) + 1)
+            yield int(leaf[a]), (n, i, j, r[a + i : a + j])
+
+    by_leaf: dict[int, list] = {}
+    for leaf, x in rows.passed(middle).collect():
+        by_leaf.setdefault(leaf, []).append(x)
+    out, missed = [], []
+    for leaf, parts in by_leaf.items():
+        n = sum(x[0] for x in parts)
+        nth = int(np.ceil(quantile * n)) - 1 - sum(x[1] for x in parts)
+        near = np.concatenate([x[3] for x in parts])
+        v = float(np.partition(near, nth)[nth]) if 0 <= nth < len(near) else np.nan
+        if all((i == 0 or y[0] <= v) and (j == m or y[-1] >= v) for m, i, j, y in parts):
+            out.append((leaf, v, n))
+        else:
+            missed.append(leaf)
+    if missed:
+
+        def left_over(blocks: Iterable[tuple]) -> Iterator[tuple]:
+            for _, y, bins, f in blocks:
+                at = tree.nodes(bins)
+                on = np.isin(at, missed)
+                yield from zip(at[on].tolist(), (y - f)[on].tolist())
+
+        rest = rows.stored.frame.sparkSession.createDataFrame(rows.passed(left_over), "leaf long, r double")
+        out += [tuple(x) for x in rest.groupBy("leaf").agg(F.percentile_approx("r", quantile, SKETCH), F.count("*")).collect()]
+    return out
+
+
+def grow(rows: Rows, s: Settings, k: int, widths: list[int]) -> Tree:
+    """The tree of round k, with its leaves' steps; widths: the features' bins."""
     rng = np.random.default_rng((s.seed, k))
     tree, open_ = Tree(), [0]
     n = max(1, round(s.columns * rows.n))
     features = sorted(rng.choice(rows.n, n, replace=False).tolist()) if n < rows.n else list(range(rows.n))
     for _ in range(s.depth):
-        cuts: dict[int, tuple] = {}
-        for r in sorted(_level(rows, tree, open_, features, s, s.seed + 1_000_003 * k), key=lambda r: (r.node, -r.gain, r.feature)):
-            if r.gain > 1e-9:
-                cuts.setdefault(r.node, (r.feature, r.cut))
-        open_ = []
-        for node, (feature, cut) in sorted(cuts.items()):
-            tree.split(node, feature, cut)
-            open_ += [len(tree.feature) - 2, len(tree.feature) - 1]
+        found = _level(rows, tree, open_, features, widths, s, s.seed + 1_000_003 * k)
+        gains = np.stack([found[c][0] for c in features])
+        first, nodes, open_ = gains.argmax(axis=0), open_, []
+        for i, node in enumerate(nodes):
+            if gains[first[i], i] > 1e-9:
+                tree.split(node, features[first[i]], int(found[features[first[i]]][1][i]))
+                open_ += [len(tree.feature) - 2, len(tree.feature) - 1]
         if not open_:
             break
+    for leaf, step, n in _steps(rows, tree, s.quantile):  # 2 ** depth at most
+        tree.value[leaf] = float(s.rate * step * n / (n + s.l2))
+    return tree
 
-    def left_over(batches: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-        for _, y, bins, f in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.nodes(bins)), pa.array(y - f)], names=["leaf", "r"])
 
-    leaves = rows.passed(left_over, "leaf long, r double").groupBy("leaf").agg(F.percentile_approx("r", s.quantile, SKETCH).alias("step"), F.count("*").alias("n"))
-    for r in leaves.collect():  # 2 ** depth rows at most
-        tree.value[r.leaf] = float(s.rate * r.step * r.n / (r.n + s.l2))
-    return tree
+class Pace:
+    """The rounds of a fit that runs beside another one, whose rounds it follows and whose choice ends it."""
+
+    def __init__(self):
+        self.turn, self.run, self.chosen, self.ended = threading.Condition(), 0, None, False
+
+    def reached(self, run: int) -> None:
+        with self.turn:
+            if self.ended:
+                raise RuntimeError("the fit beside this one has failed")
+            self.run = run
+            self.turn.notify_all()
+
+    def choose(self, rounds: int) -> None:
+        with self.turn:
+            self.chosen = rounds
+            self.turn.notify_all()
+
+    def rounds(self) -> Iterator[int]:
+        k = 0
+        while True:
+            with self.turn:
+                self.turn.wait_for(lambda: self.chosen is not None or k < self.run)
+                if self.chosen is not None and k >= self.chosen:
+                    return
+            yield k
+            k += 1
+
 
+def boost(
+    train: DataFrame, tail: DataFrame | None, features: list[str], y: Column, key: Column, s: Settings, rounds: Iterable[int] | None = None, reached: Callable[[int], None] = lambda run: None
+) -> Boosted:
+    """Boosted trees on `train`; with `tail`, those up to the round that was best there, and no more than `patience` after it.
 
-def boost(train: DataFrame, tail: DataFrame | None, features: list[str], y: Column, key: Column, s: Settings) -> Boosted:
-    """Boosted trees on `train`; with `tail`, those up to the round that was best there, and no more than `patience` after it."""
+    rounds: other ones than those of the settings, from 0 on; reached: called with the number of rounds run.
+    The tail's losses are taken WRITE_EVERY rounds at a time; what they choose does not hang on that.
+    """
     cuts = find_cuts(train, features)
     base, n = train.agg(F.percentile_approx(y.cast("double"), s.quantile, SKETCH), F.count("*")).first()
     base = float(base)
-    model = Boosted(base, features, cuts)
+    model, widths = Boosted(base, features, cuts), [len(c) + 2 for c in cuts]
     fit = Rows(bin_rows(train, features, cuts, y, key), base, len(features), n)
     held = Rows(bin_rows(tail, features, cuts, y, key), base, len(features), tail.count()) if tail is not None else None
-    best, best_at = float("inf"), 0
-    for k in range(s.rounds):
-        tree = grow(fit, s, k)
+    best, best_at, seen = float("inf"), 0, 0
+    for k in range(s.rounds) if rounds is None else rounds:
+        tree = grow(fit, s, k, widths)
         model.trees.append(tree)
         fit.add(tree)
-        if held is None:
+        reached(k + 1)
+        if held is None or len(model.trees) - seen < WRITE_EVERY and k + 1 < s.rounds:
             continue
-        held.add(tree)
-        loss = held.loss(s.quantile)
-        if loss < best - 1e-12:
-            best, best_at = loss, k + 1
-        elif k + 1 - best_at >= s.patience:
+        for loss in held.losses(model.trees[seen:], s.quantile):
+            held.add(model.trees[seen])
+            seen += 1
+            if loss < best - 1e-12:
+                best, best_at = loss, seen
+            elif seen - best_at >= s.patience:
+                break
+        if seen - best_at >= s.patience:
             break
     if held is not None:
         del model.trees[best_at:]
-        held.stored.drop()
-    fit.stored.drop()
+        held.drop()
+    fit.drop()
     return model

@@ -12,11 +12,11 @@ import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -212,11 +212,33 @@ def boosted_quantiles(
 
 
 def _boosted(train: DataFrame, names: list[str], target: str, log_target: bool, tail_days: int, settings: boosting.Settings) -> boosting.Boosted:
-    """The trees of all rows, as many as did best on the last days."""
+    """The trees of all rows, as many as did best on the last days.
+
+    Both fits run beside each other; trees of all rows beyond those chosen are dropped, `patience`
+    and a few at most.
+    """
     y, key = F.log1p(target) if log_target else F.col(target), F.xxhash64(*KEYS)
     fit, tail = demand.early_stopping(train, tail_days)
-    chosen = len(boosting.boost(fit, tail, names, y, key, settings).trees)
-    return boosting.boost(train, None, names, y, key, replace(settings, rounds=max(1, chosen)))
+    pace = boosting.Pace()
+
+    def choose() -> int:
+        chosen = 0
+        try:
+            chosen = max(1, len(boosting.boost(fit, tail, names, y, key, settings, reached=pace.reached).trees))
+        finally:
+            pace.choose(chosen)
+        return chosen
+
+    with ThreadPoolExecutor(1) as pool:
+        first = pool.submit(inheritable_thread_target(train.sparkSession)(choose))
+        try:
+            model = boosting.boost(train, None, names, y, key, settings, rounds=pace.rounds())
+        except BaseException:
+            pace.ended = True
+            raise
+        chosen = first.result()
+    del model.trees[chosen:]
+    return model
 
 
 # --- evaluation ------------------------------------------------------------------------------

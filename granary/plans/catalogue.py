@@ -903,10 +903,10 @@ def log_round_trip(spark, d):
 # --- end to end ------------------------------------------------------------------------------
 
 
-def _featured(spark, d) -> DataFrame:
+def _featured(spark, d, outlets: DataFrame | None = None) -> DataFrame:
     from . import forecast
 
-    dims = forecast.Dimensions(V.regions(spark, d), V.closures(spark), V.breakpoints(spark), V.relocations(spark), calendar=V.CALENDAR)
+    dims = forecast.Dimensions(V.regions(spark, d), V.closures(spark), V.breakpoints(spark), V.relocations(spark), outlets, calendar=V.CALENDAR)
     return forecast.featured(V.sales(spark, d), dims, V.CUTOFF, ratio=3.0)
 
 
@@ -935,6 +935,14 @@ def e1_featured(spark, d):
     return r6(_featured(spark, d).select(*_E1), "qty_capped", "lag_7", "roll_mean_7", "target_lead_time_cumulative_capped", "branch_avg_daily_qty")
 
 
+def _model_input(spark, d, outlets: DataFrame | None = None) -> DataFrame:
+    from . import forecast
+
+    x = _featured(spark, d, outlets)
+    items = V.table(spark, d, "part").select(F.col("p_type").alias("item"), (F.length("p_type") % 2 == 0).alias("is_event_driven")).distinct()
+    return forecast.model_input(x, items, V.CUTOFF)[0]
+
+
 @query(
     f"""WITH {E1}, {STATS.format(CUT).replace('FROM panel', 'FROM e1').replace('stats AS', 'ds AS')}, vals AS (SELECT DISTINCT branch_volume_tier v FROM e1 WHERE dt < {CUT}), mp AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) AS INT) idx FROM vals)
     SELECT e.item, e.branch, e.dt, COALESCE({LABEL}, 'lumpy') AS demand_segment, {FOLD.replace('dt', 'e.dt')} AS fold_id, COALESCE(lag_7, 0) AS lag_7, COALESCE(roll_mean_7, 0) AS roll_mean_7, days_since_relocation IS NOT NULL AS was_relocated,
@@ -942,12 +950,7 @@ def e1_featured(spark, d):
     FROM e1 e LEFT JOIN ds ON ds.item = e.item AND ds.branch = e.branch LEFT JOIN mp ON mp.v = e.branch_volume_tier"""
 )
 def e2_model_input(spark, d):
-    from . import forecast
-
-    x = _featured(spark, d)
-    items = V.table(spark, d, "part").select(F.col("p_type").alias("item"), (F.length("p_type") % 2 == 0).alias("is_event_driven")).distinct()
-    rows, _ = forecast.model_input(x, items, V.CUTOFF)
-    out = rows.select("item", "branch", "dt", "demand_segment", "fold_id", "lag_7", "roll_mean_7", "was_relocated", "days_since_relocation", "branch_volume_tier_idx", "is_event_driven")
+    out = _model_input(spark, d).select("item", "branch", "dt", "demand_segment", "fold_id", "lag_7", "roll_mean_7", "was_relocated", "days_since_relocation", "branch_volume_tier_idx", "is_event_driven")
     return r6(out, "lag_7", "roll_mean_7")
 
 
@@ -963,7 +966,17 @@ def _learnable(spark, d) -> DataFrame:
     return cut(demand.eligible_rows(x, V.CUTOFF, "target").select("item", "branch", "dt", "fold_id", "target", *ML_FEATURES))
 
 
-#: Settings of the model queries, smaller than the operators' defaults (README).
+def _all_features(spark, d) -> DataFrame:
+    """The rows of `_learnable` with every feature of the model's input; each branch has the outlet of its name."""
+    from . import forecast
+
+    outlets, branch = V.outlets(spark, d), F.upper(F.regexp_replace("outlet", "^Resto ", "")).alias("branch")
+    matches = outlets.select(branch, "outlet", F.lit(None).cast("string").alias("city_override"))
+    x = demand.eligible_rows(_model_input(spark, d, canon.outlet_features(matches, outlets)), V.CUTOFF, forecast.TARGET)
+    return cut(x.select("item", "branch", "dt", "fold_id", F.col(forecast.TARGET).alias("target"), *forecast.FEATURES))
+
+
+#: Settings of the forests' queries, smaller than the operators' defaults (README).
 FOREST = {"n_trees": 10, "max_depth": 6, "min_leaf": 20, "subset": "onethird"}
 
 
@@ -977,10 +990,12 @@ def ml_quantile_forest(spark, d):
 
 @query()
 def ml_treeboost(spark, d):
+    """All features and the operator's own settings: rounds go on until 50 of them have not helped, 2,000 at most."""
     from ..operators import models
+    from . import forecast
 
-    x = _learnable(spark, d)
-    return models.boosted_quantiles(ML_FEATURES, "target", rounds=30, depth=3, rate=0.4, patience=2)(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
+    x = _all_features(spark, d)
+    return models.boosted_quantiles(forecast.FEATURES, "target")(demand.fold_train(x, 5, V.CUTOFF), x.where("fold_id = 5"))
 
 
 @query()

@@ -22,7 +22,7 @@ FEATURES = [
     *HISTORY, "missing_history_count", "has_full_history",
     "day_of_week", "day_of_month", "month", *FLAGS, *PROXIMITY,
     "lead_time_days", "is_delivery_day", "target_window_weekend_days", "days_since_relocation",
-    "was_relocated", "branch_avg_daily_qty", "branch_demand_cv", "branch_age_days", "has_shopee", "has_gofood", "has_grabfood", "can_order_online", "baseline_ratio_known",
+    "was_relocated", "branch_avg_daily_qty", "branch_demand_cv", "branch_age_days", "has_shopee", "has_gofood", "has_grabfood", "can_order_online", "has_baseline",
     "is_event_driven", *[f"{c}_idx" for c in CATEGORICAL],
 ]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import boosting as B
 from granary.operators import models
+from granary.plans import catalogue, forecast
 from granary.sources import lineage
 
 
@@ -131,3 +132,77 @@ def test_empty_level_and_constant_target(spark):
     assert {r.f for r in model.predict(x, ["k"]).collect()} == {3.0}
     few = fitted(spark, frame(spark, 8), B.Settings(rounds=1, depth=3, min_leaf=100))
     assert few.trees[0].feature == [-1]
+
+
+def test_counts_of_many_bytes_are_added_up_by_features(spark, monkeypatch):
+    x = frame(spark, 500).repartition(5)
+    s = B.Settings(rounds=3, depth=3, rate=0.4, min_leaf=5, columns=0.7)
+    plain = fitted(spark, x, s).to_dict()
+    monkeypatch.setattr(B, "COUNTED_BYTES", 0)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 7)
+    assert fitted(spark, x, s).to_dict() == plain
+
+
+def test_leaves_whose_parts_differ_get_their_quantile_too(spark, monkeypatch):
+    x = frame(spark, 3000)
+    s = B.Settings(rounds=1, depth=1, rate=0.4, min_leaf=5)
+    plain = fitted(spark, x, s).to_dict()
+    sketched, sketch = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *more: sketched.append(str(c)) or sketch(c, *more))
+    by_value = B.boost(x, None, ["a", "b", "c"], F.col("y"), F.floor(F.col("y")), s).to_dict()  # a part has a few values only
+    assert "r" in sketched and by_value == plain
+
+
+def days_of(spark, n=900):
+    rng = random.Random(4)
+    days = [("i", f"b{k % 9}", dt.date(2024, 1, 1) + dt.timedelta(days=k // 9), rng.random(), 1) for k in range(n)]
+    return spark.createDataFrame([(*r, r[3] * 5 + rng.random()) for r in days], "item string, branch string, dt date, a double, lead_time_days int, y double")
+
+
+@pytest.mark.parametrize("every", [4, 10])
+def test_fits_beside_each_other_are_those_after_each_other(spark, monkeypatch, every):
+    x = days_of(spark)
+    s = B.Settings(rounds=40, depth=2, rate=0.3, min_leaf=2, patience=3)
+    fit, tail = models.demand.early_stopping(x, 20)
+    key = F.xxhash64("item", "branch", "dt")
+    chosen = len(B.boost(fit, tail, ["a"], F.col("y"), key, s).trees)
+    monkeypatch.setattr(B, "WRITE_EVERY", every)
+    model = models._boosted(x, ["a"], "y", False, 20, s)
+    assert 0 < chosen < 37 and len(model.trees) == chosen
+    assert model.to_dict() == B.boost(x, None, ["a"], F.col("y"), key, B.Settings(**{**vars(s), "rounds": chosen})).to_dict()
+
+
+@pytest.mark.parametrize("broken", ["fit", "all"])
+def test_a_fit_that_fails_ends_the_one_beside_it(spark, monkeypatch, broken):
+    grow = B.grow
+
+    def failing(rows, s, k, widths):
+        if k == 2 and broken == rows.of:
+            raise ValueError("broken")
+        return grow(rows, s, k, widths)
+
+    init = B.Rows.__init__
+
+    def named(rows, x, base, n, n_rows):
+        init(rows, x, base, n, n_rows)
+        rows.of = "all" if n_rows == 900 else "fit"
+
+    monkeypatch.setattr(B, "grow", failing)
+    monkeypatch.setattr(B.Rows, "__init__", named)
+    with pytest.raises(ValueError, match="broken"):
+        models._boosted(days_of(spark), ["a"], "y", False, 20, B.Settings(rounds=2000, depth=1, rate=0.01, min_leaf=2, patience=2000))
+
+
+def test_the_query_boosts_all_features_by_the_operators_own_settings(spark, monkeypatch):
+    seen = []
+
+    def boosted(train, names, target, log_target, tail_days, settings):
+        seen.append((names, tail_days, settings))
+        return B.Boosted(1.0, names, [[] for _ in names])
+
+    monkeypatch.setattr(models, "_boosted", boosted)
+    got = catalogue.QUERIES["ml_treeboost"](spark, "/root/testdata/sf0.001")
+    rows = catalogue._learnable(spark, "/root/testdata/sf0.001").where("fold_id = 5").select("item", "branch", "dt")
+    assert got.count() == rows.count() == got.join(rows, ["item", "branch", "dt"]).count() > 0
+    assert seen == [(forecast.FEATURES, 30, B.Settings())] and len(set(forecast.FEATURES)) == 56
+    assert (B.Settings().rounds, B.Settings().patience) == (models.BOOST_ROUNDS, models.BOOST_PATIENCE) == (2000, 50)
